@@ -1,0 +1 @@
+"""Nothing here on purpose: the workload has no stream source (see README)."""
