@@ -107,26 +107,75 @@ def normal_quantile(p: Column) -> Column:
     )
 
 
+def ln_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0: Stirling's series, after a shift by 10 for small x."""
+    shift = F.lit(0.0)
+    for k in range(10):
+        shift = shift + F.ln(x + k)
+    y = F.when(x < 10, x + 10).otherwise(x)
+    series = (
+        (y - 0.5) * F.ln(y) - y + F.lit(0.5 * math.log(2 * math.pi))
+        + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    )
+    return F.when(x < 10, series - shift).otherwise(series)
+
+
+def beta_regularised(a: Column, b: Column, x: Column, terms: int = 500) -> Column:
+    """Regularised incomplete beta function by its continued fraction."""
+
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        first = 1 / (1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+        def advance(acc: Column, coefficient: Column) -> Column:
+            d = 1 / (1 + coefficient * acc["d"])
+            c = 1 + coefficient / acc["c"]
+            return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+        def step(acc: Column, k: Column) -> Column:
+            m = F.floor((k + 1) / 2).cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            # step k = 1, 2, 3 ... takes the even then the odd coefficient of m = 1, 2 ...
+            return advance(acc, F.when(k % 2 == 1, even).otherwise(odd))
+
+        scale = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) / a
+        return scale * F.aggregate(F.sequence(F.lit(1), F.lit(2 * terms)), start, step, lambda acc: acc["h"])
+
+    inside = F.when(x < (a + 1) / (a + b + 2), fraction(a, b, x)).otherwise(1 - fraction(b, a, 1 - x))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+
+
 def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t by the finite trigonometric series for whole df.
+    """Two-sided p of Student's t; a corrected normal above 100,000 degrees of freedom."""
+    df = df.cast("double")
+    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
+    return F.when(df > 100000, normal_two_sided(z)).otherwise(beta_regularised(df / 2, F.lit(0.5), df / (df + t * t)))
+
 
-    The series has df/2 terms; beyond 2000 degrees of freedom the t and normal
-    distributions agree to about 1e-4 of the tail, and the Cornish-Fisher
-    corrected normal is used.
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of ``n`` pairs."""
+    df = (n - 2).cast("double")
+    rest = F.greatest(1 - r * r, F.lit(0.0))
+    t = F.when(rest > 0, r * F.sqrt(df / rest))
+    return F.when(n < 3, F.lit(None).cast("double")).when(rest == 0, F.lit(0.0)).otherwise(t_two_sided(t, df))
+
+
+def signed_rank_p(w: Column, n: Column, variance: Column, exact: Column) -> Column:
+    """Two-sided p of the Wilcoxon signed-rank statistic ``w`` (the smaller rank sum).
+
+    Exact for up to 50 untied differences, from the distribution of rank sums
+    built one rank at a time; otherwise normal with the given variance.
     """
-    n = df.cast("long")
-    theta = F.atan(F.abs(t) / F.sqrt(n.cast("double")))
-    cos2 = F.pow(F.cos(theta), 2)
-    steps = F.least(F.floor((n - 2) / 2), F.lit(1000)).cast("long")
-    even = F.sin(theta) * _series(steps, lambda i: cos2 * (2 * i - 1) / (2 * i))
-    odd_steps = F.least(F.floor((n - 3) / 2), F.lit(1000)).cast("long")
-    odd_sum = F.when(n <= 1, F.lit(0.0)).otherwise(
-        F.sin(theta) * F.cos(theta) * _series(odd_steps, lambda i: cos2 * (2 * i) / (2 * i + 1))
-    )
-    odd = (theta + odd_sum) * (2 / math.pi)
-    exact = F.when(n % 2 == 0, 1 - even).otherwise(1 - odd)
-    z = F.abs(t) * (1 - 1 / (4.0 * n)) / F.sqrt(1 + t * t / (2.0 * n))
-    return F.when(n > 2000, normal_two_sided(z)).otherwise(F.greatest(exact, F.lit(0.0)))
+    grow = lambda acc, i: F.transform(
+        F.sequence(F.lit(0), F.size(acc) - 1 + i),
+        lambda j: F.coalesce(F.get(acc, j), F.lit(0.0)) + F.coalesce(F.get(acc, j - i), F.lit(0.0)))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), grow)
+    below = F.aggregate(F.slice(counts, 1, w.cast("int") + 1), F.lit(0.0), lambda acc, v: acc + v)
+    small = F.least(2 * below / F.pow(F.lit(2.0), n), F.lit(1.0))
+    mean = n * (n + 1) / 4.0
+    large = normal_two_sided((w - mean) / F.sqrt(variance))
+    return F.when(n < 1, F.lit(None).cast("double")).when(exact & (n <= 50), small).otherwise(large)
 
 
 def normal_two_sided(z: Column) -> Column:

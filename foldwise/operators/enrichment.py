@@ -66,6 +66,17 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
     return rows.withColumn("class", side).drop("_rank")
 
 
+def classify_at(lfc: DataFrame, by: Sequence[str], pcts: Sequence[float], feature: str = "feature_id") -> DataFrame:
+    """Classes at several shares from one ranking; ``pct`` becomes a further comparison key."""
+    fits = groups_fit(lfc, by)
+    rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
+    rows = rows.join(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), list(by))
+    rows = rows.withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in pcts])))
+    k = F.floor(F.col("n") * F.col("pct") / 100)
+    side = F.when(F.col("_rank") <= k, "down").when(F.col("_rank") > F.col("n") - k, "up").otherwise("bg")
+    return rows.withColumn("class", side).drop("_rank")
+
+
 def classify_by_threshold(lfc: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
     """Sides by a fixed fold change instead of a share; side sizes then differ."""
     side = F.when(F.col("lfc") >= threshold, "up").when(F.col("lfc") <= -threshold, "down").otherwise("bg")

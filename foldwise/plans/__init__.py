@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["enrichment"]
+MODULES = ["enrichment", "reshape", "gates", "joins"]
 
 
 def load() -> None:

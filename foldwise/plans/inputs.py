@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators import enrichment as en
-from foldwise.plans.registry import fragment
+from foldwise.plans.registry import FRAGMENTS, fragment
 from foldwise.session import staged
 
 CONDITIONS = ["C", "T1", "T2", "T12"]
@@ -89,6 +89,15 @@ fragment("bulk", """SELECT feature_id, gender, timepoint, condition, sum(l_quant
 FROM base GROUP BY ALL""", "base")
 
 
+def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value per (feature, timepoint, condition): 12 samples, mostly complete."""
+    return staged(spark, ("plain", sf_dir), lambda: bulk(spark, sf_dir)
+                  .groupBy("feature_id", "timepoint", "condition").agg(F.sum("value").alias("value")))
+
+
+fragment("plain", "SELECT feature_id, timepoint, condition, sum(value) AS value FROM bulk GROUP BY ALL", "bulk")
+
+
 def deconvoluted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value per (feature, group, sample)."""
     return staged(spark, ("deconvoluted", sf_dir), lambda: base(spark, sf_dir)
@@ -202,3 +211,60 @@ FROM enriched LEFT JOIN (
   FROM hit_members GROUP BY ALL) s USING (grp, timepoint, condition, set_id)
 JOIN (SELECT grp, timepoint, condition, quantile_cont(lff, 0.05) AS lff_low, quantile_cont(lff, 0.95) AS lff_high
   FROM enriched GROUP BY ALL) t USING (grp, timepoint, condition)""", "enriched hit_members")
+
+
+SWEEP_PCTS = [2.5, 5.0, 10.0]
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enrichment table at several class shares."""
+
+    def build() -> DataFrame:
+        by = ["pct", *COMPARISON]
+        return en.enrich(en.classify_at(lfc(spark, sf_dir), COMPARISON, SWEEP_PCTS), members(spark, sf_dir), by)
+
+    return staged(spark, ("sweep", sf_dir), build)
+
+
+fragment("sweep_classes", """
+SELECT * EXCLUDE (r), CASE WHEN r <= k THEN 'down' WHEN r > n - k THEN 'up' ELSE 'bg' END AS class
+FROM (SELECT *, CAST(floor(n * pct / 100) AS BIGINT) AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY grp, timepoint, condition ORDER BY lfc, feature_id) AS r,
+    count(*) OVER (PARTITION BY grp, timepoint, condition) AS n FROM lfc) CROSS JOIN (VALUES (2.5::DOUBLE), (5), (10)) v(pct))""", "lfc")
+for _name, _parent in [("counts", "classes"), ("tails", "counts"), ("scored", "tails"), ("enriched", "scored")]:
+    _sql = FRAGMENTS[_name][1].replace("grp, timepoint, condition", "pct, grp, timepoint, condition")
+    _sql = _sql.replace(f"FROM {_parent}", f"FROM sweep_{_parent}")
+    fragment(f"sweep_{_name}", _sql, f"sweep_{_parent} members")
+
+
+def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldwise.operators.joins import condition_triplets
+
+    return staged(spark, ("triplets", sf_dir), lambda: condition_triplets(
+        results(spark, sf_dir), CONTEXT, TREATMENTS, p_col="p", p_sig=P_HIT))
+
+
+fragment("triplets", f"""
+SELECT grp, timepoint, set_id, {', '.join(
+    f"max(lff) FILTER (condition = '{t}') AS lff_{t}, max(p) FILTER (condition = '{t}') AS p_{t}, max(direction) FILTER (condition = '{t}') AS dir_{t}, "
+    f"max(n_members) FILTER (condition = '{t}') AS n_{t}, max(median_lfc) FILTER (condition = '{t}') AS median_{t}, "
+    f"max(p) FILTER (condition = '{t}') < {P_HIT} AS sig_{t}" for t in TREATMENTS)},
+  lff_T1 + lff_T2 AS lff_sum, lff_T12 - (lff_T1 + lff_T2) AS lff_residual
+FROM results SEMI JOIN (SELECT grp, timepoint FROM results GROUP BY ALL HAVING count(DISTINCT condition) = 3) x USING (grp, timepoint)
+GROUP BY grp, timepoint, set_id HAVING count(*) FILTER (condition = 'T1') > 0""", "results")
+
+
+def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression per (group, sample, gene); a gene is a part's brand and type."""
+
+    def build() -> DataFrame:
+        part = table(spark, sf_dir, "part").select(
+            F.col("p_partkey").alias("feature_id"), F.concat_ws("-", "p_brand", "p_type").alias("gene"))
+        return (deconvoluted(spark, sf_dir).join(part, "feature_id")
+                .groupBy("grp", "sample_id", "condition", "gene").agg(F.sum("value").alias("value")))
+
+    return staged(spark, ("expression", sf_dir), build)
+
+
+fragment("expression", """SELECT grp, sample_id, condition, p_brand || '-' || p_type AS gene, sum(value) AS value
+FROM decon JOIN part ON p_partkey = feature_id GROUP BY ALL""", "decon")

@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass(frozen=True)
 class Query:
     build: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+    needs: tuple[str, ...]
     covers: tuple[str, ...]
 
+    @property
+    def sql(self) -> str | None:
+        return with_fragments(self.body, list(self.needs)) if self.body else None
+
 
 QUERIES: dict[str, Query] = {}
 FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -26,8 +31,7 @@ def query(covers: str, sql: str | None = None, needs: str = ""):
     """
 
     def keep(build):
-        text = with_fragments(sql, needs.split()) if sql else None
-        QUERIES[build.__name__] = Query(build, text, tuple(covers.split()))
+        QUERIES[build.__name__] = Query(build, sql, tuple(needs.split()), tuple(covers.split()))
         return build
 
     return keep
