@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from foldwise.operators import enrichment as en
 from foldwise.plans import inputs as i
 from foldwise.plans.registry import query
@@ -34,11 +32,3 @@ def set_enrichment(spark, sf):
     df = en.enrich(i.classes(spark, sf), i.members(spark, sf), i.COMPARISON)
     return i.rounded(df, "lff", "p", "adj_p").select(
         "grp", "timepoint", "condition", "set_id", "a_up", "a_down", "c", "n_up", "n_bg", "direction", "lff", "p", "adj_p")
-
-
-@query("E1", f"""SELECT grp, timepoint, condition, count(*) FILTER (abs(lff) >= 0.01 AND p <= {i.P_HIT}) AS n_sig, count(*) AS n_tested,
-  round(avg(abs(lff)), 6) AS mean_abs_lff FROM results GROUP BY ALL""", "results")
-def comparison_summary(spark, sf):
-    from foldwise.operators.summaries import comparison_summary as summary
-
-    return i.rounded(summary(i.results(spark, sf), i.COMPARISON, p_col="p", p_sig=i.P_HIT), "mean_abs_lff")
