@@ -1,4 +1,9 @@
-"""Special functions as Column expressions (no Python in the executors)."""
+"""Special functions as Spark SQL expressions (no Python in the executors).
+
+Arguments are SQL texts such as ``"n_up - a_up"``; the ``*_sql`` helpers return
+text and the public functions a Column.  Text keeps long formulas cheap to
+build, and ``let`` binds a value to a name so that it is computed once.
+"""
 
 from __future__ import annotations
 
@@ -21,175 +26,142 @@ NORMAL_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e0
 NORMAL_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
             3.754408661907416e00]
 
+HALF_LN_2PI = f"{0.5 * math.log(2 * math.pi)!r}D"
+
+
+def let(name: str, body: str, **values: str) -> str:
+    """``body`` with ``name.key`` standing for each value."""
+    fields = ", ".join(f"'{key}', {text}" for key, text in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
 
-def ln_factorial(n: Column) -> Column:
+
+def ln_factorial_sql(n: str) -> str:
     """ln(n!): a literal table up to 20, Stirling's series above."""
-    x = n.cast("double")
-    table = F.array(*[F.lit(v) for v in LN_FACTORIALS])
-    series = (
-        (x + 0.5) * F.ln(x) - x + F.lit(0.5 * math.log(2 * math.pi))
-        + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
-    )
-    return F.when(x <= 20, F.element_at(table, n.cast("int") + 1)).otherwise(series)
+    table = "array(" + ", ".join(f"{v!r}D" for v in LN_FACTORIALS) + ")"
+    return let("f", f"""CASE WHEN f.x <= 20 THEN element_at({table}, cast(f.x AS int) + 1)
+        ELSE (f.x + 0.5D) * ln(f.x) - f.x + {HALF_LN_2PI} + 1 / (12 * f.x) - 1 / (360 * pow(f.x, 3)) + 1 / (1260 * pow(f.x, 5)) END""",
+        x=f"cast({n} AS double)")
 
 
-def _point(x: Column, hits: Column, drawn: Column, total: Column) -> Column:
-    """Hypergeometric P(X = x)."""
-    ln = (
-        ln_factorial(hits) + ln_factorial(total - hits) + ln_factorial(drawn) + ln_factorial(total - drawn)
-        - ln_factorial(total) - ln_factorial(x) - ln_factorial(hits - x) - ln_factorial(drawn - x)
-        - ln_factorial(total - hits - drawn + x)
-    )
-    return F.exp(ln)
+def ln_gamma_sql(x: str) -> str:
+    """ln Gamma(x) for x > 0: Stirling's series, after a shift by 10 for small x."""
+    series = f"""(g.y - 0.5D) * ln(g.y) - g.y + {HALF_LN_2PI} + 1 / (12 * g.y) - 1 / (360 * pow(g.y, 3)) + 1 / (1260 * pow(g.y, 5)) - 1 / (1680 * pow(g.y, 7))
+        - CASE WHEN g.y > g.x THEN aggregate(sequence(0, 9), 0D, (total, k) -> total + ln(g.x + k)) ELSE 0D END"""
+    return let("g", series, x=x, y=f"CASE WHEN {x} < 10 THEN {x} + 10 ELSE {x} END")
 
 
-def _series(steps: Column, ratio) -> Column:
-    """1 + r1 + r1 r2 + ... over ``steps`` terms, where ``ratio(i)`` gives r_i."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+def _point_sql(x: str, hits: str, drawn: str, total: str) -> str:
+    """Hypergeometric P(X = x)."""
+    f = ln_factorial_sql
+    return (f"exp({f(hits)} + {f(f'{total} - {hits}')} + {f(drawn)} + {f(f'{total} - {drawn}')} - {f(total)} - {f(x)}"
+            f" - {f(f'{hits} - {x}')} - {f(f'{drawn} - {x}')} - {f(f'{total} - {hits} - {drawn} + {x}')})")
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * ratio(i)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    total = F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, lambda acc: acc["total"])
-    return F.when(steps >= 1, total).otherwise(F.lit(1.0))
+def _series_sql(steps: str, ratio: str) -> str:
+    """1 + r1 + r1 r2 + ... over ``steps`` terms; ``ratio`` gives r_i in terms of i."""
+    total = f"""aggregate(sequence(1L, cast({steps} AS bigint)), named_struct('term', 1D, 'total', 1D), (s, i) ->
+        element_at(transform(array(s.term * ({ratio})), t -> named_struct('term', t, 'total', s.total + t)), 1), s -> s.total)"""
+    return f"(CASE WHEN {steps} >= 1 THEN {total} ELSE 1D END)"
 
 
-def hypergeometric_upper(a: Column, b: Column, c: Column, d: Column) -> Column:
+def hypergeometric_upper(a: str, b: str, c: str, d: str) -> Column:
     """One-sided exact test of the 2x2 table [[a, b], [c, d]]: P(X >= a).
 
     Sums the tail that does not hold the mean, term by term from its edge.  Terms
     shrink at least as fast as a normal tail there, so 12 standard deviations
     plus a constant reach below double precision however large the table is.
     """
-    a, b, c, d = (v.cast("long") for v in (a, b, c, d))
-    hits, drawn, total = a + c, a + b, a + b + c + d
-    share = hits / total
-    mean = drawn * share
-    spread = F.sqrt(mean * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1)))
-    reach = (F.ceil(spread * 12) + 60).cast("long")
-    up = _point(a, hits, drawn, total) * _series(
-        F.least(F.least(hits, drawn) - a, reach),
-        lambda i: (hits - a - i + 1) * (drawn - a - i + 1) / ((a + i) * (total - hits - drawn + a + i)).cast("double"),
-    )
-    low = a - 1
-    down = _point(low, hits, drawn, total) * _series(
-        F.least(low - F.greatest(hits + drawn - total, F.lit(0)), reach),
-        lambda i: (low - i + 1) * (total - hits - drawn + low - i + 1)
-        / ((hits - low + i) * (drawn - low + i)).cast("double"),
-    )
-    floor = F.greatest(hits + drawn - total, F.lit(0))
-    p = F.when(a <= floor, F.lit(1.0)).when(a > mean, up).otherwise(1.0 - down)
-    return F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))
-
-
-def _poly(coefficients: list[float], x: Column, tail: float | None = None) -> Column:
-    total = F.lit(coefficients[0])
-    for k in coefficients[1:] + ([tail] if tail is not None else []):
-        total = total * x + F.lit(k)
+    a, b, c, d = (f"cast({v} AS double)" for v in (a, b, c, d))
+    up = _point_sql("h.a", "h.hits", "h.drawn", "h.total") + " * " + _series_sql(
+        "least(h.hits - h.a, h.drawn - h.a, h.reach)", "(h.hits - h.a - i + 1) * (h.drawn - h.a - i + 1) / ((h.a + i) * (h.total - h.hits - h.drawn + h.a + i))")
+    down = _point_sql("(h.a - 1)", "h.hits", "h.drawn", "h.total") + " * " + _series_sql(
+        "least(h.a - 1 - h.floor, h.reach)", "(h.a - i) * (h.total - h.hits - h.drawn + h.a - i) / ((h.hits - h.a + 1 + i) * (h.drawn - h.a + 1 + i))")
+    tail = f"CASE WHEN h.a <= h.floor THEN 1D WHEN h.a > h.mean THEN {up} ELSE 1D - {down} END"
+    scaled = let("h", f"greatest(least({tail}, 1D), 0D)", a="m.a", hits="m.hits", drawn="m.drawn", total="m.total", mean="m.drawn * m.hits / m.total",
+                 floor="greatest(m.hits + m.drawn - m.total, 0D)",
+                 reach="60 + ceil(12 * sqrt(m.drawn * m.hits / m.total * (1 - m.hits / m.total) * (m.total - m.drawn) / greatest(m.total - 1, 1D)))")
+    return F.expr(let("m", scaled, a=a, hits=f"{a} + {c}", drawn=f"{a} + {b}", total=f"{a} + {b} + {c} + {d}"))
+
+
+def _poly_sql(coefficients: list[float], x: str) -> str:
+    total = f"({coefficients[0]!r}D)"
+    for k in coefficients[1:]:
+        total = f"({total} * {x} + ({k!r}D))"
     return total
 
 
-def normal_quantile(p: Column) -> Column:
+def normal_quantile(p: str) -> Column:
     """Inverse of the standard normal distribution function."""
     edge = 0.02425
+    tail = let("t", f"{_poly_sql(NORMAL_C, 't.q')} / {_poly_sql([*NORMAL_D, 1.0], 't.q')}", q="sqrt(-2 * ln(least(n.p, 1 - n.p)))")
+    centre = let("t", f"{_poly_sql(NORMAL_A, 't.s')} * t.m / {_poly_sql([*NORMAL_B, 1.0], 't.s')}", m="n.p - 0.5D", s="pow(n.p - 0.5D, 2)")
+    body = f"CASE WHEN n.p < {edge}D THEN {tail} WHEN n.p > {1 - edge}D THEN -({tail}) ELSE {centre} END"
+    return F.expr(let("n", body, p=f"cast({p} AS double)"))
 
-    def tail(q: Column) -> Column:
-        return _poly(NORMAL_C, q) / _poly(NORMAL_D, q, 1.0)
-
-    mid = p - 0.5
-    square = mid * mid
-    centre = _poly(NORMAL_A, square) * mid / _poly(NORMAL_B, square, 1.0)
-    return (
-        F.when(p < edge, tail(F.sqrt(-2 * F.ln(p))))
-        .when(p > 1 - edge, -tail(F.sqrt(-2 * F.ln(1 - p))))
-        .otherwise(centre)
-    )
 
+def beta_regularised_sql(a: str, b: str, x: str) -> str:
+    """Regularised incomplete beta function by its continued fraction.
 
-def ln_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0: Stirling's series, after a shift by 10 for small x."""
-    shift = F.lit(0.0)
-    for k in range(10):
-        shift = shift + F.ln(x + k)
-    y = F.when(x < 10, x + 10).otherwise(x)
-    series = (
-        (y - 0.5) * F.ln(y) - y + F.lit(0.5 * math.log(2 * math.pi))
-        + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
-    )
-    return F.when(x < 10, series - shift).otherwise(series)
-
-
-def beta_regularised(a: Column, b: Column, x: Column, terms: int = 500) -> Column:
-    """Regularised incomplete beta function by its continued fraction."""
-
-    def fraction(a: Column, b: Column, x: Column) -> Column:
-        first = 1 / (1 - (a + b) * x / (a + 1))
-        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    The fraction needs on the order of sqrt(a + b) terms and converges fast on
+    one side of the mean; the other side is its mirror image.
+    """
+    even = "m * (q.b - m) * q.x / ((q.a + 2 * m - 1) * (q.a + 2 * m))"
+    odd = "-(q.a + m) * (q.a + q.b + m) * q.x / ((q.a + 2 * m) * (q.a + 2 * m + 1))"
+    # Step k = 1, 2, 3, ... takes the even, then the odd coefficient of m = 1, 2, ...
+    coefficient = f"element_at(transform(array(cast(floor((k + 1) / 2) AS double)), m -> CASE WHEN k % 2 = 1 THEN {even} ELSE {odd} END), 1)"
+    step = let("w", "named_struct('c', w.c, 'd', w.d, 'h', w.h * w.c * w.d)", c=f"1 + z / s.c", d="1 / (1 + z * s.d)", h="s.h")
+    start = "element_at(transform(array(1 / (1 - (q.a + q.b) * q.x / (q.a + 1))), d -> named_struct('c', 1D, 'd', d, 'h', d)), 1)"
+    fraction = f"""aggregate(sequence(1, 100 + 2 * cast(ceil(5 * sqrt(q.a + q.b)) AS int)), {start}, (s, k) ->
+        element_at(transform(array({coefficient}), z -> {step}), 1), s -> s.h)"""
+    scale = f"exp({ln_gamma_sql('q.a + q.b')} - {ln_gamma_sql('q.a')} - {ln_gamma_sql('q.b')} + q.a * ln(q.x) + q.b * ln(1 - q.x)) / q.a"
+    part = let("q", f"{scale} * {fraction}", a="if(v.near, v.a, v.b)", b="if(v.near, v.b, v.a)", x="if(v.near, v.x, 1 - v.x)")
+    body = f"CASE WHEN v.x <= 0 THEN 0D WHEN v.x >= 1 THEN 1D WHEN v.near THEN {part} ELSE 1 - {part} END"
+    return let("u", let("v", body, a="u.a", b="u.b", x="u.x", near="u.x < (u.a + 1) / (u.a + u.b + 2)"), a=a, b=b, x=x)
+
+
+def normal_two_sided_sql(z: str) -> str:
+    """2(1 - Phi(|z|)): series near zero, continued fraction in the tail."""
+    pdf = f"exp(-e.x * e.x / 2) / {math.sqrt(2 * math.pi)!r}D"
+    # Phi(x) - 1/2 = pdf(x) * (x + x^3/3 + x^5/15 + ...)
+    near = f"1 - 2 * {pdf} * e.x * {_series_sql('120', 'e.x * e.x / (2 * i + 1)')}"
+    fraction = "aggregate(sequence(60, 1, -1), e.x, (r, k) -> e.x + k / r)"
+    return let("e", f"CASE WHEN e.x < 3 THEN {near} ELSE 2 * {pdf} / {fraction} END", x=f"abs({z})")
 
-        def advance(acc: Column, coefficient: Column) -> Column:
-            d = 1 / (1 + coefficient * acc["d"])
-            c = 1 + coefficient / acc["c"]
-            return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
 
-        def step(acc: Column, k: Column) -> Column:
-            m = F.floor((k + 1) / 2).cast("double")
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            # step k = 1, 2, 3 ... takes the even then the odd coefficient of m = 1, 2 ...
-            return advance(acc, F.when(k % 2 == 1, even).otherwise(odd))
+def normal_two_sided(z: str) -> Column:
+    return F.expr(normal_two_sided_sql(z))
 
-        scale = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) / a
-        return scale * F.aggregate(F.sequence(F.lit(1), F.lit(2 * terms)), start, step, lambda acc: acc["h"])
 
-    inside = F.when(x < (a + 1) / (a + b + 2), fraction(a, b, x)).otherwise(1 - fraction(b, a, 1 - x))
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+def t_two_sided_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t; a corrected normal above 100,000 degrees of freedom."""
+    z = normal_two_sided_sql("y.t * (1 - 1 / (4 * y.n)) / sqrt(1 + y.t * y.t / (2 * y.n))")
+    exact = beta_regularised_sql("y.n / 2", "0.5D", "y.n / (y.n + y.t * y.t)")
+    return let("y", f"CASE WHEN y.n > 100000 THEN {z} ELSE {exact} END", t=t, n=f"cast({df} AS double)")
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t; a corrected normal above 100,000 degrees of freedom."""
-    df = df.cast("double")
-    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
-    return F.when(df > 100000, normal_two_sided(z)).otherwise(beta_regularised(df / 2, F.lit(0.5), df / (df + t * t)))
+def t_two_sided(t: str, df: str) -> Column:
+    return F.expr(t_two_sided_sql(t, df))
 
 
-def correlation_p(r: Column, n: Column) -> Column:
+def correlation_p(r: str, n: str) -> Column:
     """Two-sided p of a correlation of ``n`` pairs."""
-    df = (n - 2).cast("double")
-    rest = F.greatest(1 - r * r, F.lit(0.0))
-    t = F.when(rest > 0, r * F.sqrt(df / rest))
-    return F.when(n < 3, F.lit(None).cast("double")).when(rest == 0, F.lit(0.0)).otherwise(t_two_sided(t, df))
+    t = t_two_sided_sql(f"{r} * sqrt(({n} - 2) / (1 - {r} * {r}))", f"{n} - 2")
+    return F.expr(f"CASE WHEN {n} < 3 OR {r} IS NULL THEN NULL WHEN 1 - {r} * {r} <= 0 THEN 0D ELSE {t} END")
 
 
-def signed_rank_p(w: Column, n: Column, variance: Column, exact: Column) -> Column:
+def signed_rank_p(w: str, n: str, variance: str, exact: str) -> Column:
     """Two-sided p of the Wilcoxon signed-rank statistic ``w`` (the smaller rank sum).
 
     Exact for up to 50 untied differences, from the distribution of rank sums
     built one rank at a time; otherwise normal with the given variance.
     """
-    grow = lambda acc, i: F.transform(
-        F.sequence(F.lit(0), F.size(acc) - 1 + i),
-        lambda j: F.coalesce(F.get(acc, j), F.lit(0.0)) + F.coalesce(F.get(acc, j - i), F.lit(0.0)))
-    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), grow)
-    below = F.aggregate(F.slice(counts, 1, w.cast("int") + 1), F.lit(0.0), lambda acc, v: acc + v)
-    small = F.least(2 * below / F.pow(F.lit(2.0), n), F.lit(1.0))
-    mean = n * (n + 1) / 4.0
-    large = normal_two_sided((w - mean) / F.sqrt(variance))
-    return F.when(n < 1, F.lit(None).cast("double")).when(exact & (n <= 50), small).otherwise(large)
-
-
-def normal_two_sided(z: Column) -> Column:
-    """2(1 - Phi(|z|)): series near zero, continued fraction in the tail."""
-    x = F.abs(z)
-    # Phi(x) - 1/2 = pdf(x) * (x + x^3/3 + x^5/15 + ...)
-    pdf = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    near = 1 - 2 * pdf * x * _series(F.lit(120).cast("long"), lambda i: x * x / (2 * i + 1))
-    fraction = x
-    for k in range(60, 0, -1):
-        fraction = x + F.lit(float(k)) / fraction
-    return F.when(x < 3, near).otherwise(2 * pdf / fraction)
+    counts = f"""aggregate(sequence(1, cast({n} AS int)), array(1D), (c, i) -> transform(sequence(0, size(c) - 1 + i),
+        j -> coalesce(get(c, j), 0D) + coalesce(get(c, j - i), 0D)))"""
+    below = f"aggregate(slice({counts}, 1, cast({w} AS int) + 1), 0D, (s, v) -> s + v)"
+    large = normal_two_sided_sql(f"(({w}) - ({n}) * (({n}) + 1) / 4) / sqrt({variance})")
+    return F.expr(f"CASE WHEN {n} < 1 THEN NULL WHEN ({exact}) AND {n} <= 50 THEN least(2 * {below} / pow(2D, {n}), 1D) ELSE {large} END")
 
 
-def chi2_upper_df3(x: Column) -> Column:
+def chi2_upper_df3(x: str) -> Column:
     """Upper tail of chi-squared with three degrees of freedom (closed form)."""
-    return normal_two_sided(F.sqrt(x)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2)
+    return F.expr(f"{normal_two_sided_sql(f'sqrt({x})')} + sqrt(2 * ({x}) / {math.pi!r}D) * exp(-({x}) / 2)")

@@ -124,12 +124,20 @@ def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def score_sets(counts: DataFrame) -> DataFrame:
-    """Frequency factor, one-sided exact p and the better side of each contingency row."""
+    """Frequency factor, one-sided exact p and the better side of each contingency row.
+
+    Few bytes but much arithmetic: the rows are spread over a fixed number of
+    tasks, which adaptive execution would otherwise merge into one.
+    """
+    counts = counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     a_up, a_down, c = F.col("a_up"), F.col("a_down"), F.col("c")
     d = F.col("n_bg") - c
     up = (a_up, F.col("n_up") - a_up, c, d)
     down = (a_down, F.col("n_down") - a_down, c, d)
-    scored = counts.withColumn("p_up", hypergeometric_upper(*up)).withColumn("p_down", hypergeometric_upper(*down))
+    scored = counts.withColumns({
+        "p_up": hypergeometric_upper("a_up", "n_up - a_up", "c", "n_bg - c"),
+        "p_down": hypergeometric_upper("a_down", "n_down - a_down", "c", "n_bg - c"),
+    })
     best_up = F.col("p_up") <= F.col("p_down")
     return (
         scored.withColumn("direction", F.when(best_up, "+").otherwise("-"))

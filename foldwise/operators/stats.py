@@ -33,7 +33,7 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     fits = groups_fit(rows, by)
     rows = average_ranks(average_ranks(rows, by, x, "_rx", fits), by, y, "_ry", fits)
     table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
-    return table.withColumn("pearson_p", correlation_p(F.col("pearson"), F.col("n"))).withColumn("spearman_p", correlation_p(F.col("spearman"), F.col("n")))
+    return table.withColumn("pearson_p", correlation_p("pearson", "n")).withColumn("spearman_p", correlation_p("spearman", "n"))
 
 
 def mean_tests(df: DataFrame, by: Sequence[str], d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mean_tests(df: DataFrame, by: Sequence[str], d: str) -> DataFrame:
     rows = df.where(F.col(d).isNotNull())
     t = F.try_divide(F.avg(d), F.stddev(d) / F.sqrt(F.count(d)))
     table = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), t.alias("t"), F.count_if(F.col(d) < 0).alias("n_negative"))
-    table = table.withColumn("t_p", F.when(F.col("n") > 1, t_two_sided(F.col("t"), F.col("n") - 1)))
+    table = table.withColumn("t_p", F.when(F.col("n") > 1, t_two_sided("t", "n - 1")))
     moved = rows.where(F.col(d) != 0).withColumn("_size", F.abs(d))
     moved = average_ranks(moved, by, "_size", "_rank")
     ties = moved.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_t")).groupBy(*by).agg(
@@ -53,11 +53,10 @@ def mean_tests(df: DataFrame, by: Sequence[str], d: str) -> DataFrame:
     signed = moved.groupBy(*by).agg(
         F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("_plus"),
         F.sum(F.when(F.col(d) < 0, F.col("_rank")).otherwise(0.0)).alias("_minus"), F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
     signed = (signed.join(ties, by) if by else signed.withColumn("_k", F.lit(0)).join(ties.withColumn("_k", F.lit(0)), "_k").drop("_k"))
-    variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
-    w = F.least("_plus", "_minus")
-    signed = signed.select(*by, w.alias("w"), signed_rank_p(w, n, variance, F.col("_ties") == 0).alias("w_p"))
+    signed = signed.withColumn("w", F.least("_plus", "_minus"))
+    w_p = signed_rank_p("w", "_n", "_n * (_n + 1) * (2 * _n + 1) / 24 - _ties / 48", "_ties = 0")
+    signed = signed.select(*by, "w", w_p.alias("w_p"))
     return table.join(signed, by, "left") if by else table.withColumn("_k", F.lit(0)).join(signed.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
 
@@ -70,7 +69,7 @@ def kruskal(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFra
     table = sums.groupBy(*by).agg(F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"), F.sum("_m").alias("n"), F.count(F.lit(1)).alias("n_groups")).join(ties, by)
     n = F.col("n")
     h = (12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (F.pow(n, F.lit(3)) - n))
-    return table.select(*by, "n", "n_groups", h.alias("h")).withColumn("p", F.when(F.col("n_groups") == 4, chi2_upper_df3(F.greatest("h", F.lit(0.0)))))
+    return table.select(*by, "n", "n_groups", h.alias("h")).withColumn("p", F.when(F.col("n_groups") == 4, chi2_upper_df3("greatest(h, 0D)")))
 
 
 def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
