@@ -50,13 +50,14 @@ def stratified_sample(spark, sf):
     return sa.stratified_sample(strata(spark, sf), "stratum", 0.2, 25, 7).select("feature_id", "stratum")
 
 
-@query("F16", """WITH own AS (SELECT *, row_number() OVER (PARTITION BY gender, timepoint ORDER BY sample_id) AS r, row_number() OVER (PARTITION BY gender, timepoint ORDER BY md5(sample_id || ':11'), sample_id) AS s FROM seen)
-SELECT a.sample_id, a.gender, a.timepoint, b.condition FROM own a JOIN own b ON a.gender = b.gender AND a.timepoint = b.timepoint AND a.r = b.s""", "seen")
+@query("F16", """SELECT a.sample_id, a.gender, a.timepoint, b.condition FROM own a JOIN own b ON a.gender = b.gender AND a.timepoint = b.timepoint AND a.r = b.s""", "own")
 def restricted_permutation(spark, sf):
     samples = i.bulk(spark, sf).select("sample_id", "gender", "timepoint", "condition").distinct()
     return sa.restricted_permutation(samples, ["gender", "timepoint"], "condition", 11).select("sample_id", "gender", "timepoint", "condition")
 
 
+fragment("own", """SELECT *, row_number() OVER (PARTITION BY gender, timepoint ORDER BY sample_id) AS r,
+  row_number() OVER (PARTITION BY gender, timepoint ORDER BY md5(sample_id || ':11'), sample_id) AS s FROM seen""", "seen")
 fragment("seen", "SELECT DISTINCT sample_id, gender, timepoint, condition FROM bulk", "bulk")
 
 
