@@ -344,7 +344,7 @@ def cross_modality(expr: DataFrame, effects: DataFrame, edges: DataFrame, contro
     base = means.where(F.col("condition") == control).select("grp", "gene", F.col("_m").alias("_c"))
     shift = means.where(F.col("condition") != control).join(base, ["grp", "gene"]).where((F.abs("_c") >= 1e-10) | (F.abs("_m") >= 1e-10))
     shift = shift.select("grp", "gene", "condition", (F.col("_m") - F.col("_c")).alias("shift"))
-    beta = edges.join(effects, "feature_id").groupBy("grp", "gene", "condition").agg(F.avg("beta").alias("beta"))
+    beta = edges.join(effects, "feature_id").groupBy("grp", "gene", "condition").agg(F.round(F.avg("beta"), 12).alias("beta"))
     table = correlations(shift.join(beta, ["grp", "gene", "condition"]), ["grp", "condition"], "shift", "beta")
     enough = F.col("n") >= least
     rho = F.when(enough, F.col("spearman"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["enrichment", "reshape", "gates", "joins", "summaries", "additivity", "normalise", "sampling", "diagnostics"]
+MODULES = ["enrichment", "reshape", "gates", "joins", "summaries", "additivity", "normalise", "sampling", "diagnostics", "models"]
 
 
 def load() -> None:
