@@ -72,7 +72,7 @@ def signal(q: Params, d: Design, base: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def mix(s: np.ndarray, d: Design) -> np.ndarray:
-    return np.maximum(np.einsum("bkn,nk->bn", np.maximum(s, 0.0), d.fractions), MU_FLOOR)
+    return np.maximum((np.maximum(s, 0.0) * d.fractions.T).sum(axis=1), MU_FLOOR)
 
 
 def mean(q: Params, d: Design, base: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -81,9 +81,16 @@ def mean(q: Params, d: Design, base: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def deviance(y: np.ndarray, mu: np.ndarray, p: float) -> np.ndarray:
     """Tweedie unit deviance, 0 where y is not positive."""
-    own = np.where(y > 0, np.power(np.maximum(y, MU_FLOOR), 2 - p), 0.0) / ((1 - p) * (2 - p))
-    full = 2 * (own - y * mu ** (1 - p) / (1 - p) + mu ** (2 - p) / (2 - p))
-    return np.where(y > 0, full, 0.0)
+    return np.where(y > 0, 2 * (own_term(y, p) + mean_term(y, mu, p)), 0.0)
+
+
+def own_term(y: np.ndarray, p: float) -> np.ndarray:
+    return np.where(y > 0, np.maximum(y, MU_FLOOR) ** (2 - p), 0.0) / ((1 - p) * (2 - p))
+
+
+def mean_term(y: np.ndarray, mu: np.ndarray, p: float) -> np.ndarray:
+    power = mu ** (1 - p)
+    return power * (mu / (2 - p) - y / (1 - p))
 
 
 def shrink(delta: np.ndarray, threshold: np.ndarray, eta: np.ndarray) -> np.ndarray:
@@ -119,65 +126,60 @@ def inner(q: Params, h: Hyper, d: Design, y: np.ndarray, base: np.ndarray, r: np
     """Penalised scoring for alpha and beta at fixed rho and phi, in delta = scale * beta.
 
     A line search on the deviance before shrinkage against the previous one
-    after it; finished features leave the batch.
+    after it; the signal is linear in the parameters, so a trial step only adds
+    a multiple of its change.  Finished features leave the batch.
     """
     out = replace(q, beta=q.beta.copy(), alpha=q.alpha.copy())
-    live = np.arange(len(y))
     positive = y > 0
+    own = 2 * own_term(y, p).sum(axis=1)
+    ridge = 1e-8 * np.eye(3 + 3 * d.groups)
+
+    def total(mu: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return own[rows] + 2 * np.where(positive[rows], mean_term(y[rows], mu, p), 0.0).sum(axis=1)
+
+    live = np.arange(len(y))
+    s = signal(out, d, base, r)
     previous = np.full(len(y), np.inf)
     for _ in range(INNER_ITER):
-        w = out.take(live)
-        yl, bl, rl, pos, hl = y[live], base[live], r[live], positive[live], h.take(live)
-        s = signal(w, d, bl, rl)
-        mu = mix(s, d)
-        free = d.fractions.T[None] * (s > 0)
-        jac = np.concatenate([
-            (free.sum(axis=1)[:, :, None] * d.blocks[None]),
-            (free[:, :-1, :, None] / d.scale[None, :, None, None] * d.factors[None, None]).transpose(0, 2, 1, 3).reshape(len(live), y.shape[1], -1),
-        ], axis=2)
-        score = np.where(pos, (yl - mu) / (w.phi[:, None] * mu ** (p - 1)), 0.0)
-        weight = np.where(pos, mu ** (2 - p) / w.phi[:, None], 0.0)
-        hessian = np.einsum("bni,bn,bnj->bij", jac, weight, jac, optimize=True)
-        hessian += 1e-8 * np.eye(jac.shape[2])
-        move = _solve(hessian, np.einsum("bni,bn->bi", jac, score))
-        step = np.ones(len(live))
-        searching = np.ones(len(live), bool)
-        before = previous[live]
+        mu, pos, phi = mix(s, d), positive[live], q.phi[live][:, None]
+        free = (s > 0) * d.fractions.T
+        effects = (free[:, :-1] / d.scale[:, None]).transpose(0, 2, 1)[..., None] * d.factors[:, None, :]
+        jac = np.concatenate([free.sum(axis=1)[:, :, None] * d.blocks, effects.reshape(len(live), y.shape[1], -1)], axis=2)
+        power = mu ** (p - 1)
+        score = np.where(pos, (y[live] - mu) / (phi * power), 0.0)
+        weight = np.where(pos, mu / (phi * power), 0.0)
+        flipped = jac.transpose(0, 2, 1)
+        move = _solve(flipped @ (weight[:, :, None] * jac) + ridge, (flipped @ score[:, :, None])[..., 0])
+        by_beta = move[:, 3:].reshape(len(live), -1, 3) / d.scale[:, None]
+        change = np.repeat((move[:, :3] @ d.blocks.T)[:, None, :], d.groups + 1, axis=1)
+        change[:, :-1] += by_beta @ d.factors.T
+        step, rows, before = np.ones(len(live)), np.arange(len(live)), previous[live]
         for _ in range(10):
-            rows = np.flatnonzero(searching)
-            tried = _moved(w, d, move, step, rows)
-            dev = deviance(yl[rows], mean(tried, d, bl[rows], rl[rows]), p).sum(axis=1)
-            searching[rows] = ~((dev < before[rows]) | (step[rows] < 1e-4))
-            step[searching] *= 0.5
-            if not searching.any():
+            dev = total(mix(s[rows] + step[rows, None, None] * change[rows], d), live[rows])
+            rows = rows[~((dev < before[rows]) | (step[rows] < 1e-4))]
+            step[rows] *= 0.5
+            if not len(rows):
                 break
-        moved = _moved(w, d, move, step, np.arange(len(live)))
-        delta = shrink(moved.beta * d.scale[None, :, None], step[:, None] * hl.lam[:, None] * hl.omega * ROOT3, hl.eta)
-        moved.beta = delta / d.scale[None, :, None]
-        out.beta[live], out.alpha[live] = moved.beta, moved.alpha
-        dev = deviance(yl, mean(moved, d, bl, rl), p).sum(axis=1)
+        beta = (out.beta[live] + step[:, None, None] * by_beta) * d.scale[:, None]
+        out.alpha[live] += step[:, None] * move[:, :3]
+        hl = h.take(live)
+        out.beta[live] = shrink(beta, step[:, None] * hl.lam[:, None] * hl.omega * ROOT3, hl.eta) / d.scale[:, None]
+        s = signal(out.take(live), d, base[live], r[live])
+        dev = total(mix(s, d), live)
         with np.errstate(invalid="ignore"):
             settled = np.isfinite(before) & (np.abs(before - dev) / (np.abs(before) + 1e-10) < INNER_TOL)
         previous[live] = dev
-        live = live[~settled]
+        live, s = live[~settled], s[~settled]
         if not len(live):
             break
     return out
 
 
-def _moved(q: Params, d: Design, move: np.ndarray, step: np.ndarray, rows: np.ndarray) -> Params:
-    w = q.take(rows)
-    change = move[rows] * step[rows, None]
-    w.alpha = w.alpha + change[:, :3]
-    w.beta = w.beta + change[:, 3:].reshape(len(rows), -1, 3) / d.scale[None, :, None]
-    return w
-
-
 def coupling(q: Params, h: Hyper, d: Design, y: np.ndarray, base: np.ndarray, r: np.ndarray, p: float) -> np.ndarray:
     """One Newton step for rho under its ridge penalty."""
     s = signal(q, d, base, r)
     mu = mix(s, d)
-    slope = np.einsum("bkn,nk->bn", (s > 0) * r, d.fractions)
+    slope = ((s > 0) * r * d.fractions.T).sum(axis=1)
     positive = y > 0
     grad = np.where(positive, (y - mu) / (q.phi[:, None] * mu ** (p - 1)) * slope, 0.0).sum(axis=1) - 2 * h.lam_rho * q.rho
     curve = -np.where(positive, mu ** (2 - p) / q.phi[:, None] * slope**2, 0.0).sum(axis=1) - 2 * h.lam_rho
@@ -240,7 +242,7 @@ def fit(
         n = np.maximum(positive.sum(axis=1), 1)
         m = np.where(positive, y, 0).sum(axis=1) / n
         var = np.where(positive, (y - m[:, None]) ** 2, 0).sum(axis=1) / n
-        q.phi = np.where(m > 0, np.maximum(var / np.maximum(m, 1e-300) ** p, 1e-6), 1.0)
+        q.phi = np.where(m > 0, np.maximum(var / np.where(m > 0, m, 1.0) ** p, 1e-6), 1.0)
     else:
         q = start.take(np.arange(len(y)))
         q.converged = np.zeros(len(y), bool)

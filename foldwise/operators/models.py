@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import itertools
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from foldwise.operators.sampling import sample_rows
 from foldwise.operators.stats import kruskal, safe_corr, slope_through_origin
 from foldwise.session import materialise
 
+# The fit's code travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(kn)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Grids and limits of the search and of the validation.
 POWER_GRID = [1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8]
 GAMMA_GRID = [0.0, 0.5, 1.0, 1.5]
@@ -425,11 +431,8 @@ def recovery(fitted: DataFrame, mapped: DataFrame, groups: Sequence[str], bounds
     rows = fitted.select("feature_id", F.inline(cells)).join(known, "feature_id", "left").withColumn("_mapped", F.coalesce("_mapped", F.lit(False)))
 
     def part(flag: Column | None, name: str) -> Column:
-        if flag is None:
-            return safe_corr("beta", "truth").alias(name)
-        x, y = F.when(flag, F.col("beta")), F.when(flag, F.col("truth"))
-        flat = (F.stddev_pop(x) < 1e-10) | (F.stddev_pop(y) < 1e-10)
-        return F.when(flat, 0.0).otherwise(F.corr(x, y)).alias(name)
+        pair = ("beta", "truth") if flag is None else (F.when(flag, F.col("beta")), F.when(flag, F.col("truth")))
+        return F.coalesce(safe_corr(*pair), F.lit(0.0)).alias(name)
 
     slope = slope_through_origin("beta", "truth")
     return rows.groupBy("grp").agg(

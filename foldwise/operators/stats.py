@@ -14,10 +14,15 @@ from foldwise.operators.ordering import average_ranks, groups_fit
 CONSTANT = 1e-10
 
 
-def safe_corr(x: str, y: str) -> Column:
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of columns without gaps; null (not an error) when one is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation, 0 when either side is constant."""
     flat = (F.stddev_pop(x) < CONSTANT) | (F.stddev_pop(y) < CONSTANT)
-    return F.when(flat, F.lit(0.0)).otherwise(F.corr(x, y))
+    return F.when(flat, F.lit(0.0)).otherwise(pearson(x, y))
 
 
 def slope_through_origin(x: str, y: str) -> Column:
@@ -32,7 +37,7 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     fits = groups_fit(rows, by)
     rows = average_ranks(average_ranks(rows, by, x, "_rx", fits), by, y, "_ry", fits)
-    table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
     return table.withColumn("pearson_p", correlation_p("pearson", "n")).withColumn("spearman_p", correlation_p("spearman", "n"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["enrichment", "reshape", "gates", "joins", "summaries", "additivity", "normalise", "sampling", "diagnostics", "models"]
+MODULES = [
+    "enrichment", "reshape", "gates", "joins", "summaries", "additivity", "normalise", "sampling", "diagnostics", "models", "sources",
+]
 
 
 def load() -> None:
