@@ -10,17 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.special import hypergeometric_upper
-from foldwise.operators.enrichment import bh_adjust
+from foldwise.operators.enrichment import SAME, bh_adjust
 from foldwise.operators.joins import jaccard_matrix
 from foldwise.operators.ordering import ranked
 from foldwise.operators.sampling import shuffle_key
 from foldwise.session import materialise
 
-# Relative slack when a permuted p is compared with the observed one: equal
-# tables reached in different ways may differ in the last bits.
-SAME = 1e-9
-
-
 def permuted_sides(classes: DataFrame, by: Sequence[str], n_perm: int, seed: int) -> DataFrame:
     """Features on a side in each permutation: (by, perm, feature_id, side).
 

@@ -338,12 +338,14 @@ def pairwise_feature_corr(r: DataFrame, samples: Sequence[str], n: int = 2000, s
 def cross_modality(expr: DataFrame, effects: DataFrame, edges: DataFrame, control: str, least: int = 10, band: float = 0.15) -> DataFrame:
     """Spearman of a gene's expression shift with the mean effect on its features, per (group, condition).
 
+    Both are rounded to twelve decimals, so that equal values tie in the ranks.
+
     ``effects`` is (feature_id, grp, condition, beta); ``edges`` (feature_id, gene).
     """
     means = expr.groupBy("grp", "gene", "condition").agg(F.avg("value").alias("_m"))
     base = means.where(F.col("condition") == control).select("grp", "gene", F.col("_m").alias("_c"))
     shift = means.where(F.col("condition") != control).join(base, ["grp", "gene"]).where((F.abs("_c") >= 1e-10) | (F.abs("_m") >= 1e-10))
-    shift = shift.select("grp", "gene", "condition", (F.col("_m") - F.col("_c")).alias("shift"))
+    shift = shift.select("grp", "gene", "condition", F.round(F.col("_m") - F.col("_c"), 12).alias("shift"))
     beta = edges.join(effects, "feature_id").groupBy("grp", "gene", "condition").agg(F.round(F.avg("beta"), 12).alias("beta"))
     table = correlations(shift.join(beta, ["grp", "gene", "condition"]), ["grp", "condition"], "shift", "beta")
     enough = F.col("n") >= least

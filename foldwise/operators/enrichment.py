@@ -22,6 +22,7 @@ LFF_MIN = 0.01       # smallest |log frequency factor| of a hit
 P_SIG = 0.1          # largest adjusted p of a hit
 P_DISPLAY = 0.5      # adjusted p below which a tail cell is shown
 TAIL = 5.0           # percent in each tail of the frequency factors
+SAME = 1e-9          # relative difference below which two results count as equal
 MIN_P95 = 0.1        # smallest 95th percentile of |fold change| worth testing
 
 
@@ -138,7 +139,7 @@ def score_sets(counts: DataFrame) -> DataFrame:
         "p_up": hypergeometric_upper("a_up", "n_up - a_up", "c", "n_bg - c"),
         "p_down": hypergeometric_upper("a_down", "n_down - a_down", "c", "n_bg - c"),
     })
-    best_up = F.col("p_up") <= F.col("p_down")
+    best_up = F.col("p_up") <= F.col("p_down") * (1 + SAME)  # equal up to rounding: up
     return (
         scored.withColumn("direction", F.when(best_up, "+").otherwise("-"))
         .withColumn("lff", F.when(best_up, frequency_factor(*up)).otherwise(-frequency_factor(*down)))
@@ -207,7 +208,8 @@ def tail_bounds(results: DataFrame, by: Sequence[str], tail: float = TAIL) -> Da
 
 
 def in_tail() -> Column:
-    return (F.col("lff") >= F.col("lff_high")) | (F.col("lff") <= F.col("lff_low"))
+    """At or beyond a bound; interpolation may move a bound off a tied value by a rounding error."""
+    return (F.col("lff") >= F.col("lff_high") - SAME) | (F.col("lff") <= F.col("lff_low") + SAME)
 
 
 def significance_tier(

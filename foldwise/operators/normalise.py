@@ -65,11 +65,13 @@ def intensity_strata(df: DataFrame, value: str, q: int = 4) -> DataFrame:
     """Quantile bins of ``value``, closed on the left, numbered from 0.
 
     The inner edges are three numbers in one row; the row joins by a constant key.
+    A value equal to an edge up to rounding counts as reaching it.
     """
     probs = {f"_e{k}": k / q for k in range(1, q)}
     edges = group_percentiles(df, [], value, probs).withColumn("_one", F.lit(0))
     rows = df.withColumn("_one", F.lit(0)).join(F.broadcast(edges), "_one")
-    stratum = sum((F.when(F.col(value) >= F.col(e), 1).otherwise(0) for e in list(probs)[1:]), F.when(F.col(value) >= F.col("_e1"), 1).otherwise(0))
+    reached = [F.when(F.col(value) >= F.col(e) - 1e-9, 1).otherwise(0) for e in probs]
+    stratum = sum(reached[1:], reached[0])
     return rows.withColumn("stratum", stratum.cast("int")).drop("_one", *probs)
 
 

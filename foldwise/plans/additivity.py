@@ -107,7 +107,7 @@ def equal_hit_counts(spark, sf):
 
 
 fragment("gini_difference", """SELECT grp, timepoint, round(c - (a + b) / 2, 9) AS difference FROM (SELECT grp, timepoint, max(gini) FILTER (condition = 'T1') AS a,
-  max(gini) FILTER (condition = 'T2') AS b, max(gini) FILTER (condition = 'T12') AS c FROM gini GROUP BY ALL)""", "gini")
+  max(gini) FILTER (condition = 'T2') AS b, max(gini) FILTER (condition = 'T12') AS c FROM gini GROUP BY ALL) WHERE a + b + c IS NOT NULL""", "gini")
 _T_TEST = "count(*) AS n, round(avg(difference), 6) AS mean, round(avg(difference) / (stddev_samp(difference) / sqrt(count(*))), 6) AS t, count(*) FILTER (difference < 0) AS n_negative"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foldwise.operators import diagnostics as di
@@ -28,9 +29,12 @@ fragment("mu", "SELECT feature_id, sample_id, sum(value * fraction) AS mu FROM p
 fragment("intensity", "SELECT feature_id, sample_id, value, mu FROM gappy LEFT JOIN mu USING (feature_id, sample_id)", "gappy mu")
 
 
-@query("E32", """SELECT condition, b::INTEGER AS bin, round(b / 20.0, 6)::DOUBLE AS low, count(p) AS n, round(any_value(e) / 20, 6) AS expected
+_EDGES = ", ".join(f"{float(e)!r}::DOUBLE" for e in np.linspace(0, 1, 21))
+
+
+@query("E32", f"""SELECT condition, b::INTEGER AS bin, round(b / 20.0, 6)::DOUBLE AS low, count(p) AS n, round(any_value(e) / 20, 6) AS expected
 FROM (SELECT condition, count(*) AS e FROM results GROUP BY condition) CROSS JOIN range(20) r(b)
-LEFT JOIN (SELECT condition, least(19, floor(round(p, 6) * 20)) AS b, p FROM results) USING (condition, b) GROUP BY condition, b""", "results")
+LEFT JOIN (SELECT condition, least(19, len(list_filter([{_EDGES}], lambda e: e <= round(p, 6))) - 1) AS b, p FROM results) USING (condition, b) GROUP BY condition, b""", "results")
 def p_value_histogram(spark, sf):
     rows = i.rounded(i.results(spark, sf), "p")
     return i.rounded(di.histogram(rows, ["condition"], "p", 0.0, 1.0, 20), "low", "expected")
@@ -224,10 +228,11 @@ def composition_products(spark, sf):
 @query("H16", """SELECT grp, count(*) AS n_pairs, round(quantile_cont(abs(c), 0.5), 6) AS median_abs, round(avg((abs(c) > 0.7)::INT), 6) AS share_high FROM (
   SELECT a.grp, corr(a.r, b.r) AS c FROM picked a JOIN picked b ON a.grp = b.grp AND a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY a.grp, a.feature_id, b.feature_id) GROUP BY grp""", "picked")
 def pairwise_correlation(spark, sf):
-    return i.rounded(di.pairwise_feature_corr(covariate(spark, sf), SAMPLES, 300), "median_abs", "share_high")
+    return i.rounded(di.pairwise_feature_corr(covariate(spark, sf), SAMPLES, 2000), "median_abs", "share_high")
 
 
-fragment("picked", """SELECT c.* FROM covariate c SEMI JOIN (SELECT feature_id FROM (SELECT DISTINCT feature_id FROM covariate) ORDER BY md5(feature_id || ':42'), feature_id LIMIT 300) p USING (feature_id)""", "covariate")
+fragment("picked", """SELECT grp, feature_id, sample_id, coalesce(c.r, 0) AS r FROM (SELECT feature_id FROM (SELECT DISTINCT feature_id FROM covariate) ORDER BY md5(feature_id || ':42'), feature_id LIMIT 2000)
+CROSS JOIN (SELECT DISTINCT grp FROM covariate) CROSS JOIN (SELECT sample_id FROM samples) LEFT JOIN covariate c USING (grp, feature_id, sample_id)""", "covariate samples")
 
 
 @query("H18", """SELECT position::INTEGER AS position, name, status FROM (VALUES (0, 'covariate collinearity', CASE WHEN (SELECT avg((vif < 10)::INT) >= 0.9 FROM vif) THEN 'PASS' ELSE 'FAIL' END),

@@ -35,20 +35,20 @@ def detected_genes(spark, sf):
     return ga.detected_genes(i.expression(spark, sf), 12)
 
 
-@query("C5", "SELECT grp, timepoint, condition, set_id FROM enriched WHERE abs(lff) >= 0.1 AND p <= 0.1", "enriched")
+@query("C5", "SELECT grp, timepoint, condition, set_id FROM enriched WHERE abs(lff) >= 0.1 AND p <= 0.101", "enriched")
 def significant_sets(spark, sf):
-    return i.results(spark, sf).where(en.significant(F.col("p"), F.col("lff"), 0.1, 0.1)).select("grp", "timepoint", "condition", "set_id")
+    return i.results(spark, sf).where(en.significant(F.col("p"), F.col("lff"), 0.101, 0.1)).select("grp", "timepoint", "condition", "set_id")
 
 
-@query("C5", "SELECT grp, timepoint, condition, set_id FROM enriched WHERE p < 0.1", "enriched")
+@query("C5", "SELECT grp, timepoint, condition, set_id FROM enriched WHERE p < 0.101", "enriched")
 def significant_sets_strict(spark, sf):
-    return i.results(spark, sf).where(en.significant_strict(F.col("p"), 0.1)).select("grp", "timepoint", "condition", "set_id")
+    return i.results(spark, sf).where(en.significant_strict(F.col("p"), 0.101)).select("grp", "timepoint", "condition", "set_id")
 
 
 @query("C6", "SELECT grp, timepoint, condition, set_id, tier FROM results", "results")
 def significance_tiers(spark, sf):
     df = i.results(spark, sf).drop("lff_low", "lff_high", "tier")
-    return en.significance_tier(df, i.COMPARISON, p_col="p", p_sig=i.P_HIT).select("grp", "timepoint", "condition", "set_id", "tier")
+    return en.significance_tier(df, i.COMPARISON, p_col="p", p_sig=i.P_HIT, p_display=i.P_SHOWN).select("grp", "timepoint", "condition", "set_id", "tier")
 
 
 @query("C7", "SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, name LIMIT 10")
@@ -58,7 +58,7 @@ def top_groups(spark, sf):
     return ga.top_groups(sizes, "name", "n")
 
 
-_NOTABLE = f"((lff >= lff_high OR lff <= lff_low) OR (abs(lff) >= 0.01 AND p <= {i.P_HIT}))"
+_NOTABLE = f"((lff >= lff_high - 1e-9 OR lff <= lff_low + 1e-9) OR (abs(lff) >= 0.01 AND p <= {i.P_HIT}))"
 
 
 @query("C8", f"""SELECT grp, timepoint, condition, set_id, CASE WHEN {_NOTABLE} THEN round(lff, 6) END AS lff FROM results
@@ -68,11 +68,11 @@ def notable_rows(spark, sf):
     return i.rounded(df, "lff").select("grp", "timepoint", "condition", "set_id", "lff")
 
 
-@query("C8", """SELECT grp, timepoint, condition, set_id, CASE WHEN abs(lff) >= 1 AND p <= 0.1 THEN round(lff, 6) END AS lff FROM results
-WHERE set_id IN (SELECT set_id FROM results WHERE abs(lff) >= 1 AND p <= 0.1)
-  AND (grp, timepoint, condition) IN (SELECT (grp, timepoint, condition) FROM results WHERE abs(lff) >= 1 AND p <= 0.1)""", "results")
+@query("C8", """SELECT grp, timepoint, condition, set_id, CASE WHEN abs(lff) >= 1 AND p <= 0.101 THEN round(lff, 6) END AS lff FROM results
+WHERE set_id IN (SELECT set_id FROM results WHERE abs(lff) >= 1 AND p <= 0.101)
+  AND (grp, timepoint, condition) IN (SELECT (grp, timepoint, condition) FROM results WHERE abs(lff) >= 1 AND p <= 0.101)""", "results")
 def notable_rows_by_threshold(spark, sf):
-    df = ga.notable_rows(i.results(spark, sf), i.COMPARISON, p_col="p", p_sig=0.1, lff_min=1.0, tail=None, only_hit_columns=True)
+    df = ga.notable_rows(i.results(spark, sf), i.COMPARISON, p_col="p", p_sig=0.101, lff_min=1.0, tail=None, only_hit_columns=True)
     return i.rounded(df, "lff").select("grp", "timepoint", "condition", "set_id", "lff")
 
 

@@ -22,7 +22,10 @@ COMPARISON = ["grp", "timepoint", "condition"]
 CONTEXT = ["grp", "timepoint"]
 SET_RANK = 5
 # The tables are near-null, so the named queries judge raw p with a loose bound.
-P_HIT = 0.3
+# Exact p values are often round fractions; the bounds are not, so that no row
+# sits on a bound up to rounding.
+P_HIT = 0.301
+P_SHOWN = 0.501
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,7 +164,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         scored = en.enrich(classes(spark, sf_dir), members(spark, sf_dir), COMPARISON)
         stats = en.substrate_stats(classes(spark, sf_dir), members(spark, sf_dir), scored, COMPARISON, p_col="p", p_sig=1.0, lff_min=0.0)
-        return en.significance_tier(en.attach_evidence(scored, stats, COMPARISON), COMPARISON, p_col="p", p_sig=P_HIT)
+        return en.significance_tier(en.attach_evidence(scored, stats, COMPARISON), COMPARISON, p_col="p", p_sig=P_HIT, p_display=P_SHOWN)
 
     return staged(spark, ("results", sf_dir), build)
 
@@ -177,8 +180,8 @@ def _tail_sql(a: str, n: str) -> str:
     ln = lambda x: f"lgamma(({x}) + 1.0)"
     terms = (f"{ln(hits)} + {ln(f'{total} - {hits}')} + {ln(n)} + {ln(f'{total} - {n}')} - {ln(total)} - {ln('x')} - {ln(f'{hits} - x')}"
              f" - {ln(f'{n} - x')} - {ln(f'{total} - {hits} - {n} + x')}")
-    first = f"greatest({a}, {hits} + {n} - {total})"
-    return f"least(1.0, (SELECT sum(exp({terms})) FROM generate_series({first}, least({hits}, {n})) g(x)))"
+    tail = f"(SELECT sum(exp({terms})) FROM generate_series({a}, least({hits}, {n})) g(x))"
+    return f"(CASE WHEN {a} <= greatest(0, {hits} + {n} - {total}) THEN 1.0::DOUBLE ELSE least(1.0, {tail}) END)"
 
 
 def _factor_sql(a: str, n: str) -> str:
@@ -188,8 +191,8 @@ def _factor_sql(a: str, n: str) -> str:
 
 fragment("tails", f"SELECT *, {_tail_sql('a_up', 'n_up')} AS p_up, {_tail_sql('a_down', 'n_down')} AS p_down FROM counts", "counts")
 fragment("scored", f"""
-SELECT *, CASE WHEN p_up <= p_down THEN '+' ELSE '-' END AS direction, least(p_up, p_down) AS p,
-  CASE WHEN p_up <= p_down THEN {_factor_sql('a_up', 'n_up')} ELSE -{_factor_sql('a_down', 'n_down')} END AS lff
+SELECT *, CASE WHEN p_up <= p_down * (1 + 1e-9) THEN '+' ELSE '-' END AS direction, least(p_up, p_down) AS p,
+  CASE WHEN p_up <= p_down * (1 + 1e-9) THEN {_factor_sql('a_up', 'n_up')} ELSE -{_factor_sql('a_down', 'n_down')} END AS lff
 FROM tails""", "tails")
 fragment("enriched", """
 SELECT * EXCLUDE (r, m, q), least(1.0, min(q) OVER (PARTITION BY grp, timepoint, condition ORDER BY r DESC
@@ -203,7 +206,7 @@ FROM classes c JOIN members USING (feature_id) JOIN enriched e ON e.grp = c.grp
 WHERE c.class = CASE WHEN e.direction = '-' THEN 'down' ELSE 'up' END""", "classes members enriched")
 fragment("results", f"""
 SELECT *, CASE WHEN abs(lff) >= 0.01 AND p <= {P_HIT} THEN 'significant'
-  WHEN (lff >= lff_high OR lff <= lff_low) AND p < 0.5 THEN 'display' ELSE 'non_significant' END AS tier
+  WHEN (lff >= lff_high - 1e-9 OR lff <= lff_low + 1e-9) AND p < 0.501 THEN 'display' ELSE 'non_significant' END AS tier
 FROM enriched LEFT JOIN (
   SELECT grp, timepoint, condition, set_id, count(*) AS n_members, quantile_cont(abs(lfc), 0.5) AS median_lfc,
     quantile_cont(abs(lfc), 0.75) AS q75_lfc, max(abs(lfc)) AS max_lfc,

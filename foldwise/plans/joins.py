@@ -8,7 +8,7 @@ from foldwise.operators import joins as jo
 from foldwise.plans import inputs as i
 from foldwise.plans.registry import fragment, query
 
-GRID = [(pct, p, lff) for pct in i.SWEEP_PCTS for p in (0.2, 0.4) for lff in (0.01, 0.1, 0.5)]
+GRID = [(pct, p, lff) for pct in i.SWEEP_PCTS for p in (0.201, 0.401) for lff in (0.01, 0.101, 0.501)]
 
 
 @query("D1", "SELECT DISTINCT feature_id FROM bulk SEMI JOIN (SELECT feature_id FROM decon WHERE value >= 100) d USING (feature_id)", "bulk decon")
@@ -184,12 +184,12 @@ def refiltered_grid(spark, sf):
 
 
 @query("G1", """SELECT grp, timepoint, condition, set_id, change FROM (
-  SELECT grp, timepoint, condition, set_id, 'gained' AS change FROM sweep_enriched WHERE pct = 10 AND p <= 0.2
-    AND (grp, timepoint, condition, set_id) NOT IN (SELECT (grp, timepoint, condition, set_id) FROM sweep_enriched WHERE pct = 5 AND p <= 0.2)
-  UNION ALL SELECT grp, timepoint, condition, set_id, 'lost' FROM sweep_enriched WHERE pct = 5 AND p <= 0.2
-    AND (grp, timepoint, condition, set_id) NOT IN (SELECT (grp, timepoint, condition, set_id) FROM sweep_enriched WHERE pct = 10 AND p <= 0.2))""", "sweep_enriched")
+  SELECT grp, timepoint, condition, set_id, 'gained' AS change FROM sweep_enriched WHERE pct = 10 AND p <= 0.201
+    AND (grp, timepoint, condition, set_id) NOT IN (SELECT (grp, timepoint, condition, set_id) FROM sweep_enriched WHERE pct = 5 AND p <= 0.201)
+  UNION ALL SELECT grp, timepoint, condition, set_id, 'lost' FROM sweep_enriched WHERE pct = 5 AND p <= 0.201
+    AND (grp, timepoint, condition, set_id) NOT IN (SELECT (grp, timepoint, condition, set_id) FROM sweep_enriched WHERE pct = 10 AND p <= 0.201))""", "sweep_enriched")
 def gained_and_lost(spark, sf):
-    hits = i.sweep(spark, sf).where("p <= 0.2")
+    hits = i.sweep(spark, sf).where("p <= 0.201")
     return jo.gained_lost(hits.where("pct = 5"), hits.where("pct = 10"), [*i.COMPARISON, "set_id"])
 
 

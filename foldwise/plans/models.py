@@ -172,7 +172,7 @@ _AVG_RANK = "(rank() OVER (PARTITION BY grp, condition ORDER BY {v}) + (count(*)
 
 @query("H17", f"""SELECT grp, condition, n, round(rho, 6) AS spearman, CASE WHEN rho > 0.15 THEN 'concordant' WHEN rho < -0.15 THEN 'anti' ELSE 'decoupled' END AS label FROM (
   SELECT grp, condition, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT *, {_AVG_RANK.format(v='shift')} AS rx, {_AVG_RANK.format(v='beta')} AS ry FROM (
-    SELECT grp, gene, condition, shift, beta FROM (SELECT grp, gene, m.condition, m.m - c.m AS shift FROM (SELECT grp, gene, condition, avg(value) AS m FROM zscored GROUP BY ALL) m
+    SELECT grp, gene, condition, shift, beta FROM (SELECT grp, gene, m.condition, round(m.m - c.m, 12) AS shift FROM (SELECT grp, gene, condition, avg(value) AS m FROM zscored GROUP BY ALL) m
       JOIN (SELECT grp, gene, avg(value) AS m FROM zscored WHERE condition = 'C' GROUP BY ALL) c USING (grp, gene) WHERE m.condition <> 'C')
     JOIN (SELECT grp, gene, condition, round(avg(beta), 12) AS beta FROM gene_edges JOIN effects USING (feature_id) GROUP BY ALL) USING (grp, gene, condition))) GROUP BY ALL)""", "zscored gene_edges effects")
 def cross_modality(spark, sf):
@@ -215,7 +215,7 @@ def projected_cost(spark, sf):
 # ---- the whole preparation -----------------------------------------------------------
 
 @query("I16", """SELECT stratum, count(DISTINCT feature_id) AS n_features, count(*) AS n_cells, round(sum(v), 3) AS total FROM (SELECT feature_id, value / factor AS v FROM bulk JOIN factors USING (sample_id))
-JOIN (SELECT feature_id, ((m >= e[1])::INT + (m >= e[2])::INT + (m >= e[3])::INT)::INTEGER AS stratum FROM base_means, (SELECT quantile_cont(m, [0.25, 0.5, 0.75]) AS e FROM base_means)) USING (feature_id) GROUP BY stratum""", "bulk factors base_means")
+JOIN (SELECT feature_id, ((m >= e[1] - 1e-9)::INT + (m >= e[2] - 1e-9)::INT + (m >= e[3] - 1e-9)::INT)::INTEGER AS stratum FROM base_means, (SELECT quantile_cont(m, [0.25, 0.5, 0.75]) AS e FROM base_means)) USING (feature_id) GROUP BY stratum""", "bulk factors base_means")
 def prepared_strata(spark, sf):
     ready = mo.prepare(i.bulk(spark, sf), profiles(spark, sf))
     rows = ready["observed"].join(ready["strata"], "feature_id")

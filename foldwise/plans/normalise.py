@@ -46,7 +46,7 @@ def median_of_ratios(spark, sf):
 
 
 fragment("cpm", "SELECT *, value / coalesce(nullif(sum(value) OVER (PARTITION BY grp, sample_id), 0), 1) * 1e6 AS v FROM expression", "expression")
-fragment("zscored", """SELECT grp, sample_id, condition, gene, (v - avg(v) OVER w) / coalesce(nullif(stddev_samp(v) OVER w, 0), 1) AS value
+fragment("zscored", """SELECT grp, sample_id, condition, gene, (v - avg(v) OVER w) / CASE WHEN stddev_samp(v) OVER w = 0 THEN 1 ELSE stddev_samp(v) OVER w END AS value
 FROM cpm WINDOW w AS (PARTITION BY grp, gene)""", "cpm")
 
 
@@ -65,7 +65,7 @@ def scaled_expression_table(spark, sf):
 
 
 fragment("means", "SELECT feature_id, avg(value) AS mean_value FROM bulk GROUP BY feature_id", "bulk")
-fragment("strata", """SELECT feature_id, mean_value, ((mean_value >= e[1])::INT + (mean_value >= e[2])::INT + (mean_value >= e[3])::INT)::INTEGER AS stratum
+fragment("strata", """SELECT feature_id, mean_value, ((mean_value >= e[1] - 1e-9)::INT + (mean_value >= e[2] - 1e-9)::INT + (mean_value >= e[3] - 1e-9)::INT)::INTEGER AS stratum
 FROM means, (SELECT quantile_cont(mean_value, [0.25, 0.5, 0.75]) AS e FROM means)""", "means")
 
 

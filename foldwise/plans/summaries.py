@@ -64,31 +64,31 @@ def step_up_correction(spark, sf):
     return i.rounded(df, "adj_p", "alt_p").select(*i.COMPARISON, "set_id", "adj_p", "alt_p")
 
 
-fragment("changes", f"""SELECT *, CASE WHEN abs(lff) >= 0.01 AND alt_p <= 0.2 AND NOT adj_p <= 0.2 THEN 'gained' WHEN abs(lff) >= 0.01 AND adj_p <= 0.2 AND NOT alt_p <= 0.2 THEN 'lost' END AS change
+fragment("changes", f"""SELECT *, CASE WHEN abs(lff) >= 0.01 AND alt_p <= 0.201 AND NOT adj_p <= 0.201 THEN 'gained' WHEN abs(lff) >= 0.01 AND adj_p <= 0.201 AND NOT alt_p <= 0.201 THEN 'lost' END AS change
 FROM corrected""", "corrected")
 
 
-@query("E4 G1", f"""SELECT {KEYS}, count(*) FILTER (abs(lff) >= 0.01 AND adj_p <= 0.2) AS n_first, count(*) FILTER (abs(lff) >= 0.01 AND alt_p <= 0.2) AS n_second,
+@query("E4 G1", f"""SELECT {KEYS}, count(*) FILTER (abs(lff) >= 0.01 AND adj_p <= 0.201) AS n_first, count(*) FILTER (abs(lff) >= 0.01 AND alt_p <= 0.201) AS n_second,
   count(*) FILTER (change = 'gained') AS n_gained, count(*) FILTER (change = 'lost') AS n_lost, count(*) FILTER (change = 'gained') - count(*) FILTER (change = 'lost') AS net_change,
   coalesce(array_to_string((list(set_id ORDER BY set_id) FILTER (change = 'gained'))[1:10], ', '), '') AS gained,
   coalesce(array_to_string((list(set_id ORDER BY set_id) FILTER (change = 'lost'))[1:10], ', '), '') AS lost
 FROM changes GROUP BY {KEYS}""", "changes")
 def correction_recovery(spark, sf):
-    return su.correction_recovery(corrected(spark, sf), i.COMPARISON, "adj_p", "alt_p", 0.2)
+    return su.correction_recovery(corrected(spark, sf), i.COMPARISON, "adj_p", "alt_p", 0.201)
 
 
 @query("E5", """SELECT set_id, count(*) AS n_recovered, array_to_string(list_sort(list_distinct(list(condition))), ', ') AS conditions,
   array_to_string(list_sort(list_distinct(list(timepoint))), ', ') AS timepoints, count(DISTINCT grp) AS n_groups, round(avg(lff), 6) AS mean_lff, round(avg(abs(lff)), 6) AS mean_abs_lff,
   round(avg(p), 6) AS mean_p, round(avg(adj_p), 6) AS mean_first, round(avg(alt_p), 6) AS mean_second FROM changes WHERE change = 'gained' GROUP BY set_id""", "changes")
 def recovered_sets(spark, sf):
-    df = su.recovered_sets(corrected(spark, sf), "adj_p", "alt_p", 0.2)
+    df = su.recovered_sets(corrected(spark, sf), "adj_p", "alt_p", 0.201)
     return i.rounded(df, "mean_lff", "mean_abs_lff", "mean_p", "mean_first", "mean_second")
 
 
 @query("E40", f"""SELECT {KEYS}, set_id, round(-log10(greatest(adj_p, 1e-300)) + 0, 6) AS first_score, round(-log10(greatest(alt_p, 1e-300)), 6) + 0 AS second_score,
-  CASE WHEN adj_p <= 0.2 AND alt_p <= 0.2 THEN 'both' WHEN alt_p <= 0.2 THEN 'gained' WHEN adj_p <= 0.2 THEN 'lost' ELSE 'neither' END AS quadrant FROM corrected""", "corrected")
+  CASE WHEN adj_p <= 0.201 AND alt_p <= 0.201 THEN 'both' WHEN alt_p <= 0.201 THEN 'gained' WHEN adj_p <= 0.201 THEN 'lost' ELSE 'neither' END AS quadrant FROM corrected""", "corrected")
 def correction_pairs(spark, sf):
-    df = su.correction_pairs(corrected(spark, sf), "adj_p", "alt_p", 0.2)
+    df = su.correction_pairs(corrected(spark, sf), "adj_p", "alt_p", 0.201)
     return i.rounded(df, "first_score", "second_score").select(*i.COMPARISON, "set_id", "first_score", "second_score", "quadrant")
 
 
@@ -200,7 +200,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY e, set_id) AS r
 for _k in (10, 20):
     fragment(f"top{_k}", f"""SELECT {KEYS}, sum(e) FILTER (r <= {_k}) / sum(e) AS top{_k}_share
 FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY e DESC, set_id) AS r FROM evidence) GROUP BY {KEYS}""", "evidence")
-fragment("hc", f"""SELECT {KEYS}, max(hc) AS hc, min(r) FILTER (hc = top) AS hc_index FROM (
+fragment("hc", f"""SELECT {KEYS}, max(hc) AS hc, coalesce(min(r) FILTER (hc = top), 1) AS hc_index FROM (
   SELECT *, max(hc) OVER (PARTITION BY {KEYS}) AS top FROM (SELECT *, CASE WHEN p > 0 AND p < 1 THEN sqrt(n) * (r / n - p) / sqrt(p * (1 - p)) END AS hc
     FROM (SELECT {KEYS}, p, row_number() OVER (PARTITION BY {KEYS} ORDER BY p, set_id) AS r, count(*) OVER (PARTITION BY {KEYS}) AS n FROM results)
     WHERE r <= greatest(1, n // 2))) GROUP BY {KEYS}""", "results")
@@ -216,10 +216,10 @@ def top_share(spark, sf):
     return i.rounded(su.top_k_share(with_evidence(spark, sf), i.COMPARISON, "e", 10), "top10_share")
 
 
-@query("F7", f"""SELECT {KEYS}, r AS point, round(r / n, 6) AS x, round(c / t, 6) AS y FROM (SELECT {KEYS}, row_number() OVER w AS r, count(*) OVER (PARTITION BY {KEYS}) AS n,
+@query("F7", f"""SELECT {KEYS}, r AS point, round(CASE WHEN t = 0 THEN (r - 1) / (n - 1) ELSE r / n END, 6) AS x, round(CASE WHEN t = 0 THEN (r - 1) / (n - 1) ELSE c / t END, 6) AS y FROM (SELECT {KEYS}, row_number() OVER w AS r, count(*) OVER (PARTITION BY {KEYS}) AS n,
   sum(e) OVER (PARTITION BY {KEYS} ORDER BY e, set_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, sum(e) OVER (PARTITION BY {KEYS}) AS t
   FROM evidence WINDOW w AS (PARTITION BY {KEYS} ORDER BY e, set_id))
-UNION ALL SELECT DISTINCT {KEYS}, 0, 0.0, 0.0 FROM evidence""", "evidence")
+UNION ALL SELECT {KEYS}, 0, 0.0, 0.0 FROM evidence GROUP BY {KEYS} HAVING sum(e) <> 0""", "evidence")
 def lorenz_curve(spark, sf):
     return i.rounded(su.lorenz(with_evidence(spark, sf), i.COMPARISON, "e"), "x", "y")
 
