@@ -50,19 +50,19 @@ def ranked(
     ordered = materialise(
         df.repartitionByRange(tasks, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("__at", F.monotonically_increasing_id())
     )
-    ordered = ordered.withColumn("_task", F.shiftright("_at", _LOCAL_BITS)).withColumn(
-        "_at", F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    ordered = ordered.withColumn("__task", F.shiftright("__at", _LOCAL_BITS)).withColumn(
+        "__at", F.col("__at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     )
     # One row per (group, task): a group holds at most one run of rows per task.
-    runs = ordered.groupBy(*by, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    earlier = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    runs = ordered.groupBy(*by, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     return (
-        ordered.join(runs, [*by, "_task"])
-        .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
-        .drop("_at", "_task", "_first", "_before")
+        ordered.join(runs, [*by, "__task"])
+        .withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1)
+        .drop("__at", "__task", "__first", "__before")
     )
 
 
@@ -86,20 +86,20 @@ def running(
         order = F.col(column).desc() if reverse else F.col(column).asc()
         return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
 
-    df = df.withColumn("_v", value)
+    df = df.withColumn("__v", value)
     if fits:
-        return df.withColumn(name, combine("_v").over(upto(by, rank, 0))).drop("_v")
+        return df.withColumn(name, combine("__v").over(upto(by, rank, 0))).drop("__v")
     block = F.floor((F.col(rank) - 1) / F.lit(group_rows(df))).cast("long")
-    df = df.withColumn("_block", block)
-    blocks = df.groupBy(*by, "_block").agg(combine("_v").alias("_total"))
-    blocks = blocks.withColumn("_carry", combine("_total").over(upto(by, "_block", -1))).drop("_total")
-    within = df.withColumn("_here", combine("_v").over(upto([*by, "_block"], rank, 0)))
-    joined = within.join(blocks, [*by, "_block"])
+    df = df.withColumn("__block", block)
+    blocks = df.groupBy(*by, "__block").agg(combine("__v").alias("__total"))
+    blocks = blocks.withColumn("__carry", combine("__total").over(upto(by, "__block", -1))).drop("__total")
+    within = df.withColumn("__here", combine("__v").over(upto([*by, "__block"], rank, 0)))
+    joined = within.join(blocks, [*by, "__block"])
     if how == "sum":
-        total = F.col("_here") + F.coalesce("_carry", F.lit(0))
+        total = F.col("__here") + F.coalesce("__carry", F.lit(0))
     else:
-        total = (F.least if how == "min" else F.greatest)("_here", "_carry")  # both skip nulls
-    return joined.withColumn(name, total).drop("_v", "_block", "_here", "_carry")
+        total = (F.least if how == "min" else F.greatest)("__here", "__carry")  # both skip nulls
+    return joined.withColumn(name, total).drop("__v", "__block", "__here", "__carry")
 
 
 def group_percentiles(
@@ -113,21 +113,21 @@ def group_percentiles(
     """Exact linearly interpolated percentiles per group, plus ``extra`` aggregates."""
     by = list(by)
     if not by:  # one group: give it a constant key so the code below needs no special case
-        whole = df.withColumn("_all", F.lit(0))
-        return group_percentiles(whole, ["_all"], value, probs, extra, fits).drop("_all")
+        whole = df.withColumn("__all", F.lit(0))
+        return group_percentiles(whole, ["__all"], value, probs, extra, fits).drop("__all")
     if fits is None:
         fits = groups_fit(df, by)
     if fits:
         return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in probs.items()], *extra)
     known = df.where(F.col(value).isNotNull())
-    rows = ranked(known, by, [F.col(value)], "_rank", fits=False)
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = ranked(known, by, [F.col(value)], "__rank", fits=False)
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     rows = rows.join(sizes, by)
     aggs = []
     for name, q in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(q))
-        low = F.max(F.when(F.col("_rank") == F.floor(at) + 1, F.col(value)))
-        high = F.max(F.when(F.col("_rank") == F.ceil(at) + 1, F.col(value)))
+        at = (F.col("__n") - 1) * F.lit(float(q))
+        low = F.max(F.when(F.col("__rank") == F.floor(at) + 1, F.col(value)))
+        high = F.max(F.when(F.col("__rank") == F.ceil(at) + 1, F.col(value)))
         part = F.max(at - F.floor(at))
         aggs.append((low + (high - low) * part).alias(name))
     cuts = rows.groupBy(*by).agg(*aggs)
@@ -148,6 +148,6 @@ def average_ranks(
         order = Window.partitionBy(*by).orderBy(value)
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
         return df.withColumn(name, F.rank().over(order) + (ties - 1) / 2.0)
-    rows = ranked(df, by, [F.col(value)], "_rank", fits=False)
-    ties = rows.groupBy(*by, value).agg(((F.min("_rank") + F.max("_rank")) / 2.0).alias(name))
-    return rows.drop("_rank").join(ties, [*by, value])
+    rows = ranked(df, by, [F.col(value)], "__rank", fits=False)
+    ties = rows.groupBy(*by, value).agg(((F.min("__rank") + F.max("__rank")) / 2.0).alias(name))
+    return rows.drop("__rank").join(ties, [*by, value])
