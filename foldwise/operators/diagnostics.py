@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from foldwise.functions.special import normal_quantile
 from foldwise.operators.normalise import safe_ratio_lfc
 from foldwise.operators.ordering import group_percentiles, ranked
-from foldwise.operators.sampling import sample_rows
+from foldwise.operators.sampling import sample_rows, top_marker
 from foldwise.operators.stats import correlations, linear_fit, safe_corr
+from foldwise.session import bounded
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, low: float, high: fl
 
 def mixed_mean(profiles: DataFrame, fractions: DataFrame) -> DataFrame:
     """Expected value per (feature, sample): sum over groups of fraction * profile."""
-    rows = profiles.join(F.broadcast(fractions), "grp")
+    rows = profiles.join(bounded(fractions), "grp")
     return rows.groupBy("feature_id", "sample_id").agg(F.sum(F.col("fraction") * F.col("value")).alias("mu"))
 
 
@@ -144,6 +145,9 @@ def profile_means(expr: DataFrame) -> DataFrame:
     return expr.groupBy("grp", "gene").agg(F.avg("value").alias("mean"))
 
 
+BLOCKS = 16
+
+
 def profile_covariance(expr: DataFrame, samples: Sequence[str]) -> DataFrame:
     """Gene-by-gene sample covariance per group (upper triangle with the diagonal).
 
@@ -155,8 +159,11 @@ def profile_covariance(expr: DataFrame, samples: Sequence[str]) -> DataFrame:
     rows = centred.select("grp", "gene", values.alias("_v"))
     mean = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / len(samples)
     rows = rows.withColumn("_m", mean).select("grp", "gene", F.expr("transform(_v, v -> v - _m)").alias("_v"))
-    other = rows.select("grp", F.col("gene").alias("gene_b"), F.col("_v").alias("_w"))
-    pairs = rows.withColumnRenamed("gene", "gene_a").join(other, (rows["grp"] == other["grp"]) & (F.col("gene_a") <= F.col("gene_b"))).drop(other["grp"])
+    # A group has far more pairs than one task should make: one side is split into
+    # blocks and the other repeated for each.
+    left = rows.withColumnRenamed("gene", "gene_a").withColumn("_block", F.pmod(F.xxhash64("gene_a"), F.lit(BLOCKS)).cast("int"))
+    right = rows.select("grp", F.col("gene").alias("gene_b"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_block"))
+    pairs = left.join(right, ["grp", "_block"]).where(F.col("gene_a") <= F.col("gene_b"))
     product = F.expr("aggregate(zip_with(_v, _w, (a, b) -> a * b), 0D, (s, v) -> s + v)")
     return pairs.select("grp", "gene_a", "gene_b", (product / (len(samples) - 1)).alias("covariance"))
 
@@ -186,19 +193,30 @@ def naive_lfc(m: DataFrame, control: str, n_samples: int) -> DataFrame:
 # ---- PCA, design, collinearity -------------------------------------------------
 
 def gram_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sums of products of all column pairs, as one aggregation (columns are few and fixed)."""
-    sums = [F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"g_{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
-    return df.agg(*sums)
+    """Sums of products of all column pairs, as (i, j, product) with i <= j.
+
+    Each task multiplies its own batches, so only columns-by-columns partial
+    sums are shuffled; the columns are those of the design or the samples.
+    """
+    size = len(columns)
+    upper = np.triu_indices(size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            values = np.nan_to_num(batch.to_numpy(float))
+            total += values.T @ values
+        yield pd.DataFrame({"i": upper[0], "j": upper[1], "product": total[upper]})
+
+    picked = df.select(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return picked.mapInPandas(run, "i int, j int, product double").groupBy("i", "j").agg(F.sum("product").alias("product"))
 
 
 def gram_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """The symmetric matrix of ``gram_sums``; columns-by-columns numbers reach the driver."""
-    row = gram_sums(df, columns).first().asDict()
-    size = len(columns)
-    matrix = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            matrix[i, j] = matrix[j, i] = row[f"g_{i}_{j}"] or 0.0
+    matrix = np.zeros((len(columns), len(columns)))
+    for i, j, product in gram_sums(df, columns).collect():
+        matrix[i, j] = matrix[j, i] = product
     return matrix
 
 
@@ -211,11 +229,10 @@ def centred_wide(resid: DataFrame, samples: Sequence[str], value: str) -> DataFr
 
 
 def sample_gram(resid: DataFrame, samples: Sequence[str], value: str) -> DataFrame:
-    """Upper triangle of the sample-by-sample products of the centred table, as rows."""
-    columns = centred_wide(resid, samples, value)
-    names = [(a, b, f"g_{i}_{j}") for i, a in enumerate(samples) for j, b in enumerate(samples) if i <= j]
-    cells = F.array(*[F.struct(F.lit(a).alias("sample_a"), F.lit(b).alias("sample_b"), F.col(g).alias("product")) for a, b, g in names])
-    return gram_sums(columns, samples).select(F.inline(cells))
+    """Upper triangle of the sample-by-sample products of the centred table."""
+    name = F.array(*[F.lit(s) for s in samples])
+    return gram_sums(centred_wide(resid, samples, value), samples).select(
+        F.element_at(name, F.col("i") + 1).alias("sample_a"), F.element_at(name, F.col("j") + 1).alias("sample_b"), "product")
 
 
 def sample_pca(resid: DataFrame, samples: Sequence[str], value: str, k: int = 2) -> DataFrame:
@@ -241,16 +258,17 @@ def covariate_vif(r: DataFrame, design: DataFrame, n_rows: int) -> DataFrame:
     written out.  ``n_rows`` counts all design rows; absent covariates are 0.
     """
     ridge = 1e-10
+    design = bounded(design)
     gram = design.groupBy("grp").agg(*[(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) + (ridge if i == j else 0.0)).alias(f"g{i}{j}") for i in range(3) for j in range(i, 3)])
     det = "(g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02))"
     inverse = {
         "i00": f"(g11 * g22 - g12 * g12) / {det}", "i01": f"(g02 * g12 - g01 * g22) / {det}", "i02": f"(g01 * g12 - g02 * g11) / {det}",
         "i11": f"(g00 * g22 - g02 * g02) / {det}", "i12": f"(g02 * g01 - g00 * g12) / {det}", "i22": f"(g00 * g11 - g01 * g01) / {det}"}
     gram = gram.select("grp", *[F.expr(e).alias(n) for n, e in inverse.items()])
-    rows = r.join(F.broadcast(design), ["grp", "sample_id"])
+    rows = r.join(design, ["grp", "sample_id"])
     blocks = rows.groupBy("feature_id", "grp").agg(*[F.sum(F.col(f"x{i}") * F.col("r")).alias(f"b{i}") for i in range(3)], F.sum("r").alias("_s"), F.sum(F.col("r") ** 2).alias("_q"))
     explained = F.expr("b0 * b0 * i00 + b1 * b1 * i11 + b2 * b2 * i22 + 2 * (b0 * b1 * i01 + b0 * b2 * i02 + b1 * b2 * i12)")
-    per = blocks.join(F.broadcast(gram), "grp").groupBy("feature_id").agg(F.sum(explained).alias("_e"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
+    per = blocks.join(bounded(gram), "grp").groupBy("feature_id").agg(F.sum(explained).alias("_e"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
     total = F.col("_q") - F.col("_s") ** 2 / n_rows
     r2 = F.least(1 - (F.col("_q") - F.col("_e")) / total, F.lit(1 - 1e-10))
     return per.select("feature_id", F.when((F.col("_q") == 0) | (total < 1e-15), 1.0).otherwise(1 / (1 - r2)).alias("vif"))
@@ -374,8 +392,6 @@ def validate_labels(totals: DataFrame, n_top: int = 12, labels: Mapping[tuple[bo
 
     ``totals`` has sample_id, gender, condition, first, second, female, male.
     """
-    from foldwise.operators.sampling import top_marker
-
     rows = top_marker(top_marker(totals, "first", "_a", n_top), "second", "_b", n_top)
     names = labels or {(True, True): "T12", (True, False): "T1", (False, True): "T2", (False, False): "C"}
     a, b = F.col("_a"), F.col("_b")

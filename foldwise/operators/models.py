@@ -27,7 +27,7 @@ from foldwise.operators.normalise import intensity_strata, median_of_ratios
 from foldwise.operators.ordering import group_percentiles
 from foldwise.operators.sampling import sample_rows
 from foldwise.operators.stats import kruskal, safe_corr, slope_through_origin
-from foldwise.session import materialise
+from foldwise.session import bounded, materialise
 
 # The fit's code travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(kn)
@@ -193,10 +193,10 @@ def lambda_max(cells: DataFrame, design: DataFrame, omega: DataFrame, power: flo
     score = F.when(F.col("value") > 0, (F.col("value") - mu) / F.pow(mu, F.lit(power - 1))).otherwise(0.0)
     scale = design.groupBy("grp").agg(F.greatest(F.avg("fraction"), F.lit(1e-10)).alias("_scale"))
     ratios = design.join(scale, "grp").withColumn("_ratio", F.col("fraction") / F.col("_scale"))
-    rows = cells.withColumn("_score", score).where("_score <> 0").join(F.broadcast(ratios), "sample_id")
+    rows = cells.withColumn("_score", score).where("_score <> 0").join(bounded(ratios), "sample_id")
     grads = rows.groupBy("feature_id", "grp").agg(*[F.sum(F.col("_ratio") * F.col("_score") * F.col(c)).alias(f"_{c}") for c in ("first", "second", "both")])
     norm = F.sqrt(F.col("_first") ** 2 + F.col("_second") ** 2 + F.col("_both") ** 2)
-    return grads.join(F.broadcast(omega), "grp").agg(F.coalesce(F.max(norm / (F.col("omega") * math.sqrt(3))), F.lit(1.0)).alias("lambda_max"))
+    return grads.join(bounded(omega), "grp").agg(F.coalesce(F.max(norm / (F.col("omega") * math.sqrt(3))), F.lit(1.0)).alias("lambda_max"))
 
 
 def lambda_grid(top: float, n: int, low: float = 1e-3) -> list[float]:
@@ -306,7 +306,7 @@ def mean_model(params: DataFrame, profiles: DataFrame, covariate: DataFrame | No
     a few rows per group; the last group has no condition effects.
     """
     position = F.create_map(*[F.lit(x) for k, g in enumerate(groups) for x in (g, k + 1)])
-    rows = profiles.join(params.drop("stratum"), "feature_id").join(F.broadcast(design), "grp")
+    rows = profiles.join(params.drop("stratum"), "feature_id").join(bounded(design), "grp")
     beta = lambda j: F.coalesce(F.element_at(F.try_element_at("beta", position[F.col("grp")]), j), F.lit(0.0))
     if covariate is None:
         rows = rows.withColumn("r", F.lit(0.0))
@@ -326,7 +326,7 @@ def predicted(signals: DataFrame) -> DataFrame:
 def binding_counts(signals: DataFrame, samples: DataFrame) -> DataFrame:
     """How often a signal is clipped at zero although its baseline is positive."""
     clipped = (F.col("signal") <= 0) & (F.col("base") > 0)
-    return signals.join(F.broadcast(samples.select("sample_id", "condition")), "sample_id").groupBy("grp", "condition").agg(F.count_if(clipped).alias("n_clipped"))
+    return signals.join(bounded(samples.select("sample_id", "condition")), "sample_id").groupBy("grp", "condition").agg(F.count_if(clipped).alias("n_clipped"))
 
 
 def model_summary(params: DataFrame) -> DataFrame:
@@ -446,16 +446,16 @@ def pseudobulk(truth: DataFrame, fractions: DataFrame, groups: Sequence[str]) ->
     The last group is a tenth of the first group's profile.
     """
     first, rest = groups[0], groups[-1]
-    own = truth.where(F.col("grp").isin(*groups[:-1])).join(F.broadcast(fractions), ["grp", "sample_id"]).withColumn("_v", F.col("fraction") * F.col("value"))
+    own = truth.where(F.col("grp").isin(*groups[:-1])).join(bounded(fractions), ["grp", "sample_id"]).withColumn("_v", F.col("fraction") * F.col("value"))
     weak = fractions.where(F.col("grp") == rest).select("sample_id", F.col("fraction").alias("_w"))
-    other = truth.where(F.col("grp") == first).join(F.broadcast(weak), "sample_id").withColumn("_v", F.col("_w") * F.col("value") * 0.1)
+    other = truth.where(F.col("grp") == first).join(bounded(weak), "sample_id").withColumn("_v", F.col("_w") * F.col("value") * 0.1)
     keys = ["feature_id", "sample_id", "_v"]
     return own.select(*keys).unionByName(other.select(*keys)).groupBy("feature_id", "sample_id").agg(F.sum("_v").alias("value"))
 
 
 def profile_effects(truth: DataFrame, samples: DataFrame, control: str, condition: str) -> DataFrame:
     """Mean profile under a condition minus under the control, per (feature, group)."""
-    rows = truth.join(F.broadcast(samples.select("sample_id", "condition")), "sample_id")
+    rows = truth.join(bounded(samples.select("sample_id", "condition")), "sample_id")
     mean = lambda c: F.avg(F.when(F.col("condition") == c, F.col("value")))
     return rows.groupBy("feature_id", "grp").agg((mean(condition) - mean(control)).alias("truth"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.columns import clean
+from foldwise.session import bounded
 
 # The 2x2 design (first factor, second factor, interaction).
 FACTORIAL = {"C": (0, 0, 0), "T1": (1, 0, 0), "T2": (0, 1, 0), "T12": (1, 1, 1)}
@@ -25,7 +27,7 @@ def canonicalise(df: DataFrame, column: str, mapping: Mapping[str, str], default
 
 def unpivot_matrix(wide: DataFrame, ids: Sequence[str], pattern: str, names: Sequence[str], value: str = "value") -> DataFrame:
     """Wide matrix to long rows; columns matching ``pattern`` become rows, its groups become ``names``."""
-    columns = [c for c in wide.columns if c not in ids and __import__("re").fullmatch(pattern, c)]
+    columns = [c for c in wide.columns if c not in ids and re.fullmatch(pattern, c)]
     long = wide.unpivot(list(ids), columns, "_column", value)
     parts = {n: F.regexp_extract("_column", f"^(?:{pattern})$", k + 1) for k, n in enumerate(names)}
     return long.withColumns({**parts, value: clean(F.col(value))}).drop("_column")
@@ -153,7 +155,7 @@ def contributions(predicted: DataFrame, fractions: DataFrame, observed: DataFram
     The join repeats each prediction once per sample: the result's own size.
     """
     product = F.col("value") * F.col("fraction")
-    rows = predicted.join(F.broadcast(fractions), "grp").withColumn("value", F.when(F.abs(product) < tiny, 0.0).otherwise(product)).drop("fraction")
+    rows = predicted.join(bounded(fractions), "grp").withColumn("value", F.when(F.abs(product) < tiny, 0.0).otherwise(product)).drop("fraction")
     if observed is None:
         return rows
     seen = observed.where(F.col("value").isNotNull()).select("feature_id", "sample_id", F.lit(True).alias("_seen"))

@@ -216,13 +216,14 @@ def design_diagnostics(spark, sf):
     return di.design_diagnostics(fractions(spark, sf), factor_samples(spark, sf), i.GROUPS, ESTIMATED)
 
 
-@query("H15", "SELECT " + ", ".join(
-    f"round(sum(w.\"{a}\" * w.\"{b}\"), 6) AS g_{x}_{y}" for x, a in enumerate(i.GROUPS) for y, b in enumerate(i.GROUPS) if x <= y)
-    + " FROM (SELECT sample_id, " + ", ".join(f"max(fraction) FILTER (grp = '{g}') AS \"{g}\"" for g in i.GROUPS) + " FROM fractions GROUP BY sample_id) w", "fractions")
+fragment("wide_fractions", "SELECT sample_id, " + ", ".join(f"max(fraction) FILTER (grp = '{g}') AS \"{g}\"" for g in i.GROUPS) + " FROM fractions GROUP BY sample_id", "fractions")
+
+
+@query("H15", " UNION ALL ".join(
+    f"SELECT {x}::INTEGER AS i, {y}::INTEGER AS j, round(sum(\"{a}\" * \"{b}\"), 6) AS product FROM wide_fractions" for x, a in enumerate(i.GROUPS) for y, b in enumerate(i.GROUPS) if x <= y), "wide_fractions")
 def composition_products(spark, sf):
     frame, _, _ = di.design_frame(fractions(spark, sf), factor_samples(spark, sf), i.GROUPS, ESTIMATED)
-    sums = di.gram_sums(frame, i.GROUPS)
-    return i.rounded(sums, *sums.columns)
+    return i.rounded(di.gram_sums(frame, i.GROUPS), "product")
 
 
 @query("H16", """SELECT grp, count(*) AS n_pairs, round(quantile_cont(abs(c), 0.5), 6) AS median_abs, round(avg((abs(c) > 0.7)::INT), 6) AS share_high FROM (

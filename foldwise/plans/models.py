@@ -13,7 +13,7 @@ from foldwise.plans.diagnostics import ESTIMATED, factor_samples, intensity_cell
 from foldwise.plans.normalise import covariate, gene_edges, opposing_genes, scaled_expression, strata
 from foldwise.plans.registry import fragment, query
 from foldwise.plans.reshape import SAMPLES, fractions, profiles
-from foldwise.session import staged
+from foldwise.session import bounded, staged
 
 POWER = 1.5
 LAM, LAM_RHO, ETA, GAMMA = 2.0, 0.1, 2.0, 0.5
@@ -299,7 +299,7 @@ def pseudobulk_stress(spark, sf):
     mapped = no.expression_covariate(gene_edges(spark, sf), scaled, opposing_genes(spark, sf).where("1 = 0")).withColumnRenamed("r", "value")
     average = scaled.groupBy("grp", "sample_id").agg(F.avg("value").alias("value"))
     unmapped = strata(spark, sf).select("feature_id").join(gene_edges(spark, sf).select("feature_id").distinct(), "feature_id", "left_anti")
-    grid = unmapped.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in i.GROUPS]))).join(F.broadcast(average), "grp")
+    grid = unmapped.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in i.GROUPS]))).join(bounded(average), "grp")
     truth = mapped.unionByName(grid.select("feature_id", "grp", "sample_id", "value"))
     mixed = mo.pseudobulk(truth, fractions(spark, sf), i.GROUPS)
     rows = mo.pack_features(mixed, profiles(spark, sf), covariate(spark, sf), strata(spark, sf), SAMPLES, i.GROUPS)

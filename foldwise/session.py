@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "foldwise", cpus: str = "8") -> SparkSession:
@@ -56,6 +57,20 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows a table may have to be copied to every task.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it proves small; else left to a shuffled join.
+
+    For tables of the experiment's size (samples by groups).  It is written once,
+    so that counting it and joining it do not compute it twice.
+    """
+    kept = materialise(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 _STAGED: dict[tuple, DataFrame] = {}
 
 
