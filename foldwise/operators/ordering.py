@@ -119,7 +119,7 @@ def group_percentiles(
         fits = groups_fit(df, by)
     if fits:
         return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in probs.items()], *extra)
-    known = df.where(F.col(value).isNotNull())
+    known = materialise(df.where(F.col(value).isNotNull()).select(*by, value))
     rows = ranked(known, by, [F.col(value)], "__rank", fits=False)
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     rows = rows.join(sizes, by)

@@ -69,10 +69,10 @@ def capped_pending_comparisons(spark, sf):
 def upserted_cache(spark, sf):
     path = scratch(spark)
     part = i.table(spark, sf, "part")
-    first = ta.upsert_cache(ta.read_cache(spark, path), part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("symbol")), ["key"])
-    ta.write_table(first, path)
+    older = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("symbol"))
+    ta.save_cache(spark, path, older, ["key"])
     newer = part.where("p_size > 25").select(F.col("p_partkey").alias("key"), F.upper("p_name").alias("symbol"))
-    return ta.upsert_cache(ta.read_cache(spark, path), newer, ["key"])
+    return ta.save_cache(spark, path, newer, ["key"])
 
 
 _RUN = "lpad(l_orderkey::VARCHAR, 8, '7') || '_LD_M' || l_linenumber || '_' || l_returnflag || CASE WHEN l_suppkey % 5 = 0 THEN '-WT-pool' ELSE '' END || '.raw'"

@@ -33,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("foldwise.folder", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.conf.get("foldwise.folder", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")

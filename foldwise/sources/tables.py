@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.joins import latest_per_key
 from foldwise.operators.ordering import ranked
+from foldwise.session import materialise
 
 
 def read_matrix(spark: SparkSession, path: str, schema: str, na: str = "NA") -> DataFrame:
@@ -69,6 +70,13 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def save_cache(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Merge ``new`` into the cache at ``path``; the merged rows are written aside first,
+    because a table cannot be overwritten while it is read."""
+    write_table(materialise(upsert_cache(read_cache(spark, path), new, keys)), path)
+    return spark.read.parquet(path)
+
+
 def save_params(params: DataFrame, meta: DataFrame, path: str) -> None:
     """Per-feature parameters and the one-row table of scalars."""
     params.write.mode("overwrite").parquet(f"{path}/features")
