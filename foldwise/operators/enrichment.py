@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.columns import TIER_BOUNDS, clean, evidence_tier, log2_fold_change
 from foldwise.functions.special import hypergeometric_upper
 from foldwise.operators.ordering import group_percentiles, groups_fit, ranked, running
-from foldwise.session import materialise
+from foldwise.session import bounded, materialise
 
 # The reported thresholds.
 PERCENT = 5.0        # share of features called up, and share called down
@@ -46,7 +46,7 @@ def fold_changes(
 def foreground_gate(lfc: DataFrame, by: Sequence[str], min_p95: float = MIN_P95) -> DataFrame:
     """Keep comparisons whose 95th percentile of |fold change| reaches ``min_p95``."""
     sizes = group_percentiles(lfc.withColumn("_abs", F.abs("lfc")), by, "_abs", {"p95": 0.95})
-    return lfc.join(sizes.where(F.col("p95") >= min_p95).select(*by), list(by), "left_semi")
+    return lfc.join(bounded(sizes.where(F.col("p95") >= min_p95).select(*by)), list(by), "left_semi")
 
 
 def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feature: str = "feature_id") -> DataFrame:
@@ -61,7 +61,7 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
         rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     else:
         sizes = lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(sizes, list(by))
+        rows = rows.join(bounded(sizes), list(by))
     rows = rows.withColumn("k", F.floor(F.col("n") * F.lit(pct) / 100).cast("long"))
     side = F.when(F.col("_rank") <= F.col("k"), "down").when(F.col("_rank") > F.col("n") - F.col("k"), "up").otherwise("bg")
     return rows.withColumn("class", side).drop("_rank")
@@ -71,7 +71,7 @@ def classify_at(lfc: DataFrame, by: Sequence[str], pcts: Sequence[float], featur
     """Classes at several shares from one ranking; ``pct`` becomes a further comparison key."""
     fits = groups_fit(lfc, by)
     rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
-    rows = rows.join(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), list(by))
+    rows = rows.join(bounded(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))), list(by))
     rows = rows.withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in pcts])))
     k = F.floor(F.col("n") * F.col("pct") / 100)
     side = F.when(F.col("_rank") <= k, "down").when(F.col("_rank") > F.col("n") - k, "up").otherwise("bg")
@@ -113,7 +113,7 @@ def contingency(classes: DataFrame, members: DataFrame, by: Sequence[str]) -> Da
         F.count_if(F.col("class") == "down").alias("a_down"),
         F.count_if(F.col("class") == "bg").alias("c"),
     )
-    return hits.join(sizes, list(by))
+    return hits.join(bounded(sizes), list(by))
 
 
 def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -162,7 +162,7 @@ def bh_adjust(
     elif fits:
         rows = rows.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     else:
-        rows = rows.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by)
+        rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))), by)
     rows = running(rows, by, "_rank", F.col(p) * F.col("_m") / F.col("_rank"), "_adj", "min", reverse=True, fits=fits)
     return rows.withColumn(name, F.greatest(F.least("_adj", F.lit(1.0)), F.lit(0.0))).drop("_rank", "_m", "_adj")
 
@@ -204,7 +204,8 @@ def significant_strict(p: Column, p_sig: float = P_SIG) -> Column:
 
 
 def tail_bounds(results: DataFrame, by: Sequence[str], tail: float = TAIL) -> DataFrame:
-    return group_percentiles(results, by, "lff", {"lff_low": tail / 100, "lff_high": 1 - tail / 100})
+    """Bounds per comparison, ready to join: comparisons are few beside the rows they label."""
+    return bounded(group_percentiles(results, by, "lff", {"lff_low": tail / 100, "lff_high": 1 - tail / 100}))
 
 
 def in_tail() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.ordering import group_percentiles
+from foldwise.session import bounded
 
 
 def pooled_sums(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -44,14 +45,14 @@ def size_factors(m: DataFrame) -> DataFrame:
 
 def median_of_ratios(m: DataFrame) -> DataFrame:
     """Values divided by their sample's size factor."""
-    return m.join(size_factors(m), "sample_id").withColumn("value", F.col("value") / F.col("factor"))
+    return m.join(bounded(size_factors(m)), "sample_id").withColumn("value", F.col("value") / F.col("factor"))
 
 
 def cpm(expr: DataFrame) -> DataFrame:
     """Counts per million within (group, sample); a total of 0 counts as 1."""
     totals = expr.groupBy("grp", "sample_id").agg(F.sum("value").alias("_total"))
     total = F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total"))
-    return expr.join(totals, ["grp", "sample_id"]).withColumn("value", F.col("value") / total * 1e6).drop("_total")
+    return expr.join(bounded(totals), ["grp", "sample_id"]).withColumn("value", F.col("value") / total * 1e6).drop("_total")
 
 
 def zscore(expr: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -92,7 +93,7 @@ def expression_covariate(edges: DataFrame, expr: DataFrame, opposing: DataFrame)
     """
     against = expr.join(opposing.select("gene").distinct(), "gene", "left_semi").groupBy("grp", "sample_id").agg(F.avg("value").alias("_against"))
     upstream = edges.join(expr, "gene").groupBy("feature_id", "grp", "sample_id").agg(F.avg("value").alias("_for"))
-    return upstream.join(against, ["grp", "sample_id"], "left").select(
+    return upstream.join(bounded(against), ["grp", "sample_id"], "left").select(
         "feature_id", "grp", "sample_id", (F.col("_for") - F.coalesce("_against", F.lit(0.0))).alias("r"))
 
 

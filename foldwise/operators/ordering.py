@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.session import materialise
+from foldwise.session import bounded, materialise
 
 GROUP_ROWS = "foldwise.groupRows"
 DEFAULT_GROUP_ROWS = 2_000_000
@@ -60,7 +60,7 @@ def ranked(
     earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     return (
-        ordered.join(runs, [*by, "__task"])
+        ordered.join(bounded(runs), [*by, "__task"])
         .withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1)
         .drop("__at", "__task", "__first", "__before")
     )
@@ -94,7 +94,7 @@ def running(
     blocks = df.groupBy(*by, "__block").agg(combine("__v").alias("__total"))
     blocks = blocks.withColumn("__carry", combine("__total").over(upto(by, "__block", -1))).drop("__total")
     within = df.withColumn("__here", combine("__v").over(upto([*by, "__block"], rank, 0)))
-    joined = within.join(blocks, [*by, "__block"])
+    joined = within.join(bounded(blocks), [*by, "__block"])
     if how == "sum":
         total = F.col("__here") + F.coalesce("__carry", F.lit(0))
     else:
@@ -122,7 +122,7 @@ def group_percentiles(
     known = materialise(df.where(F.col(value).isNotNull()).select(*by, value))
     rows = ranked(known, by, [F.col(value)], "__rank", fits=False)
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.join(sizes, by)
+    rows = rows.join(bounded(sizes), by)
     aggs = []
     for name, q in probs.items():
         at = (F.col("__n") - 1) * F.lit(float(q))

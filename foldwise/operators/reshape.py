@@ -144,7 +144,7 @@ def renormalise(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
     checked = F.when(F.col("_total") > 0, F.col(value) / F.col("_total")).otherwise(
         F.raise_error(F.lit("fractions of a sample do not have a positive total")))
-    return df.join(totals, list(keys)).withColumn(value, checked).drop("_total")
+    return df.join(bounded(totals), list(keys)).withColumn(value, checked).drop("_total")
 
 
 def contributions(predicted: DataFrame, fractions: DataFrame, observed: DataFrame | None = None, tiny: float = 1e-12) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.ordering import ranked
+from foldwise.session import bounded
 
 
 def shuffle_key(*parts: Column) -> Column:
@@ -39,7 +40,7 @@ def stratified_sample(df: DataFrame, stratum: str, share: float, least: int, see
     """A share of each stratum, at least ``least`` rows (a sampling operator)."""
     sizes = df.groupBy(stratum).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(share)), F.lit(least)).alias("_take"))
     rows = ranked(df, [stratum], [shuffle_key(F.col(key), F.lit(seed)), F.col(key)], "_r")
-    return rows.join(sizes, stratum).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    return rows.join(bounded(sizes), stratum).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "feature_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldwise.operators.enrichment import LFF_MIN, P_SIG, significant
 from foldwise.operators.joins import refilter_grid, threshold_grid
 from foldwise.operators.ordering import groups_fit, ranked, running
+from foldwise.session import bounded
 
 P_FLOOR = 1e-300
 
@@ -254,7 +255,7 @@ def lorenz(df: DataFrame, by: Sequence[str], value: str, tie: str = "set_id") ->
     rows = ranked(df, by, [F.col(value), F.col(tie)], "_i", fits)
     rows = running(rows, by, "_i", F.col(value), "_cum", "sum", fits=fits)
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(totals, by)
+    rows = rows.join(bounded(totals), by)
     diagonal = F.when(F.col("_n") > 1, (F.col("_i") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     flat = F.col("_total") == 0
     points = rows.select(
@@ -269,7 +270,7 @@ def higher_criticism(df: DataFrame, by: Sequence[str], p: str, tie: str = "set_i
     """Largest standardised excess of small p over its first half, and its 1-based index."""
     by = list(by)
     rows = ranked(df, by, [F.col(p), F.col(tie)], "_i")
-    rows = rows.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
     rows = rows.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)))
     q = F.col(p)
     score = F.when((q > 0) & (q < 1), F.sqrt("_n") * (F.col("_i") / F.col("_n") - q) / F.sqrt(q * (1 - q)))
@@ -300,7 +301,7 @@ def qq_points(df: DataFrame, by: Sequence[str], p: str, tie: str = "set_id") ->
     """Expected and observed -log10 p, paired by rank."""
     by = list(by)
     rows = ranked(df, by, [F.col(p), F.col(tie)], "rank")
-    rows = rows.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
     return rows.select(*by, "rank", (-F.log10(F.col("rank") / (F.col("_n") + 1))).alias("expected"), evidence(F.least(F.col(p), F.lit(1.0))).alias("observed"))
 
 
