@@ -125,10 +125,10 @@ l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS pos, trim(unnest
 t AS (SELECT *, string_split(line, ' ') AS ts FROM l),
 f AS (SELECT *, len(ts) || ' ' || array_to_string(list_transform(ts[1:4], lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), ' ') AS leaf FROM t WHERE len(ts) >= 5),
 u AS (SELECT leaf, line, any_value(ts) AS ts, min(doc_id) AS first, max(doc_id) AS last FROM f GROUP BY leaf, line),
-p AS (SELECT leaf, line, first, last, unnest(generate_series(1, len(ts))) AS at, unnest(ts) AS token FROM u),
-c AS (SELECT leaf, line, at, token, min(first) OVER w <> max(last) OVER w AS constant FROM p WINDOW w AS (PARTITION BY leaf, at, token)),
+p AS (SELECT leaf, line, first, last, unnest(generate_series(1, len(ts))) AS place, unnest(ts) AS token FROM u),
+c AS (SELECT leaf, line, place, token, min(first) OVER w <> max(last) OVER w AS constant FROM p WINDOW w AS (PARTITION BY leaf, place, token)),
 m AS (SELECT leaf, line, count(*) AS n, count(*) FILTER (constant) AS k,
-             string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY at) AS masked FROM c GROUP BY leaf, line),
+             string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY place) AS masked FROM c GROUP BY leaf, line),
 k AS (SELECT u.leaf, u.line, u.first, u.last,
              CASE WHEN k = n OR (k >= 8 AND 100 * k >= 70 * n) THEN masked ELSE 'own ' || u.line END AS template FROM u JOIN m USING (leaf, line)),
 r AS (SELECT leaf, line, min(first) OVER w AS owner, max(last) OVER w AS z FROM k WINDOW w AS (PARTITION BY leaf, template)),
