@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldwise.llm import quality_rules
+from foldwise.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
 from foldwise.llm.common import materialise, table
 
 
@@ -13,8 +14,32 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; one left without a word goes."""
+    return line_dedup.deduplicated(docs)
 
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least id."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the targets by source, language and topic."""
+    return mixing.sampled(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as tokens, with digests of the tokens and of what they decode to."""
+    coded = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), bpe.vocabulary_path())
+    return coded.select(
+        "doc_id", "source", "lang", bpe.n_tokens().alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mixing", mix), ("bpe", tokens)]
+
+# Shingle sets with components, and tokens, are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 

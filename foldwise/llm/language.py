@@ -6,9 +6,9 @@ a text is on.  Decoding sums a loss over the bits, weighted by how well each cla
 separates its sides, and chooses the nearest codeword; a text whose two nearest
 codewords are about equally near is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample of the labelled rows: of each
-language, about ``train_texts`` distinct texts, chosen by hash.  Prediction reads
-whole texts.
+The classifiers are fitted on a bounded sample of the labelled rows: about
+``train_texts`` distinct texts, of each language as many, chosen by hash, longer ones
+than ``TRAIN_BYTES`` left out.  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from foldwise.llm import shingles
 from foldwise.llm.common import materialise, table, text_of
 from foldwise.llm.registry import query
 
-TRAIN_TEXTS = 1500  # about this many distinct texts of each language are learnt from
+TRAIN_TEXTS = 2400  # about this many distinct texts are learnt from
+TRAIN_BYTES = 1 << 15
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 MIN_BITS = 15
@@ -112,52 +113,41 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return x / max(float(np.sqrt((x * x).sum())), 1e-9)
 
 
-def fit(texts: Sequence[bytes], labels: Sequence[str], rounds: int = 60, decay: float = 1e-4) -> Model:
-    """Classifiers of all bits at once, by accelerated gradient descent on the sparse features."""
+def fit(texts: Sequence[bytes], labels: Sequence[str], rounds: int = 50, decay: float = 1e-4) -> Model:
+    """Classifiers of all bits at once, by accelerated gradient descent."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    y = code[[languages.index(label) for label in labels]]
-    rows, columns, values = [], [], []
+    at = np.array([languages.index(label) for label in labels])
+    y, bits = code[at], code.shape[1]
+    x = np.zeros((len(texts), BUCKETS), dtype=np.float32)
     for i, t in enumerate(texts):
         used, counts = np.unique(gram_indices(t), return_counts=True)
-        rows.append(np.full(len(used), i, dtype=np.int32))
-        columns.append(used)
-        values.append(_scaled(counts))
-    row, column, value = (np.concatenate(x) for x in (rows, columns, values))
-    starts = np.searchsorted(row, np.arange(len(texts)))
-    by = np.argsort(column, kind="stable")
-    used, column_starts = np.unique(column[by], return_index=True)
-    share = np.array([1 / (len(languages) * labels.count(label)) for label in labels], dtype=np.float32)[:, None]  # languages count alike
-    bits = code.shape[1]
-    w, ahead, b = (np.zeros((BUCKETS, bits), dtype=np.float32) for _ in range(3))
-    b = np.zeros(bits, dtype=np.float32)
-    t_now, step = 1.0, 8.0
+        x[i, used] = _scaled(counts)
+    share = (1 / (len(languages) * np.bincount(at)))[at].astype(np.float32)[:, None]  # languages count alike
+    w, b = np.zeros((BUCKETS, bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
+    ahead, t_now, step = w, 1.0, 8.0
     for _ in range(rounds):
-        m = np.add.reduceat(value[:, None] * ahead[column], starts, axis=0) + b
-        pull = -y * share / (1 + np.exp(np.clip(y * m, -30, 30)))
-        slope = np.zeros_like(w)
-        slope[used] = np.add.reduceat(value[by][:, None] * pull[row[by]], column_starts, axis=0)
-        new = ahead - step * (slope + decay * ahead)
-        b -= step * pull.sum(axis=0)
+        pull = -y * share / (1 + np.exp(np.clip(y * (x @ ahead + b), -30, 30)))
+        new = ahead - step * (x.T @ pull + decay * ahead)
+        b = b - step * pull.sum(axis=0)
         t_next = (1 + np.sqrt(1 + 4 * t_now * t_now)) / 2
         ahead = new + np.float32((t_now - 1) / t_next) * (new - w)
         w, t_now = new, t_next
-    m = np.add.reduceat(value[:, None] * w[column], starts, axis=0) + b
-    right = (share * (np.sign(m) == y)).sum(axis=0)  # each bit's balanced accuracy
-    trust = np.log(np.clip(right, 0.5, 1 - 1e-3) / (1 - np.clip(right, 0.5, 1 - 1e-3)))
-    trust = np.maximum(trust, 1e-6)
-    sharp = 12.0 / max(float(np.median(np.abs(m))), 1e-6) if len(languages) > 1 else 1.0
-    return Model(languages, code, w * sharp / 4, b * sharp / 4, (trust / trust.mean()).astype(np.float64))
+    m = x @ w + b
+    right = np.clip((share * (np.sign(m) == y)).sum(axis=0), 0.5, 1 - 1e-3)  # each bit's balanced accuracy
+    trust = np.maximum(np.log(right / (1 - right)), 1e-6)
+    sharp = np.float32(3.0 / max(float(np.median(np.abs(m))), 1e-6) if len(languages) > 1 else 1.0)
+    return Model(languages, code, w * sharp, b * sharp, (trust / trust.mean()).astype(np.float64))
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", train_texts: int = TRAIN_TEXTS) -> Model | None:
-    """Fit on about ``train_texts`` distinct texts of each language, those of the least hashes; None without any."""
-    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    """Fit on about ``train_texts`` distinct texts, of each language as many, those of the least hashes; None without any."""
+    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_BYTES)).select(F.col(text).alias("text"), F.col(label).alias("label"))
     at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     sizes = known.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()  # one row for each language
     if not sizes:
         return None
-    cuts = {r["label"]: int((1 << 30) * min(1.0, train_texts / r["n"])) for r in sizes}
+    cuts = {r["label"]: int((1 << 30) * min(1.0, train_texts / len(sizes) / r["n"])) for r in sizes}
     wanted = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("label"))
     sample = known.where(at < wanted).distinct().toArrow()
     texts, labels = sample.column(0).cast(pa.binary()).to_pylist(), sample.column(1).to_pylist()

@@ -7,8 +7,9 @@ what the one before left over:
 2. A set that links with another shares with it the first of their common
    shingles in hash order, which lie in the first two fifths of either set.  The
    shingles of that part are counted over all sets, packed in blocks by hash range;
-   a set stays if as many of them occur elsewhere as a link would need.
-3. For the sets that stay, shingles are counted exactly and ordered globally from
+   a set stays if as many of them occur elsewhere as a link would need.  Those that
+   stay are counted in the same way by all their shingles.
+3. For the sets that still stay, shingles are counted exactly and ordered globally from
    rare to frequent.  Two sets that link share a shingle of their prefixes in that
    order; connecting sets over such shingles gives groups that no link leaves.
 4. Each group becomes a prefix tree: sets are paths of shingles in global order,
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import shingles
@@ -37,12 +38,14 @@ from foldwise.llm.common import materialise, table, text_of
 from foldwise.llm.components import components
 from foldwise.llm.registry import query
 from foldwise.operators.ordering import ranked
+from foldwise.session import bounded
 
-FLUSH_SHINGLES = 2_000_000  # shingles a task holds before it sends its blocks
-PART_BYTES = 24 << 20  # text bytes whose shingles one counting task takes
+FLUSH_SHINGLES = 1_000_000  # shingles a task holds before it sends its blocks
+PART_SHINGLES = 2_000_000  # shingles one counting task takes
 BLOCK_SETS = 2_000  # sets one tree holds
+SPARE_BITS = 12  # a counted shingle has this many bits more than all of them together need
 
-_PASS = "kind int, n long, sig binary, node long, part int, nodes binary, lens binary, tokens binary, everywhere binary, doc struct<absent:boolean,id:{id},key:bigint>"
+_BLOCK = "part int, nodes binary, lens binary, tokens binary, everywhere binary, sure binary, credits binary"
 
 
 def _need(n: int) -> int:
@@ -55,6 +58,10 @@ def _lead(n: int) -> int:
     return max(1, n // 5)
 
 
+def _signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _node(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
@@ -64,10 +71,15 @@ def _signed(values) -> np.ndarray:
 
 
 class _Blocks:
-    """Shingles of a task's sets by hash range; those found in two sets here are told apart at once."""
+    """Shingles of a task's sets by hash range, as short as the corpus allows.
+
+    A shingle found in two sets here is known to be shared: its sets get their credit at
+    once and it travels alone, so a shingle costs one entry for each task at most, however
+    many sets have it.
+    """
 
-    def __init__(self, parts: int):
-        self.parts, self.clear = parts, self._empty
+    def __init__(self, parts: int, width: int):
+        self.parts, self.width = parts, width
         self._empty()
 
     def _empty(self) -> None:
@@ -81,74 +93,124 @@ class _Blocks:
             self.heads.append(head)
             self.held += len(head)
 
-    def flush(self) -> Iterator[dict]:
+    def _short(self, token: np.ndarray) -> bytes:
+        """The lower ``width`` bytes of each."""
+        return np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.heads:
             return
         nodes = np.fromiter(self.nodes, dtype=np.int64, count=len(self.nodes))
-        token = np.concatenate(self.heads)
+        token = shingles.mix(np.concatenate(self.heads))
         owner = np.repeat(np.arange(len(nodes), dtype=np.int32), [len(h) for h in self.heads])
+        self._empty()
         order = np.argsort(token)
-        ranked_tokens = token[order]
-        new = np.concatenate(([True], ranked_tokens[1:] != ranked_tokens[:-1]))
-        run = np.cumsum(new) - 1
+        placed = token[order]
+        same = placed[1:] == placed[:-1]
         many = np.zeros(len(token), dtype=bool)
-        many[order] = (np.bincount(run) > 1)[run]
+        many[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
         credit = np.bincount(owner[many], minlength=len(nodes))
-        for i in np.flatnonzero(credit):
-            yield {"kind": 2, "node": int(nodes[i]), "n": int(credit[i])}
         shared = np.unique(token[many])
         once, of = token[~many], owner[~many]
         part, shared_part = self._part(once), self._part(shared)
         by = np.argsort(part, kind="stable")
         once, of, part = once[by], of[by], part[by]
         cuts = np.searchsorted(part, np.arange(self.parts + 1))
+        home = int(nodes[0] % self.parts)  # the block that takes the credits along
+        rows = []
         for p in range(self.parts):
             a, b = cuts[p], cuts[p + 1]
             who, lens = np.unique(of[a:b], return_counts=True)
-            yield {
-                "kind": 1, "part": p, "nodes": nodes[who].tobytes(), "lens": lens.astype(np.int32).tobytes(),
-                "tokens": once[a:b].tobytes(), "everywhere": shared[shared_part == p].tobytes()}
-        self.clear()
+            sure = np.flatnonzero(credit) if p == home else np.zeros(0, dtype=np.int64)
+            rows.append((
+                p, nodes[who].tobytes(), lens.astype(np.int32).tobytes(), self._short(once[a:b]), self._short(shared[shared_part == p]),
+                nodes[sure].tobytes(), credit[sure].astype(np.int32).tobytes()))
+        names = ["part", "nodes", "lens", "tokens", "everywhere", "sure", "credits"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
     def _part(self, token: np.ndarray) -> np.ndarray:
-        return (shingles.mix(token) % np.uint64(self.parts)).astype(np.int32)
+        return ((token >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int32)
+
+
+def _documents(kind: pa.DataType):
+    """Of every document: what names it, its number of shingles and the signature of their set."""
+    doc = pa.struct([("absent", pa.bool_()), ("id", kind), ("key", pa.int64())])
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in shingles.batches(texts):
+                found = [(len(s), _signature(s) if len(s) else None) for s in shingles.shingle_sets(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a).cast(doc), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary()),
+                    pa.array([None if x is None else _node(x) for _, x in found], pa.int64())], names=["doc", "n", "sig", "node"])
+
+    return run
 
 
-def _first_pass(schema: pa.Schema, parts: int):
-    def rows(found: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(found, schema=schema)
+def _text_blocks(parts: int, width: int):
+    """Blocks of the leading shingles of texts."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(parts)
+        blocks = _Blocks(parts, width)
         for batch in incoming:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in shingles.batches(texts):
-                found = []
-                for i, s in zip(range(a, b), shingles.shingle_sets(texts[a:b]), strict=True):
-                    row = {"kind": 0, "n": len(s), "doc": {"absent": ids[i] is None, "id": ids[i], "key": keys[i]}}
+                for s in shingles.shingle_sets(texts[a:b]):
                     if len(s):
-                        sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                        row |= {"sig": sig, "node": _node(sig)}
-                        blocks.add(row["node"], s[: len(s) - _need(len(s)) + _lead(len(s))])
-                    found.append(row)
+                        blocks.add(_node(_signature(s)), s[: len(s) - _need(len(s)) + _lead(len(s))])
+                if blocks.held >= FLUSH_SHINGLES:
+                    yield from blocks.flush()
+        yield from blocks.flush()
+
+    return run
+
+
+def _set_blocks(parts: int, width: int):
+    """Blocks of all shingles of sets (node, tokens)."""
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(parts, width)
+        for batch in incoming:
+            tokens = batch.column(1)
+            ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
+            for node, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                blocks.add(node, flat[a:b])
                 if blocks.held >= FLUSH_SHINGLES:
-                    found.extend(blocks.flush())
-                yield rows(found)
-        yield rows(list(blocks.flush()))
+                    yield from blocks.flush()
+        yield from blocks.flush()
 
     return run
 
 
-def _count_part(blocks: pa.Table) -> pa.Table:
-    """Of one hash range: for each set, how many of its shingles some other set has too."""
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in blocks.column(name).to_pylist()])
-    tokens, everywhere = join("tokens", np.uint64), np.unique(join("everywhere", np.uint64))
-    owner = np.repeat(join("nodes", np.int64), join("lens", np.int32))
-    distinct, which, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = (count > 1) | np.isin(distinct, everywhere, assume_unique=True)
-    node, n = np.unique(owner[shared[which]], return_counts=True)
-    return pa.table({"node": node, "n": n.astype(np.int64)})
+def _counting(width: int):
+    def long(data: bytes) -> np.ndarray:
+        wide = np.zeros((len(data) // width, 8), dtype=np.uint8)
+        wide[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+        return wide.view(np.uint64).ravel()
+
+    def count(blocks: pa.Table) -> pa.Table:
+        """Of one hash range: for each set, how many of its shingles some other set has too."""
+        join = lambda name: b"".join(blocks.column(name).to_pylist())
+        tokens, everywhere = long(join("tokens")), np.unique(long(join("everywhere")))
+        owner = np.repeat(np.frombuffer(join("nodes"), np.int64), np.frombuffer(join("lens"), np.int32))
+        order = np.argsort(tokens)
+        placed = tokens[order]
+        same = placed[1:] == placed[:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | np.isin(placed, everywhere) if len(tokens) else np.zeros(0, bool)
+        node, n = np.unique(owner[order[shared]], return_counts=True)
+        sure, credits = np.frombuffer(join("sure"), np.int64), np.frombuffer(join("credits"), np.int32)
+        return pa.table({"node": np.concatenate((node, sure)), "n": np.concatenate((n, credits)).astype(np.int64)})
+
+    return count
+
+
+def _credits(rows: DataFrame, work, total: int) -> DataFrame:
+    """``node, credit``: shingles of each set that others have, over the about ``total`` shingles that ``work`` cuts from rows."""
+    parts = 12 + total // PART_SHINGLES
+    width = min(8, (max(total, 2).bit_length() + SPARE_BITS + 7) // 8)
+    found = rows.mapInArrow(work(parts, width), _BLOCK).groupBy("part").applyInArrow(_counting(width), "node long, n long")
+    return found.groupBy("node").agg(F.sum("n").alias("credit"))
 
 
 def _sets(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +219,7 @@ def _sets(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in shingles.batches(texts):
             sets = list(shingles.shingle_sets(texts[a:b]))
             yield pa.record_batch({
-                "sig": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                "sig": pa.array([_signature(s) for s in sets], pa.binary()),
                 "tokens": pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))})
 
 
@@ -251,6 +313,11 @@ class PrefixTree:
             branch = kid
 
 
+def _name(id_column: str, text: str) -> Column:
+    """What names a row and orders rows: the id, nulls last, then a hash of the text."""
+    return F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("key"))
+
+
 def _tree_links(group: pa.Table) -> pa.Table:
     """Links that connect the sets of a group: a forest, not all pairs."""
     nodes = group.column("node").to_numpy()
@@ -301,41 +368,35 @@ def _large_groups(sets: DataFrame, sizes: DataFrame, block_sets: int) -> DataFra
     return links.unionByName(_join(sets.join(once.unionByName(again), ["grp", "block"]), "grp", "pair"))
 
 
-def document_sets(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Steps 1 and 2: rows of kind 0 for documents, 1 and 2 for what the count of shingles needs."""
-    spark = documents.sparkSession
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    kind = documents.schema[id_column].dataType.simpleString()
-    empty = spark.createDataFrame([], _PASS.format(id=kind))
-    parts = 12 + total // PART_BYTES
-    arrow = empty.limit(0).toArrow().schema
-    run = _first_pass(arrow, int(parts))
-    keyed = documents.select(F.col(id_column), F.xxhash64(text_of(text)).alias("key"), text_of(text).alias("text"))
-    return materialise(keyed.mapInArrow(run, empty.schema), ["kind"])
-
-
 def classes(documents: DataFrame, id_column: str, text: str, block_sets: int) -> DataFrame:
     """``doc, n, head`` for every row: what names the row, its number of shingles, and the least row of its component."""
-    passed = document_sets(documents, id_column, text)
-    rows = passed.where("kind = 0")
-    sets = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("node").alias("node"), F.count(F.lit(1)).alias("n_rows")))
-    credits = passed.where("kind = 1").groupBy("part").applyInArrow(_count_part, "node long, n long").unionByName(passed.where("kind = 2").select("node", "n"))
-    credits = credits.groupBy("node").agg(F.sum("n").alias("credit"))
+    kind = documents.schema[id_column].dataType.simpleString()
+    arrow = documents.select(id_column).limit(0).toArrow().schema.field(0).type
+    keyed = documents.select(_name(id_column, text).alias("doc"), text_of(text).alias("text"))
+    rows = materialise(keyed.mapInArrow(_documents(arrow), f"doc struct<absent:boolean,id:{kind},key:bigint>, n long, sig binary, node long"))
+    sets = materialise(rows.where("n > 0").groupBy("sig").agg(
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("node").alias("node"), F.count(F.lit(1)).alias("n_rows")))
+
+    total = rows.agg(F.sum(F.col("n") * 2 / 5 + 1).cast("long")).first()[0] or 0
+    leads = _credits(documents.select(text_of(text).alias("text")), _text_blocks, total)
     # A set that links with one of n shingles has at least 4/5 n of them, so looks for at least this many.
     least = F.greatest(F.floor(F.ceil(F.col("n") * 4 / 5) / 5), F.lit(1))
-    alive = materialise(sets.join(credits, "node").where(F.col("credit") >= least).select("sig", "node", "n", "doc"))
+    alive = materialise(sets.join(leads, "node").where(F.col("credit") >= least).select("sig", "node", "n", "doc"))
 
-    wanted = alive.select(F.col("doc.id").alias("__id"), F.col("doc.key").alias("__key"))
-    keyed = documents.select(F.col(id_column).alias("__id2"), F.xxhash64(text_of(text)).alias("__key2"), text_of(text).alias("text"))
-    texts = keyed.join(wanted, (F.col("__key2") == F.col("__key")) & F.col("__id2").eqNullSafe(F.col("__id")), "left_semi")
+    wanted = bounded(alive.select(F.col("doc.id").alias("__id"), F.col("doc.key").alias("__key")))
+    named = keyed.select(F.col("doc.id").alias("__id2"), F.col("doc.key").alias("__key2"), "text")
+    texts = named.join(wanted, (F.col("__key2") == F.col("__key")) & F.col("__id2").eqNullSafe(F.col("__id")), "left_semi")
     whole = texts.select("text").mapInArrow(_sets, "sig binary, tokens array<long>").dropDuplicates(["sig"])
-    whole = materialise(whole.join(alive.select("sig", "node", "n"), "sig"))
+    whole = materialise(whole.join(alive.select("sig", "node", "n"), "sig").select("node", "n", "tokens"))
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    shares = _credits(whole.select("node", "tokens"), _set_blocks, total)
+    whole = materialise(whole.join(shares, "node").where(F.col("credit") >= F.ceil(F.col("n") * 4 / 5)).drop("credit"))
 
-    tokens = whole.select("sig", F.explode("tokens").alias("t"))
+    tokens = whole.select("node", "n", F.explode("tokens").alias("t"))
     seen = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = tokens.join(seen, "t").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("shared"))
+    shared = tokens.join(seen, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("shared"))
-    ordered = shared.join(whole.select("sig", "node", "n"), "sig").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    ordered = shared.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
     ordered = materialise(ordered.select("node", "n", "shared", "prefix"))
 
     leads = ordered.select("node", F.explode(F.slice("shared.t", F.lit(1), F.col("prefix"))).alias("t"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["bpe", "line_dedup", "html_extract", "sharding", "language", "ngram_join", "exact_dedup", "mixing", "quality_rules"]
+MODULES = [
+    "bpe", "line_dedup", "html_extract", "sharding", "language", "ngram_join", "exact_dedup", "mixing", "quality_model", "quality_rules",
+]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 SHINGLE = 5
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,9 +42,9 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have
 
 
-def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_hashes(data: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of a run of bytes that does not cut a word."""
-    space = _SPACE[data]
+    space = spaces[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
@@ -55,8 +55,11 @@ def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
-def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and where each text's words begin (one more entry than texts)."""
+def word_hashes(texts: Sequence[bytes], spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and where each text's words begin (one more entry than texts).
+
+    ``spaces`` tells for each byte value whether it parts words; a space must.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
@@ -64,12 +67,12 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         end = min(at + PIECE_BYTES, len(data))
         while end < len(data):  # on to the next white space
-            gap = np.flatnonzero(_SPACE[data[end - 1 : end + 65536]])
+            gap = np.flatnonzero(spaces[data[end - 1 : end + 65536]])
             if len(gap):
                 end += int(gap[0])
                 break
             end = min(end + 65536, len(data))
-        h, s = _piece_hashes(data[at:end])
+        h, s = _piece_hashes(data[at:end], spaces)
         hashes.append(h)
         places.append(s + at)
         at = end
@@ -102,7 +105,7 @@ def shingle_sets(texts: Sequence[bytes], size: int = SHINGLE) -> Iterator[np.nda
             yield words[:0]
 
 
-def batches(texts: Sequence[bytes], most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def batches(texts: Sequence[bytes], most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``most_bytes`` each; a longer text stands alone."""
     first, held = 0, 0
     for i, t in enumerate(texts):
