@@ -133,10 +133,8 @@ def normal_two_sided(z: str) -> Column:
 
 
 def t_two_sided_sql(t: str, df: str) -> str:
-    """Two-sided p of Student's t; a corrected normal above 100,000 degrees of freedom."""
-    z = normal_two_sided_sql("y.t * (1 - 1 / (4 * y.n)) / sqrt(1 + y.t * y.t / (2 * y.n))")
-    exact = beta_regularised_sql("y.n / 2", "0.5D", "y.n / (y.n + y.t * y.t)")
-    return let("y", f"CASE WHEN y.n > 100000 THEN {z} ELSE {exact} END", t=t, n=f"cast({df} AS double)")
+    """Two-sided p of Student's t, by the same formula at any degrees of freedom."""
+    return let("y", beta_regularised_sql("y.n / 2", "0.5D", "y.n / (y.n + y.t * y.t)"), t=t, n=f"cast({df} AS double)")
 
 
 def t_two_sided(t: str, df: str) -> Column:

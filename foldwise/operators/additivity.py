@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.keys import join_same
 from foldwise.operators.ordering import group_percentiles
 from foldwise.operators.stats import correlations
 
@@ -64,7 +65,7 @@ def additivity_stats(triplets: DataFrame, context: Sequence[str], both: str) ->
     """Correlation of the combined effect with the sum of the single ones, and its residual."""
     paired = triplets.where(F.col("lff_sum").isNotNull() & F.col(f"lff_{both}").isNotNull())
     residual = triplets.groupBy(*context).agg(F.avg("lff_residual").alias("mean_residual"), F.stddev("lff_residual").alias("std_residual"))
-    return correlations(paired, context, "lff_sum", f"lff_{both}").join(residual, list(context))
+    return join_same(correlations(paired, context, "lff_sum", f"lff_{both}"), residual, context)
 
 
 def extreme_residuals(triplets: DataFrame, context: Sequence[str], k: int = 5, tie: str = "set_id") -> DataFrame:
@@ -92,7 +93,7 @@ def ceiling_diagnostic(triplets: DataFrame, context: Sequence[str], conditions:
         F.avg(F.when(hit, F.col("lff"))).alias("mean_lff_sig"), (F.max("lff") - F.min("lff")).alias("lff_range"), F.avg(F.abs("lff")).alias("mean_abs_lff"),
         F.avg("n").alias("mean_members"), F.sum("n").alias("total_members"), F.avg(F.when(hit, F.col("n"))).alias("mean_members_sig")])
     medians = group_percentiles(rows.withColumn("_n", F.col("n").cast("double")), by, "_n", {"median_members": 0.5})
-    table = table.join(medians, by, "left")
+    table = join_same(table, medians, by, "left")
     return table.withColumn("pct_sig", 100 * F.col("n_sig") / F.col("n_tested")).withColumn("lff_iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
 
 

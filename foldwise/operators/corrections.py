@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,62 +12,82 @@ from pyspark.sql import functions as F
 from foldwise.functions.special import hypergeometric_upper
 from foldwise.operators.enrichment import SAME, bh_adjust
 from foldwise.operators.joins import jaccard_matrix
+from foldwise.operators.keys import join_same
 from foldwise.operators.ordering import ranked
 from foldwise.operators.sampling import shuffle_key
-from foldwise.session import materialise
+from foldwise.session import bounded, materialise
+
+
+def scattered_sql(x: str, side: str, key: Callable[[int], str], div: str) -> str:
+    """A keyed bijection on the numbers below ``side`` squared, as SQL: four Feistel rounds on (x div side, x mod side).
+
+    ``key(j)`` names the j-th of eight integers below 65536; ``div`` is the engine's integer division.
+    """
+    left, right = f"({x} {div} {side})", f"({x} % {side})"
+    for j in range(0, 8, 2):
+        left, right = right, f"(({left} + ({right} * {key(j)} + {key(j + 1)}) % 65521) % {side})"
+    return f"({left} * {side} + {right})"
+
 
 def permuted_sides(classes: DataFrame, by: Sequence[str], n_perm: int, seed: int) -> DataFrame:
-    """Features on a side in each permutation: (by, perm, feature_id, side).
+    """Feature numbers on a side in each permutation: (by, perm, number, down).
 
-    Shuffling fold changes over features is the same as drawing which ``k`` land
-    on each side, so each feature gets a uniform number per permutation and the
-    ``k`` smallest are 'down', the ``k`` largest 'up'.  Only rows near the two
-    ends can be chosen; the others are dropped before anything is shuffled or
-    sorted, and a permutation left with fewer than ``k`` rows fails the job.
+    Shuffling fold changes over features is the same as drawing which ``k`` land on
+    each side.  A keyed bijection scatters 0, 1, 2, ... over the least square that
+    holds all features; of its values the first ``2 k`` that number a feature are the
+    draw, so only those are ever made.
     """
-    rows = classes.select(*by, "feature_id", "n", "k").where("k > 0")
-    rows = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    key = shuffle_key(F.col("feature_id"), F.col("perm"), F.lit(seed), *[F.col(c) for c in by])
-    rows = rows.withColumn("_key", key)
-    uniform = F.conv(F.substring("_key", 1, 12), 16, 10).cast("double") / float(16**12)
-    reach = (F.col("k") + 8 * F.sqrt("k") + 20) / F.col("n")
-    rows = rows.withColumn("_u", uniform).withColumn("_reach", reach)
-    low, high = F.col("_u") <= F.col("_reach"), F.col("_u") >= 1 - F.col("_reach")
-    ends = F.filter(F.array(F.when(low, F.lit("down")), F.when(high, F.lit("up"))), lambda s: s.isNotNull())
-    rows = rows.withColumn("side", F.explode(ends))
-    place = F.when(F.col("side") == "down", F.col("_u")).otherwise(1 - F.col("_u"))
-    keys = [*by, "perm", "side"]
-    rows = materialise(rows.withColumn("_place", place).select(*keys, "feature_id", "k", "_place"))
-    chosen = ranked(rows, keys, [F.col("_place"), F.col("feature_id")], "_r")
-    short = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), F.max("k").alias("_k")).where("_m < _k").limit(1).count()
-    if short:
-        raise RuntimeError("a permutation has too few candidate rows; widen its reach")
-    return chosen.where(F.col("_r") <= F.col("k")).select(*keys, "feature_id")
+    sizes = classes.where("k > 0").groupBy(*by).agg(F.max("n").alias("n"), F.max("k").alias("k"))
+    rows = sizes.withColumn("side", F.ceil(F.sqrt("n")).cast("long")).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    rows = rows.withColumn("_h", shuffle_key(F.col("perm"), F.lit(seed), *[F.col(c) for c in by]))
+    rows = rows.withColumns({f"_k{j}": F.conv(F.substring("_h", 4 * j + 1, 4), 16, 10).cast("long") for j in range(8)})
+    tasks = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *by, "perm")
+    at = scattered_sql("x", "side", lambda j: f"_k{j}", "div")
+    drawn = F.expr(f"slice(filter(transform(sequence(0L, 2 * k + side * side - n - 1), x -> {at}), y -> y < n), 1, cast(2 * k AS int))")
+    rows = rows.select(*by, "perm", "k", F.posexplode(drawn).alias("_at", "number"))
+    return rows.select(*by, "perm", "number", (F.col("_at") < F.col("k")).alias("down"))
 
 
 def permutation_pvalues(classes: DataFrame, members: DataFrame, results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42) -> DataFrame:
     """Empirical p per (comparison, set): (1 + permutations with p <= observed) / (n_perm + 1).
 
-    Only the hits of a set change between permutations, so counts are aggregated
-    per (comparison, permutation, set); a set with no hit on either side has p = 1.
+    Only the hits of a set change between permutations.  Draws stay where their
+    permutation is, so hits are counted without a shuffle; each pair of counts is then
+    one row however many permutations gave it, and an exact test is worked out once
+    for each distinct table.  A set with no hit on either side has p = 1.
     """
     by = list(by)
-    sides = permuted_sides(classes, by, n_perm, seed)
-    hits = sides.join(members, "feature_id").groupBy(*by, "perm", "set_id").agg(
-        F.count_if(F.col("side") == "up").alias("_up"), F.count_if(F.col("side") == "down").alias("_down"))
+    numbered = ranked(classes.select(*by, "feature_id"), by, [F.col("feature_id")], "number").withColumn("number", F.col("number") - 1)
+    sets = numbered.join(members, "feature_id").groupBy(*by, "number").agg(F.collect_list("set_id").alias("_sets"))
+    hits = join_same(permuted_sides(classes, by, n_perm, seed), bounded(sets), [*by, "number"])
+    hits = hits.select(*by, "perm", "down", F.explode("_sets").alias("set_id")).groupBy(*by, "perm", "set_id").agg(
+        F.count_if(~F.col("down")).alias("_up"), F.count_if("down").alias("_down"))
+    pairs = hits.groupBy(*by, "set_id", "_up", "_down").agg(F.count(F.lit(1)).alias("_times"))
     observed = results.select(*by, "set_id", F.col("p").alias("_p"), (F.col("a_up") + F.col("a_down") + F.col("c")).alias("_hits"), "n_up", "n_bg")
-    rows = hits.join(observed, [*by, "set_id"])
-    rows = rows.withColumn("_c", F.col("_hits") - F.col("_up") - F.col("_down"))
+    rows = materialise(join_same(pairs, observed, [*by, "set_id"]))
+    cells = ["n_up", "n_bg", "_hits", "_up", "_down"]
+    tables = rows.select(*cells).distinct().withColumn("_c", F.col("_hits") - F.col("_up") - F.col("_down"))
     up = hypergeometric_upper("_up", "n_up - _up", "_c", "n_bg - _c")
     down = hypergeometric_upper("_down", "n_up - _down", "_c", "n_bg - _c")
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks).withColumn("_null", F.least(up, down))
-    beaten = rows.groupBy(*by, "set_id").agg(F.count_if(F.col("_null") <= F.col("_p") * (1 + SAME)).alias("_n"))
-    joined = results.join(beaten, [*by, "set_id"], "left")
+    tables = materialise(tables.repartition(tasks).select(*cells, F.least(up, down).alias("_null")))
+    beaten = rows.join(tables, cells).groupBy(*by, "set_id").agg(F.sum(F.when(F.col("_null") <= F.col("_p") * (1 + SAME), F.col("_times"))).alias("_n"))
+    joined = join_same(results, beaten, [*by, "set_id"], "left")
     count = F.when(F.col("p") * (1 + SAME) >= 1, F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
     return joined.withColumn("perm_p", (count + 1) / F.lit(n_perm + 1.0)).drop("_n")
 
 
+def participation(members: DataFrame) -> float:
+    """Effective number of independent sets: n squared over the sum of all squared Jaccard indices.
+
+    n for sets without a common member, 1 for n equal ones; nothing but two sums leaves the cluster.
+    """
+    n = members.select("set_id").distinct().count()
+    square = jaccard_matrix(members).agg(F.sum(F.pow("jaccard", F.lit(2)))).first()[0] or 0.0
+    return round(n * n / (n + 2 * square), 6) if n else 0.0
+
+
 # The eigenvalue step needs all sets in one matrix; above this many sets refuse.
 MAX_SETS = 4000
 

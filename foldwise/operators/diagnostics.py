@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.special import normal_quantile
 from foldwise.operators.normalise import safe_ratio_lfc
-from foldwise.operators.ordering import group_percentiles, ranked
-from foldwise.operators.sampling import sample_rows, top_marker
+from foldwise.operators.ordering import group_percentiles, ranked, sized, whole_percentiles
+from foldwise.operators.sampling import top_marker
 from foldwise.operators.stats import correlations, linear_fit, safe_corr
-from foldwise.session import bounded
+from foldwise.session import bounded, written
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def binned(df: DataFrame, value: str, low: Column, high: Column, bins: int) -> C
 def dropout_by_intensity(cells: DataFrame, bins: int = 50, least: int = 50) -> DataFrame:
     """Share of missing cells by log10 expected intensity, between its 1st and 99th percentile."""
     rows = cells.where("mu > 0").withColumn("_x", F.log10("mu"))
-    rows = with_scalar(rows, group_percentiles(rows, [], "_x", {"_low": 0.01, "_high": 0.99}))
+    cuts = whole_percentiles(rows, "_x", {"_low": 0.01, "_high": 0.99})
+    rows = rows.withColumns({name: F.lit(v).cast("double") for name, v in cuts.items()})
     table = rows.withColumn("bin", binned(rows, "_x", F.col("_low"), F.col("_high"), bins)).groupBy("bin").agg(
         F.avg(F.col("value").isNull().cast("double")).alias("dropout"), F.count(F.lit(1)).alias("n"),
         F.first(F.col("_low")).alias("_low"), F.first(F.col("_high")).alias("_high"))
@@ -95,11 +96,11 @@ def standardised_residuals(cells: DataFrame, power: float, least: int = 10) -> D
     return rows.join(scale, "feature_id").select("feature_id", "sample_id", F.explode(both).alias("_r")).select("feature_id", "sample_id", "_r.*").where("residual IS NOT NULL")
 
 
-def normal_qq(df: DataFrame, value: str, key: str, n: int = 5000, seed: int = 42) -> DataFrame:
-    """Normal quantile against sample quantile for at most ``n`` sampled rows (a sampling operator)."""
-    picked = sample_rows(df.select(key, value), n, seed, key)
-    m = min(n, df.count())
-    rows = ranked(picked, [], [F.col(value), F.col(key)], "rank")
+def normal_qq(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Normal quantile against sample quantile of every row."""
+    picked, fits = sized(df.select(key, value), [])
+    m = picked.count()
+    rows = ranked(picked, [], [F.col(value), F.col(key)], "rank", fits)
     return rows.select("rank", normal_quantile(f"(rank - 0.5D) / {m}").alias("theoretical"), F.col(value).alias("observed"))
 
 
@@ -145,7 +146,8 @@ def profile_means(expr: DataFrame) -> DataFrame:
     return expr.groupBy("grp", "gene").agg(F.avg("value").alias("mean"))
 
 
-BLOCKS = 16
+# Genes that one task pairs with as many others.
+BLOCK_GENES = 256
 
 
 def profile_covariance(expr: DataFrame, samples: Sequence[str]) -> DataFrame:
@@ -159,13 +161,17 @@ def profile_covariance(expr: DataFrame, samples: Sequence[str]) -> DataFrame:
     rows = centred.select("grp", "gene", values.alias("_v"))
     mean = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / len(samples)
     rows = rows.withColumn("_m", mean).select("grp", "gene", F.expr("transform(_v, v -> v - _m)").alias("_v"))
-    # A group has far more pairs than one task should make: one side is split into
-    # blocks and the other repeated for each.
-    left = rows.withColumnRenamed("gene", "gene_a").withColumn("_block", F.pmod(F.xxhash64("gene_a"), F.lit(BLOCKS)).cast("int"))
-    right = rows.select("grp", F.col("gene").alias("gene_b"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_block"))
-    pairs = left.join(right, ["grp", "_block"]).where(F.col("gene_a") <= F.col("gene_b"))
+    # A group has far more pairs than one task should make: genes fall into blocks, as
+    # many as the largest group needs, and every two blocks meet once.
+    rows = written(rows)
+    largest = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    blocks = -(-largest // BLOCK_GENES) or 1
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("gene"), F.lit(blocks)))
+    left = rows.select("grp", "gene", "_v", F.col("_b").alias("_lo"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1).cast("long"))).alias("_hi"))
+    right = rows.select("grp", F.col("gene").alias("_other"), F.col("_v").alias("_w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_lo"), F.col("_b").alias("_hi"))
+    pairs = left.join(right, ["grp", "_lo", "_hi"]).where("_lo < _hi OR gene <= _other")
     product = F.expr("aggregate(zip_with(_v, _w, (a, b) -> a * b), 0D, (s, v) -> s + v)")
-    return pairs.select("grp", "gene_a", "gene_b", (product / (len(samples) - 1)).alias("covariance"))
+    return pairs.select("grp", F.least("gene", "_other").alias("gene_a"), F.greatest("gene", "_other").alias("gene_b"), (product / (len(samples) - 1)).alias("covariance"))
 
 
 def condition_lfc(m: DataFrame, control: str) -> DataFrame:

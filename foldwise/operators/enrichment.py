@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.columns import TIER_BOUNDS, clean, evidence_tier, log2_fold_change
 from foldwise.functions.special import hypergeometric_upper
-from foldwise.operators.ordering import group_percentiles, groups_fit, ranked, running
-from foldwise.session import bounded, materialise
+from foldwise.operators.keys import join_same
+from foldwise.operators.ordering import group_percentiles, ranked, running, sized
+from foldwise.session import bounded, materialise, written
 
 # The reported thresholds.
 PERCENT = 5.0        # share of features called up, and share called down
@@ -45,8 +46,9 @@ def fold_changes(
 
 def foreground_gate(lfc: DataFrame, by: Sequence[str], min_p95: float = MIN_P95) -> DataFrame:
     """Keep comparisons whose 95th percentile of |fold change| reaches ``min_p95``."""
+    lfc = written(lfc)
     sizes = group_percentiles(lfc.withColumn("_abs", F.abs("lfc")), by, "_abs", {"p95": 0.95})
-    return lfc.join(bounded(sizes.where(F.col("p95") >= min_p95).select(*by)), list(by), "left_semi")
+    return join_same(lfc, bounded(sizes.where(F.col("p95") >= min_p95).select(*by)), by, "left_semi")
 
 
 def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feature: str = "feature_id") -> DataFrame:
@@ -55,13 +57,13 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
     Adds ``n`` (features in the comparison) and ``k`` (features per side).  Ties
     in the fold change go by feature id, so one ascending rank serves both sides.
     """
-    fits = groups_fit(lfc, by)
+    lfc, fits = sized(lfc, by)
     rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
     if fits:
         rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     else:
         sizes = lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(bounded(sizes), list(by))
+        rows = join_same(rows, bounded(sizes), by)
     rows = rows.withColumn("k", F.floor(F.col("n") * F.lit(pct) / 100).cast("long"))
     side = F.when(F.col("_rank") <= F.col("k"), "down").when(F.col("_rank") > F.col("n") - F.col("k"), "up").otherwise("bg")
     return rows.withColumn("class", side).drop("_rank")
@@ -69,9 +71,9 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
 
 def classify_at(lfc: DataFrame, by: Sequence[str], pcts: Sequence[float], feature: str = "feature_id") -> DataFrame:
     """Classes at several shares from one ranking; ``pct`` becomes a further comparison key."""
-    fits = groups_fit(lfc, by)
+    lfc, fits = sized(lfc, by)
     rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
-    rows = rows.join(bounded(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))), list(by))
+    rows = join_same(rows, bounded(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))), by)
     rows = rows.withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in pcts])))
     k = F.floor(F.col("n") * F.col("pct") / 100)
     side = F.when(F.col("_rank") <= k, "down").when(F.col("_rank") > F.col("n") - k, "up").otherwise("bg")
@@ -113,7 +115,7 @@ def contingency(classes: DataFrame, members: DataFrame, by: Sequence[str]) -> Da
         F.count_if(F.col("class") == "down").alias("a_down"),
         F.count_if(F.col("class") == "bg").alias("c"),
     )
-    return hits.join(bounded(sizes), list(by))
+    return join_same(hits, bounded(sizes), by)
 
 
 def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -155,14 +157,14 @@ def bh_adjust(
     ``m_eff`` replaces the number of tests; without it this is Benjamini-Hochberg.
     """
     by = list(by)
-    fits = groups_fit(df, by)
+    df, fits = sized(df, by)
     rows = ranked(df, by, [F.col(p), F.col(tie)], "_rank", fits)
     if m_eff is not None:
         rows = rows.withColumn("_m", F.lit(float(m_eff)))
     elif fits:
         rows = rows.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     else:
-        rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))), by)
+        rows = join_same(rows, bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))), by)
     rows = running(rows, by, "_rank", F.col(p) * F.col("_m") / F.col("_rank"), "_adj", "min", reverse=True, fits=fits)
     return rows.withColumn(name, F.greatest(F.least("_adj", F.lit(1.0)), F.lit(0.0))).drop("_rank", "_m", "_adj")
 
@@ -177,7 +179,7 @@ def enriched_members(classes: DataFrame, members: DataFrame, results: DataFrame,
     side = F.when(F.col("direction") == "-", "down").otherwise("up")
     wanted = results.select(*by, "set_id", side.alias("class"))
     hits = classes.where(F.col("class") != "bg").join(members, "feature_id")
-    return hits.join(wanted, [*by, "set_id", "class"]).select(*by, "set_id", "feature_id", "class", "lfc")
+    return join_same(hits, wanted, [*by, "set_id", "class"]).select(*by, "set_id", "feature_id", "class", "lfc")
 
 
 def substrate_stats(
@@ -218,7 +220,8 @@ def significance_tier(
     p_display: float = P_DISPLAY, tail: float = TAIL,
 ) -> DataFrame:
     """Label rows significant / display / non_significant; adds the comparison's tail bounds."""
-    rows = results.join(tail_bounds(results, by, tail), list(by))
+    results = written(results)
+    rows = join_same(results, tail_bounds(results, by, tail), by)
     tier = (
         F.when(significant(F.col(p_col), F.col("lff"), p_sig, lff_min), "significant")
         .when(in_tail() & (F.col(p_col) < p_display), "display")
@@ -229,5 +232,5 @@ def significance_tier(
 
 def attach_evidence(results: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join member statistics and label their strength."""
-    joined = results.join(stats, [*by, "set_id"], "left")
+    joined = join_same(results, stats, [*by, "set_id"], "left")
     return joined.withColumn("evidence", evidence_tier(F.col("median_lfc"), TIER_BOUNDS))

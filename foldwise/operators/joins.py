@@ -93,9 +93,8 @@ def merge_metadata(df: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     return df.join(meta, key)
 
 
-# Beyond this many sets on one feature its pairs are spread over several tasks.
-HOT_DEGREE = 200
-SALTS = 16
+# Sets of one feature that one task pairs with all others; a feature in more is spread over that many times the tasks.
+SALT_SETS = 200
 
 
 def set_overlaps(members: DataFrame, families: DataFrame | None = None) -> DataFrame:
@@ -111,11 +110,9 @@ def set_overlaps(members: DataFrame, families: DataFrame | None = None) -> DataF
         rows, keys = rows.join(families, "set_id"), ["feature_id", "family"]
     degree = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_degree")).where("_degree > 1")
     rows = rows.join(degree, keys)
-    hot = F.col("_degree") > HOT_DEGREE
-    left = rows.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).otherwise(F.lit(0))).withColumnRenamed("set_id", "set_a")
-    every = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = rows.withColumn("_salt", F.explode(every)).withColumnRenamed("set_id", "set_b").drop("_degree")
-    left = left.withColumn("_salt", F.col("_salt").cast("int")).drop("_degree")
+    salts = F.ceil(F.col("_degree") / SALT_SETS)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("set_id"), salts)).withColumnRenamed("set_id", "set_a").drop("_degree")
+    right = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumnRenamed("set_id", "set_b").drop("_degree")
     pairs = left.join(right, [*keys, "_salt"]).where(F.col("set_a") < F.col("set_b"))
     return pairs.groupBy(*(["family"] if families is not None else []), "set_a", "set_b").agg(F.count(F.lit(1)).alias("shared"))
 

@@ -299,19 +299,26 @@ def effects_long(params: DataFrame, groups: Sequence[str], conditions: Sequence[
     return params.select("feature_id", F.inline(cells))
 
 
-def mean_model(params: DataFrame, profiles: DataFrame, covariate: DataFrame | None, design: DataFrame, groups: Sequence[str]) -> DataFrame:
+def mean_model(
+    params: DataFrame, profiles: DataFrame, covariate: tuple[DataFrame, DataFrame] | None, design: DataFrame, groups: Sequence[str]
+) -> DataFrame:
     """Group signal per (feature, group, sample): base + block + rho * r + effects, before clipping.
 
     ``design`` is (grp, sample_id, fraction, first, second, both, female, time2, time3),
-    a few rows per group; the last group has no condition effects.
+    a few rows per group; the last group has no condition effects.  ``covariate`` is the
+    pair of tables of ``covariate_by_genes``.  Everything meets by feature, one partitioning
+    that the sum over groups uses again; the design and the covariate of a gene list
+    come to the rows, so cells are not shuffled.
     """
     position = F.create_map(*[F.lit(x) for k, g in enumerate(groups) for x in (g, k + 1)])
-    rows = profiles.join(params.drop("stratum"), "feature_id").join(bounded(design), "grp")
+    rows = profiles.join(params.drop("stratum"), "feature_id")
     beta = lambda j: F.coalesce(F.element_at(F.try_element_at("beta", position[F.col("grp")]), j), F.lit(0.0))
     if covariate is None:
-        rows = rows.withColumn("r", F.lit(0.0))
+        rows = rows.join(bounded(design), "grp").withColumn("r", F.lit(0.0))
     else:
-        rows = rows.join(covariate, ["feature_id", "grp", "sample_id"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+        features, values = covariate
+        rows = rows.join(features, "feature_id", "left").join(bounded(design), "grp")
+        rows = rows.join(bounded(values), ["genes", "grp", "sample_id"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     block = F.col("alpha_gen") * F.col("female") + F.element_at("alpha_time", 1) * F.col("time2") + F.element_at("alpha_time", 2) * F.col("time3")
     effect = beta(1) * F.col("first") + beta(2) * F.col("second") + beta(3) * F.col("both")
     return rows.select("feature_id", "grp", "sample_id", "fraction", F.col("value").alias("base"), "phi", (F.col("value") + block + F.col("rho") * F.col("r") + effect).alias("signal"))

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.ordering import group_percentiles
-from foldwise.session import bounded
+from foldwise.operators.ordering import group_percentiles, whole_percentiles
+from foldwise.session import bounded, written
 
 
 def pooled_sums(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -65,15 +65,13 @@ def zscore(expr: DataFrame, by: Sequence[str], value: str = "value") -> DataFram
 def intensity_strata(df: DataFrame, value: str, q: int = 4) -> DataFrame:
     """Quantile bins of ``value``, closed on the left, numbered from 0.
 
-    The inner edges are three numbers in one row; the row joins by a constant key.
-    A value equal to an edge up to rounding counts as reaching it.
+    The inner edges are ``q - 1`` numbers, found without sorting the column.  A value
+    equal to an edge up to rounding counts as reaching it.
     """
-    probs = {f"_e{k}": k / q for k in range(1, q)}
-    edges = group_percentiles(df, [], value, probs).withColumn("_one", F.lit(0))
-    rows = df.withColumn("_one", F.lit(0)).join(F.broadcast(edges), "_one")
-    reached = [F.when(F.col(value) >= F.col(e) - 1e-9, 1).otherwise(0) for e in probs]
-    stratum = sum(reached[1:], reached[0])
-    return rows.withColumn("stratum", stratum.cast("int")).drop("_one", *probs)
+    df = written(df)
+    edges = whole_percentiles(df, value, {str(k): k / q for k in range(1, q)})
+    reached = [F.when(F.col(value) >= F.lit(e).cast("double") - 1e-9, 1).otherwise(0) for e in edges.values()]
+    return df.withColumn("stratum", sum(reached[1:], reached[0]).cast("int"))
 
 
 def condition_variation(expr: DataFrame, control: str) -> DataFrame:
@@ -84,17 +82,30 @@ def condition_variation(expr: DataFrame, control: str) -> DataFrame:
     return others.groupBy("grp", "condition").agg(F.avg(F.abs(F.col("_m") - F.col("_c"))).alias("score"))
 
 
-def expression_covariate(edges: DataFrame, expr: DataFrame, opposing: DataFrame) -> DataFrame:
-    """Mean expression of a feature's upstream genes minus the mean of the opposing genes.
+def covariate_by_genes(edges: DataFrame, expr: DataFrame, opposing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mean expression of each distinct upstream gene list minus the mean of the opposing genes.
 
-    ``edges`` is (feature_id, gene), ``opposing`` (gene).  Features without an
-    upstream gene have no rows: their covariate is 0.  The result has one row
-    per (feature, group, sample).
+    ``edges`` is (feature_id, gene), ``opposing`` (gene).  Features that share their
+    upstream genes share one mean, which is worked out once.  Gives (feature_id, genes)
+    and (genes, grp, sample_id, r), where ``genes`` numbers a list by its hash.
     """
+    lists = written(edges.groupBy("feature_id").agg(F.sort_array(F.collect_list("gene")).alias("_l")).select(
+        "feature_id", F.xxhash64("_l").alias("genes"), "_l"))
     against = expr.join(opposing.select("gene").distinct(), "gene", "left_semi").groupBy("grp", "sample_id").agg(F.avg("value").alias("_against"))
-    upstream = edges.join(expr, "gene").groupBy("feature_id", "grp", "sample_id").agg(F.avg("value").alias("_for"))
-    return upstream.join(bounded(against), ["grp", "sample_id"], "left").select(
-        "feature_id", "grp", "sample_id", (F.col("_for") - F.coalesce("_against", F.lit(0.0))).alias("r"))
+    members = lists.groupBy("genes").agg(F.first("_l").alias("_l")).select("genes", F.explode("_l").alias("gene"))
+    upstream = members.join(expr, "gene").groupBy("genes", "grp", "sample_id").agg(F.avg("value").alias("_for"))
+    values = upstream.join(bounded(against), ["grp", "sample_id"], "left").select(
+        "genes", "grp", "sample_id", (F.col("_for") - F.coalesce("_against", F.lit(0.0))).alias("r"))
+    return lists.select("feature_id", "genes"), values
+
+
+def expression_covariate(edges: DataFrame, expr: DataFrame, opposing: DataFrame) -> DataFrame:
+    """The covariate as one row per (feature, group, sample).
+
+    Features without an upstream gene have no rows: their covariate is 0.
+    """
+    features, values = covariate_by_genes(edges, expr, opposing)
+    return features.join(bounded(values), "genes").select("feature_id", "grp", "sample_id", "r")
 
 
 def impute_feature_mean(wide_rows: DataFrame) -> DataFrame:

@@ -1,20 +1,27 @@
 """Ranks, running values and percentiles that do not gather a large group in one task.
 
-A window over ``by`` sorts each group inside one task.  That is the best plan
-while the largest group is small, so every helper first checks the largest
-group (one aggregate job) and only then uses the window.  Beyond the bound,
-rows are range-partitioned by (by, order): a group then spans many tasks and
-its ranks come from each task's row positions plus per-task offsets.
+A window over ``by`` sorts each group inside one task.  That is the best plan while
+the largest group is small, so every helper first writes its input, unless it is a
+written table already, and checks the largest group there; the input's own plan
+runs once.  Beyond the bound, rows are range-partitioned by (by, order): a group
+then spans many tasks and its ranks come from each task's row positions plus
+per-task offsets.  Where equal values may fill a task, they are first folded into one
+row with their count.
+
+Both ways treat a missing key as a key, keep groups without any value, and give the
+same rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.session import bounded, materialise
+from foldwise.operators.keys import join_same
+from foldwise.session import bounded, materialise, written
 
 GROUP_ROWS = "foldwise.groupRows"
 DEFAULT_GROUP_ROWS = 2_000_000
@@ -25,11 +32,12 @@ def group_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(GROUP_ROWS, str(DEFAULT_GROUP_ROWS)))
 
 
-def groups_fit(df: DataFrame, by: Sequence[str]) -> bool:
-    """True when the largest group is small enough for one task."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+def sized(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, bool]:
+    """``df`` as a written table, and whether its largest group is small enough for one task."""
+    kept = written(df)
+    sizes = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max("n")).first()[0]
-    return (largest or 0) <= group_rows(df)
+    return kept, (largest or 0) <= group_rows(df)
 
 
 def ranked(
@@ -39,10 +47,13 @@ def ranked(
     name: str = "rank",
     fits: bool | None = None,
 ) -> DataFrame:
-    """Add the 1-based row number of each row within ``by``, exact at any group size."""
+    """Add the 1-based row number of each row within ``by``, exact at any group size.
+
+    ``order`` should tell rows apart: rows equal in all of it share a task.
+    """
     by = list(by)
     if fits is None:
-        fits = groups_fit(df, by)
+        df, fits = sized(df, by)
     if fits:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
@@ -60,7 +71,7 @@ def ranked(
     earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     return (
-        ordered.join(bounded(runs), [*by, "__task"])
+        join_same(ordered, bounded(runs), [*by, "__task"])
         .withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1)
         .drop("__at", "__task", "__first", "__before")
     )
@@ -80,7 +91,7 @@ def running(
     by = list(by)
     combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     if fits is None:
-        fits = groups_fit(df, by)
+        df, fits = sized(df, by)
 
     def upto(keys: list[str], column: str, last: int):
         order = F.col(column).desc() if reverse else F.col(column).asc()
@@ -94,7 +105,7 @@ def running(
     blocks = df.groupBy(*by, "__block").agg(combine("__v").alias("__total"))
     blocks = blocks.withColumn("__carry", combine("__total").over(upto(by, "__block", -1))).drop("__total")
     within = df.withColumn("__here", combine("__v").over(upto([*by, "__block"], rank, 0)))
-    joined = within.join(bounded(blocks), [*by, "__block"])
+    joined = join_same(within, bounded(blocks), [*by, "__block"])
     if how == "sum":
         total = F.col("__here") + F.coalesce("__carry", F.lit(0))
     else:
@@ -102,6 +113,17 @@ def running(
     return joined.withColumn(name, total).drop("__v", "__block", "__here", "__carry")
 
 
+def _folded(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each distinct value of a group with how many rows have it (``__n``) and how many up to it (``__upto``)."""
+    values = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
+    rows = ranked(values, by, [F.col(value)], "__i", fits=False)
+    return running(rows, by, "__i", F.col("__n"), "__upto", fits=False).drop("__i")
+
+
+def _interpolated(at: Column, low: Column, high: Column) -> Column:
+    return low + (high - low) * (at - F.floor(at))
+
+
 def group_percentiles(
     df: DataFrame,
     by: Sequence[str],
@@ -112,29 +134,78 @@ def group_percentiles(
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, plus ``extra`` aggregates."""
     by = list(by)
-    if not by:  # one group: give it a constant key so the code below needs no special case
-        whole = df.withColumn("__all", F.lit(0))
-        return group_percentiles(whole, ["__all"], value, probs, extra, fits).drop("__all")
+    if not by:
+        cuts = [F.lit(v).cast("double").alias(n) for n, v in whole_percentiles(df, value, probs).items()]
+        return (df.agg(*extra) if extra else df.sparkSession.range(1).select()).select("*", *cuts)
     if fits is None:
-        fits = groups_fit(df, by)
+        df, fits = sized(df, by)
     if fits:
         return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in probs.items()], *extra)
-    known = materialise(df.where(F.col(value).isNotNull()).select(*by, value))
-    rows = ranked(known, by, [F.col(value)], "__rank", fits=False)
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.join(bounded(sizes), by)
+    sizes = df.groupBy(*by).agg(F.count(value).alias("__all"), *extra)
+    rows = join_same(_folded(df, by, value), bounded(df.groupBy(*by).agg(F.count(value).alias("__of"))), by)
     aggs = []
     for name, q in probs.items():
-        at = (F.col("__n") - 1) * F.lit(float(q))
-        low = F.max(F.when(F.col("__rank") == F.floor(at) + 1, F.col(value)))
-        high = F.max(F.when(F.col("__rank") == F.ceil(at) + 1, F.col(value)))
-        part = F.max(at - F.floor(at))
-        aggs.append((low + (high - low) * part).alias(name))
-    cuts = rows.groupBy(*by).agg(*aggs)
-    if not extra:
-        return cuts
-    others = df.groupBy(*by).agg(*extra)
-    return others.join(cuts, by, "left")
+        at = (F.col("__of") - 1) * F.lit(float(q))
+        within = lambda place: F.max(F.when((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place), F.col(value)))
+        aggs.append(_interpolated(F.max(at), within(F.floor(at)), within(F.ceil(at))).alias(name))
+    return join_same(sizes, rows.groupBy(*by).agg(*aggs), by, "left").drop("__all")
+
+
+_BRACKET_VALUES = 50_000
+
+
+def whole_percentiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float | None]:
+    """Exact interpolated percentiles of a whole column, without sorting it.
+
+    A mergeable sketch brackets each wanted rank, a count tells how many values lie
+    below, and a bracket is narrowed until its distinct values are few enough to sort.
+    """
+    known = written(df.select(F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull()))
+    n, low, high = known.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return dict.fromkeys(probs)
+    places = {name: (n - 1) * float(q) for name, q in probs.items()}
+    ranks = sorted({r for at in places.values() for r in (math.floor(at), math.ceil(at))})
+    values = dict(zip(ranks, _few_values(known, ranks, 0) or [_at_rank(known, r, low, high) for r in ranks], strict=True))
+    return {name: values[math.floor(at)] + (values[math.ceil(at)] - values[math.floor(at)]) * (at - math.floor(at)) for name, at in places.items()}
+
+
+def _few_values(inside: DataFrame, ranks: Sequence[int], before: int) -> list[float] | None:
+    """Values at ascending 0-based ranks, if few distinct values lie inside; ``before`` rows are less than all of them."""
+    counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.limit(_BRACKET_VALUES + 1).collect()
+    if len(rows) > _BRACKET_VALUES:
+        return None
+    found, wanted = [], list(ranks)
+    for v, c in sorted(rows):
+        before += c
+        while wanted and wanted[0] < before:
+            found.append(v)
+            wanted.pop(0)
+    return found
+
+
+def _at_rank(known: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value at a 0-based rank, which lies between ``low`` and ``high``."""
+    slack = 0.01
+    while low < high:
+        inside = known.where(F.col("v").between(low, high))
+        before, held = known.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        found = _few_values(inside, [rank], before)
+        if found:
+            return found[0]
+        share = (rank - before) / held
+        at, mid, to = inside.approxQuantile("v", [max(0.0, share - slack), share, min(1.0, share + slack)], slack / 4)
+        if max(low, at) > low or min(high, to) < high:
+            low, high = max(low, at), min(high, to)
+            continue
+        # The sketch cannot part the ends: step over the value in the middle.
+        less, upto, under, over = known.agg(
+            F.count_if(F.col("v") < mid), F.count_if(F.col("v") <= mid), F.max(F.when(F.col("v") < mid, F.col("v"))), F.min(F.when(F.col("v") > mid, F.col("v")))).first()
+        if less <= rank < upto:
+            return mid
+        low, high = (low, under) if rank < less else (over, high)
+    return low
 
 
 def average_ranks(
@@ -143,11 +214,15 @@ def average_ranks(
     """Ranks with ties sharing their mean rank."""
     by = list(by)
     if fits is None:
-        fits = groups_fit(df, by)
+        df, fits = sized(df, by)
     if fits:
         order = Window.partitionBy(*by).orderBy(value)
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
         return df.withColumn(name, F.rank().over(order) + (ties - 1) / 2.0)
-    rows = ranked(df, by, [F.col(value)], "__rank", fits=False)
-    ties = rows.groupBy(*by, value).agg(((F.min("__rank") + F.max("__rank")) / 2.0).alias(name))
-    return rows.drop("__rank").join(ties, [*by, value])
+    values = materialise(_folded(df, by, value).withColumn(name, F.col("__upto") - (F.col("__n") - 1) / 2.0).drop("__upto"))
+    # A value that fills a task is joined by broadcast: there are at most rows / bound of them.
+    often = F.col("__n") > group_rows(df)
+    hot = bounded(values.where(often).drop("__n"))
+    rest = values.where(~often).drop("__n")
+    marked = join_same(df, hot, [*by, value], "left")
+    return marked.where(F.col(name).isNotNull()).unionByName(join_same(marked.where(F.col(name).isNull()).drop(name), rest, [*by, value]).select(*marked.columns))

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.keys import join_same
 from foldwise.operators.ordering import ranked
-from foldwise.session import bounded
+from foldwise.session import bounded, written
 
 
 def shuffle_key(*parts: Column) -> Column:
@@ -38,9 +39,10 @@ def top_marker(samples: DataFrame, marker: str, name: str, n: int = 12, tie: str
 
 def stratified_sample(df: DataFrame, stratum: str, share: float, least: int, seed: int, key: str = "feature_id") -> DataFrame:
     """A share of each stratum, at least ``least`` rows (a sampling operator)."""
+    df = written(df)
     sizes = df.groupBy(stratum).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(share)), F.lit(least)).alias("_take"))
     rows = ranked(df, [stratum], [shuffle_key(F.col(key), F.lit(seed)), F.col(key)], "_r")
-    return rows.join(bounded(sizes), stratum).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    return join_same(rows, bounded(sizes), [stratum]).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "feature_id") -> DataFrame:
@@ -50,10 +52,10 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: str = "feature_id") -> Da
 
 def restricted_permutation(samples: DataFrame, block: Sequence[str], label: str, seed: int, key: str = "sample_id") -> DataFrame:
     """Permute ``label`` among the rows of each block."""
-    block = list(block)
+    block, samples = list(block), written(samples)
     own = ranked(samples, block, [F.col(key)], "_r")
     other = ranked(samples, block, [shuffle_key(F.col(key), F.lit(seed)), F.col(key)], "_r")
-    return own.drop(label).join(other.select(*block, "_r", label), [*block, "_r"]).drop("_r")
+    return join_same(own.drop(label), other.select(*block, "_r", label), [*block, "_r"]).drop("_r")
 
 
 def paginate(df: DataFrame, pages: int, order: Sequence[Column]) -> DataFrame:

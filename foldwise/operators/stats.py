@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.special import chi2_upper_df3, correlation_p, signed_rank_p, t_two_sided
-from foldwise.operators.ordering import average_ranks, groups_fit
+from foldwise.operators.keys import join_same
+from foldwise.operators.ordering import average_ranks, sized
 
 # Below this standard deviation a column counts as constant.
 CONSTANT = 1e-10
@@ -35,7 +36,7 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman (mean ranks for ties) per group, with two-sided p values."""
     by = list(by)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    fits = groups_fit(rows, by)
+    rows, fits = sized(rows, by)
     rows = average_ranks(average_ranks(rows, by, x, "_rx", fits), by, y, "_ry", fits)
     table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
     return table.withColumn("pearson_p", correlation_p("pearson", "n")).withColumn("spearman_p", correlation_p("spearman", "n"))
@@ -58,11 +59,11 @@ def mean_tests(df: DataFrame, by: Sequence[str], d: str) -> DataFrame:
     signed = moved.groupBy(*by).agg(
         F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("_plus"),
         F.sum(F.when(F.col(d) < 0, F.col("_rank")).otherwise(0.0)).alias("_minus"), F.count(F.lit(1)).alias("_n"))
-    signed = (signed.join(ties, by) if by else signed.withColumn("_k", F.lit(0)).join(ties.withColumn("_k", F.lit(0)), "_k").drop("_k"))
+    signed = (join_same(signed, ties, by) if by else signed.withColumn("_k", F.lit(0)).join(ties.withColumn("_k", F.lit(0)), "_k").drop("_k"))
     signed = signed.withColumn("w", F.least("_plus", "_minus"))
     w_p = signed_rank_p("w", "_n", "_n * (_n + 1) * (2 * _n + 1) / 24 - _ties / 48", "_ties = 0")
     signed = signed.select(*by, "w", w_p.alias("w_p"))
-    return table.join(signed, by, "left") if by else table.withColumn("_k", F.lit(0)).join(signed.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return join_same(table, signed, by, "left") if by else table.withColumn("_k", F.lit(0)).join(signed.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
 
 def kruskal(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
@@ -71,7 +72,8 @@ def kruskal(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFra
     ranked = average_ranks(df.where(F.col(value).isNotNull()), by, value, "_rank")
     ties = ranked.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*by).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
     sums = ranked.groupBy(*by, group).agg(F.sum("_rank").alias("_s"), F.count(F.lit(1)).alias("_m"))
-    table = sums.groupBy(*by).agg(F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"), F.sum("_m").alias("n"), F.count(F.lit(1)).alias("n_groups")).join(ties, by)
+    table = sums.groupBy(*by).agg(F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"), F.sum("_m").alias("n"), F.count(F.lit(1)).alias("n_groups"))
+    table = join_same(table, ties, by)
     n = F.col("n")
     h = (12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (F.pow(n, F.lit(3)) - n))
     return table.select(*by, "n", "n_groups", h.alias("h")).withColumn("p", F.when(F.col("n_groups") == 4, chi2_upper_df3("greatest(h, 0D)")))

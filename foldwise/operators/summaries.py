@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.enrichment import LFF_MIN, P_SIG, significant
 from foldwise.operators.joins import refilter_grid, threshold_grid
-from foldwise.operators.ordering import groups_fit, ranked, running
-from foldwise.session import bounded
+from foldwise.operators.keys import join_same
+from foldwise.operators.ordering import ranked, running, sized
+from foldwise.session import bounded, written
 
 P_FLOOR = 1e-300
 
@@ -245,17 +246,17 @@ def top_k_share(df: DataFrame, by: Sequence[str], value: str, k: int, tie: str =
     order = Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(tie))
     top = df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy(*by).agg(F.sum(value).alias("_top"))
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return totals.join(top, list(by)).select(*by, F.try_divide(F.col("_top"), F.col("_total")).alias(f"top{k}_share"))
+    return join_same(totals, top, by).select(*by, F.try_divide(F.col("_top"), F.col("_total")).alias(f"top{k}_share"))
 
 
 def lorenz(df: DataFrame, by: Sequence[str], value: str, tie: str = "set_id") -> DataFrame:
     """Lorenz curve points per group with the origin; the diagonal when the total is 0."""
     by = list(by)
-    fits = groups_fit(df, by)
+    df, fits = sized(df, by)
     rows = ranked(df, by, [F.col(value), F.col(tie)], "_i", fits)
     rows = running(rows, by, "_i", F.col(value), "_cum", "sum", fits=fits)
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(bounded(totals), by)
+    rows = join_same(rows, bounded(totals), by)
     diagonal = F.when(F.col("_n") > 1, (F.col("_i") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     flat = F.col("_total") == 0
     points = rows.select(
@@ -269,8 +270,9 @@ def lorenz(df: DataFrame, by: Sequence[str], value: str, tie: str = "set_id") ->
 def higher_criticism(df: DataFrame, by: Sequence[str], p: str, tie: str = "set_id") -> DataFrame:
     """Largest standardised excess of small p over its first half, and its 1-based index."""
     by = list(by)
-    rows = ranked(df, by, [F.col(p), F.col(tie)], "_i")
-    rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
+    df, fits = sized(df, by)
+    rows = ranked(df, by, [F.col(p), F.col(tie)], "_i", fits)
+    rows = join_same(rows, bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
     rows = rows.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)))
     q = F.col(p)
     score = F.when((q > 0) & (q < 1), F.sqrt("_n") * (F.col("_i") / F.col("_n") - q) / F.sqrt(q * (1 - q)))
@@ -281,12 +283,13 @@ def higher_criticism(df: DataFrame, by: Sequence[str], p: str, tie: str = "set_i
 def signal_concentration(results: DataFrame, by: Sequence[str], p: str = "p", adj: str = "adj_p", ks: Sequence[int] = (10, 20)) -> DataFrame:
     """One row per comparison: concentration, higher criticism and counts at fixed cut-offs."""
     by = list(by)
+    results = written(results)
     rows = results.withColumn("_e", evidence(F.col(p)))
     out = rows.groupBy(*by).agg(
         F.count_if(F.col(p) < 0.001).alias("n_p001"), F.count_if(F.col(p) < 0.01).alias("n_p01"), F.count_if(F.col(p) < 0.05).alias("n_p05"),
         F.count_if(F.col(adj) < 0.1).alias("n_adj10"), F.sum("_e").alias("total_evidence"), F.max("_e").alias("max_evidence"))
     for part in [gini(rows, by, "_e"), *[top_k_share(rows, by, "_e", k) for k in ks], higher_criticism(results, by, p)]:
-        out = out.join(part, by)
+        out = join_same(out, part, by)
     return out
 
 
@@ -300,8 +303,9 @@ def single_versus_combined(summary: DataFrame, context: Sequence[str], value: st
 def qq_points(df: DataFrame, by: Sequence[str], p: str, tie: str = "set_id") -> DataFrame:
     """Expected and observed -log10 p, paired by rank."""
     by = list(by)
-    rows = ranked(df, by, [F.col(p), F.col(tie)], "rank")
-    rows = rows.join(bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
+    df, fits = sized(df, by)
+    rows = ranked(df, by, [F.col(p), F.col(tie)], "rank", fits)
+    rows = join_same(rows, bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))), by)
     return rows.select(*by, "rank", (-F.log10(F.col("rank") / (F.col("_n") + 1))).alias("expected"), evidence(F.least(F.col(p), F.lit(1.0))).alias("observed"))
 
 

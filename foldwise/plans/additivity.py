@@ -8,6 +8,7 @@ from foldwise.operators import additivity as ad
 from foldwise.operators import stats as st
 from foldwise.operators import summaries as su
 from foldwise.plans import inputs as i
+from foldwise.plans import tails
 from foldwise.plans.registry import fragment, query
 from foldwise.plans.summaries import with_evidence
 
@@ -65,12 +66,13 @@ fragment("rounded_triplets", "SELECT * REPLACE (round(lff_sum, 6) AS lff_sum, ro
 fragment("paired", _spearman("lff_sum", "lff_T12", "grp, timepoint", "rounded_triplets"), "rounded_triplets")
 
 
-@query("E18 C13 H8", """SELECT grp, timepoint, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(mean_residual, 6) AS mean_residual, round(std_residual, 6) AS std_residual
+@query("E18 C13 H8", f"""SELECT grp, timepoint, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(mean_residual, 6) AS mean_residual, round(std_residual, 6) AS std_residual,
+  round({tails.correlation("pearson", "n")}, 6) AS pearson_p, round({tails.correlation("spearman", "n")}, 6) AS spearman_p
 FROM (SELECT grp, timepoint, count(*) AS n, corr(lff_sum, lff_T12) AS pearson, corr(rx, ry) AS spearman FROM paired GROUP BY ALL)
 JOIN (SELECT grp, timepoint, avg(lff_residual) AS mean_residual, stddev_samp(lff_residual) AS std_residual FROM triplets GROUP BY ALL) USING (grp, timepoint)""", "paired triplets")
 def additivity_stats(spark, sf):
     df = i.rounded(i.triplets(spark, sf), "lff_sum", "lff_T12")
-    return i.rounded(ad.additivity_stats(df, i.CONTEXT, "T12"), "pearson", "spearman", "mean_residual", "std_residual").drop("pearson_p", "spearman_p")
+    return i.rounded(ad.additivity_stats(df, i.CONTEXT, "T12"), "pearson", "spearman", "mean_residual", "std_residual", "pearson_p", "spearman_p")
 
 
 @query("E18 E15", """SELECT timepoint, category, count(*) AS n, round(avg(lff_residual), 6) AS mean_residual FROM categories GROUP BY ALL""", "categories")
@@ -108,7 +110,7 @@ def equal_hit_counts(spark, sf):
 
 fragment("gini_difference", """SELECT grp, timepoint, round(c - (a + b) / 2, 9) AS difference FROM (SELECT grp, timepoint, max(gini) FILTER (condition = 'T1') AS a,
   max(gini) FILTER (condition = 'T2') AS b, max(gini) FILTER (condition = 'T12') AS c FROM gini GROUP BY ALL) WHERE a + b + c IS NOT NULL""", "gini")
-_T_TEST = "count(*) AS n, round(avg(difference), 6) AS mean, round(avg(difference) / (stddev_samp(difference) / sqrt(count(*))), 6) AS t, count(*) FILTER (difference < 0) AS n_negative"
+_T_TEST = "count(*) AS n, round(avg(difference), 6) AS mean, avg(difference) / (stddev_samp(difference) / sqrt(count(*))) AS t, count(*) FILTER (difference < 0) AS n_negative"
 
 
 def gini_differences(spark, sf):
@@ -116,22 +118,32 @@ def gini_differences(spark, sf):
     return su.single_versus_combined(table, i.CONTEXT, "gini", T).withColumn("difference", F.round("difference", 9))
 
 
-@query("H9", f"""SELECT * FROM (SELECT {_T_TEST} FROM gini_difference), (SELECT least(sum(r) FILTER (difference > 0), sum(r) FILTER (difference < 0))::DOUBLE AS w
+_T_P = "round(" + tails.t_two_sided("t", "n - 1") + ", 6) AS t_p"
+_W_P = "round(" + tails.signed_rank("w", "n") + ", 6) AS w_p"
+fragment("moved", "SELECT *, rank() OVER (PARTITION BY timepoint ORDER BY abs(difference)) AS r, rank() OVER (ORDER BY abs(difference)) AS s FROM gini_difference WHERE difference <> 0", "gini_difference")
+
+
+@query("H9", f"""SELECT * REPLACE (round(t, 6) AS t), {_T_P}, {_W_P} FROM (SELECT {_T_TEST} FROM gini_difference), (SELECT least(sum(r) FILTER (difference > 0), sum(r) FILTER (difference < 0))::DOUBLE AS w
 FROM (SELECT *, row_number() OVER (ORDER BY abs(difference)) AS r FROM gini_difference))""", "gini_difference")
 def concentration_tests(spark, sf):
-    return i.rounded(st.mean_tests(gini_differences(spark, sf), [], "difference"), "mean", "t").drop("t_p", "w_p")
+    return i.rounded(st.mean_tests(gini_differences(spark, sf), [], "difference"), "mean", "t", "t_p", "w_p")
 
 
-@query("H9", f"SELECT timepoint, {_T_TEST} FROM gini_difference GROUP BY timepoint", "gini_difference")
+@query("H9", f"""SELECT * REPLACE (round(t, 6) AS t), {_T_P}, {_W_P} FROM (SELECT timepoint, {_T_TEST} FROM gini_difference GROUP BY timepoint)
+JOIN (SELECT timepoint, least(coalesce(sum(r) FILTER (difference > 0), 0), coalesce(sum(r) FILTER (difference < 0), 0))::DOUBLE AS w FROM moved GROUP BY timepoint) USING (timepoint)""", "gini_difference moved")
 def concentration_tests_by_timepoint(spark, sf):
-    return i.rounded(st.mean_tests(gini_differences(spark, sf), ["timepoint"], "difference"), "mean", "t").drop("t_p", "w", "w_p")
+    return i.rounded(st.mean_tests(gini_differences(spark, sf), ["timepoint"], "difference"), "mean", "t", "t_p", "w_p")
 
 
-@query("H9")
+@query("H9", f"""SELECT n, round(t, 6) AS t, {_T_P}, w, {_W_P} FROM (SELECT count(*) AS n, avg(difference) / (stddev_samp(difference) / sqrt(count(*))) AS t FROM gini_difference),
+(SELECT least(coalesce(sum(s) FILTER (difference > 0), 0), coalesce(sum(s) FILTER (difference < 0), 0))::DOUBLE AS w FROM moved)""", "gini_difference moved")
 def concentration_test_p_values(spark, sf):
-    return st.mean_tests(gini_differences(spark, sf), [], "difference").select("n", "t", "t_p", "w", "w_p")
+    tests = st.mean_tests(gini_differences(spark, sf), [], "difference").select("n", "t", "t_p", "w", "w_p")
+    return i.rounded(tests, "t", "t_p", "w_p")
 
 
-@query("H8")
+@query("H8", f"""SELECT grp, timepoint, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round({tails.correlation('pearson', 'n')}, 6) AS pearson_p,
+  round({tails.correlation('spearman', 'n')}, 6) AS spearman_p FROM (SELECT grp, timepoint, count(*) AS n, corr(lff_sum, lff_T12) AS pearson, corr(rx, ry) AS spearman FROM paired GROUP BY ALL)""", "paired")
 def additivity_p_values(spark, sf):
-    return st.correlations(i.triplets(spark, sf), i.CONTEXT, "lff_sum", "lff_T12")
+    rows = i.rounded(i.triplets(spark, sf), "lff_sum", "lff_T12")
+    return i.rounded(st.correlations(rows, i.CONTEXT, "lff_sum", "lff_T12"), "pearson", "spearman", "pearson_p", "spearman_p")

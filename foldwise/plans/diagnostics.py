@@ -9,11 +9,12 @@ from foldwise.operators import diagnostics as di
 from foldwise.operators import reshape as rs
 from foldwise.operators import stats as st
 from foldwise.plans import inputs as i
-from foldwise.plans.normalise import covariate, gappy
+from foldwise.plans import tails
+from foldwise.plans.normalise import covariate, covariate_parts, gappy
 from foldwise.plans.registry import fragment, query
 from foldwise.plans.reshape import SAMPLES, fractions, profiles
 from foldwise.plans.sampling import sample_totals
-from foldwise.session import staged
+from foldwise.session import bounded, staged
 
 POWER = 1.5
 POWERS = [1.0 + 0.05 * k for k in range(21)]
@@ -81,10 +82,11 @@ def residual_moments(spark, sf):
     return i.rounded(st.moments(di.standardised_residuals(intensity_cells(spark, sf), POWER), ["family"], "residual"), "skew", "excess_kurtosis")
 
 
-@query("F9")
+@query("F9", f"""SELECT rank, round({tails.normal_quantile('((rank - 0.5) / m)')}, 6) + 0 AS theoretical, round(residual, 6) + 0 AS observed
+FROM (SELECT residual, row_number() OVER (ORDER BY residual) AS rank, count(*) OVER () AS m FROM residuals WHERE family = 'power')""", "residuals")
 def normal_qq(spark, sf):
     rows = di.standardised_residuals(intensity_cells(spark, sf), POWER).where("family = 'power'").withColumn("id", F.concat_ws(":", "feature_id", "sample_id"))
-    return di.normal_qq(rows, "residual", "id")
+    return i.rounded(di.normal_qq(rows, "residual", "id"), "theoretical", "observed")
 
 
 @query("E38", """SELECT p AS power, round(quantile_cont(variance / pow(mean, p), 0.5), 6) AS median_chi2 FROM (SELECT avg(value) AS mean, var_samp(value) AS variance FROM bulk WHERE value > 0 GROUP BY feature_id HAVING count(*) >= 10)
@@ -140,11 +142,11 @@ def naive_lfc(spark, sf):
 fragment("complete", "SELECT feature_id, condition, avg(value) AS m FROM plain WHERE feature_id IN (SELECT feature_id FROM plain GROUP BY feature_id HAVING count(value) = 12) GROUP BY ALL", "plain")
 
 
-@query("H10", """SELECT timepoint, sum(m)::BIGINT AS n, count(*) AS n_groups, round((12.0 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (pow(sum(m), 3) - sum(m))), 6) AS h
+@query("H10", f"""SELECT timepoint, n, n_groups, round(h, 6) AS h, round({tails.chi2_upper_df3("greatest(h, 0)")}, 6) AS p FROM (SELECT timepoint, sum(m)::BIGINT AS n, count(*) AS n_groups, (12.0 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (pow(sum(m), 3) - sum(m))) AS h
 FROM (SELECT timepoint, condition, sum(r) AS s, count(*) AS m FROM (SELECT *, rank() OVER (PARTITION BY timepoint ORDER BY value) + (count(*) OVER (PARTITION BY timepoint, value) - 1) / 2 AS r FROM bulk) GROUP BY ALL)
-JOIN (SELECT timepoint, sum(pow(t, 3) - t) AS ties FROM (SELECT timepoint, value, count(*) AS t FROM bulk GROUP BY ALL) GROUP BY timepoint) USING (timepoint) GROUP BY timepoint""", "bulk")
+JOIN (SELECT timepoint, sum(pow(t, 3) - t) AS ties FROM (SELECT timepoint, value, count(*) AS t FROM bulk GROUP BY ALL) GROUP BY timepoint) USING (timepoint) GROUP BY timepoint)""", "bulk")
 def kruskal_by_timepoint(spark, sf):
-    return i.rounded(st.kruskal(i.bulk(spark, sf), ["timepoint"], "condition", "value"), "h").drop("p")
+    return i.rounded(st.kruskal(i.bulk(spark, sf), ["timepoint"], "condition", "value"), "h", "p")
 
 
 @query("H11", "SELECT condition, round(regr_slope(value, fg), 6) AS slope, round(regr_intercept(value, fg), 6) AS intercept, round(regr_r2(value, fg), 6) AS r2, count(*) AS n FROM (SELECT p.condition, p.value, c.value AS fg FROM plain p JOIN plain c ON p.feature_id = c.feature_id AND p.timepoint = c.timepoint AND c.condition = 'C' WHERE p.condition <> 'C') GROUP BY condition", "plain")
@@ -198,7 +200,11 @@ fragment("vif", """SELECT feature_id, CASE WHEN sum(q) = 0 OR sum(q) - pow(sum(s
 
 
 def feature_vif(spark, sf):
-    return di.covariate_vif(covariate(spark, sf).where(F.col("grp").isin(ESTIMATED)), vif_design(spark, sf), len(ESTIMATED) * len(SAMPLES))
+    """Features with the same upstream genes have the same covariate, so each gene list is worked out once."""
+    features, values = covariate_parts(spark, sf)
+    lists = values.where(F.col("grp").isin(ESTIMATED)).withColumnRenamed("genes", "feature_id")
+    vif = di.covariate_vif(lists, vif_design(spark, sf), len(ESTIMATED) * len(SAMPLES)).withColumnRenamed("feature_id", "genes")
+    return features.join(bounded(vif), "genes").select("feature_id", "vif")
 
 
 @query("H14", "SELECT feature_id, round(vif, 6) AS vif FROM vif", "vif")
@@ -246,6 +252,16 @@ def gate_report(spark, sf):
     return di.gate_report(checks.unionByName(info), ["covariate collinearity", "fractions", "dropout", "permutation null"])
 
 
+@query("H18", """SELECT bool_and(passed) AS all_passed, count(*) FILTER (NOT passed) AS n_blocking FROM (SELECT avg((vif < 10)::INT) >= 0.9 AS passed FROM vif
+UNION ALL SELECT bool_and(abs(t - 1) < 1e-4) FROM (SELECT sum(fraction) AS t FROM fractions GROUP BY sample_id) UNION ALL SELECT count(*) >= 25 FROM samples)""", "vif fractions samples")
+def gate_outcome(spark, sf):
+    """The verdict over three checks; 24 samples fail the last one."""
+    vif = di.vif_report(feature_vif(spark, sf)).select("name", "passed")
+    sums = fractions(spark, sf).groupBy("sample_id").agg(F.sum("fraction").alias("t")).agg(F.bool_and(F.abs(F.col("t") - 1) < 1e-4).alias("passed"))
+    many = factor_samples(spark, sf).agg((F.count(F.lit(1)) >= 25).alias("passed"))
+    return di.gate_outcome(vif.unionByName(sums.withColumn("name", F.lit("fractions"))).unionByName(many.withColumn("name", F.lit("samples"))))
+
+
 @query("H19 F14", """SELECT sample_id, gender, condition, inferred_gender, inferred_condition, inferred_gender <> gender OR inferred_condition <> condition AS mismatch FROM (
   SELECT *, CASE WHEN female > male THEN 'F' ELSE 'O' END AS inferred_gender, CASE WHEN a AND b THEN 'T12' WHEN a THEN 'T1' WHEN b THEN 'T2' ELSE 'C' END AS inferred_condition FROM (
     SELECT *, row_number() OVER (ORDER BY first DESC, sample_id) <= 12 AS a, row_number() OVER (ORDER BY second DESC, sample_id) <= 12 AS b FROM sample_totals))""", "sample_totals")

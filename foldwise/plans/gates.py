@@ -106,3 +106,8 @@ def finite_pairs(spark, sf):
 @query("C14", "SELECT sample_id, abs(sum(fraction) - 1) <= 1e-4 AS passed, round(sum(fraction), 6) AS total FROM fractions GROUP BY sample_id", "fractions")
 def checked_fractions(spark, sf):
     return i.rounded(ga.require_fractions(fractions(spark, sf), "sample_id", "fraction"), "total")
+
+
+@query("C14", "SELECT v.condition FROM (VALUES ('C'), ('T1'), ('T2'), ('T12'), ('T3')) v(condition) WHERE v.condition NOT IN (SELECT condition FROM cells)", "cells")
+def missing_labels(spark, sf):
+    return ga.missing_labels(i.cells(spark, sf), "condition", ["C", "T1", "T2", "T12", "T3"])

@@ -9,8 +9,9 @@ from foldwise.operators import diagnostics as di
 from foldwise.operators import models as mo
 from foldwise.operators import normalise as no
 from foldwise.plans import inputs as i
+from foldwise.plans import tails
 from foldwise.plans.diagnostics import ESTIMATED, factor_samples, intensity_cells
-from foldwise.plans.normalise import covariate, gene_edges, opposing_genes, scaled_expression, strata
+from foldwise.plans.normalise import covariate, covariate_parts, gene_edges, opposing_genes, scaled_expression, strata
 from foldwise.plans.registry import fragment, query
 from foldwise.plans.reshape import SAMPLES, fractions, profiles
 from foldwise.session import bounded, staged
@@ -120,7 +121,7 @@ fragment("predicted", "SELECT feature_id, sample_id, greatest(sum(fraction * gre
 
 
 def signals(spark, sf):
-    return mo.mean_model(formula_params(spark, sf), profiles(spark, sf), covariate(spark, sf), long_design(spark, sf), ESTIMATED)
+    return mo.mean_model(formula_params(spark, sf), profiles(spark, sf), covariate_parts(spark, sf), long_design(spark, sf), ESTIMATED)
 
 
 def formula_mu(spark, sf):
@@ -170,14 +171,14 @@ def effects(spark, sf):
 _AVG_RANK = "(rank() OVER (PARTITION BY grp, condition ORDER BY {v}) + (count(*) OVER (PARTITION BY grp, condition, {v}) - 1) / 2.0)::DOUBLE"
 
 
-@query("H17", f"""SELECT grp, condition, n, round(rho, 6) AS spearman, CASE WHEN rho > 0.15 THEN 'concordant' WHEN rho < -0.15 THEN 'anti' ELSE 'decoupled' END AS label FROM (
+@query("H17", f"""SELECT grp, condition, n, round(rho, 6) AS spearman, CASE WHEN rho > 0.15 THEN 'concordant' WHEN rho < -0.15 THEN 'anti' ELSE 'decoupled' END AS label, round({tails.correlation('rho', 'n')}, 6) AS p FROM (
   SELECT grp, condition, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT *, {_AVG_RANK.format(v='shift')} AS rx, {_AVG_RANK.format(v='beta')} AS ry FROM (
     SELECT grp, gene, condition, shift, beta FROM (SELECT grp, gene, m.condition, round(m.m - c.m, 12) AS shift FROM (SELECT grp, gene, condition, avg(value) AS m FROM zscored GROUP BY ALL) m
       JOIN (SELECT grp, gene, avg(value) AS m FROM zscored WHERE condition = 'C' GROUP BY ALL) c USING (grp, gene) WHERE m.condition <> 'C')
     JOIN (SELECT grp, gene, condition, round(avg(beta), 12) AS beta FROM gene_edges JOIN effects USING (feature_id) GROUP BY ALL) USING (grp, gene, condition))) GROUP BY ALL)""", "zscored gene_edges effects")
 def cross_modality(spark, sf):
     df = di.cross_modality(scaled_expression(spark, sf), effects(spark, sf), gene_edges(spark, sf), "C")
-    return i.rounded(df, "spearman").drop("p")
+    return i.rounded(df, "spearman", "p")
 
 
 @query("E30", """SELECT grp, condition, round(corr(beta, lfc), 6) AS pearson, count(*) AS n FROM (SELECT feature_id, grp, a.condition, log2(greatest(a.m, 1e-10) / greatest(c.m, 1e-10)) AS lfc FROM decon_means a

@@ -9,6 +9,7 @@ from foldwise.operators import reshape as rs
 from foldwise.plans import inputs as i
 from foldwise.plans.registry import fragment, query
 from foldwise.plans.reshape import SAMPLES, fractions, profiles
+from foldwise.session import bounded, staged
 
 POOL = {"AUTOMOBILE": "goods", "BUILDING": "goods", "FURNITURE": "home", "HOUSEHOLD": "Other", "MACHINERY": "Other"}
 _POOL_SQL = "CASE WHEN grp IN ('AUTOMOBILE', 'BUILDING') THEN 'goods' WHEN grp = 'FURNITURE' THEN 'home' ELSE 'Other' END"
@@ -95,8 +96,15 @@ def opposing_genes(spark, sf):
     return i.expression(spark, sf).where(F.col("gene").endswith("-PROMO")).select("gene").distinct()
 
 
+def covariate_parts(spark, sf):
+    """The gene list of every feature, and the covariate of every gene list."""
+    parts = lambda: no.covariate_by_genes(gene_edges(spark, sf), scaled_expression(spark, sf), opposing_genes(spark, sf))
+    return staged(spark, ("gene_lists", sf), lambda: parts()[0]), staged(spark, ("list_covariate", sf), lambda: parts()[1])
+
+
 def covariate(spark, sf):
-    return no.expression_covariate(gene_edges(spark, sf), scaled_expression(spark, sf), opposing_genes(spark, sf))
+    features, values = covariate_parts(spark, sf)
+    return features.join(bounded(values), "genes").select("feature_id", "grp", "sample_id", "r")
 
 
 fragment("gene_edges", """SELECT DISTINCT a.p_partkey AS feature_id, b.p_brand || '-' || b.p_type AS gene FROM part a JOIN part b USING (p_brand) WHERE a.p_size % 2 = 0""")

@@ -56,6 +56,12 @@ def comparison_names(spark, sf):
     return parsed.groupBy("comparison", "grp", "timepoint", "condition", "pct").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("B5", """SELECT CASE gender WHEN 'F' THEN 'Female' ELSE gender END || ' ' || condition || ' ' || timepoint AS label, count(*) AS n FROM bulk GROUP BY ALL""", "bulk")
+def short_labels(spark, sf):
+    label = rs.short_label(F.col("gender"), F.col("condition"), F.col("timepoint"), {"F": "Female"})
+    return i.bulk(spark, sf).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("B7", """SELECT s.set_id, c.condition, t.timepoint, coalesce(n, 0) AS n FROM (SELECT DISTINCT set_id FROM hits) s
 CROSS JOIN (VALUES ('T1'), ('T2'), ('T12')) c(condition) CROSS JOIN (VALUES ('t1'), ('t2'), ('t3')) t(timepoint)
 LEFT JOIN (SELECT set_id, condition, timepoint, count(*) AS n FROM hits GROUP BY ALL) h USING (set_id, condition, timepoint)""", "hits")

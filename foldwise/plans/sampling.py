@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import corrections as co
+from foldwise.operators import enrichment as en
 from foldwise.operators import sampling as sa
+from foldwise.operators import summaries as su
 from foldwise.plans import inputs as i
 from foldwise.plans.joins import families
 from foldwise.plans.normalise import strata
 from foldwise.plans.registry import fragment, query
+from foldwise.plans.summaries import effective, rank_sql
+from foldwise.session import staged
 
 KEYS = "grp, timepoint, condition"
-N_PERM = 20
+N_PERM = 1000
 
 
 @query("F11", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
@@ -73,30 +77,85 @@ def _null_tail(a: str) -> str:
     return i._tail_sql(a, "n_up")
 
 
-fragment("draws", f"""SELECT {KEYS}, feature_id, k, perm, row_number() OVER (PARTITION BY {KEYS}, perm ORDER BY u, feature_id) AS lo,
-  row_number() OVER (PARTITION BY {KEYS}, perm ORDER BY 1 - u, feature_id) AS hi
-FROM (SELECT *, ('0x' || substr(md5(feature_id || ':' || perm || ':42:' || grp || ':' || timepoint || ':' || condition), 1, 12))::BIGINT / 281474976710656.0 AS u
-  FROM classes CROSS JOIN range(1, {N_PERM + 1}) p(perm))""", "classes")
-fragment("drawn_hits", f"""SELECT {KEYS}, set_id, perm, count(*) FILTER (hi <= k) AS up, count(*) FILTER (lo <= k) AS down
-FROM draws JOIN members USING (feature_id) WHERE lo <= k OR hi <= k GROUP BY {KEYS}, set_id, perm""", "draws members")
-fragment("null_p", f"""SELECT {KEYS}, set_id, p, least({_null_tail('up')}, {_null_tail('down')}) AS q FROM (
-  SELECT {KEYS}, set_id, h.up, h.down, e.n_up, e.n_bg, e.p, {_HITS} - h.up - h.down AS c FROM drawn_hits h JOIN enriched e USING ({KEYS}, set_id))""", "drawn_hits enriched")
+_AT = co.scattered_sql("x", "side", lambda j: f"k{j}", "//")
+_KEYS8 = ", ".join(f"('0x' || substr(h, {4 * j + 1}, 4))::BIGINT AS k{j}" for j in range(8))
+fragment("draws", f"""SELECT {KEYS}, perm, k, unnest(range(len(ys))) AS spot, unnest(ys) AS number FROM (
+  SELECT *, list_filter(list_transform(range(0, 2 * k + side * side - n), lambda x: {_AT}), lambda y: y < n)[1:2 * k] AS ys FROM (
+    SELECT *, {_KEYS8} FROM (SELECT *, ceil(sqrt(n))::BIGINT AS side, md5(perm || ':42:' || grp || ':' || timepoint || ':' || condition) AS h
+      FROM (SELECT {KEYS}, any_value(n) AS n, any_value(k) AS k FROM classes GROUP BY {KEYS}) CROSS JOIN range(1, {N_PERM + 1}) p(perm) WHERE k > 0)))""", "classes")
+fragment("numbered", f"SELECT {KEYS}, feature_id, row_number() OVER (PARTITION BY {KEYS} ORDER BY feature_id) - 1 AS number FROM classes", "classes")
+fragment("drawn_hits", f"""SELECT {KEYS}, set_id, up, down, count(*) AS times FROM (
+  SELECT {KEYS}, set_id, perm, count(*) FILTER (spot >= k) AS up, count(*) FILTER (spot < k) AS down
+  FROM draws JOIN numbered USING ({KEYS}, number) JOIN members USING (feature_id) GROUP BY {KEYS}, set_id, perm) GROUP BY ALL""", "draws numbered members")
+fragment("drawn_tables", f"""SELECT {KEYS}, set_id, h.up, h.down, times, e.n_up, e.n_bg, e.p, {_HITS} - h.up - h.down AS c
+FROM drawn_hits h JOIN enriched e USING ({KEYS}, set_id)""", "drawn_hits enriched")
+fragment("null_p", f"""SELECT {KEYS}, set_id, p, times, q FROM drawn_tables JOIN (
+  SELECT up, down, n_up, n_bg, c, least({_null_tail('up')}, {_null_tail('down')}) AS q FROM (SELECT DISTINCT up, down, n_up, n_bg, c FROM drawn_tables)) USING (up, down, n_up, n_bg, c)""", "drawn_tables")
 fragment("perm_p", f"""SELECT e.{KEYS.replace(', ', ', e.')}, e.set_id, e.p, e.adj_p, (CASE WHEN e.p * (1 + 1e-9) >= 1 THEN {N_PERM} ELSE coalesce(b.n, 0) END + 1) / {N_PERM + 1}.0 AS perm_p
-FROM enriched e LEFT JOIN (SELECT {KEYS}, set_id, count(*) FILTER (q <= p * (1 + 1e-9)) AS n FROM null_p GROUP BY {KEYS}, set_id) b USING ({KEYS}, set_id)""", "null_p enriched")
+FROM enriched e LEFT JOIN (SELECT {KEYS}, set_id, sum(times) FILTER (q <= p * (1 + 1e-9)) AS n FROM null_p GROUP BY {KEYS}, set_id) b USING ({KEYS}, set_id)""", "null_p enriched")
+
+
+def permuted(spark, sf):
+    """The enrichment table with its permutation p."""
+    return staged(spark, ("permuted", sf), lambda: co.permutation_pvalues(
+        i.classes(spark, sf), i.members(spark, sf), i.results(spark, sf), i.COMPARISON, N_PERM))
+
+
+def corrected_by_permutation(spark, sf):
+    """Results whose adjusted p, tiers and tails rest on the permutations."""
+    rows = co.correct(permuted(spark, sf).drop("tier", "lff_low", "lff_high"), i.COMPARISON, "permutation")
+    return en.significance_tier(rows, i.COMPARISON, p_col="adj_p")
+
+
+fragment("by_permutation", f"""SELECT r.* EXCLUDE (adj_p, tier), r.adj_p AS bh_p, perm_p::DOUBLE AS adj_p, CASE WHEN abs(lff) >= 0.01 AND perm_p <= 0.1 THEN 'significant'
+  WHEN (lff >= lff_high - 1e-9 OR lff <= lff_low + 1e-9) AND perm_p < 0.5 THEN 'display' ELSE 'non_significant' END AS tier
+FROM results r JOIN (SELECT {KEYS}, set_id, perm_p FROM perm_p) USING ({KEYS}, set_id)""", "results perm_p")
 
 
 @query("H4", f"SELECT {KEYS}, set_id, round(perm_p, 6)::DOUBLE AS perm_p FROM perm_p", "perm_p")
 def permutation_pvalues(spark, sf):
-    df = co.permutation_pvalues(i.classes(spark, sf), i.members(spark, sf), i.results(spark, sf), i.COMPARISON, N_PERM)
-    return i.rounded(df, "perm_p").select(*i.COMPARISON, "set_id", "perm_p")
+    return i.rounded(permuted(spark, sf), "perm_p").select(*i.COMPARISON, "set_id", "perm_p")
 
 
 @query("H5", f"SELECT {KEYS}, set_id, round(adj_p, 6) AS bh_p, round(alt_p, 6) AS adj_p, 'meff_bh' AS method FROM corrected", "corrected")
 def chosen_correction(spark, sf):
-    df = co.correct(i.results(spark, sf), i.COMPARISON, "meff_bh", effective=4)
+    df = co.correct(i.results(spark, sf), i.COMPARISON, "meff_bh", effective=effective(spark, sf))
     return i.rounded(df, "bh_p", "adj_p").select(*i.COMPARISON, "set_id", "bh_p", "adj_p", F.lit("meff_bh").alias("method"))
 
 
+@query("H5", f"SELECT {KEYS}, set_id, round(adj_p, 6) AS bh_p, round(adj_p, 6) AS adj_p, 'bh' AS method FROM enriched", "enriched")
+def plain_correction(spark, sf):
+    df = co.correct(i.results(spark, sf), i.COMPARISON, "bh")
+    return i.rounded(df, "bh_p", "adj_p").select(*i.COMPARISON, "set_id", "bh_p", "adj_p", F.lit("bh").alias("method"))
+
+
+@query("H5 C6", f"SELECT {KEYS}, set_id, round(bh_p, 6) AS bh_p, round(adj_p, 6) AS adj_p, tier, 'permutation' AS method FROM by_permutation", "by_permutation")
+def permutation_correction(spark, sf):
+    df = i.rounded(corrected_by_permutation(spark, sf), "bh_p", "adj_p")
+    return df.select(*i.COMPARISON, "set_id", "bh_p", "adj_p", "tier", F.lit("permutation").alias("method"))
+
+
+@query("E1 H5", f"""SELECT {KEYS}, count(*) FILTER (abs(lff) >= 0.01 AND adj_p <= 0.1) AS n_sig, count(*) AS n_tested,
+  round(avg(abs(lff)), 6) AS mean_abs_lff FROM by_permutation GROUP BY ALL""", "by_permutation")
+def permutation_summary(spark, sf):
+    return i.rounded(su.comparison_summary(corrected_by_permutation(spark, sf), i.COMPARISON), "mean_abs_lff")
+
+
+@query("E4 H5", f"""SELECT {KEYS}, count(*) FILTER (abs(lff) >= 0.01 AND bh_p <= 0.201) AS n_first, count(*) FILTER (abs(lff) >= 0.01 AND adj_p <= 0.201) AS n_second,
+  count(*) FILTER (change = 'gained') AS n_gained, count(*) FILTER (change = 'lost') AS n_lost, count(*) FILTER (change = 'gained') - count(*) FILTER (change = 'lost') AS net_change,
+  coalesce(array_to_string((list(set_id ORDER BY set_id) FILTER (change = 'gained'))[1:10], ', '), '') AS gained,
+  coalesce(array_to_string((list(set_id ORDER BY set_id) FILTER (change = 'lost'))[1:10], ', '), '') AS lost
+FROM (SELECT *, CASE WHEN abs(lff) >= 0.01 AND adj_p <= 0.201 AND NOT bh_p <= 0.201 THEN 'gained' WHEN abs(lff) >= 0.01 AND bh_p <= 0.201 AND NOT adj_p <= 0.201 THEN 'lost' END AS change
+  FROM by_permutation) GROUP BY {KEYS}""", "by_permutation")
+def permutation_recovery(spark, sf):
+    return su.correction_recovery(corrected_by_permutation(spark, sf), i.COMPARISON, "bh_p", "adj_p", 0.201)
+
+
+@query("F1 H5", rank_sql("", "(SELECT count(DISTINCT grp) FROM by_permutation)", "by_permutation"), "by_permutation")
+def permutation_ranks(spark, sf):
+    return i.rounded(su.rank_sets(corrected_by_permutation(spark, sf), i.TREATMENTS), "mean_abs_lff", "best_p", *[f"lff_{t}" for t in i.TREATMENTS])
+
+
 @query("H6")
 def effective_tests(spark, sf):
     """Sets pooled by nation, so that the set-by-set matrix keeps its size at any scale."""

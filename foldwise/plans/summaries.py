@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.operators import corrections as co
 from foldwise.operators import enrichment as en
 from foldwise.operators import summaries as su
 from foldwise.plans import inputs as i
 from foldwise.plans.joins import GRID, families
 from foldwise.plans.registry import fragment, query
+from foldwise.session import staged
 
-M_EFF = 4
 KEYS = "grp, timepoint, condition"
 
 
@@ -49,13 +50,22 @@ def enriched_members(spark, sf):
     return i.rounded(en.enriched_members(i.classes(spark, sf), i.members(spark, sf), i.results(spark, sf), i.COMPARISON), "lfc")
 
 
+def effective(spark, sf) -> float:
+    one = staged(spark, ("effective", sf), lambda: spark.createDataFrame([(co.participation(i.members(spark, sf)),)], "meff double"))
+    return one.first()[0]
+
+
+fragment("meff", """SELECT round(n * n / (n + 2 * s), 6) AS meff FROM (SELECT count(DISTINCT set_id)::DOUBLE AS n FROM members)
+CROSS JOIN (SELECT coalesce(sum(jaccard * jaccard), 0) AS s FROM pairs)""", "members pairs")
+
+
 def corrected(spark, sf):
-    """Results with a second correction beside the first."""
-    return en.bh_adjust(i.results(spark, sf), i.COMPARISON, "p", "alt_p", m_eff=M_EFF)
+    """Results with a second correction beside the first: the effective number of sets in place of their number."""
+    return en.bh_adjust(i.results(spark, sf), i.COMPARISON, "p", "alt_p", m_eff=effective(spark, sf))
 
 
 fragment("corrected", f"""SELECT * EXCLUDE (r, q), least(1.0, min(q) OVER (PARTITION BY {KEYS} ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS alt_p
-FROM (SELECT *, p * {M_EFF} / r AS q FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY p, set_id) AS r FROM results))""", "results")
+FROM (SELECT *, p * (SELECT meff FROM meff) / r AS q FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY p, set_id) AS r FROM results))""", "results meff")
 
 
 @query("F4", f"SELECT {KEYS}, set_id, round(adj_p, 6) AS adj_p, round(alt_p, 6) AS alt_p FROM corrected", "corrected")
@@ -149,7 +159,7 @@ def family_overlap_summary(spark, sf):
     return i.rounded(su.family_overlap_summary(family_pairs(mem, fam), mem, fam), "mean_jaccard", "max_jaccard", "min_jaccard", "redundancy")
 
 
-def _rank_sql(keys: str, groups: str) -> str:
+def rank_sql(keys: str, groups: str, source: str = "results") -> str:
     part = f"PARTITION BY {keys[:-2]} " if keys else ""
     return f"""SELECT *, row_number() OVER ({part}ORDER BY n_sig DESC, n_total DESC, mean_abs_lff DESC, set_id) AS rank FROM (
 SELECT {keys}set_id, CASE WHEN bool_or(tier = 'significant') THEN 'significant' WHEN bool_or(tier = 'display') THEN 'display' ELSE 'non_significant' END AS tier,
@@ -157,15 +167,15 @@ SELECT {keys}set_id, CASE WHEN bool_or(tier = 'significant') THEN 'significant'
   count(DISTINCT grp) || '/' || {groups} AS groups_total, array_to_string(list_sort(list_distinct(list(grp))), ', ') AS group_list,
   array_to_string(list_sort(list_distinct(list(timepoint))), ', ') AS timepoints, array_to_string(list_sort(list_distinct(list(condition))), ', ') AS conditions,
   round(avg(abs(lff)), 6) AS mean_abs_lff, round(min(p), 6) AS best_p, {', '.join(f"round(avg(lff) FILTER (condition = '{t}'), 6) AS lff_{t}" for t in i.TREATMENTS)}
-FROM results GROUP BY {keys}set_id)"""
+FROM {source} GROUP BY {keys}set_id)"""
 
 
-@query("F1", _rank_sql("", "(SELECT count(DISTINCT grp) FROM results)"), "results")
+@query("F1", rank_sql("", "(SELECT count(DISTINCT grp) FROM results)"), "results")
 def ranked_sets(spark, sf):
     return i.rounded(su.rank_sets(i.results(spark, sf), i.TREATMENTS), "mean_abs_lff", "best_p", *[f"lff_{t}" for t in i.TREATMENTS])
 
 
-@query("F1", _rank_sql("grp, ", "1"), "results")
+@query("F1", rank_sql("grp, ", "1"), "results")
 def ranked_sets_by_group(spark, sf):
     return i.rounded(su.rank_sets(i.results(spark, sf), i.TREATMENTS, per_group=True), "mean_abs_lff", "best_p", *[f"lff_{t}" for t in i.TREATMENTS])
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(app: str = "foldwise", cpus: str = "8") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def local_session(app: str = "foldwise", cpus: str = "8", folder: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, its tables in ``folder``; a cluster brings its own."""
+    builder = SparkSession.builder.master(f"local[{cpus}]")
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -29,20 +30,23 @@ def local_session(app: str = "foldwise", cpus: str = "8") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
+    """Folder all executors can reach: below the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    A session that does not set it uses the warehouse, which all executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = folder or spark.conf.get("foldwise.folder", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="foldwise-")
-        spark.conf.set("foldwise.folder", folder)
+    folder = folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "foldwise-tables")
     return os.path.join(folder, spark.sparkContext.applicationId)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has written; for the end of a run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STAGED if k[0] == spark.sparkContext.applicationId]:
+        del _STAGED[key]
+
+
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -55,29 +59,47 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foldwise_written = True
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a written table: itself if ``materialise`` made it."""
+    return df if getattr(df, "_foldwise_written", False) else materialise(df)
 
 
-# Rows a table may have to be copied to every task.
-BROADCAST_ROWS = 200_000
+# Bytes of files whose rows may be copied to every task.
+BROADCAST_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it proves small; else left to a shuffled join.
+    """``df`` marked for broadcast if its files prove small; else left to a shuffled join.
 
     For tables of the experiment's size (samples by groups).  It is written once,
-    so that counting it and joining it do not compute it twice.
+    so that measuring and joining it do not compute it twice.
     """
-    kept = materialise(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    kept = written(df)
+    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 
 
 _STAGED: dict[tuple, DataFrame] = {}
 
 
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of what lies in a folder of tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def staged(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Build a named intermediate table once per application and reuse it."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Build a named intermediate table once per application, input state and settings, and reuse it.
+
+    ``key`` ends with the folder of the input tables.
+    """
+    full = (spark.sparkContext.applicationId, *key, _files(spark, key[-1]), spark.conf.get("foldwise.groupRows", None))
     if full not in _STAGED:
         _STAGED[full] = materialise(build())
     return _STAGED[full]

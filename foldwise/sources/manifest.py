@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
+from urllib.request import url2pathname
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,23 +16,54 @@ from pyspark.sql.types import StringType
 # The function's code travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HEAD_BYTES = 65536
+HEAD_BYTES = 65536  # what the manifest looks at: a parameter of the reader
+TAIL_BYTES = 65557
+EXCERPT_CHARS = 500
 # Run-name pattern, field terms, labels and status texts.
 RUN_PATTERN = r"([0-9A-Za-z]{6,}_LD_[0-9A-Za-z_\-]+\.raw)"
 FIELD_TERMS = ["Quantity", "Protein", "Gene", "Spectronaut", "Report", "PG.", "FG.", "XIC", "PTM", "Intensity", "LFQ"]
 GENOTYPES = r"(?i)\b(WT|WildT|5XFAD|5X)\b"
 SEXES = r"(?i)\b(M|male|F|female)\b"
+MODALITIES = {"pr": ["total"], "py": ["py"], "AcK": ["ack"]}
+TISSUES = {"cortex": ["cortex", "cort_", "ctx_"], "hippocampus": ["hippocampus", "hip_"]}
 READY = {True: "blocked_on_export_or_binary_extraction", False: "blocked_on_format_identification"}
 
 
+def _tail_marks(head: Column, tail: Column) -> dict[str, Column]:
+    """Archive markers: a zip ends with its directory record, up to 64 KiB of comment after it; a tar names itself at byte 257."""
+    return {
+        "zip_container": F.hex(tail).rlike("^(..)*504B0506"),
+        "tar_container": F.hex(F.expr("substring(head, 258, 5)")) == "7573746172"}
+
+
+def _ranges(head_bytes: int) -> Callable:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            heads, tails = [], []
+            for path, size in zip(batch["path"], batch["size_bytes"], strict=True):
+                with open(url2pathname(urlsplit(path).path), "rb") as f:
+                    heads.append(f.read(head_bytes))
+                    f.seek(max(0, size - TAIL_BYTES))
+                    tails.append(f.read(TAIL_BYTES))
+            yield batch.assign(head=heads, tail=tails)
+
+    return read
+
+
 def read_heads(spark: SparkSession, glob: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
-    """Path, size, first bytes and archive markers of each file."""
-    files = spark.read.format("binaryFile").load(glob)
-    # A zip ends with its directory record, up to 64 KiB of comment after it; a tar names itself at byte 257.
-    tail = F.hex(F.expr("substring(content, -65557, 65557)"))
-    return files.select(
-        "path", F.col("length").alias("size_bytes"), F.expr(f"substring(content, 1, {head_bytes})").alias("head"),
-        tail.rlike("^(..)*504B0506").alias("zip_container"), (F.hex(F.expr("substring(content, 258, 5)")) == "7573746172").alias("tar_container"))
+    """Path, size, first ``head_bytes`` bytes and archive markers of each file.
+
+    Files are listed without their content.  Of files that executors can open, only the
+    two ends are read; files of another store come through Spark's reader as a whole.
+    """
+    listed = spark.read.format("binaryFile").load(glob)
+    files = listed.select("path", F.col("length").alias("size_bytes"))
+    here = F.col("path").startswith("file:")
+    ends = files.where(here).mapInPandas(_ranges(head_bytes), "path string, size_bytes long, head binary, tail binary")
+    if files.where(~here).limit(1).count():
+        ends = ends.unionByName(listed.where(~here).select(
+            "path", F.col("length").alias("size_bytes"), F.expr(f"substring(content, 1, {head_bytes})").alias("head"), F.expr(f"substring(content, -{TAIL_BYTES}, {TAIL_BYTES})").alias("tail")))
+    return ends.withColumns(_tail_marks(F.col("head"), F.col("tail"))).drop("tail")
 
 
 @F.pandas_udf(StringType())
@@ -60,8 +93,11 @@ def _guess(text: Column, rules: dict[str, list[str]]) -> Column:
     return out.otherwise("unknown")
 
 
-def file_manifest(heads: DataFrame) -> DataFrame:
-    """One row per file from (path, size_bytes, head, zip_container, tar_container)."""
+def file_manifest(heads: DataFrame, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """One row per file from (path, size_bytes, head, zip_container, tar_container).
+
+    ``missing`` names what the file lacks: archive, fields, runs, genotypes.
+    """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     place = F.lower(F.concat_ws("/", F.get(F.reverse(F.split("path", "/")), F.lit(1)), F.element_at(F.split("path", "/"), -1)))
     rows = heads.withColumn("text", utf16_text("head")).withColumn("runs", normalised_runs(F.col("text")))
@@ -69,14 +105,12 @@ def file_manifest(heads: DataFrame) -> DataFrame:
     ages = F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.regexp_extract_all(r, F.lit(r"_M(\d+)_"), 1))))), lambda a: F.concat(F.lit("M"), a))
     terms = F.filter(F.array(*[F.lit(t) for t in FIELD_TERMS]), lambda t: F.contains(F.col("text"), t))
     genotype = joined.rlike(GENOTYPES)
-    notes = F.filter(F.array(
-        F.lit("not plain text"), F.lit("first bytes only"), F.when(~F.col("zip_container"), "not a zip container"), F.when(~F.col("tar_container"), "not a tar container"),
-        F.when(F.size(terms) == 0, "no field names found"), F.when(F.size("runs") == 0, "no run names found"), F.when(~genotype, "no genotype labels in run names"),
-    ), lambda n: n.isNotNull())
+    lacks = {"archive": ~F.col("zip_container") & ~F.col("tar_container"), "fields": F.size(terms) == 0, "runs": F.size("runs") == 0, "genotypes": ~genotype}
+    missing = F.array_compact(F.array(*[F.when(lack, F.lit(name)) for name, lack in lacks.items()]))
     return rows.select(
-        "path", "size_bytes", _guess(place, {"pr": ["total"], "py": ["py"], "AcK": ["ack"]}).alias("modality"),
-        _guess(F.lower("path"), {"cortex": ["cortex", "cort_", "ctx_"], "hippocampus": ["hippocampus", "hip_"]}).alias("tissue"),
+        "path", "size_bytes", _guess(place, MODALITIES).alias("modality"),
+        _guess(F.lower("path"), TISSUES).alias("tissue"),
         F.contains(name, F.lit("xic")).alias("xic_variant"), F.exists("runs", lambda r: F.contains(F.lower(r), F.lit("pool"))).alias("pooled_runs"),
         ages.alias("ages"), F.size("runs").alias("run_count"), "runs", genotype.alias("genotype_labels"), joined.rlike(SEXES).alias("sex_labels"),
-        "zip_container", "tar_container", terms.alias("field_terms"), F.left("text", F.lit(500)).alias("excerpt"),
-        F.when(F.size("runs") > 0, READY[True]).otherwise(READY[False]).alias("readiness"), notes.alias("notes"))
+        "zip_container", "tar_container", terms.alias("field_terms"), F.left("text", F.lit(excerpt_chars)).alias("excerpt"),
+        F.when(F.size("runs") > 0, READY[True]).otherwise(READY[False]).alias("readiness"), missing.alias("missing"))

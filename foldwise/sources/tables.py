@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.joins import latest_per_key
 from foldwise.operators.ordering import ranked
-from foldwise.session import materialise
+from foldwise.session import materialise, written
 
 
 def read_matrix(spark: SparkSession, path: str, schema: str, na: str = "NA") -> DataFrame:
@@ -107,14 +107,18 @@ def read_matrix_market(spark: SparkSession, path: str, rows: DataFrame, columns:
     The size line is the first line after the comments of the file that carries
     the banner.  Positions start at 1.  ``transpose`` swaps the two axes.
     """
-    lines = spark.read.text(path).select(
-        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    banner = lines.where(F.col("line").startswith("%%MatrixMarket")).select("file").first()["file"]
-    head = lines.where((F.col("file") == banner) & (F.col("start") == 0) & ~F.col("line").startswith("%"))
-    size = head.agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at")).first()
-    entries = lines.where(~F.col("line").startswith("%") & (F.col("line") != "") & ~((F.col("file") == banner) & (F.col("at") == size["at"])))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     parts = F.split("line", r"\s+")
-    cells = entries.select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("value"))
+    parsed = written(lines.where("line <> ''").select(
+        "file", "start", "at", F.col("line").startswith("%%MatrixMarket").alias("banner"), F.col("line").startswith("%").alias("note"),
+        parts[0].try_cast("long").alias("i"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("j"), F.try_element_at(parts, F.lit(3)).try_cast("double").alias("value")))
+    # The text is read once; the size line is the first plain line of the banner's file.
+    first = parsed.where("banner").select("file").join(parsed.where("NOT note AND start = 0"), "file").agg(F.min_by(F.struct("at", "value"), "at").alias("size")).first()["size"]
+    entries = parsed.where("NOT note").where(F.col("at") != first["at"])
+    found = entries.count()
+    if found != int(first["value"]):
+        raise ValueError(f"the size line tells of {int(first['value'])} entries; there are {found}")
+    cells = entries.select("i", "j", "value")
     if transpose:
         cells = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
     row_names = unique_names(rows, "name", "position").select(F.col("position").alias("i"), F.col("name").alias("row"))

@@ -7,14 +7,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from foldwise.session import local_session  # noqa: E402
+from foldwise.session import local_session, release  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests")
+def spark(tmp_path_factory):
+    session = local_session("tests", folder=str(tmp_path_factory.mktemp("tables")))
+    yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")
@@ -33,13 +35,8 @@ def db():
 @pytest.fixture(scope="class")
 def tiny_groups(spark):
     """Force the path for groups too large for one task."""
-    from foldwise import session
     from foldwise.operators.ordering import GROUP_ROWS
 
-    kept = dict(session._STAGED)
-    session._STAGED.clear()
     spark.conf.set(GROUP_ROWS, "7")
     yield
     spark.conf.unset(GROUP_ROWS)
-    session._STAGED.clear()
-    session._STAGED.update(kept)

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames: ties, gaps, skew and brute-force checks."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,7 +102,7 @@ def test_hot_features_in_set_overlaps(spark, monkeypatch):
     sets = {s: {f for f, t in pairs if t == s} for s in range(25)}
     want = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(range(25), 2) if sets[a] & sets[b]}
     for limit in (200, 3):
-        monkeypatch.setattr(jo, "HOT_DEGREE", limit)
+        monkeypatch.setattr(jo, "SALT_SETS", limit)
         assert {(r.set_a, r.set_b): r.shared for r in jo.set_overlaps(members).collect()} == want
 
 
@@ -114,10 +115,19 @@ def test_effective_number_of_sets(spark):
 
 def test_permutation_sides_have_exact_sizes(spark):
     lfc = spark.createDataFrame([("x", k, float(k)) for k in range(300)], "c string, feature_id int, lfc double")
-    sides = co.permuted_sides(en.classify_sites(lfc, ["c"], 5.0), ["c"], 6, 1)
-    sizes = sides.groupBy("perm", "side").count().collect()
-    assert len(sizes) == 12 and all(r["count"] == 15 for r in sizes)
-    assert sides.select("perm", "feature_id").distinct().count() == 180
+    sides = co.permuted_sides(en.classify_sites(lfc, ["c"], 5.0), ["c"], 600, 1)
+    rows = sides.collect()
+    sizes = Counter((r.perm, r.down) for r in rows)
+    assert len(sizes) == 1200 and set(sizes.values()) == {15}
+    assert len({(r.perm, r.number) for r in rows}) == 600 * 30 and {r.number for r in rows} <= set(range(300))
+    # Each feature is drawn about as often, and pairs are not tied to each other.
+    often = Counter(r.number for r in rows)
+    assert sum((often[k] - 60) ** 2 / 60 for k in range(300)) < 400
+    by = {}
+    for r in rows:
+        by.setdefault(r.perm, set()).add(r.number)
+    together = sum(k + 1 in v for v in by.values() for k in v)
+    assert together == pytest.approx(600 * 30 * 29 / 299, rel=0.1)
 
 
 def test_higher_criticism_skips_certain_p(spark):
