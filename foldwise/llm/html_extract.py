@@ -62,7 +62,7 @@ def page_text(source: str | None, path: str | None) -> str:
     own = html_page.best_path(found)
     if own is None:
         return ""
-    kept = html_page.text_below(found, path) if path else []
+    kept = html_page.text_below(found, path) if path is not None else []
     if path != own:
         alone = html_page.text_below(found, own)
         if sum(map(len, kept)) < OWN_TEMPLATE * sum(map(len, alone)):

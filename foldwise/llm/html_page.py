@@ -32,6 +32,7 @@ _REOPEN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
 _CLOSES_P = LEAF | {"div", "article", "section", "main", "ul", "ol", "dl", "table", "blockquote", "figure", "hr", "details"} | ASIDE_TAGS
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?/][^>]*>")
+_CUT_OFF = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")  # a tag that the end of the page cuts
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -102,6 +103,8 @@ def blocks(source: str) -> list[Block]:
     while at < n:
         m = _TAG.search(source, at)
         run = source[at : m.start() if m else n]
+        if not m:
+            run = _CUT_OFF.sub("", run)
         if run:
             text.append(run)
             if in_link:

@@ -24,14 +24,14 @@ from foldwise.llm import shingles
 from foldwise.llm.common import materialise, table, text_of
 from foldwise.llm.registry import query
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 8000
 TRAIN_BYTES = 1 << 16
 COLUMN_BITS = 17
 COLUMNS = 1 << COLUMN_BITS
 SHARE_COLUMNS = 128
 SHARE_SCALE = 3.0
 WORD_SCALE = 8.0
-KEEP_TAIL = 0.2  # grades count alike in the fit, so that a good text of a mostly good corpus needs less than a half
+KEEP_TAIL = 0.1  # grades count alike in the fit, so that a good text of a mostly good corpus needs far less than a half
 GRADES = ("toxic", "poor", "good")
 _U = np.uint64
 
@@ -82,17 +82,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
 
-def fit(texts: Sequence[bytes], grades: Sequence[int], n_grades: int = len(GRADES), rounds: int = 300, step: float = 0.3, decay: float = 3e-5, least_texts: int = 20) -> Model:
+def fit(texts: Sequence[bytes], grades: Sequence[int], n_grades: int = len(GRADES), rounds: int = 300, step: float = 0.3, decay: float = 3e-5) -> Model:
     """Weights and thresholds of greatest likelihood, by accelerated gradient descent; grades count alike.
 
-    A word has a weight only if ``least_texts`` of the texts have it.
+    A word has a weight only if a few of the texts have it: four, or one in four hundred.
     """
     sets: list[np.ndarray] = []
     for a, b in shingles.batches(texts):
         sets.extend(features(texts[a:b]))
     y = np.asarray(grades)
     row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    common = np.bincount(column, minlength=COLUMNS) >= min(least_texts, max(1, len(sets) // 10))
+    common = np.bincount(column, minlength=COLUMNS) >= min(max(4, len(sets) // 400), max(1, len(sets) // 10))
     value = np.concatenate([_values(s) for s in sets])
     row, column, value = row[common[column]], column[common[column]], value[common[column]]
     share = np.bincount(y, minlength=n_grades)

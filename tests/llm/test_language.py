@@ -31,14 +31,12 @@ def test_odd_rows(odd, empty, spark):
     assert model.languages == ["de", "en"]
     got = language.identified(odd, model).collect()
     assert len(got) == len(odd_documents())
-    for r in got:
-        pass
     by = {}
     for r in got:
         by.setdefault(r.row.doc_id, []).append((r.lang_pred, r.score, r.ambiguous))
     for i in (0, 1, 2, 13, 16):  # null, empty, blank, symbols, pictures
         assert by[i] == [("und", 0.0, False)]
-    assert by[3][0][0] in ("de", "en") and by[7][0] == by[7][1]
+    assert by[3][0][0] in ("de", "en") and len(set(by[7])) == 2
     assert language.identified(empty, model).count() == 0
     assert {r.lang_pred for r in language.identified(odd, language.train(odd.where("false"))).collect()} == {"und"}
 

@@ -12,7 +12,8 @@ def test_odd_rows(odd, empty):
     got = line_dedup.deduplicated(odd)
     assert got.columns == odd.columns
     rows = got.collect()
-    assert len(rows) == odd.count()
+    # The one line of document 10 differs from that of document 9 in one token.
+    assert len(rows) == odd.count() - 1 and 10 not in {r.doc_id for r in rows}
     assert all(list(r[c] for c in CLASHING) == list(range(len(CLASHING))) for r in rows)
     assert next(r for r in rows if r.doc_id == 0).text is None
     assert all(r.n_chars == len(r.text or "") for r in rows)

@@ -76,15 +76,15 @@ def test_odd_rows(odd, empty):
     by = {}
     for i, n, c in found:
         by.setdefault(i, set()).add((n, c))
-    assert by[0] == by[1].__class__({(0, 0)}) and by[1] == {(0, 1)} and by[3] == {(1, 3)} and by[4] == {(1, 3)} and by[6] == {(1, 5)}
-    assert by[10] == {(196, 9)} or next(iter(by[10]))[1] == 9
+    assert by[0] == {(0, 0)} and by[1] == {(0, 1)} and by[3] == by[4] == {(1, 3)} and by[5] == by[6] == {(1, 5)}
+    assert {c for _, c in by[9] | by[10]} == {9}
     assert {c for _, c in by[None]} == {None}
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns
     left = kept.collect()
     ids = sorted((r.doc_id for r in left), key=repr)
     # One of the two equal rows 7 and its other text; one of the equal rows without id, and the one without text.
-    assert ids == sorted([0, 1, 2, 3, 5, 7, 7, None, None, 8, 9, 11, 12, 13, 14, 15, 16, 17], key=repr) or ids.count(None) == 2
+    assert ids == sorted([0, 1, 2, 3, 5, 7, 7, None, None, 8, 9, 11, 12, 13, 14, 15, 16, 17], key=repr)
     assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in left)
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
@@ -95,7 +95,8 @@ def test_shingles_tell_texts_apart():
     assert [len(s) for s in sets] == [2, 1, 1, 1, 0, 0, 1]
     assert sets[1][0] == sets[2][0] and sets[1][0] in sets[0] and sets[3][0] not in sets[0] and sets[6][0] != sets[1][0]
     whole = list(shingles.shingle_sets([prose(1, 900_000).encode()]))  # longer than a piece
-    assert len(whole[0]) == len({tuple(x) for x in np.lib.stride_tricks.sliding_window_view(np.array(prose(1, 900_000).split()), 5)}) or len(whole[0]) > 890_000
+    words = prose(1, 900_000).split()
+    assert len(whole[0]) == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
 
 
 def test_components(spark):
