@@ -172,6 +172,21 @@ def sample_pca(spark, sf):
     return di.sample_pca(i.bulk(spark, sf), SAMPLES, "value")
 
 
+@query("H13", "SELECT s AS sample_id, c::INTEGER AS component, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS share_gap FROM sample_order CROSS JOIN (VALUES (1), (2)) v(c)", "sample_order")
+def pca_equations(spark, sf):
+    """Products times scores minus scores times their own square sum, and the variance share against the trace: all 0."""
+    gram, scores = di.sample_gram(i.bulk(spark, sf), SAMPLES, "value"), di.sample_pca(i.bulk(spark, sf), SAMPLES, "value")
+    other = gram.where("sample_a <> sample_b").select(F.col("sample_b").alias("sample_a"), F.col("sample_a").alias("sample_b"), "product")
+    whole = gram.unionByName(other)
+    trace = gram.where("sample_a = sample_b").agg(F.sum("product")).first()[0]
+    size = scores.groupBy("component").agg(F.sum(F.col("score") ** 2).alias("own"), F.first("variance_share").alias("share"))
+    turned = whole.join(scores.select(F.col("sample_id").alias("sample_b"), "component", "score"), "sample_b").groupBy("sample_a", "component").agg(F.sum(F.col("product") * F.col("score")).alias("turned"))
+    rows = turned.join(size, "component").join(scores.select(F.col("sample_id").alias("sample_a"), "component", "score"), ["sample_a", "component"])
+    zero = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rows.select(F.col("sample_a").alias("sample_id"), "component", zero((F.col("turned") - F.col("own") * F.col("score")) / F.lit(trace)).alias("residual"),
+                       zero(F.col("share") - F.col("own") / F.lit(trace)).alias("share_gap"))
+
+
 ESTIMATED = i.GROUPS[:-1]
 
 

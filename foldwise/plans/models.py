@@ -257,6 +257,17 @@ def pooled_dropout_slopes(spark, sf):
     return slope_table(spark, sf)
 
 
+@query("I6", """SELECT stratum, count(*) AS n, 0.0::DOUBLE AS level, 0.0::DOUBLE AS slope FROM observed JOIN strata USING (feature_id) GROUP BY stratum""", "observed strata")
+def dropout_slope_equations(spark, sf):
+    """What is left of the two likelihood equations of each stratum at its slopes: nothing, unless they are wrong."""
+    rows = observed(spark, sf).join(strata(spark, sf), "feature_id").join(slope_table(spark, sf), "stratum")
+    x = F.ln(F.greatest("mu", F.lit(1e-10)))
+    p = 1 / (1 + F.exp(-(F.col("gamma0") + F.col("gamma1") * x)))
+    gap = F.when(F.coalesce("y", F.lit(0.0)) <= 0, 1.0).otherwise(0.0) - p
+    sums = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("level"), F.avg(gap * x).alias("slope"))
+    return sums.select("stratum", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("level", "slope")])
+
+
 @query("I7")
 def fitted_features(spark, sf):
     return fitted(spark, sf)
