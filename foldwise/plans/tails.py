@@ -16,7 +16,8 @@ def _integral(of: str, to: str) -> str:
 def t_two_sided(t: str, df: str) -> str:
     """Student's t with x as the angle whose tangent is t over the root of the degrees of freedom."""
     scale = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi())"
-    return f"greatest(0.0, 1 - 2 * {scale} * {_integral(f'pow(cos(x), ({df}) - 1)', f'atan(abs({t}) / sqrt({df}))')})"
+    tail = f"greatest(0.0, 1 - 2 * {scale} * {_integral(f'pow(cos(x), ({df}) - 1)', f'atan(abs({t}) / sqrt({df}))')})"
+    return f"(CASE WHEN ({t}) IS NOT NULL AND ({df}) >= 1 THEN {tail} END)"
 
 
 def correlation(r: str, n: str) -> str:
