@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import WS_CHARS, materialise, table, text_of
 from foldwise.llm.registry import query
+from foldwise.session import bounded
 
 DEPTH = 4
 MIN_TOKENS = 5
@@ -52,31 +53,31 @@ def _leaf(line: Column) -> Column:
 
 def dropped_lines(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, pos`` (from 0) of every line whose template an earlier document has."""
-    lines = _lines(documents, id_column, text)
-    found = materialise(lines.select("doc", "pos", _leaf(F.col("line")).alias("leaf"), F.xxhash64(F.btrim("line", F.lit(WS_CHARS))).alias("lh")))
-    distinct = materialise(found.groupBy("leaf", "lh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
-    shared = distinct.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("leaf")
-    # One row of text for each distinct line of a shared leaf.
-    wanted = distinct.join(shared, "leaf").select(F.col("lh").alias("lh2"), F.col("first").alias("doc2"), "leaf", "first", "last")
     body = F.btrim("line", F.lit(WS_CHARS))
-    texts = lines.select("doc", body.alias("line"), F.xxhash64(body).alias("lh"))
-    texts = texts.join(wanted, (F.col("doc") == F.col("doc2")) & (F.col("lh") == F.col("lh2"))).dropDuplicates(["leaf", "lh"])
-    texts = materialise(texts.select("leaf", "lh", "first", "last", "line"))
-    placed = texts.select("leaf", "lh", "first", "last", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = placed.groupBy("leaf", "at", "token").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b")
-    # Constant places of each line; what is missing is a variable field.
-    marked = placed.join(constant.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "lh").agg(F.collect_list("at").alias("kept"))
-    known = texts.join(marked, ["leaf", "lh"])
-    words = F.split("line", " ")
-    masked = F.transform(words, lambda t, i: F.when(F.array_contains("kept", i), t).otherwise(F.lit("<*>")))
-    whole = F.size("kept") == F.size(words)
-    enough = (F.size("kept") >= MIN_CONSTANT) & (100 * F.size("kept") >= CONSTANT_PCT * F.size(words))
-    template = F.xxhash64("leaf", F.array_join(masked, " "))
+    lines = _lines(documents, id_column, text).select("doc", "pos", body.alias("line"), _leaf(F.col("line")).alias("leaf"), F.xxhash64(body).alias("lh"))
+    found = materialise(lines.drop("line"))
+    distinct = materialise(found.groupBy("leaf", "lh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+    leaves = distinct.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("leaf")
+    leaves = bounded(materialise(leaves))
+    # The text of each distinct line of a shared leaf, with one of its documents at either end.
+    texts = lines.select("leaf", "lh", "line").join(leaves, "leaf", "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
+    ends = distinct.join(leaves, "leaf", "left_semi")
+    known = materialise(texts.join(ends, "lh"))
+    low, high = F.least(F.xxhash64("first"), F.xxhash64("last")), F.greatest(F.xxhash64("first"), F.xxhash64("last"))
+    placed = known.select("lh", "leaf", low.alias("low"), high.alias("high"), F.posexplode(F.split("line", " ")).alias("at", "token"))
+    placed = placed.select("lh", "low", "high", F.xxhash64("leaf", "at", "token").alias("k"))  # a token at its place
+    constant = placed.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("k")
+    # The constant tokens of a line with their places are its template; what is missing is a variable field.
+    marked = placed.select("k", "lh").join(constant, "k").groupBy("lh").agg(F.sort_array(F.collect_list("k")).alias("kept"))
+    known = known.select("lh", "leaf", "first", "last", F.size(F.split("line", " ")).alias("n")).join(marked, "lh")
+    whole = F.size("kept") == F.col("n")
+    enough = (F.size("kept") >= MIN_CONSTANT) & (100 * F.size("kept") >= CONSTANT_PCT * F.col("n"))
     # A line of too few constant tokens is its own template.
-    known = known.select("leaf", "lh", "first", "last", F.when(whole | enough, template).otherwise(F.xxhash64("leaf", "line")).alias("template"))
+    template = F.when(whole | enough, F.xxhash64("leaf", "kept")).otherwise(F.xxhash64(F.lit("own"), "lh"))
+    known = materialise(known.select("lh", "first", "last", template.alias("template")))
     recurring = known.groupBy("template").agg(F.min("first").alias("owner"), F.max("last").alias("z")).where("owner <> z")
-    decided = materialise(known.join(recurring, "template").select("leaf", "lh", "owner"))
-    return found.join(decided, ["leaf", "lh"]).where("doc <> owner").select("doc", "pos").distinct()
+    decided = bounded(materialise(known.join(recurring, "template").select("lh", "owner")))
+    return found.join(decided, "lh").where("doc <> owner").select("doc", "pos").distinct()
 
 
 def without_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
