@@ -35,26 +35,22 @@ def _name(id_column: str, text: str) -> Column:
     return F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("key"))
 
 
-def tokens(line: Column) -> Column:
-    """Tokens of a line: what single spaces part, once white space at its ends is gone."""
-    return F.split(F.btrim(line, F.lit(WS_CHARS)), " ")
+def n_tokens(body: Column) -> Column:
+    """How many tokens single spaces part a line into, once white space at its ends is gone."""
+    return F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``doc, pos, line`` for every line that may be dropped."""
+    """``doc, pos, line, leaf, lh`` for every line that may be dropped: trimmed, with its leaf and its hash."""
     lines = documents.select(_name(id_column, text).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("pos", "line"))
-    return lines.where(F.size(tokens(F.col("line"))) >= MIN_TOKENS)
-
-
-def _leaf(line: Column) -> Column:
-    lead = F.transform(F.slice(tokens(line), 1, DEPTH), lambda t: F.regexp_replace(t, "[0-9]+", "#"))
-    return F.xxhash64(F.size(tokens(line)), lead)
+    lines = lines.withColumn("line", F.btrim("line", F.lit(WS_CHARS))).withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= MIN_TOKENS)
+    lead = F.regexp_replace(F.substring_index("line", " ", DEPTH), "[0-9]+", "#")
+    return lines.select("doc", "pos", "line", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("line").alias("lh"))
 
 
 def dropped_lines(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, pos`` (from 0) of every line whose template an earlier document has."""
-    body = F.btrim("line", F.lit(WS_CHARS))
-    lines = _lines(documents, id_column, text).select("doc", "pos", body.alias("line"), _leaf(F.col("line")).alias("leaf"), F.xxhash64(body).alias("lh"))
+    lines = _lines(documents, id_column, text)
     found = materialise(lines.drop("line"))
     distinct = materialise(found.groupBy("leaf", "lh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
     leaves = distinct.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("leaf")
