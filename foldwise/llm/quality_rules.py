@@ -198,4 +198,6 @@ def keep_good(documents: DataFrame, text: str = "text") -> DataFrame:
     own = documents.columns
     renamed = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(text).alias("__text"))
     rules = order_by_worth(renamed, [*BASE_RULES, *MORE_RULES], "__text")
-    return cascade(renamed, rules, "__text").where(F.col("rejected_by").isNull()).select("__row.*")
+    # Written before it is filtered: a filter on the verdict would be pushed into every step of the cascade.
+    judged = materialise(cascade(renamed, rules, "__text").select("__row", "rejected_by"))
+    return judged.where("rejected_by IS NULL").select("__row.*")
