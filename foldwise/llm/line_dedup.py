@@ -6,6 +6,13 @@ documents have at the same place is constant there; any other is a variable fiel
 becomes ``<*>``.  Lines of one template are the same line.  A template that recurs
 across documents stays in the first document that has it and is dropped from the others.
 
+``deduplicated`` also finds fields whose values recur (``by_share``): a token counts by
+the distinct lines of its leaf that have it at its place, and is constant only if at
+least ``SHARE_PCT`` percent as many have it as have each of ``CONSTANT_PCT`` percent of
+its line's tokens.
+Copies of a line are one distinct line, so copied documents make no field constant, and
+a line is measured by its own tokens, so other templates of a leaf do not matter.
+
 Lines of fewer than ``MIN_TOKENS`` tokens are never dropped; a template with variable
 fields needs ``MIN_CONSTANT`` constant tokens and ``CONSTANT_PCT`` percent of them, so
 that short lines that merely begin alike stay apart.
@@ -28,6 +35,7 @@ DEPTH = 4
 MIN_TOKENS = 5
 MIN_CONSTANT = 8
 CONSTANT_PCT = 70
+SHARE_PCT = 90
 
 
 def _name(id_column: str, text: str) -> Column:
@@ -48,8 +56,26 @@ def _lines(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     return lines.select("doc", "pos", "line", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("line").alias("lh"))
 
 
-def dropped_lines(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, pos`` (from 0) of every line whose template an earlier document has."""
+def _by_share(placed: DataFrame) -> DataFrame:
+    """``lh, kept, shared``: the tokens of each line that are constant by their count of lines, and those that two documents have."""
+    found = placed.groupBy("k").agg(F.count("*").alias("lines"), (F.min("low") != F.max("high")).alias("both")).where("lines > 1 OR both")
+    tokens = placed.select("k", "lh").join(found, "k", "left")
+    tokens = tokens.select("lh", F.struct(F.coalesce("lines", F.lit(1)).alias("lines"), "k", F.coalesce("both", F.lit(False)).alias("both")).alias("t"))
+    # Most common tokens first, so that the last of CONSTANT_PCT percent has the count to hold the others against.
+    line = tokens.groupBy("lh").agg(F.sort_array(F.collect_list("t"), asc=False).alias("ts"))
+    line = line.withColumn("usual", F.get("ts", F.ceil(F.size("ts") * CONSTANT_PCT / 100).cast("int") - 1)["lines"])
+
+    def named(flag) -> Column:
+        return F.sort_array(F.transform(F.filter("ts", flag), lambda t: t["k"]))
+
+    return line.select("lh", named(lambda t: 100 * t["lines"] >= SHARE_PCT * F.col("usual")).alias("kept"), named(lambda t: t["both"]).alias("shared"))
+
+
+def dropped_lines(documents: DataFrame, id_column: str = "doc_id", text: str = "text", by_share: bool = False) -> DataFrame:
+    """``doc, pos`` (from 0) of every line whose template an earlier document has.
+
+    ``by_share`` also takes values that recur for fields; without it the SQL of ``op2_line_dedup`` holds.
+    """
     lines = _lines(documents, id_column, text)
     found = materialise(lines.drop("line"))
     distinct = materialise(found.groupBy("leaf", "lh").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
@@ -62,28 +88,37 @@ def dropped_lines(documents: DataFrame, id_column: str = "doc_id", text: str = "
     low, high = F.least(F.xxhash64("first"), F.xxhash64("last")), F.greatest(F.xxhash64("first"), F.xxhash64("last"))
     placed = known.select("lh", "leaf", low.alias("low"), high.alias("high"), F.posexplode(F.split("line", " ")).alias("at", "token"))
     placed = placed.select("lh", "low", "high", F.xxhash64("leaf", "at", "token").alias("k"))  # a token at its place
-    constant = placed.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("k")
     # The constant tokens of a line with their places are its template; what is missing is a variable field.
-    marked = placed.select("k", "lh").join(constant, "k").groupBy("lh").agg(F.sort_array(F.collect_list("k")).alias("kept"))
+    if by_share:
+        marked = _by_share(placed)
+    else:
+        constant = placed.groupBy("k").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("k")
+        marked = placed.select("k", "lh").join(constant, "k").groupBy("lh").agg(F.sort_array(F.collect_list("k")).alias("kept"))
     known = known.select("lh", "leaf", "first", "last", F.size(F.split("line", " ")).alias("n")).join(marked, "lh")
-    whole = F.size("kept") == F.col("n")
-    enough = (F.size("kept") >= MIN_CONSTANT) & (100 * F.size("kept") >= CONSTANT_PCT * F.col("n"))
+
+    def enough(kept: str) -> Column:
+        fields = (F.size(kept) >= MIN_CONSTANT) & (100 * F.size(kept) >= CONSTANT_PCT * F.col("n"))
+        return (F.size(kept) == F.col("n")) | fields
+
     # A line of too few constant tokens is its own template.
-    template = F.when(whole | enough, F.xxhash64("leaf", "kept")).otherwise(F.xxhash64(F.lit("own"), "lh"))
+    template = F.when(enough("kept"), F.xxhash64("leaf", "kept"))
+    if by_share:
+        template = template.when(enough("shared"), F.xxhash64("leaf", "shared"))
+    template = template.otherwise(F.xxhash64(F.lit("own"), "lh"))
     known = materialise(known.select("lh", "first", "last", template.alias("template")))
     recurring = known.groupBy("template").agg(F.min("first").alias("owner"), F.max("last").alias("z")).where("owner <> z")
     decided = bounded(materialise(known.join(recurring, "template").select("lh", "owner")))
     return found.join(decided, "lh").where("doc <> owner").select("doc", "pos").distinct()
 
 
-def without_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", by_share: bool = False) -> DataFrame:
     """``row`` (the document as it was), ``n_lines``, ``n_dropped`` and ``text``, what is left of it.
 
     Defined cases: a null text counts as one empty line and stays null; rows with the
     same id and text are one document, so their lines are kept or dropped alike; a
     null id comes after all others; extra columns stay inside ``row``.
     """
-    drops = dropped_lines(documents, id_column, text).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("drops"))
+    drops = dropped_lines(documents, id_column, text, by_share).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("drops"))
     drops = materialise(drops.select(F.col("doc.id").alias("__id"), F.col("doc.key").alias("__key"), "drops"))
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _name(id_column, text).alias("doc"), F.col(text).alias("text"))
     packed = packed.select("row", "text", F.col("doc.id").alias("id"), F.col("doc.key").alias("key"))
@@ -102,7 +137,7 @@ def deduplicated(documents: DataFrame, id_column: str = "doc_id", text: str = "t
 
     ``length``, if there is such a column, becomes the new length of a changed text.
     """
-    found = without_repeats(documents, id_column, text)
+    found = without_repeats(documents, id_column, text, by_share=True)
     changed = F.col("n_dropped") > 0
     found = found.where(~changed | (F.btrim("text", F.lit(WS_CHARS)) != ""))
 

@@ -29,3 +29,17 @@ def test_clean_lines_stay(spark):
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     before = dict(rows)
     assert got == {1: before[1], 2: before[2], 3: before[3], 4: prose(26, 40), 6: "\nend of it all"}
+
+
+def test_values_that_recur(spark):
+    """A field stays one where its values recur, in copied documents and beside another template of its leaf."""
+    def line(station, day):
+        return f"This page was made by station {station} of the old northern line on day {day} for all our readers"
+
+    other = "This page was made by hand {} and printed twice for each and every one of the many friends"
+    assert len(line(1, 1).split(" ")) == len(other.split(" "))
+    made = [line(12, 3), line(57, 3), line(12, 3), line(57, 9), line(12, 9), line(80, 9), line(12, 3)] + [other.format(k % 3) for k in range(6)]
+    rows = [(k, f"{prose(40 + k, 20)}\n{x}") for k, x in enumerate(made)]
+    rows += [(100 + k, t) for k, t in rows]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: t if k in (0, 7) else prose(40 + k, 20) for k, t in rows if k < 100}
