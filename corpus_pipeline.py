@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the targets by source, language and topic."""
-    return mixing.sampled(docs)
+    """A sample whose tokens follow the targets by source, language and topic; a document of a rare cell may come more than once."""
+    return mixing.sampled(docs, copies=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Documents fall into cells of source, language and topic.  Each round scales the
 tokens of the cells so that the totals by source match their targets, then those by
-language, then those by topic; after a few rounds all three do.  A cell's weight is
-its fitted share of tokens over its actual one.  A document is taken with probability
-``min(1, rate * weight)``, decided by a hash of its id and text, so a rerun or a retried
-task takes the same documents.
+language, then those by topic; rounds go on until all three do, up to ``RESIDUAL``.  A
+cell's weight is its fitted share of tokens over its actual one.  A document is taken with
+probability ``min(1, rate * weight)``, decided by a hash of its id and text, so a rerun or a
+retried task takes the same documents.  That alone leaves cells of a weight above 1 short;
+with ``copies`` a document comes ``rate * weight`` times on average, the whole part of it
+always and the rest by the same draw, and the tokens taken follow the targets.
 
 Texts are read once for tokens and topics.  What is fitted is the table of cells: one
 row for each combination that occurs.
@@ -13,6 +15,7 @@ row for each combination that occurs.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +28,7 @@ MARGINS = ("source", "lang", "topic")
 POWER = 0.9  # a margin's target share is its actual share to this power
 ROUNDS = 8
 ROUNDS_A_JOB = 4
+RESIDUAL = 1e-4  # rounds go on while a margin's total is further from its target than this share of it
 RATE = 1.0
 SEED = "mix-1"
 LONG_CHARS = 5000
@@ -56,19 +60,41 @@ def power_targets(cells: DataFrame, margins: Sequence[str] = MARGINS, power: flo
     return cells
 
 
+def residual(cells: DataFrame, margins: Sequence[str] = MARGINS) -> float:
+    """The largest distance of a margin's fitted total from its target, as a share of the target."""
+    off = [F.abs(F.sum("fitted").over(Window.partitionBy(m)) / F.nullif(F.col(f"target_{m}"), F.lit(0.0)) - 1).alias(f"off_{m}") for m in margins]
+    largest = cells.select(*off).agg(*[F.max(f"off_{m}") for m in margins]).first()
+    return max((x for x in largest if x is not None), default=0.0)
+
+
 def raked(cells: DataFrame, margins: Sequence[str] = MARGINS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``fitted``, the tokens of each cell after raking to its ``target_`` columns, and ``weight``.
 
+    After ``rounds`` rounds, more follow until the residual is within ``RESIDUAL``, or, where the
+    cells that occur cannot meet all targets, until it no longer falls; then a warning gives it.
     Cells without tokens keep none.  A margin without a target (null) keeps its tokens.
     """
     fitted = materialise(cells.withColumn("fitted", F.col("tokens").cast("double")))
-    for k in range(rounds):
+
+    def once(fitted: DataFrame) -> DataFrame:
         for m in margins:
             now = F.sum("fitted").over(Window.partitionBy(m))
             factor = F.when(now > 0, F.coalesce(F.col(f"target_{m}") / now, F.lit(1.0))).otherwise(0.0)
             fitted = fitted.withColumn("fitted", F.col("fitted") * factor)
+        return fitted
+
+    for k in range(rounds):
+        fitted = once(fitted)
         if (k + 1) % ROUNDS_A_JOB == 0:
             fitted = materialise(fitted)
+    left, before = residual(fitted, margins), float("inf")
+    while RESIDUAL < left < 0.99 * before:
+        for _ in range(ROUNDS_A_JOB):
+            fitted = once(fitted)
+        fitted = materialise(fitted)
+        left, before = residual(fitted, margins), left
+    if left > RESIDUAL:
+        warnings.warn(f"the cells cannot meet all targets: a margin is off by {left:.2%}", stacklevel=2)
     return fitted.withColumn("weight", F.when(F.col("tokens") > 0, F.round(F.col("fitted") / F.col("tokens"), 6)).otherwise(1.0))
 
 
@@ -96,6 +122,12 @@ def chosen(rate: float = RATE) -> Column:
     return F.col("u") < F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
 
 
+def n_copies(rate: float = RATE) -> Column:
+    """How often the mix has a row: ``rate * weight`` on average; at least once just where ``chosen``."""
+    often = F.lit(rate) * F.col("weight")
+    return (F.floor(often) + (F.col("u") < often - F.floor(often)).cast("int")).cast("int")
+
+
 def weighted(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE) -> DataFrame:
     """``id, source, lang, topic, n_tokens, weight, kept`` for every row.
 
@@ -108,14 +140,17 @@ def weighted(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     return _of_cell(measured, _weights(measured, power)).withColumn("kept", chosen(rate)).drop("u")
 
 
-def sampled(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE) -> DataFrame:
-    """The rows that the mix takes, with their own columns."""
+def sampled(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE, copies: bool = False) -> DataFrame:
+    """The rows that the mix takes, with their own columns; with ``copies``, each as often as its weight asks."""
     weights = _weights(_measured(documents, id_column, text, topic), power)
     t = text_of(text)
     packed = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("source"), F.col("lang"),
         (topic if topic is not None else topic_of(t)).alias("topic"), _draw(id_column, text).alias("u"))
-    return _of_cell(packed, weights).where(chosen(rate)).select("row.*")
+    taken = _of_cell(packed, weights).where(chosen(rate))
+    if copies:
+        taken = taken.select("row", F.explode(F.sequence(F.lit(1), n_copies(rate))).alias("copy"))
+    return taken.select("row.*")
 
 
 def _sql() -> str:

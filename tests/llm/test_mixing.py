@@ -1,5 +1,6 @@
 import pytest
 
+import corpus_pipeline
 from foldwise.llm import mixing
 from tests.llm.conftest import CLASHING
 
@@ -37,3 +38,38 @@ def test_odd_rows(odd, empty):
     assert out.columns == odd.columns and out.count() == sum(r.kept for r in rows)
     assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in out.collect())
     assert mixing.weighted(empty).count() == 0 and mixing.sampled(empty).count() == 0
+
+
+def test_tokens_taken_follow_the_targets(spark):
+    """At the stage's defaults; a source of one percent beside two of about half is to get 1.47 percent."""
+    df = spark.range(20_000).selectExpr(
+        "id AS doc_id", "concat('text number ', id) AS text", "CASE WHEN id % 100 = 0 THEN 'rare' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source",
+        "if(id % 8 = 3, 'es', 'en') AS lang")
+    out = corpus_pipeline.mix(spark, df, "")
+    assert out.columns == df.columns
+    rows, total = out.collect(), df.count()
+    for m in ("source", "lang"):
+        shares = {r[0]: r[1] / total for r in df.groupBy(m).count().collect()}
+        whole = sum(x**mixing.POWER for x in shares.values())
+        for value, share in shares.items():
+            assert sum(r[m] == value for r in rows) / len(rows) == pytest.approx(share**mixing.POWER / whole, abs=0.003), value
+    once = {r.id for r in mixing.weighted(df).where("kept").collect()}
+    assert {r.doc_id for r in rows} == once and len(rows) > len(once)
+
+
+def test_rounds_until_the_margins_are_met(spark):
+    rows = [("a", "en", "x", 1000.0), ("a", "de", "x", 1.0), ("b", "en", "x", 10.0), ("b", "de", "x", 400.0), ("c", "de", "y", 5.0), ("c", "en", "y", 5.0), ("a", "en", "y", 20.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    table = mixing.raked(mixing.power_targets(cells, power=0.5)).collect()
+    for m in mixing.MARGINS:
+        for value in {r[m] for r in table}:
+            part = [r for r in table if r[m] == value]
+            assert sum(r.fitted for r in part) == pytest.approx(part[0][f"target_{m}"], rel=1e-4)
+
+
+def test_targets_that_cannot_be_met(spark):
+    """Raking ends, and says so."""
+    cells = spark.createDataFrame([("a", "en", "x", 900.0), ("b", "de", "x", 100.0)], "source string, lang string, topic string, tokens double")
+    cells = cells.selectExpr("*", "tokens AS target_source", "500D AS target_lang", "1000D AS target_topic")
+    with pytest.warns(UserWarning, match="cannot meet"):
+        assert mixing.raked(cells).count() == 2
