@@ -27,6 +27,7 @@ ASIDE_WORDS = {
 }
 # Beside one of these an aside word speaks of the layout: "content-with-sidebar".
 LAYOUT_WORDS = {"with", "has", "no", "without"}
+ADDS = 0.05  # share of a container's text that an ancestor has to add to count as more of the article
 # An end of these closes what is still open inside them; a start closes an open one of the same set.
 _REOPEN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "p": {"p"}}
 _CLOSES_P = LEAF | {"div", "article", "section", "main", "ul", "ol", "dl", "table", "blockquote", "figure", "hr", "details"} | ASIDE_TAGS
@@ -154,13 +155,17 @@ def blocks(source: str) -> list[Block]:
     return found
 
 
+def _worth(block: Block) -> float:
+    return (len(block.text) - block.linked) * (1 - block.linked / len(block.text))
+
+
 def containers(found: list[Block]) -> dict[int, tuple[Element, float]]:
     """Score of every container: the unlinked text right inside it, and half of that one level further in."""
     scores: dict[int, list] = {}
     for block in found:
         if block.element.aside:
             continue
-        worth = (len(block.text) - block.linked) * (1 - block.linked / len(block.text))
+        worth = _worth(block)
         e = block.element
         while e.leaf and e.parent is not None:
             e = e.parent
@@ -172,13 +177,51 @@ def containers(found: list[Block]) -> dict[int, tuple[Element, float]]:
     return {k: (e, s * (1.25 if e.tag in ("article", "main") else 1.0)) for k, (e, s) in scores.items()}
 
 
-def best_path(found: list[Block]) -> str | None:
-    """Path of the container with the highest score; the earlier one of equals."""
-    best, path = 0.0, None
+def widened(found: list[Block], core: Element) -> Element:
+    """The highest ancestor of a container that adds text of the article to it.
+
+    An article or main element adds whatever is in it; any other ancestor counts if it adds a
+    first heading or ``ADDS`` of the text so far.
+    """
+    chain, level = [], {}
+    e = core
+    while e is not None:
+        level[id(e)] = len(chain)
+        chain.append(e)
+        e = e.parent
+    worth, heading = [0.0] * len(chain), [False] * len(chain)
+    for block in found:
+        if block.element.aside:
+            continue
+        e, passed = block.element, []
+        while id(e) not in level:
+            passed.append(id(e))
+            e = e.parent
+        at = level[id(e)]
+        level.update(dict.fromkeys(passed, at))
+        worth[at] += _worth(block)
+        heading[at] |= block.element.tag == "h1"
+    kept, have, more, titled = core, worth[0], 0.0, False
+    for e, adds, h1 in zip(chain[1:], worth[1:], heading[1:], strict=True):
+        more, titled = more + adds, titled or h1
+        if more > 0 and (e.tag in ("article", "main") or titled or more >= ADDS * have):
+            kept, have, more, titled = e, have + more, 0.0, False
+    return kept
+
+
+def best(found: list[Block]) -> Element | None:
+    """The container with the highest score; the earlier one of equals."""
+    most, core = 0.0, None
     for e, score in containers(found).values():
-        if score > best:
-            best, path = score, e.path
-    return path
+        if score > most:
+            most, core = score, e
+    return core
+
+
+def best_path(found: list[Block]) -> str | None:
+    """Path of the container with the highest score, widened to all of the article."""
+    core = best(found)
+    return None if core is None else widened(found, core).path
 
 
 def _is_menu(block: Block) -> bool:

@@ -64,3 +64,25 @@ def test_query(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", body)]
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
+
+
+def test_whole_article():
+    """Heading, lead and sections outside the best container belong to the article; marked parts beside it do not."""
+    lead, parts = prose(1, 12), [prose(k, 40) for k in (2, 3, 4)]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    for source in (f"<article><h1>Head</h1><p class=lead>{lead}</p><div class=body>{body}</div></article>", f"<div><h1>Head</h1><p>{lead}</p><div class=body>{body}</div></div>"):
+        found = html_page.blocks(page(source))
+        assert html_page.text_below(found, html_page.best_path(found)) == ["Head", lead, *parts]
+    split = [prose(5, 20), prose(6, 60), prose(7, 20)]
+    found = html_page.blocks(page("<div class=text>" + "".join(f"<section class={c}><p>{p}</p></section>" for c, p in zip(("intro", "results", "end"), split, strict=True)) + "</div>"))
+    assert html_page.text_below(found, html_page.best_path(found)) == split
+
+
+def test_templates_of_a_host(spark):
+    """Pages of a minority template keep all of their article where the host's path holds a part of it."""
+    data = rows(12)
+    for k in range(3):
+        mine, teaser = prose(950 + k, 60), prose(960 + k, 45)
+        data.append((60 + k, f"https://example.org/r{k}", page(f"<div class='wrap x1'><div class='post-body'><p>{teaser}</p></div><div class='report'><p>{mine}</p></div></div>"), f"{teaser}\n\n{mine}"))
+    df = spark.createDataFrame([d[:3] for d in data], "page_id long, url string, html string")
+    assert {r.row.page_id: r.text for r in html_extract.extracted(df).collect()} == {d[0]: d[3] for d in data}
