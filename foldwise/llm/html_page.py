@@ -25,6 +25,14 @@ ASIDE_WORDS = {
     "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
     "recommended", "recommendations", "widget", "widgets", "pagination", "pager", "skip", "search", "form", "copyright", "legal", "disclaimer", "tags", "outbrain", "taboola",
 }
+# Words that always mark a part beside the article; each of the others can also be its topic or the page's layout.
+STRICT_WORDS = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "nav", "navbar", "breadcrumb", "breadcrumbs",
+    "comment", "comments", "commentlist", "respond", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter",
+    "subscribe", "subscription", "signup", "login", "pagination", "pager", "outbrain", "taboola",
+}
+WHOLE_TAGS = {"html", "body", "main", "article"}  # their class and id speak of the page or its topic
+MOST = 0.8  # share of the page's unlinked text from which a container is not beside the article, whatever its class
 # Beside one of these an aside word speaks of the layout: "content-with-sidebar".
 LAYOUT_WORDS = {"with", "has", "no", "without"}
 ADDS = 0.05  # share of a container's text that an ancestor has to add to count as more of the article
@@ -39,12 +47,25 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Element:
-    """An open or closed container or leaf: ``path`` is its generalised tag-class path."""
+    """An open or closed container or leaf: ``path`` is its generalised tag-class path.
+
+    ``doubtful`` is the outermost element around it, or itself, that is an aside by a form tag or a word that may be a topic.
+    """
+
+    __slots__ = ("aside", "doubt", "doubtful", "leaf", "parent", "path", "tag")
 
-    __slots__ = ("aside", "leaf", "parent", "path", "tag")
+    def __init__(self, tag: str, parent: Element | None, path: str, mark: str, leaf: bool):
+        self.tag, self.parent, self.path, self.leaf = tag, parent, path, leaf
+        self.doubt = mark == "doubtful"
+        self.settle(mark == "aside")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, aside: bool, leaf: bool):
-        self.tag, self.parent, self.path, self.aside, self.leaf = tag, parent, path, aside, leaf
+    def settle(self, marked: bool) -> None:
+        """Work out ``aside`` and ``doubtful`` from what is outside; ``marked``: an aside without a doubt."""
+        outer = self.parent
+        self.aside = marked or self.doubt or (outer is not None and outer.aside)
+        # An aside beyond doubt, around it or itself, leaves nothing to decide.
+        sure = marked or (outer is not None and outer.aside and outer.doubtful is None)
+        self.doubtful = None if sure else outer.doubtful if outer is not None and outer.doubtful is not None else self if self.doubt else None
 
 
 class Block:
@@ -60,16 +81,22 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)}
 
 
-def _is_aside(tag: str, at: dict[str, str]) -> bool:
-    if tag in ASIDE_TAGS or at.get("role", "").lower() in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden") == "true":
-        return True
+def _mark(tag: str, at: dict[str, str]) -> str:
+    """``aside``, ``doubtful`` or nothing."""
+    if tag in ("html", "body"):
+        return ""
+    if tag in ASIDE_TAGS - {"form"} or at.get("role", "").lower() in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden") == "true":
+        return "aside"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")):
-        return True
-    for name in (at.get("class", "") + " " + at.get("id", "")).split():
+        return "aside"
+    mark = "doubtful" if tag == "form" else ""
+    for name in () if tag in WHOLE_TAGS else (at.get("class", "") + " " + at.get("id", "")).split():
         found = {w.lower() for w in _PARTS.findall(name)}
         if found & ASIDE_WORDS and not found & LAYOUT_WORDS:
-            return True
-    return False
+            if found & STRICT_WORDS:
+                return "aside"
+            mark = "doubtful"
+    return mark
 
 
 def _step(tag: str, at: dict[str, str]) -> str:
@@ -80,8 +107,9 @@ def _step(tag: str, at: dict[str, str]) -> str:
 
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order; unclosed, misnested and cut-off markup is read as a browser would."""
-    top = Element("", None, "", False, False)
+    top = Element("", None, "", "", False)
     found: list[Block] = []
+    inner: list[Element] = []  # elements inside doubtful ones, or these themselves, outer ones first
     here, text, linked, links, in_link = top, [], 0, 0, 0
     at, n = 0, len(source)
 
@@ -150,11 +178,35 @@ def blocks(source: str) -> list[Block]:
         if tag in _REOPEN:
             close(_REOPEN[tag], {"ul", "ol", "dl", "table", "div", "article", "section"})
         attributes = _attributes(m[3]) if m[3] else {}
-        here = Element(tag, here, f"{here.path}>{_step(tag, attributes)}", here.aside or _is_aside(tag, attributes), tag in LEAF)
+        here = Element(tag, here, f"{here.path}>{_step(tag, attributes)}", _mark(tag, attributes), tag in LEAF)
+        if here.doubtful is not None:
+            inner.append(here)
     end_block()
+    _cleared(found, inner)
     return found
 
 
+def _cleared(found: list[Block], inner: list[Element]) -> None:
+    """Take a doubtful container for a plain one if it holds ``MOST`` of the unlinked text, again until none does.
+
+    Text right inside a form is its labels and does not count for it.
+    """
+    while inner:
+        plain, held = 0, {}
+        for block in found:
+            e, size = block.element, len(block.text) - block.linked
+            if e.doubtful is not None and (e is not e.doubtful or e.tag != "form"):
+                held.setdefault(id(e.doubtful), [e.doubtful, 0])[1] += size
+            elif not e.aside:
+                plain += size
+        most, size = max(held.values(), key=lambda x: x[1], default=(None, 0))
+        if size == 0 or size < MOST * (size + plain):
+            return
+        most.doubt = False
+        for e in inner:  # none of them is an aside beyond doubt
+            e.settle(False)
+
+
 def _worth(block: Block) -> float:
     return (len(block.text) - block.linked) * (1 - block.linked / len(block.text))
 

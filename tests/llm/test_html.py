@@ -86,3 +86,18 @@ def test_templates_of_a_host(spark):
         data.append((60 + k, f"https://example.org/r{k}", page(f"<div class='wrap x1'><div class='post-body'><p>{teaser}</p></div><div class='report'><p>{mine}</p></div></div>"), f"{teaser}\n\n{mine}"))
     df = spark.createDataFrame([d[:3] for d in data], "page_id long, url string, html string")
     assert {r.row.page_id: r.text for r in html_extract.extracted(df).collect()} == {d[0]: d[3] for d in data}
+
+
+def test_articles_with_the_names_of_asides():
+    """Class names of topics and a form around the page do not hide the article; parts beside it stay out."""
+    a, b = prose(1, 40), prose(2, 40)
+    inner = f"<h1>Head</h1><p>{a}</p><div class='share-bar'>Share this</div><nav>x</nav><div class=comment><p>{prose(3, 20)}</p></div><p>{b}</p>"
+    for source in (
+        f"<article class='post category-legal tag-social'>{inner}</article>", f"<main class='discussion'>{inner}</main>", f"<div id='search-form'>{inner}</div>",
+        f"<form action='/x.aspx'><div class=alert><div>{inner}</div></div></form>", f"<form><input type=hidden>Go {inner}</form>"):
+        for whole in (page(source), page(source).replace("<body>", "<body class='sidebar-right' style='visibility: hidden'>")):
+            found = html_page.blocks(whole)
+            kept = html_page.text_below(found, html_page.best_path(found))
+            assert [x for x in kept if x != "Go"] == ["Head", a, b], source
+    found = html_page.blocks(page(f"<article><p>{a}</p></article><form class=search><p>{prose(4, 30)}</p></form><div class=related><p>{b}</p></div>"))
+    assert html_page.text_below(found, html_page.best_path(found)) == [a]
