@@ -8,6 +8,15 @@ def canonical(frame):
     return columns, sorted([tuple(repr(float(v) + 0.0) if isinstance(v, float) else repr(v) for v in row) for row in rows])
 
 
+def frame_of(df):
+    """A Spark result as a pandas frame whose whole numbers stay whole beside nulls."""
+    frame = df.toPandas()
+    for f in df.schema:
+        if f.dataType.simpleString() in ("int", "bigint") and frame[f.name].dtype.kind == "f":
+            frame[f.name] = frame[f.name].astype("Int64")
+    return frame
+
+
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 
