@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "bpe", "line_dedup", "html_extract", "sharding", "language", "ngram_join", "exact_dedup", "mixing", "quality_model", "quality_rules",
-    "variants", "divergence",
+    "variants", "divergence", "toxicity",
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
