@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # Elements whose content is never text of the page.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "audio", "video", "canvas"}
@@ -31,6 +32,8 @@ STRICT_WORDS = {
     "comment", "comments", "commentlist", "respond", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter",
     "subscribe", "subscription", "signup", "login", "pagination", "pager", "outbrain", "taboola",
 }
+ARTICLE_TAGS = {"article", "main"}
+TITLE_WORDS = {"header", "masthead"}  # inside an article these hold its title
 WHOLE_TAGS = {"html", "body", "main", "article"}  # their class and id speak of the page or its topic
 MOST = 0.8  # share of the page's unlinked text from which a container is not beside the article, whatever its class
 # Beside one of these an aside word speaks of the layout: "content-with-sidebar".
@@ -40,25 +43,39 @@ ADDS = 0.05  # share of a container's text that an ancestor has to add to count
 _REOPEN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "p": {"p"}}
 _CLOSES_P = LEAF | {"div", "article", "section", "main", "ul", "ol", "dl", "table", "blockquote", "figure", "hr", "details"} | ASIDE_TAGS
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?/][^>]*>")
-_CUT_OFF = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")  # a tag that the end of the page cuts
+# A tag without angle brackets in its attributes: what fails is given up at the next bracket, so a page is read in linear time.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>|<!--|<[!?/][^<>]*+>|<(?=[/a-zA-Z!?])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+LONGEST_VALUE = 1 << 20  # a quoted value longer than this was never closed
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Element:
-    """An open or closed container or leaf: ``path`` is its generalised tag-class path.
+    """An open or closed container or leaf: ``path`` is its generalised tag-class path, of ``length`` characters.
 
     ``doubtful`` is the outermost element around it, or itself, that is an aside by a form tag or a word that may be a topic.
+    An element holds its own step of the path only, so that deeply nested pages stay small.
     """
 
-    __slots__ = ("aside", "doubt", "doubtful", "leaf", "parent", "path", "tag")
+    __slots__ = ("aside", "doubt", "doubtful", "in_article", "leaf", "length", "parent", "step", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, mark: str, leaf: bool):
-        self.tag, self.parent, self.path, self.leaf = tag, parent, path, leaf
+    def __init__(self, tag: str, parent: Element | None, step: str, mark: str, leaf: bool):
+        self.tag, self.parent, self.step, self.leaf = tag, parent, step, leaf
+        self.length = len(step) + (parent.length if parent is not None else 0)
+        self.in_article = tag in ARTICLE_TAGS or (parent is not None and parent.in_article)
         self.doubt = mark == "doubtful"
         self.settle(mark == "aside")
 
+    @property
+    def path(self) -> str:
+        steps, e = [], self
+        while e is not None:
+            steps.append(e.step)
+            e = e.parent
+        return "".join(reversed(steps))
+
     def settle(self, marked: bool) -> None:
         """Work out ``aside`` and ``doubtful`` from what is outside; ``marked``: an aside without a doubt."""
         outer = self.parent
@@ -81,17 +98,19 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)}
 
 
-def _mark(tag: str, at: dict[str, str]) -> str:
-    """``aside``, ``doubtful`` or nothing."""
+def _mark(tag: str, at: dict[str, str], in_article: bool = False) -> str:
+    """``aside``, ``doubtful`` or nothing; the header of an article is a part of it."""
     if tag in ("html", "body"):
         return ""
-    if tag in ASIDE_TAGS - {"form"} or at.get("role", "").lower() in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden") == "true":
+    if (tag in ASIDE_TAGS - {"form"} and not (in_article and tag == "header")) or at.get("role", "").lower() in ASIDE_ROLES or "hidden" in at or at.get("aria-hidden") == "true":
         return "aside"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", "")):
         return "aside"
     mark = "doubtful" if tag == "form" else ""
     for name in () if tag in WHOLE_TAGS else (at.get("class", "") + " " + at.get("id", "")).split():
         found = {w.lower() for w in _PARTS.findall(name)}
+        if in_article:
+            found -= TITLE_WORDS
         if found & ASIDE_WORDS and not found & LAYOUT_WORDS:
             if found & STRICT_WORDS:
                 return "aside"
@@ -105,6 +124,39 @@ def _step(tag: str, at: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
+class _Tags:
+    """The tags of a page that the plain pattern does not take: with brackets in their attributes, or cut off."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes = {q: (0, -1) for q in "\"'"}  # a search from the first place gave the second
+
+    def _closing(self, quote: str, at: int) -> int:
+        """Where the quote occurs next; each part of the page is searched once."""
+        since, found = self.quotes[quote]
+        if not since <= at <= found:
+            found = self.source.find(quote, at)
+            self.quotes[quote] = (at, found if found >= 0 else len(self.source))
+        found = self.quotes[quote][1]
+        return found if found < self.last else -1
+
+    def end(self, at: int) -> int:
+        """Behind the tag that begins at ``at``; its quotes may hold brackets, a quote that is never closed is a plain character."""
+        if at > self.last:
+            return len(self.source)  # the end of the page cuts it
+        first, i = -1, at + 1
+        while (m := _EDGE.search(self.source, i)) is not None:
+            if m[0] == ">":
+                return m.end()
+            stop = self._closing(m[0], m.end())
+            if first < 0:
+                first = self.source.find(">", m.end())
+            if stop < 0 or stop - m.end() > LONGEST_VALUE:
+                return first + 1
+            i = stop + 1
+        return first + 1 if first >= 0 else len(self.source)
+
+
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order; unclosed, misnested and cut-off markup is read as a browser would."""
     top = Element("", None, "", "", False)
@@ -112,6 +164,8 @@ def blocks(source: str) -> list[Block]:
     inner: list[Element] = []  # elements inside doubtful ones, or these themselves, outer ones first
     here, text, linked, links, in_link = top, [], 0, 0, 0
     at, n = 0, len(source)
+    tags, opened = _Tags(source), Counter()
+    ends: dict[str, bool] = {}
 
     def end_block() -> None:
         nonlocal text, linked, links
@@ -123,17 +177,19 @@ def blocks(source: str) -> list[Block]:
     def close(tags: set[str], until: set[str]) -> None:
         """Close the innermost open element among ``tags``, not looking out of one among ``until``."""
         nonlocal here
+        if not any(opened[t] for t in tags):
+            return
         e = here
         while e is not top and e.tag not in tags and e.tag not in until:
             e = e.parent
         if e is not top and e.tag in tags:
-            here = e.parent
+            while here is not e.parent:
+                opened[here.tag] -= 1
+                here = here.parent
 
     while at < n:
         m = _TAG.search(source, at)
         run = source[at : m.start() if m else n]
-        if not m:
-            run = _CUT_OFF.sub("", run)
         if run:
             text.append(run)
             if in_link:
@@ -141,15 +197,26 @@ def blocks(source: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
-            if m[0] == "<!--":
-                stop = source.find("-->", at)
-                at = stop + 3 if stop >= 0 else n
+        if m[0] == "<!--":
+            stop = source.find("-->", at)
+            at = stop + 3 if stop >= 0 else n
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        if m[2] is None and m[0] != "<":
+            continue
+        name, rest = m, m[3]
+        if m[2] is None:  # a tag of another form
+            at = tags.end(m.start())
+            name = _NAME.match(source, m.start(), at)
+            if name is None:
+                continue
+            rest = source[name.end() : at - 1]
+            if at == n and source[-1] != ">":
+                break
+        tag, closing = name[2].lower(), bool(name[1])
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
+            if not closing and not rest.endswith("/"):
+                stop = re.compile(rf"</{tag}\b[^<>]*>", re.IGNORECASE).search(source, at) if ends.get(tag, True) else None
+                ends[tag] = stop is not None
                 at = stop.end() if stop else n
             text.append(" ")
             continue
@@ -177,8 +244,9 @@ def blocks(source: str) -> list[Block]:
             close({"p"}, {"div", "article", "section", "td", "li", "blockquote"} - _REOPEN.get(tag, set()))
         if tag in _REOPEN:
             close(_REOPEN[tag], {"ul", "ol", "dl", "table", "div", "article", "section"})
-        attributes = _attributes(m[3]) if m[3] else {}
-        here = Element(tag, here, f"{here.path}>{_step(tag, attributes)}", _mark(tag, attributes), tag in LEAF)
+        attributes = _attributes(rest) if rest else {}
+        here = Element(tag, here, f">{_step(tag, attributes)}", _mark(tag, attributes, here.in_article), tag in LEAF)
+        opened[tag] += 1
         if here.doubtful is not None:
             inner.append(here)
     end_block()
@@ -226,29 +294,32 @@ def containers(found: list[Block]) -> dict[int, tuple[Element, float]]:
                 break
             scores.setdefault(id(e), [e, 0.0])[1] += worth * share
             e = e.parent
-    return {k: (e, s * (1.25 if e.tag in ("article", "main") else 1.0)) for k, (e, s) in scores.items()}
+    return {k: (e, s * (1.25 if e.tag in ARTICLE_TAGS else 1.0)) for k, (e, s) in scores.items()}
 
 
 def widened(found: list[Block], core: Element) -> Element:
     """The highest ancestor of a container that adds text of the article to it.
 
-    An article or main element adds whatever is in it; any other ancestor counts if it adds a
-    first heading or ``ADDS`` of the text so far.
+    An article or main element adds whatever is in it, and nothing outside the first of them does; any
+    other ancestor counts if it adds a first heading or ``ADDS`` of the text so far.
     """
     chain, level = [], {}
     e = core
     while e is not None:
         level[id(e)] = len(chain)
         chain.append(e)
-        e = e.parent
+        e = None if e.tag in ARTICLE_TAGS else e.parent
     worth, heading = [0.0] * len(chain), [False] * len(chain)
     for block in found:
         if block.element.aside:
             continue
         e, passed = block.element, []
-        while id(e) not in level:
+        while e is not None and id(e) not in level:
             passed.append(id(e))
             e = e.parent
+        if e is None or level[id(e)] is None:  # outside the article
+            level.update(dict.fromkeys(passed))
+            continue
         at = level[id(e)]
         level.update(dict.fromkeys(passed, at))
         worth[at] += _worth(block)
@@ -256,7 +327,7 @@ def widened(found: list[Block], core: Element) -> Element:
     kept, have, more, titled = core, worth[0], 0.0, False
     for e, adds, h1 in zip(chain[1:], worth[1:], heading[1:], strict=True):
         more, titled = more + adds, titled or h1
-        if more > 0 and (e.tag in ("article", "main") or titled or more >= ADDS * have):
+        if more > 0 and (e.tag in ARTICLE_TAGS or titled or more >= ADDS * have):
             kept, have, more, titled = e, have + more, 0.0, False
     return kept
 
@@ -282,14 +353,20 @@ def _is_menu(block: Block) -> bool:
 
 def text_below(found: list[Block], path: str) -> list[str]:
     """Texts of the blocks inside any element with this path, without what is not the article."""
-    inside: dict[int, bool] = {}
-
-    def within(e: Element | None) -> bool:
-        if e is None:
-            return False
-        if id(e) not in inside:
-            inside[id(e)] = e.path == path or within(e.parent)
-        return inside[id(e)]
+    # Of each element: whether its own path begins the wanted one, and whether it stands inside an element that has it.
+    known: dict[int, tuple[bool, bool]] = {}
+
+    def within(e: Element) -> bool:
+        above = []
+        while e is not None and id(e) not in known:
+            above.append(e)
+            e = e.parent
+        begins, inside = known[id(e)] if e is not None else (True, False)
+        for e in reversed(above):
+            begins = begins and path.startswith(e.step, e.length - len(e.step))
+            inside = inside or (begins and e.length == len(path))
+            known[id(e)] = begins, inside
+        return inside
 
     kept = [b for b in found if not b.element.aside and within(b.element)]
     out = []

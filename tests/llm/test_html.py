@@ -101,3 +101,50 @@ def test_articles_with_the_names_of_asides():
             assert [x for x in kept if x != "Go"] == ["Head", a, b], source
     found = html_page.blocks(page(f"<article><p>{a}</p></article><form class=search><p>{prose(4, 30)}</p></form><div class=related><p>{b}</p></div>"))
     assert html_page.text_below(found, html_page.best_path(found)) == [a]
+
+
+def main_text(source):
+    found = html_page.blocks(source)
+    path = html_page.best_path(found)
+    return [] if path is None else html_page.text_below(found, path)
+
+
+def test_long_and_deep_pages():
+    """Malformed, deep and huge pages take linear time and memory, and no markup becomes text."""
+    import time
+    import tracemalloc
+
+    article = f"<article><h1>Head</h1><p>{prose(1, 40)}</p></article>"
+    want = ["Head", prose(1, 40)]
+    tails = {
+        "open tags": "<a " * 350_000, "open tags and an end": "<a " * 350_000 + ">", "quotes": "<a \"" * 250_001, "both quotes": "<a \"'" * 150_001 + ">",
+        "deep": "<div>" * 50_000 + "x", "deep classes": "<div class='one two three'>" * 30_000, "deep and closed": "<b2>" * 30_000 + "</b2>" * 30_000,
+        "ends": "<section>" * 20_000 + "</em2>" * 50_000, "scripts": "<script>" * 100_000, "comments": "<!--" * 200_000, "paragraphs": "<center><p>" * 20_000, "declarations": "<!x " * 200_000}
+    for name, tail in tails.items():
+        started = time.time()
+        text = main_text(article + tail)
+        assert time.time() - started < 5, name
+        assert text == want, (name, [t[:60] for t in text])
+    tracemalloc.start()
+    html_page.blocks("<div class='some long name of a class'>" * 10_000 + "x")
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+
+
+def test_brackets_in_attributes():
+    """A quoted value may hold brackets; a quote that is never closed does not swallow the page."""
+    for tag in ("<a title='a > b' href=\"x<y>z\">", "<img alt=\"1 < 2 > 0\">", "<i data-x='<b>'>"):
+        assert main_text(f"<article><p>one {tag}two</p></article>") == ["one two"], tag
+    assert main_text("<article><p>one <a href=\"x>two</a> three</p></article>") == ["one two three"]
+    assert main_text("<article><p>one</p><p>two <a hre") == ["one", "two"]
+    assert main_text("<p>1 < 2 and a<b") == ["1 < 2 and a"]
+
+
+def test_an_article_ends_where_it_ends():
+    """Title and lead in an article's header belong to it; readers' answers and other text outside an article do not."""
+    a, b = prose(1, 40), prose(2, 30)
+    inner = f"<header class='entry-header'><h1>Head</h1><p>{b}</p></header><p>{a}</p>"
+    for answers in (f"<section id=responses><p>{prose(3, 30)}</p></section>", f"<div class=more><p>{prose(4, 20)}</p><p>{prose(5, 20)}</p></div>"):
+        assert main_text(page(f"<article>{inner}</article>{answers}")) == ["Head", b, a]
+        assert main_text(page(f"<main>{inner}</main>{answers}")) == ["Head", b, a]
+    assert main_text(page(f"<div><header><p>{b}</p></header><p>{a}</p></div>")) == [a]  # no article: the page's header
