@@ -5,9 +5,9 @@ Steps:
 1. Every task folds whole documents into hash stripes: term -> (document frequency,
    occurrences by source), one hash for each language.  A hash that has grown to
    ``HELD`` entries is spilled as rows and begun anew.
-2. Stripes are merged by (language, term): sorted, then added up one key at a time, so
-   a key of any number of stripes needs the memory of one.  A term that many documents
-   of a stripe have is first merged under a salt.
+2. Stripes are merged by (language, term): sorted, then added up a bounded batch at a time.
+   However frequent a term is, it comes as one stripe for each spilled hash, so no key is
+   much larger than the next ones, and one of any number of stripes needs the memory of a batch.
 3. Terms in at least ``least`` documents of a language stay.  Their totals by source give
    every source its smoothed frequencies, in billionths, as exact integers.
 4. The merged stripes, cut into groups of bounded size, emit the divergences: for each pair
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +35,15 @@ from foldwise.session import bounded
 
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
-HELD = 400_000  # entries of a task's hashes before they are spilled
-SALTS = 16
-HOT_DOCUMENTS = 2_000  # a term of as many documents of one stripe is salted
+HELD = 1_000_000  # entries of a task's hashes before they are spilled, about 100 bytes each
+MERGED = 100_000  # stripes that are added up at a time, at least
 GROUP_ENTRIES = 1 << 15  # (term, source) counts that one emitting group takes
 PAIR_CELLS = 1 << 22  # (source, source) sums that one emitting group holds
 BLOCK_CELLS = 1 << 19
 BILLION = 1_000_000_000
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # in lower-cased UTF-8
-_STRIPE = "lang string, term string, salt int, df long, sources array<string>, counts array<long>"
+_STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 _PART = "lang string, source string, part string, item string, value long"
 
 
@@ -68,24 +66,25 @@ class _Hashes:
         return sum(len(c) for by in self.by.values() for c in by.values())
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        own = 1 + (context.partitionId() if context else 0) % SALTS
         for lang, df in self.df.items():
-            by = list(self.by[lang].items())
-            terms = list(df)
-            for a in range(0, len(terms), 20_000):
-                some = terms[a : a + 20_000]
-                held = [[(s, c[t]) for s, c in by if t in c] for t in some]
-                yield _stripes(
-                    [lang] * len(some), [t.decode() for t in some], [own if df[t] >= HOT_DOCUMENTS else 0 for t in some],
-                    [df[t] for t in some], [[s for s, _ in h] for h in held], [[n for _, n in h] for h in held])
+            names = list(self.by[lang])
+            place = {t: i for i, t in enumerate(df)}
+            row = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.by[lang].values()])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.by[lang].values()])
+            source = np.repeat(np.arange(len(names)), [len(c) for c in self.by[lang].values()])
+            order = np.argsort(row, kind="stable")
+            terms = pa.array(list(df), pa.binary()).cast(pa.string())
+            whole = _stripes(
+                pa.array([lang] * len(df), pa.string()), terms, pa.array(df.values(), pa.int64()), np.bincount(row, minlength=len(df)),
+                pa.array(names, pa.string()).take(pa.array(source[order])), pa.array(count[order]))
+            yield from whole.to_batches(max_chunksize=20_000)
         self.__init__()
 
 
-def _stripes(*columns) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    names = ["lang", "term", "salt", "df", "sources", "counts"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+def _stripes(lang: pa.Array, term: pa.Array, df: pa.Array, sizes: np.ndarray, sources: pa.Array, counts: pa.Array) -> pa.Table:
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    columns = [lang, term, df, pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)]
+    return pa.Table.from_arrays(columns, names=["lang", "term", "df", "sources", "counts"])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,40 +102,59 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from hashes.spill()
 
 
+def _key_starts(rows: pa.Table) -> np.ndarray:
+    """Rows of a sorted table that begin a new (language, term)."""
+    differ = np.zeros(rows.num_rows, dtype=bool)
+    differ[0] = True
+    for name in ("lang", "term"):
+        c = rows.column(name).combine_chunks()
+        differ[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(differ)
+
+
+def _added(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+    """The stripes of each key of a sorted table as one."""
+    if len(starts) == rows.num_rows:
+        return rows
+    key = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [rows.num_rows]))))
+    sources, counts = rows.column("sources").combine_chunks(), rows.column("counts").combine_chunks()
+    owner = key[np.repeat(np.arange(rows.num_rows), np.diff(sources.offsets.to_numpy()))]
+    flat = pa.table({"key": owner, "source": sources.flatten(), "n": counts.flatten()}).group_by(["key", "source"]).aggregate([("n", "sum")])
+    flat = flat.sort_by("key")
+    df = np.add.reduceat(rows.column("df").to_numpy(), starts)
+    first = rows.select(["lang", "term"]).take(pa.array(starts)).combine_chunks()
+    sizes = np.bincount(flat.column("key").to_numpy(), minlength=len(starts))
+    return _stripes(
+        first.column("lang").combine_chunks(), first.column("term").combine_chunks(), pa.array(df), sizes,
+        flat.column("source").combine_chunks(), flat.column("n_sum").combine_chunks())
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes sorted by language, term and salt: those of one key added up."""
-    out: list[tuple] = []
-    held = 0
-    key, df, counts = None, 0, Counter()
+    """Stripes sorted by language and term: those of one key added up."""
+    held: list[pa.Table] = []
+    size = 0
     for batch in batches:
-        for lang, term, salt, n, sources, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != (lang, term, salt):
-                if key is not None:
-                    out.append((*key, df, list(counts), list(counts.values())))
-                    held += len(counts)
-                    if held >= 100_000:
-                        yield _stripes(*zip(*out, strict=True))
-                        out, held = [], 0
-                key, df, counts = (lang, term, salt), 0, Counter()
-            df += n
-            for s, c in zip(sources, found, strict=True):
-                counts[s] += c
-    if key is not None:
-        out.append((*key, df, list(counts), list(counts.values())))
-    if out:
-        yield _stripes(*zip(*out, strict=True))
-
-
-def _merged(stripes: DataFrame, *by: str) -> DataFrame:
-    dealt = stripes.repartition(*by).sortWithinPartitions("lang", "term", "salt")
-    return dealt.mapInArrow(_merge, _STRIPE)
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= MERGED:
+            rows = pa.concat_tables(held).combine_chunks()
+            starts = _key_starts(rows)
+            whole = _added(rows, starts)
+            # The last key may go on in the next batch.
+            yield from whole.slice(0, whole.num_rows - 1).to_batches(max_chunksize=20_000)
+            held, size = [whole.slice(whole.num_rows - 1)], 1
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield from _added(rows, _key_starts(rows)).to_batches(max_chunksize=20_000)
 
 
 def stripes(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang, term, df, sources, counts``: each term of each language once, with its occurrences by source."""
     given = documents.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), text_of(text).alias("text"))
-    folded = _merged(given.mapInArrow(_fold, _STRIPE), "lang", "term", "salt")
-    return _merged(folded.withColumn("salt", F.lit(0)), "lang", "term").drop("salt")
+    dealt = given.mapInArrow(_fold, _STRIPE).repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return dealt.mapInArrow(_merge, _STRIPE)
 
 
 def _p(count: np.ndarray, whole) -> np.ndarray:
