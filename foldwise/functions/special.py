@@ -163,3 +163,23 @@ def signed_rank_p(w: str, n: str, variance: str, exact: str) -> Column:
 def chi2_upper_df3(x: str) -> Column:
     """Upper tail of chi-squared with three degrees of freedom (closed form)."""
     return F.expr(f"{normal_two_sided_sql(f'sqrt({x})')} + sqrt(2 * ({x}) / {math.pi!r}D) * exp(-({x}) / 2)")
+
+
+def gamma_upper_sql(a: str, x: str) -> str:
+    """Regularised upper incomplete gamma function Q(a, x).
+
+    Below a + 1 the series of its complement, above it the continued fraction from its
+    end; either needs a number of terms of the order of sqrt(a) beyond a constant.
+    """
+    terms = "cast(200 + ceil(8 * sqrt(j.a)) AS bigint)"
+    scale = f"exp(j.a * ln(j.x) - j.x - {ln_gamma_sql('j.a')})"
+    series = f"1 - {scale} / j.a * {_series_sql(terms, 'j.x / (j.a + i)')}"
+    fraction = f"aggregate(sequence({terms}, 1L, -1L), j.x + 2 * {terms} + 1 - j.a, (f, k) -> j.x + 2 * k - 1 - j.a - k * (k - j.a) / f)"
+    body = f"CASE WHEN j.x <= 0 THEN 1D WHEN j.x < j.a + 1 THEN greatest({series}, 0D) ELSE {scale} / {fraction} END"
+    return let("j", body, a=f"cast({a} AS double)", x=f"cast({x} AS double)")
+
+
+def chi2_upper(x: str, df: str) -> Column:
+    """Upper tail of chi-squared with any positive degrees of freedom; null without any."""
+    tail = gamma_upper_sql(f"({df}) / 2D", f"({x}) / 2")
+    return F.expr(f"CASE WHEN ({df}) > 0 AND ({x}) IS NOT NULL THEN {tail} END")

@@ -14,7 +14,7 @@ from foldwise.operators.normalise import safe_ratio_lfc
 from foldwise.operators.ordering import group_percentiles, ranked, sized, whole_percentiles
 from foldwise.operators.sampling import sample_rows, top_marker
 from foldwise.operators.stats import correlations, linear_fit, safe_corr
-from foldwise.session import bounded, written
+from foldwise.session import bounded, materialise, written
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -218,8 +218,14 @@ def gram_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return picked.mapInPandas(run, "i int, j int, product double").groupBy("i", "j").agg(F.sum("product").alias("product"))
 
 
+# Columns whose product matrix the driver decomposes; more are refused before anything is collected.
+MAX_GRAM_COLUMNS = 2000
+
+
 def gram_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """The symmetric matrix of ``gram_sums``; columns-by-columns numbers reach the driver."""
+    if len(columns) > MAX_GRAM_COLUMNS:
+        raise ValueError(f"{len(columns)} columns: their matrix is decomposed on the driver, which takes {MAX_GRAM_COLUMNS} at most")
     matrix = np.zeros((len(columns), len(columns)))
     for i, j, product in gram_sums(df, columns).collect():
         matrix[i, j] = matrix[j, i] = product
@@ -407,19 +413,29 @@ def validate_labels(totals: DataFrame, n_top: int = 12, labels: Mapping[tuple[bo
     return rows.select("sample_id", "gender", "condition", "inferred_gender", "inferred_condition", mismatch.alias("mismatch"))
 
 
+BLOCK_SAMPLES = 200
+
+
 def fingerprint_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """Squared distance between the standardised group profiles of two sample tables.
 
-    Both are (sample_id, grp, value).  The result is the sample-by-sample cost
-    table; it joins on the group, and a design has few samples per group.
+    Both are (sample_id, grp, value).  The result is the sample-by-sample cost table of samples with a
+    group in common.  A sample is one packed profile, and samples meet block by block, so no group
+    gathers all samples and a pair is made once, not once for each of its groups.
     """
 
-    def standardised(df: DataFrame) -> DataFrame:
+    def packed(df: DataFrame, name: str, value: str) -> DataFrame:
         stats = df.groupBy("grp").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-        return df.join(stats, "grp").select("grp", "sample_id", ((F.col("value") - F.col("_m")) / (F.col("_s") + 1e-10)).alias("_z"))
-
-    left = standardised(a).select("grp", F.col("sample_id").alias("sample_a"), F.col("_z").alias("_x"))
-    right = standardised(b).select("grp", F.col("sample_id").alias("sample_b"), F.col("_z").alias("_y"))
-    return left.join(right, "grp").groupBy("sample_a", "sample_b").agg(F.sum((F.col("_x") - F.col("_y")) ** 2).alias("distance"))
-
-
+        z = (F.col("value") - F.col("_m")) / (F.col("_s") + 1e-10)
+        rows = df.join(stats, "grp").where(F.col("sample_id").isNotNull()).groupBy(F.col("sample_id").alias(name)).agg(F.sort_array(F.collect_list(F.struct("grp", z.alias("z")))).alias(value))
+        return materialise(rows)
+
+    left, right = packed(a, "sample_a", "_x"), packed(b, "sample_b", "_y")
+    blocks = [max(1, -(-df.count() // BLOCK_SAMPLES)) for df in (left, right)]
+    own = [F.pmod(F.xxhash64(name), F.lit(n)) for name, n in zip(("sample_a", "sample_b"), blocks, strict=True)]
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for n in blocks]
+    left = left.select("*", own[0].alias("_i"), every[1].alias("_j"))
+    right = right.select("sample_b", F.map_from_entries("_y").alias("_y"), every[0].alias("_i"), own[1].alias("_j"))
+    pairs = left.join(right, ["_i", "_j"]).where(F.exists("_x", lambda x: F.map_contains_key("_y", x["grp"])))
+    square = F.aggregate("_x", F.lit(0.0), lambda s, x: s + F.coalesce(F.pow(x["z"] - F.try_element_at(F.col("_y"), x["grp"]), F.lit(2.0)), F.lit(0.0)))
+    return pairs.select("sample_a", "sample_b", square.alias("distance"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.special import chi2_upper_df3, correlation_p, signed_rank_p, t_two_sided
+from foldwise.functions.special import chi2_upper, correlation_p, signed_rank_p, t_two_sided
 from foldwise.operators.keys import join_same
 from foldwise.operators.ordering import average_ranks, sized
 
@@ -67,7 +67,10 @@ def mean_tests(df: DataFrame, by: Sequence[str], d: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H over four groups, corrected for ties, with its chi-squared p."""
+    """Kruskal-Wallis H, corrected for ties, with its chi-squared p of one degree of freedom less than there are groups.
+
+    A single group has no p; where all values are equal H has no value either.
+    """
     by = list(by)
     ranked = average_ranks(df.where(F.col(value).isNotNull()), by, value, "_rank")
     ties = ranked.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*by).agg(F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
@@ -75,8 +78,8 @@ def kruskal(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFra
     table = sums.groupBy(*by).agg(F.sum(F.col("_s") ** 2 / F.col("_m")).alias("_q"), F.sum("_m").alias("n"), F.count(F.lit(1)).alias("n_groups"))
     table = join_same(table, ties, by)
     n = F.col("n")
-    h = (12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (F.pow(n, F.lit(3)) - n))
-    return table.select(*by, "n", "n_groups", h.alias("h")).withColumn("p", F.when(F.col("n_groups") == 4, chi2_upper_df3("greatest(h, 0D)")))
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1), 1 - F.try_divide(F.col("_ties"), F.pow(n, F.lit(3)) - n))
+    return table.select(*by, "n", "n_groups", h.alias("h")).withColumn("p", F.when(F.col("h").isNotNull(), chi2_upper("greatest(h, 0D)", "n_groups - 1")))
 
 
 def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

@@ -142,13 +142,32 @@ def naive_lfc(spark, sf):
 fragment("complete", "SELECT feature_id, condition, avg(value) AS m FROM plain WHERE feature_id IN (SELECT feature_id FROM plain GROUP BY feature_id HAVING count(value) = 12) GROUP BY ALL", "plain")
 
 
-@query("H10", f"""SELECT timepoint, n, n_groups, round(h, 6) AS h, round({tails.chi2_upper_df3("greatest(h, 0)")}, 6) AS p FROM (SELECT timepoint, sum(m)::BIGINT AS n, count(*) AS n_groups, (12.0 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (pow(sum(m), 3) - sum(m))) AS h
-FROM (SELECT timepoint, condition, sum(r) AS s, count(*) AS m FROM (SELECT *, rank() OVER (PARTITION BY timepoint ORDER BY value) + (count(*) OVER (PARTITION BY timepoint, value) - 1) / 2 AS r FROM bulk) GROUP BY ALL)
-JOIN (SELECT timepoint, sum(pow(t, 3) - t) AS ties FROM (SELECT timepoint, value, count(*) AS t FROM bulk GROUP BY ALL) GROUP BY timepoint) USING (timepoint) GROUP BY timepoint)""", "bulk")
+def kruskal_sql(by: str, group: str, source: str) -> str:
+    """Kruskal-Wallis of ``value`` over ``group`` within ``by`` (one column)."""
+    return f"""SELECT {by}, n, n_groups, round(h, 6) AS h, round({tails.chi2_upper("greatest(h, 0)", "(n_groups - 1)")}, 6) AS p FROM (SELECT {by}, sum(m)::BIGINT AS n, count(*) AS n_groups, (12.0 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (pow(sum(m), 3) - sum(m))) AS h
+FROM (SELECT {by}, {group}, sum(r) AS s, count(*) AS m FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY value) + (count(*) OVER (PARTITION BY {by}, value) - 1) / 2 AS r FROM {source}) GROUP BY ALL)
+JOIN (SELECT {by}, sum(pow(t, 3) - t) AS ties FROM (SELECT {by}, value, count(*) AS t FROM {source} GROUP BY ALL) GROUP BY {by}) USING ({by}) GROUP BY {by})"""
+
+
+@query("H10", kruskal_sql("timepoint", "condition", "bulk"), "bulk")
 def kruskal_by_timepoint(spark, sf):
     return i.rounded(st.kruskal(i.bulk(spark, sf), ["timepoint"], "condition", "value"), "h", "p")
 
 
+# Factors of two to eleven levels, whose groups of order lines are compared.
+FACTORS = ["l_linestatus", "l_returnflag", "l_linenumber", "l_discount"]
+fragment("factor_lines", " UNION ALL ".join(f"SELECT '{c}' AS factor, {c}::VARCHAR AS level, l_extendedprice::DOUBLE AS value FROM lineitem" for c in FACTORS))
+
+
+@query("H10", kruskal_sql("factor", "level", "factor_lines"), "factor_lines")
+def kruskal_by_factor(spark, sf):
+    """Prices compared over the levels of several factors, which differ in how many levels they have."""
+    lines = i.table(spark, sf, "lineitem")
+    levels = F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")) for c in FACTORS]))
+    rows = lines.select(F.col("l_extendedprice").cast("double").alias("value"), levels)
+    return i.rounded(st.kruskal(rows, ["factor"], "level", "value"), "h", "p")
+
+
 @query("H11", "SELECT condition, round(regr_slope(value, fg), 6) AS slope, round(regr_intercept(value, fg), 6) AS intercept, round(regr_r2(value, fg), 6) AS r2, count(*) AS n FROM (SELECT p.condition, p.value, c.value AS fg FROM plain p JOIN plain c ON p.feature_id = c.feature_id AND p.timepoint = c.timepoint AND c.condition = 'C' WHERE p.condition <> 'C') GROUP BY condition", "plain")
 def condition_lines(spark, sf):
     control = i.plain(spark, sf).where("condition = 'C'").select("feature_id", "timepoint", F.col("value").alias("fg"))

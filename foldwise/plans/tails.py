@@ -29,6 +29,13 @@ def chi2_upper_df3(h: str) -> str:
     return f"greatest(0.0, 1 - sqrt(2 / pi()) * {_integral('x * x * exp(-x * x / 2)', f'sqrt({h})')})"
 
 
+def chi2_upper(h: str, df: str) -> str:
+    """Chi-squared with x as the root of the variable."""
+    scale = f"exp((1 - ({df}) / 2.0) * ln(2) - lgamma(({df}) / 2.0))"
+    body = f"greatest(0.0, 1 - {scale} * {_integral(f'pow(x, ({df}) - 1) * exp(-x * x / 2)', f'sqrt({h})')})"
+    return f"(CASE WHEN ({df}) > 0 AND ({h}) IS NOT NULL THEN {body} END)"
+
+
 def signed_rank(w: str, n: str) -> str:
     """Twice the share of the sign patterns of ranks 1 to n whose sum is at most ``w``; for few untied differences."""
     below = f"(SELECT count(*) FROM range((1 << ({n})::INTEGER)::BIGINT) m(b) WHERE list_sum(list_transform(range(1, ({n}) + 1), lambda r: r * ((b >> (r - 1)::INTEGER) & 1))) <= ({w}))"
