@@ -15,6 +15,8 @@ from foldwise.plans.reshape import SAMPLES, fractions, wide_bulk
 from foldwise.session import shared_folder
 from foldwise.sources import manifest as ma
 from foldwise.sources import tables as ta
+from foldwise.sources.resumable import ResumableRun
+from foldwise.sources.versioned import BucketTable
 
 KEYS = "grp, timepoint, condition"
 
@@ -76,6 +78,35 @@ def upserted_cache(spark, sf):
     return ta.save_cache(spark, path, newer, ["key"])
 
 
+@query("A8", """SELECT 'now' AS state, p_partkey AS key, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS symbol FROM part WHERE p_partkey % 2 = 0 OR p_size > 25
+UNION ALL SELECT 'before', p_partkey, p_name FROM part WHERE p_partkey % 2 = 0""")
+def cache_versions(spark, sf):
+    """The cache after an update, and the version before it, which the update has left as it was."""
+    part = i.table(spark, sf, "part")
+    cache = BucketTable(spark, scratch(spark), ["key"])
+    cache.upsert(part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("symbol")))
+    now = cache.upsert(part.where("p_size > 25").select(F.col("p_partkey").alias("key"), F.upper("p_name").alias("symbol")))
+    before = cache.read(cache.versions()[0])
+    return now.select(F.lit("now").alias("state"), "*").unionByName(before.select(F.lit("before").alias("state"), "*"))
+
+
+@query("A7", f"""SELECT {KEYS}, set_id, direction, round(lff, 6) AS lff FROM results WHERE tier = 'significant'""", "results")
+def resumed_results(spark, sf):
+    """Hits of all comparisons by three runs: one takes seven, one is stopped after it has written its batch, one does the rest."""
+    grid = i.lfc(spark, sf).select(*i.COMPARISON).distinct()
+
+    def compute(some):
+        return i.results(spark, sf).where("tier = 'significant'").join(some, i.COMPARISON, "left_semi").select(*i.COMPARISON, "set_id", "direction", "lff")
+
+    path = scratch(spark)
+    ResumableRun(spark, path, i.COMPARISON).run(grid, compute, cap=7)
+    stopped = ResumableRun(spark, path, i.COMPARISON)
+    stopped.write(compute(stopped.open(grid, 9)))  # ended before it reached its ledger
+    rest = ResumableRun(spark, path, i.COMPARISON)
+    rest.run(grid, compute)
+    return i.rounded(rest.results("set_id bigint, direction string, lff double, grp string, timepoint string, condition string").select(*i.COMPARISON, "set_id", "direction", "lff"), "lff")
+
+
 _RUN = "lpad(l_orderkey::VARCHAR, 8, '7') || '_LD_M' || l_linenumber || '_' || l_returnflag || CASE WHEN l_suppkey % 5 = 0 THEN '-WT-pool' ELSE '' END || '.raw'"
 fragment("files", f"""SELECT '/data/' || CASE l_returnflag WHEN 'A' THEN 'Total_cortex' WHEN 'N' THEN 'pY_hippocampus' ELSE 'other' END || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || row_number() OVER () || '.sne' AS path,
   l_linenumber, l_quantity, CASE WHEN l_linenumber = 7 THEN [] ELSE [{_RUN}] END AS raw, l_returnflag FROM lineitem""")

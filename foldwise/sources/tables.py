@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.joins import latest_per_key
 from foldwise.operators.ordering import ranked
-from foldwise.session import materialise, written
+from foldwise.session import written
+from foldwise.sources.versioned import BUCKETS, BucketTable
 
 
 def read_matrix(spark: SparkSession, path: str, schema: str, na: str = "NA") -> DataFrame:
@@ -61,20 +62,25 @@ def upsert_cache(cache: DataFrame | None, new: DataFrame, keys: Sequence[str]) -
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The cache, or None before its first write."""
+    """The cache, or None before its first write; a folder of plain files is a cache too."""
+    versions = BucketTable(spark, path, [])
+    if versions.manifest() is not None:
+        return versions.read()
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
-def save_cache(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge ``new`` into the cache at ``path``; the merged rows are written aside first,
-    because a table cannot be overwritten while it is read."""
-    write_table(materialise(upsert_cache(read_cache(spark, path), new, keys)), path)
-    return spark.read.parquet(path)
+def save_cache(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], n_buckets: int = BUCKETS) -> DataFrame:
+    """Merge ``new`` into the cache at ``path``; only the buckets of its keys are written, and the old cache
+    holds until they all are.  The rows of a folder of plain files become the first version."""
+    cache = BucketTable(spark, path, keys, n_buckets)
+    if cache.manifest() is None:
+        new = upsert_cache(read_cache(spark, path), new, keys)
+    return cache.upsert(new)
 
 
 def save_params(params: DataFrame, meta: DataFrame, path: str) -> None:
