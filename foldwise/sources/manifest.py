@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
-from urllib.request import url2pathname
 
 import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,31 +35,69 @@ def _tail_marks(head: Column, tail: Column) -> dict[str, Column]:
         "tar_container": F.hex(F.expr("substring(head, 258, 5)")) == "7573746172"}
 
 
-def _ranges(head_bytes: int) -> Callable:
+class Opened:
+    """A file of any store that pyarrow knows, read at offsets."""
+
+    def __init__(self, uri: str):
+        store, path = pa_fs.FileSystem.from_uri(uri)
+        self.file = store.open_input_file(path)
+
+    def size(self) -> int:
+        return self.file.size()
+
+    def read_at(self, n: int, offset: int) -> bytes:
+        return self.file.read_at(n, offset)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def known_store(uri: str) -> bool:
+    """Whether ``Opened`` can open files like this one."""
+    try:
+        pa_fs.FileSystem.from_uri(uri)
+    except Exception:  # no such store, or its library is not installed
+        return False
+    return True
+
+
+def _ranges(head_bytes: int, opened: Callable) -> Callable:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             heads, tails = [], []
             for path, size in zip(batch["path"], batch["size_bytes"], strict=True):
-                with open(url2pathname(urlsplit(path).path), "rb") as f:
-                    heads.append(f.read(head_bytes))
-                    f.seek(max(0, size - TAIL_BYTES))
-                    tails.append(f.read(TAIL_BYTES))
+                f = opened(path)
+                try:
+                    head = f.read_at(min(head_bytes, size), 0)
+                    start = max(0, size - TAIL_BYTES)
+                    # What the head holds of the tail is not read again.
+                    tail = head[start:] + f.read_at(size - max(start, len(head)), max(start, len(head))) if size > len(head) else head[start:]
+                finally:
+                    f.close()
+                heads.append(head)
+                tails.append(tail)
             yield batch.assign(head=heads, tail=tails)
 
     return read
 
 
-def read_heads(spark: SparkSession, glob: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
+def read_heads(spark: SparkSession, glob: str, head_bytes: int = HEAD_BYTES, opened: Callable | None = None) -> DataFrame:
     """Path, size, first ``head_bytes`` bytes and archive markers of each file.
 
-    Files are listed without their content.  Of files that executors can open, only the
-    two ends are read; files of another store come through Spark's reader as a whole.
+    Files are listed without their content, and of each only the two ends are read, by seeking, on
+    whatever store it lies.  ``opened`` takes a path as listed and returns an object with ``read_at(n, offset)``
+    and ``close()``; the default opens what pyarrow can.  Files of a store that it cannot open come
+    through Spark's reader, which has no way to read a part of a file, as a whole.  Spark lists no empty files.
     """
     listed = spark.read.format("binaryFile").load(glob)
     files = listed.select("path", F.col("length").alias("size_bytes"))
-    here = F.col("path").startswith("file:")
-    ends = files.where(here).mapInPandas(_ranges(head_bytes), "path string, size_bytes long, head binary, tail binary")
-    if files.where(~here).limit(1).count():
+    scheme = F.regexp_extract("path", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    if opened is None:
+        examples = files.groupBy(scheme.alias("scheme")).agg(F.min("path").alias("path")).collect()  # one row for each store
+        seekable = [r["scheme"] for r in examples if known_store(r["path"])]
+    here = F.lit(True) if opened is not None else scheme.isin(*seekable) if seekable else F.lit(False)
+    ends = files.where(here).mapInPandas(_ranges(head_bytes, opened or Opened), "path string, size_bytes long, head binary, tail binary")
+    if opened is None and len(seekable) < len(examples):
         ends = ends.unionByName(listed.where(~here).select(
             "path", F.col("length").alias("size_bytes"), F.expr(f"substring(content, 1, {head_bytes})").alias("head"), F.expr(f"substring(content, -{TAIL_BYTES}, {TAIL_BYTES})").alias("tail")))
     return ends.withColumns(_tail_marks(F.col("head"), F.col("tail"))).drop("tail")
