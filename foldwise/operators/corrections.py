@@ -6,16 +6,14 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.special import hypergeometric_upper
+from foldwise.functions.special import hypergeometric_upper, ln_factorial_sql
 from foldwise.operators.enrichment import SAME, bh_adjust
 from foldwise.operators.joins import jaccard_matrix
-from foldwise.operators.keys import join_same
-from foldwise.operators.ordering import ranked
 from foldwise.operators.sampling import shuffle_key
-from foldwise.session import bounded, materialise
+from foldwise.session import materialise
 
 
 def scattered_sql(x: str, side: str, key: Callable[[int], str], div: str) -> str:
@@ -49,33 +47,87 @@ def permuted_sides(classes: DataFrame, by: Sequence[str], n_perm: int, seed: int
     return rows.select(*by, "perm", "number", (F.col("_at") < F.col("k")).alias("down"))
 
 
-def permutation_pvalues(classes: DataFrame, members: DataFrame, results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42) -> DataFrame:
+def null_outcomes(tables: DataFrame) -> DataFrame:
+    """How likely a random draw of the two sides is at least as extreme as each outcome it may have.
+
+    ``tables`` has distinct (n_up, n_bg, hits): two sides of ``n_up`` features, ``n_bg`` others, and a
+    set of ``hits`` features.  Shuffling features over the sides gives a set ``up`` and ``down`` of them by the
+    bivariate hypergeometric law.  Returns ``n_up, n_bg, hits, up, down, share``: the chance of an
+    outcome whose exact p is not above that of (up, down).  Outcomes farther from the mean than nine
+    standard deviations and 25 are left out; by Bernstein's bound all of them together have a chance
+    below 1e-15.  A table has at most the square of that range, however many sets share it.
+    """
+    cells = ["n_up", "n_bg", "hits"]
+    total = "(2 * n_up + n_bg)"
+    f = ln_factorial_sql
+    rows = tables.select(*cells).withColumn("_mean", F.expr(f"hits * n_up / {total}"))
+    rows = rows.withColumn("_reach", F.expr(f"25 + 9 * sqrt(_mean * (1 - n_up / {total}) * ({total} - hits) / greatest({total} - 1, 1))"))
+    span = F.expr("sequence(cast(greatest(floor(_mean - _reach), 0) AS bigint), cast(least(hits, n_up, ceil(_mean + _reach)) AS bigint))")
+    rows = rows.select(*cells, span.alias("_span"), F.expr(f"2 * {f('n_up')} + {f('n_bg')} - {f(total)} + {f('hits')} + {f(f'{total} - hits')}").alias("_whole"))
+    rows = rows.select(*cells, "_whole", "_span", F.explode("_span").alias("up")).select(*cells, "_whole", "up", F.explode("_span").alias("down"))
+    rows = rows.withColumn("c", F.expr("hits - up - down")).where("c BETWEEN 0 AND n_bg")
+    parts = " - ".join(f(x) for x in ("up", "n_up - up", "down", "n_up - down", "c", "n_bg - c"))
+    rows = materialise(rows.select(*cells, "up", "down", "c", F.expr(f"exp(_whole - {parts})").alias("_chance")))
+    # Both sides have the same range, so the tails of one are those of the other; each is worked out once.
+    tails = rows.select("n_up", "n_bg", F.col("up").alias("a"), "c").distinct()
+    tails = materialise(tails.repartition(int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_tail", hypergeometric_upper("a", "n_up - a", "c", "n_bg - c")))
+    for side in ("up", "down"):
+        rows = rows.join(tails.select("n_up", "n_bg", F.col("a").alias(side), "c", F.col("_tail").alias(f"_{side}")), ["n_up", "n_bg", side, "c"])
+    rows = rows.withColumn("_p", F.least("_up", "_down"))
+    # Equal p up to rounding count as equal: an outcome's place is just above its own p.
+    both = F.inline(F.array(
+        F.struct(F.col("_p").alias("_at"), F.col("_chance").alias("_add"), F.lit(0).alias("_asks")),
+        F.struct((F.col("_p") * (1 + SAME)).alias("_at"), F.lit(0.0).alias("_add"), F.lit(1).alias("_asks"))))
+    order = Window.partitionBy(*cells).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*cells, "up", "down", both).withColumn("share", F.least(F.sum("_add").over(order), F.lit(1.0)))
+    return rows.where("_asks = 1").select(*cells, "up", "down", "share")
+
+
+def _draws_sql(key: str, n: int) -> str:
+    """The first ``n`` uniform draws of a key, each eight hexadecimal digits: four of one md5."""
+    four = ", ".join(f"substring(h, {8 * j + 1}, 8)" for j in range(4))
+    blocks = f"flatten(transform(sequence(0, {(n + 3) // 4 - 1}), b -> element_at(transform(array(md5(concat({key}, b))), h -> array({four})), 1)))"
+    return f"slice({blocks}, 1, {n})" if n % 4 else blocks
+
+
+def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42, stop: int | None = None) -> DataFrame:
     """Empirical p per (comparison, set): (1 + permutations with p <= observed) / (n_perm + 1).
 
-    Only the hits of a set change between permutations.  Draws stay where their
-    permutation is, so hits are counted without a shuffle; each pair of counts is then
-    one row however many permutations gave it, and an exact test is worked out once
-    for each distinct table.  A set with no hit on either side has p = 1.
+    A permutation changes only how many features of a set lie on either side, so it is drawn for each set
+    from the law of these two counts: with the outcomes ordered by their p, a uniform number below the
+    chance of the observed or a more extreme one is a permutation that beats the observation.  The
+    numbers are keyed by comparison, set, seed and number of the draw, and repeat on every engine and
+    retry.  Cost: one md5 for four draws of a set; outcomes are worked out once for each distinct
+    (size of the sides, others, features of the set).
+
+    With ``stop``, drawing ends at the stop-th permutation that beats the observation, and p is
+    ``stop`` over the draws made, as Besag and Clifford proposed: a set that is clearly not
+    enriched needs few draws.  ``n_drawn`` tells how many there were.
+
+    A set with p = 1 is beaten by every permutation.  A missing key or set is a key like any other.
     """
     by = list(by)
-    numbered = ranked(classes.select(*by, "feature_id"), by, [F.col("feature_id")], "number").withColumn("number", F.col("number") - 1)
-    sets = numbered.join(members, "feature_id").groupBy(*by, "number").agg(F.collect_list("set_id").alias("_sets"))
-    hits = join_same(permuted_sides(classes, by, n_perm, seed), bounded(sets), [*by, "number"])
-    hits = hits.select(*by, "perm", "down", F.explode("_sets").alias("set_id")).groupBy(*by, "perm", "set_id").agg(
-        F.count_if(~F.col("down")).alias("_up"), F.count_if("down").alias("_down"))
-    pairs = hits.groupBy(*by, "set_id", "_up", "_down").agg(F.count(F.lit(1)).alias("_times"))
-    observed = results.select(*by, "set_id", F.col("p").alias("_p"), (F.col("a_up") + F.col("a_down") + F.col("c")).alias("_hits"), "n_up", "n_bg")
-    rows = materialise(join_same(pairs, observed, [*by, "set_id"]))
-    cells = ["n_up", "n_bg", "_hits", "_up", "_down"]
-    tables = rows.select(*cells).distinct().withColumn("_c", F.col("_hits") - F.col("_up") - F.col("_down"))
-    up = hypergeometric_upper("_up", "n_up - _up", "_c", "n_bg - _c")
-    down = hypergeometric_upper("_down", "n_up - _down", "_c", "n_bg - _c")
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tables = materialise(tables.repartition(tasks).select(*cells, F.least(up, down).alias("_null")))
-    beaten = rows.join(tables, cells).groupBy(*by, "set_id").agg(F.sum(F.when(F.col("_null") <= F.col("_p") * (1 + SAME), F.col("_times"))).alias("_n"))
-    joined = join_same(results, beaten, [*by, "set_id"], "left")
-    count = F.when(F.col("p") * (1 + SAME) >= 1, F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
-    return joined.withColumn("perm_p", (count + 1) / F.lit(n_perm + 1.0)).drop("_n")
+    rows = results.withColumn("hits", F.col("a_up") + F.col("a_down") + F.col("c"))
+    outcomes = null_outcomes(rows.where("n_up > 0").select("n_up", "n_bg", "hits").distinct())
+    found = rows.join(outcomes.withColumnsRenamed({"up": "a_up", "down": "a_down"}), ["n_up", "n_bg", "hits", "a_up", "a_down"], "left")
+    certain = F.col("p") * (1 + SAME) >= 1
+    level = F.floor(F.coalesce("share", F.lit(0.0)) * F.lit(float(1 << 32))).cast("long")
+    found = found.withColumn("_level", F.when(certain | (F.col("share") >= 1), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(level)), 8, "0")))
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "set_id")], F.lit("")]
+    found = found.withColumn("_key", F.concat_ws(":", *parts))
+    if stop is None:
+        beaten = f"size(filter({_draws_sql('_key', n_perm)}, u -> u < _level))"
+        found = found.withColumn("perm_p", F.expr(f"({beaten} + 1) / {n_perm + 1.0}D"))
+    else:
+        at = lambda n: f"filter(transform({_draws_sql('_key', n)}, (u, i) -> if(u < _level, i + 1, 0)), i -> i > 0)"
+        few = min(n_perm, 10 * stop)  # enough for most sets; only the others see the rest of their draws
+        found = found.withColumn("_beaten", F.expr(at(few)))
+        if few < n_perm:
+            found = found.withColumn("_beaten", F.expr(f"CASE WHEN size(_beaten) >= {stop} THEN _beaten ELSE {at(n_perm)} END"))
+        ended = F.size("_beaten") >= stop
+        found = found.withColumn("n_drawn", F.when(ended, F.get("_beaten", F.lit(stop - 1))).otherwise(n_perm))
+        found = found.withColumn("perm_p", F.when(ended, F.lit(float(stop)) / F.col("n_drawn")).otherwise((F.size("_beaten") + 1) / F.lit(n_perm + 1.0)))
+    return found.select(*results.columns, *([] if stop is None else ["n_drawn"]), "perm_p")
 
 
 def participation(members: DataFrame) -> float:

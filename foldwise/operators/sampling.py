@@ -37,12 +37,34 @@ def top_marker(samples: DataFrame, marker: str, name: str, n: int = 12, tie: str
     return samples.join(top, tie, "left").withColumn(name, F.coalesce("_top", F.lit(False))).drop("_top")
 
 
+def _first_by_key(df: DataFrame, by: Sequence[str], take: DataFrame, seed: int, key: str) -> DataFrame:
+    """The ``_take`` rows of each group that come first in shuffled order, without ordering the others.
+
+    A group's shuffle keys are spread evenly, so nearly all wanted rows lie below a bound worked
+    out from its size; only rows below it are ranked.  A group with too few of them, which is
+    rare, is ranked as a whole.
+    """
+    by, df = list(by), written(df)
+    want = F.least("_take", "_n")
+    bound = F.least((want + 6 * F.sqrt(want) + 20) / F.col("_n"), F.lit(1.0))
+    level = F.when(bound >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.floor(bound * float(1 << 32)).cast("long"))), 8, "0"))
+    sizes = bounded(take.withColumn("_level", level))
+    rows = join_same(df, sizes, by).withColumn("_order", shuffle_key(F.col(key), F.lit(seed)))
+    low = written(rows.where(F.substring("_order", 1, 8) < F.col("_level")))
+    found = join_same(sizes.select(*by, F.least("_take", "_n").alias("_want")), low.groupBy(*by).agg(F.count(F.lit(1)).alias("_have")), by, "left")
+    short = found.where(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(*by)
+    if short.limit(1).count():
+        few = bounded(short)
+        low = written(join_same(low, few, by, "left_anti").unionByName(join_same(rows, few, by, "left_semi")))
+    ranks = ranked(low, by, [F.col("_order"), F.col(key)], "_r")
+    return ranks.where(F.col("_r") <= F.col("_take")).drop("_r", "_take", "_n", "_level", "_order")
+
+
 def stratified_sample(df: DataFrame, stratum: str, share: float, least: int, seed: int, key: str = "feature_id") -> DataFrame:
-    """A share of each stratum, at least ``least`` rows (a sampling operator)."""
+    """A share of each stratum, at least ``least`` rows (a sampling operator): those first in shuffled order."""
     df = written(df)
-    sizes = df.groupBy(stratum).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(share)), F.lit(least)).alias("_take"))
-    rows = ranked(df, [stratum], [shuffle_key(F.col(key), F.lit(seed)), F.col(key)], "_r")
-    return join_same(rows, bounded(sizes), [stratum]).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    take = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumn("_take", F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(least)))
+    return _first_by_key(df, [stratum], take, seed, key)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "feature_id") -> DataFrame:
