@@ -151,61 +151,95 @@ def group_percentiles(
     return join_same(sizes, rows.groupBy(*by).agg(*aggs), by, "left").drop("__all")
 
 
-_BRACKET_VALUES = 50_000
+_BRACKET_VALUES = 50_000  # distinct values that a scan may bring to the driver
+CELLS = 100_000  # histogram cells that a scan may bring to the driver
+SKETCH = 10_000  # accuracy of the sketch: ranks are off by rows / SKETCH at most
+
+
+def _scan(rows: DataFrame) -> list:
+    """One pass over the values, folded to a bounded number of rows."""
+    return rows.collect()
 
 
 def whole_percentiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float | None]:
-    """Exact interpolated percentiles of a whole column, without sorting it.
+    """Exact interpolated percentiles of a whole column of finite numbers, without sorting it.
 
-    A mergeable sketch brackets each wanted rank, a count tells how many values lie
-    below, and a bracket is narrowed until its distinct values are few enough to sort.
+    All wanted ranks are narrowed together, in three scans however many they are: a mergeable sketch
+    brackets each, a histogram over the cells of all brackets tells which cell holds which rank, and the
+    distinct values of these cells are counted.  Few rows need no sketch, and cells that still hold too
+    many distinct values are the brackets of a further histogram.
     """
     known = written(df.select(F.col(value).cast("double").alias("v")).where(F.col(value).isNotNull()))
-    n, low, high = known.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    wanted = sorted(set(probs.values()))
+    ends = [min(max(q + side * 2 / SKETCH, 0.0), 1.0) for q in wanted for side in (-1, 1)]
+    sketch = F.percentile_approx("v", F.array(*[F.lit(float(e)) for e in ends]), SKETCH)
+    n, low, high, found = _scan(known.agg(F.count(F.lit(1)), F.min("v"), F.max("v"), sketch))[0]
     if not n:
         return dict.fromkeys(probs)
     places = {name: (n - 1) * float(q) for name, q in probs.items()}
     ranks = sorted({r for at in places.values() for r in (math.floor(at), math.ceil(at))})
-    values = dict(zip(ranks, _few_values(known, ranks, 0) or [_at_rank(known, r, low, high) for r in ranks], strict=True))
+    values: dict[int, float] = {}
+    brackets = _joined([(low, high)] if n <= _BRACKET_VALUES else list(zip(found[::2], found[1::2], strict=True)))
+    if n <= _BRACKET_VALUES:
+        values = _values_at(known, brackets, {0: 0}, ranks)
+    while len(values) < len(ranks):
+        open_ranks = [r for r in ranks if r not in values]
+        cells = _histogram(known, brackets)
+        brackets, before = [], {}
+        upto = 0
+        for _, count, least, most in cells:
+            inside = [r for r in open_ranks if upto <= r < upto + count]
+            if inside and least == most:
+                values.update(dict.fromkeys(inside, least))
+            elif inside:
+                before[len(brackets)] = upto
+                brackets.append((least, most))
+            upto += count
+        if brackets:
+            values.update(_values_at(known, brackets, before, [r for r in open_ranks if r not in values]))
     return {name: values[math.floor(at)] + (values[math.ceil(at)] - values[math.floor(at)]) * (at - math.floor(at)) for name, at in places.items()}
 
 
-def _few_values(inside: DataFrame, ranks: Sequence[int], before: int) -> list[float] | None:
-    """Values at ascending 0-based ranks, if few distinct values lie inside; ``before`` rows are less than all of them."""
-    counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    rows = counts.limit(_BRACKET_VALUES + 1).collect()
+def _joined(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ascending intervals without common values."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _histogram(known: DataFrame, brackets: Sequence[tuple[float, float]]) -> list:
+    """``(cell, rows, least, most)`` in ascending order: equal cells of each bracket, and one between two brackets."""
+    size = max(64, CELLS // len(brackets))
+    v, key = F.col("v"), None
+    for k, (low, high) in enumerate(brackets):
+        # Halves, so that a width cannot overflow.
+        share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) if high > low else F.lit(0.0)
+        cell = F.lit((2 * k + 1) * size) + F.least(F.floor(share * size), F.lit(size - 1))
+        key = (F.when if key is None else key.when)(v < F.lit(low), F.lit(2 * k * size)).when(v <= F.lit(high), cell)
+    key = key.otherwise(F.lit(2 * len(brackets) * size)).cast("long")
+    return sorted(_scan(known.groupBy(key.alias("cell")).agg(F.count(F.lit(1)), F.min("v"), F.max("v"))))
+
+
+def _values_at(known: DataFrame, brackets: Sequence[tuple[float, float]], before: dict[int, int], ranks: Sequence[int]) -> dict[int, float]:
+    """Values at those of the ranks that lie in the brackets, if these have few distinct values; ``before[k]`` rows are less than bracket k."""
+    held = F.lit(False)
+    for low, high in brackets:
+        held = held | F.col("v").between(low, high)
+    rows = _scan(known.where(held).groupBy("v").agg(F.count(F.lit(1)).alias("c")).limit(_BRACKET_VALUES + 1))
     if len(rows) > _BRACKET_VALUES:
-        return None
-    found, wanted = [], list(ranks)
+        return {}
+    out, wanted, k, upto = {}, list(ranks), 0, before[0]
     for v, c in sorted(rows):
-        before += c
-        while wanted and wanted[0] < before:
-            found.append(v)
-            wanted.pop(0)
-    return found
-
-
-def _at_rank(known: DataFrame, rank: int, low: float, high: float) -> float:
-    """The value at a 0-based rank, which lies between ``low`` and ``high``."""
-    slack = 0.01
-    while low < high:
-        inside = known.where(F.col("v").between(low, high))
-        before, held = known.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        found = _few_values(inside, [rank], before)
-        if found:
-            return found[0]
-        share = (rank - before) / held
-        at, mid, to = inside.approxQuantile("v", [max(0.0, share - slack), share, min(1.0, share + slack)], slack / 4)
-        if max(low, at) > low or min(high, to) < high:
-            low, high = max(low, at), min(high, to)
-            continue
-        # The sketch cannot part the ends: step over the value in the middle.
-        less, upto, under, over = known.agg(
-            F.count_if(F.col("v") < mid), F.count_if(F.col("v") <= mid), F.max(F.when(F.col("v") < mid, F.col("v"))), F.min(F.when(F.col("v") > mid, F.col("v")))).first()
-        if less <= rank < upto:
-            return mid
-        low, high = (low, under) if rank < less else (over, high)
-    return low
+        while v > brackets[k][1]:
+            k += 1
+            upto = before[k]
+        out.update({r: v for r in wanted if upto <= r < upto + c})
+        upto += c
+    return out
 
 
 def average_ranks(
