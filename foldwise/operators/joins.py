@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.enrichment import P_SIG, significant_strict
 from foldwise.operators.ordering import ranked
+from foldwise.session import written
 
 
 def align_features(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -65,16 +66,34 @@ def assemble_columns(results: DataFrame, index: str, label: Column, labels: Sequ
     return results.withColumn("_label", label).groupBy(index).pivot("_label", list(labels)).agg(F.first(value))
 
 
-def bag_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pair equal keys first-in first-out; also the unmatched left rows and the unused right rows.
+def bag_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Equal keys of both sides paired first-in first-out: ``keys, occurrence, left, right``.
 
-    The occurrence number joins with the key, so a hot key spreads over tasks.
+    A row without a partner has a null there, as has a row with a missing key, which matches nothing.
+    Both sides are one table until they meet: ranked once by key and side, then grouped once by key
+    and occurrence, so that a hot key spreads over tasks.
     """
-    l_rows = ranked(left, keys, [F.col(c) for c in order], "occurrence")
-    r_rows = ranked(right, keys, [F.col(c) for c in order], "occurrence")
+    rest = lambda df: F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    sort = lambda df: F.struct(*[F.col(c) for c in order])
+    empty = lambda df: F.lit(None).cast(df.select(rest(df).alias("s")).schema["s"].dataType)
+    a = left.select(*keys, F.lit(0).alias("_side"), sort(left).alias("_order"), rest(left).alias("left"), empty(right).alias("right"))
+    b = right.select(*keys, F.lit(1).alias("_side"), sort(right).alias("_order"), empty(left).alias("left"), rest(right).alias("right"))
+    rows = ranked(a.unionByName(b), [*keys, "_side"], [F.col("_order")], "occurrence")
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    rows = rows.withColumn("_side", F.when(alone, F.col("_side")))
+    return rows.groupBy(*keys, "occurrence", "_side").agg(F.any_value("left", True).alias("left"), F.any_value("right", True).alias("right")).drop("_side")
+
+
+def bag_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paired rows, the right side's columns with ``right_``; the unmatched left rows; the unused right rows."""
+    rows = written(bag_pairs(left, right, keys, order))
     on = [*keys, "occurrence"]
-    renamed = r_rows.select(*on, *[F.col(c).alias(f"right_{c}") for c in right.columns if c not in keys])
-    return l_rows.join(renamed, on), l_rows.join(r_rows, on, "left_anti"), r_rows.join(l_rows, on, "left_anti")
+    l_columns, r_columns = ([c for c in df.columns if c not in keys] for df in (left, right))
+    l_row, r_row = [F.col(f"left.{c}").alias(c) for c in l_columns], [F.col(f"right.{c}").alias(c) for c in r_columns]
+    pairs = rows.where("left IS NOT NULL AND right IS NOT NULL").select(*on, *l_row, *[F.col(f"right.{c}").alias(f"right_{c}") for c in r_columns])
+    return pairs, rows.where("right IS NULL").select(*on, *l_row), rows.where("left IS NULL").select(*on, *r_row)
 
 
 def annotate(df: DataFrame, dim: DataFrame, key: str, defaults: Mapping[str, object]) -> DataFrame:
@@ -166,18 +185,6 @@ def restrict(df: DataFrame, universe: DataFrame, key: str) -> DataFrame:
     return df.join(universe.select(key).distinct(), key, "left_semi")
 
 
-def refilter_grid(results: DataFrame, grid: Sequence[tuple[float, float, float]], p_col: str = "adj_p") -> DataFrame:
-    """Hits at every (pct, p, lff) of a short literal grid, in one pass over the results."""
-    cells = F.array(*[F.struct(F.lit(float(a)).alias("pct"), F.lit(float(b)).alias("max_p"), F.lit(float(c)).alias("min_lff")) for a, b, c in grid])
-    wanted = F.filter(cells, lambda g: (g["pct"] == F.col("pct")) & (F.col(p_col) <= g["max_p"]) & (F.abs("lff") >= g["min_lff"]))
-    rows = results.withColumn("_cell", F.explode(wanted))
-    return rows.withColumn("max_p", F.col("_cell.max_p")).withColumn("min_lff", F.col("_cell.min_lff")).drop("_cell")
-
-
-def threshold_grid(spark: SparkSession, grid: Sequence[tuple[float, float, float]]) -> DataFrame:
-    return spark.createDataFrame([tuple(map(float, g)) for g in grid], "pct double, max_p double, min_lff double")
-
-
 # ---- set operations --------------------------------------------------------
 
 def gained_lost(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators import grids
 from foldwise.operators.enrichment import LFF_MIN, P_SIG, significant
-from foldwise.operators.joins import refilter_grid, threshold_grid
+from foldwise.operators.joins import stack
 from foldwise.operators.keys import join_same
 from foldwise.operators.ordering import ranked, running, sized
 from foldwise.session import bounded, written
@@ -113,45 +114,43 @@ def hit_counts(results: DataFrame, rows: Sequence[str], column: str, values: Seq
     return results.groupBy(*rows).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
-def threshold_sweep(results: DataFrame, grid: Sequence[tuple[float, float, float]], p_col: str = "adj_p") -> DataFrame:
-    """Hits, distinct sets and comparisons with hits at every grid cell, empty cells included.
+def threshold_sweep(results: DataFrame, grid: DataFrame | Sequence[tuple[float, float, float]], p_col: str = "adj_p") -> DataFrame:
+    """Hits, distinct sets and comparisons with hits at every grid cell, empty cells included."""
+    cells = grids.grid_of(results.sparkSession, grid)
+    rows = grids.placed(results, cells, p_col)
+    every = F.lit(True)
+    places = [
+        grids.row_counts(rows, {"total_hits": every}),
+        grids.key_counts(rows, ["set_id"], {"n_sets": [every]}),
+        grids.key_counts(rows, ["grp", "timepoint", "condition"], {"n_comparisons": [every]})]
+    return _at_cells(cells, places, ["total_hits", "n_sets", "n_comparisons"])
 
-    Distinct counts go through one row per (cell, set) and per (cell, comparison),
-    each pre-aggregated before its shuffle.
-    """
-    cell = ["pct", "max_p", "min_lff"]
-    hits = refilter_grid(results, grid, p_col)
-    sets = hits.groupBy(*cell, "set_id").agg(F.count(F.lit(1)).alias("_n"))
-    sets = sets.groupBy(*cell).agg(F.sum("_n").alias("total_hits"), F.count(F.lit(1)).alias("n_sets"))
-    comparisons = hits.groupBy(*cell, "grp", "timepoint", "condition").agg(F.first("pct").alias("_p"))
-    comparisons = comparisons.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_comparisons"))
-    full = threshold_grid(results.sparkSession, grid)
-    return full.join(sets, cell, "left").join(comparisons, cell, "left").fillna(0, ["total_hits", "n_sets", "n_comparisons"])
+
+def _at_cells(cells: DataFrame, places: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """Several tables of places, each with some of the names, as counts at the cells."""
+    whole = stack(places).fillna(0, list(names)).groupBy("pct", "_i", "_j").agg(*[F.sum(n).alias(n) for n in names])
+    return grids.at_cells(cells, whole, names).fillna(0, list(names))
 
 
 def core_claims(
-    results: DataFrame, grid: Sequence[tuple[float, float, float]], conditions: Sequence[str], middle: str, late: str, focus: str, p_col: str = "adj_p"
+    results: DataFrame, grid: DataFrame | Sequence[tuple[float, float, float]], conditions: Sequence[str], middle: str, late: str, focus: str, p_col: str = "adj_p"
 ) -> DataFrame:
     """Per grid cell: sets hit in all conditions at ``middle``; sets of ``focus`` down at
     ``middle`` and up at ``late``; percent down and percent up there (null without hits)."""
-    cell = ["pct", "max_p", "min_lff"]
+    cells = grids.grid_of(results.sparkSession, grid)
+    rows = grids.placed(results, cells, p_col)
     at_middle, at_late = F.col("timepoint") == middle, F.col("timepoint") == late
     of_focus, up, down = F.col("condition") == focus, F.col("direction") == "+", F.col("direction") == "-"
-    flags = refilter_grid(results, grid, p_col).groupBy(*cell, "set_id").agg(
-        *[F.bool_or(at_middle & (F.col("condition") == c)).alias(f"_c{k}") for k, c in enumerate(conditions)],
-        F.bool_or(of_focus & at_middle & down).alias("_down"), F.bool_or(of_focus & at_late & up).alias("_up"),
-        F.count_if(of_focus & at_middle).alias("_n_mid"), F.count_if(of_focus & at_middle & down).alias("_n_down"),
-        F.count_if(of_focus & at_late).alias("_n_late"), F.count_if(of_focus & at_late & up).alias("_n_up"),
-    )
-    shared = F.col("_c0")
-    for k in range(1, len(conditions)):
-        shared = shared & F.col(f"_c{k}")
-    table = flags.groupBy(*cell).agg(
-        F.count_if(shared).alias("n_shared"), F.count_if(F.col("_down") & F.col("_up")).alias("n_reversed"),
-        (F.try_divide(F.sum("_n_down"), F.sum("_n_mid")) * 100).alias("pct_down"),
-        (F.try_divide(F.sum("_n_up"), F.sum("_n_late")) * 100).alias("pct_up"),
-    )
-    return threshold_grid(results.sparkSession, grid).join(table, cell, "left").fillna(0, ["n_shared", "n_reversed"])
+    counted = {"_n_mid": of_focus & at_middle, "_n_down": of_focus & at_middle & down, "_n_late": of_focus & at_late, "_n_up": of_focus & at_late & up}
+    places = [
+        grids.row_counts(rows, counted),
+        grids.key_counts(rows, ["set_id"], {
+            "n_shared": [at_middle & (F.col("condition") == c) for c in conditions],
+            "n_reversed": [of_focus & at_middle & down, of_focus & at_late & up]})]
+    table = _at_cells(cells, places, ["n_shared", "n_reversed", *counted])
+    return table.select(
+        *grids.CELL, "n_shared", "n_reversed",
+        (F.try_divide(F.col("_n_down"), F.col("_n_mid")) * 100).alias("pct_down"), (F.try_divide(F.col("_n_up"), F.col("_n_late")) * 100).alias("pct_up"))
 
 
 def family_overlap_summary(pairs: DataFrame, members: DataFrame, families: DataFrame) -> DataFrame:
@@ -182,24 +181,52 @@ def rank_sets(results: DataFrame, conditions: Sequence[str], per_group: bool = F
     Order: significant comparisons, comparisons tested, mean |lff|; then set id.
     """
     keys = ["grp"] if per_group else []
+    table = results.groupBy(*keys, "set_id").agg(*_rank_columns(conditions))
+    groups = F.lit(1).cast("long") if per_group else F.col("_groups")
+    if not per_group:
+        table = _with_groups(table, results)
+    return ranked(_rank_table(table, [*keys, "set_id"], groups, conditions), keys, _rank_order(tie), "rank")
+
+
+def rank_levels(results: DataFrame, conditions: Sequence[str], tie: str = "set_id") -> DataFrame:
+    """Both rankings in one table, from one aggregation by grouping sets: ``level`` is 'all' or 'group', ``grp`` null for all."""
+    # A grouping column is null where its level leaves it out, so the groups are counted on a copy.
+    rows = results.withColumn("_grp", F.col("grp"))
+    table = rows.groupingSets([[F.col("set_id")], [F.col("grp"), F.col("set_id")]], F.col("grp"), F.col("set_id")).agg(
+        F.grouping("grp").alias("_all"), *_rank_columns(conditions, "_grp"))
+    table = _with_groups(table, results).withColumn("level", F.when(F.col("_all") == 1, "all").otherwise("group"))
+    groups = F.when(F.col("_all") == 1, F.col("_groups")).otherwise(F.lit(1))
+    return ranked(_rank_table(table, ["level", "grp", "set_id"], groups, conditions), ["level", "grp"], _rank_order(tie), "rank")
+
+
+def _with_groups(table: DataFrame, results: DataFrame) -> DataFrame:
+    """The number of groups beside every row, counted in the same plan."""
+    one = results.agg(F.count_distinct("grp").alias("_groups"), F.lit(0).alias("_one"))
+    return table.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")  # one row
+
+
+def _rank_columns(conditions: Sequence[str], grp: str = "grp") -> list[Column]:
     hit = F.col("tier") == "significant"
-    n_groups = F.lit(1).cast("long") if per_group else F.lit(results.select("grp").distinct().count())
-    coverage = lambda c: F.concat_ws("/", c.cast("string"), n_groups.cast("string"))
-    table = results.groupBy(*keys, "set_id").agg(
+    return [
         F.max(F.when(hit, 2).when(F.col("tier") == "display", 1).otherwise(0)).alias("_tier"),
         F.count_if(hit).alias("n_sig"), F.count(F.lit(1)).alias("n_total"),
-        F.count_distinct(F.when(hit, F.col("grp"))).alias("_sig"), F.count_distinct("grp").alias("_all"),
-        distinct_list("grp").alias("group_list"), distinct_list("timepoint").alias("timepoints"), distinct_list("condition").alias("conditions"),
+        F.size(F.collect_set(F.when(hit, F.col(grp)))).alias("_sig"), F.size(F.collect_set(grp)).alias("_held"),
+        distinct_list(grp).alias("group_list"), distinct_list("timepoint").alias("timepoints"), distinct_list("condition").alias("conditions"),
         F.avg(F.abs("lff")).alias("mean_abs_lff"), F.min("p").alias("best_p"),
-        *[F.avg(F.when(F.col("condition") == c, F.col("lff"))).alias(f"lff_{c}") for c in conditions],
-    )
-    table = table.select(
-        *keys, "set_id", F.element_at(F.array(F.lit("non_significant"), F.lit("display"), F.lit("significant")), F.col("_tier") + 1).alias("tier"),
-        "n_sig", "n_total", coverage(F.col("_sig")).alias("groups_sig"), coverage(F.col("_all")).alias("groups_total"),
+        *[F.avg(F.when(F.col("condition") == c, F.col("lff"))).alias(f"lff_{c}") for c in conditions]]
+
+
+def _rank_table(table: DataFrame, keys: Sequence[str], n_groups: Column, conditions: Sequence[str]) -> DataFrame:
+    coverage = lambda c: F.concat_ws("/", F.col(c).cast("string"), n_groups.cast("string"))
+    return table.select(
+        *keys, F.element_at(F.array(F.lit("non_significant"), F.lit("display"), F.lit("significant")), F.col("_tier") + 1).alias("tier"),
+        "n_sig", "n_total", coverage("_sig").alias("groups_sig"), coverage("_held").alias("groups_total"),
         "group_list", "timepoints", "conditions", "mean_abs_lff", "best_p", *[f"lff_{c}" for c in conditions])
+
+
+def _rank_order(tie: str) -> list[Column]:
     # Equal means may differ in the last bits between plans; the order uses six decimals.
-    order = [F.col("n_sig").desc(), F.col("n_total").desc(), F.round("mean_abs_lff", 6).desc(), F.col(tie)]
-    return ranked(table, keys, order, "rank")
+    return [F.col("n_sig").desc(), F.col("n_total").desc(), F.round("mean_abs_lff", 6).desc(), F.col(tie)]
 
 
 def top_by_abs(results: DataFrame, by: Sequence[str], n: int, value: str = "lff", tie: str = "set_id") -> DataFrame:

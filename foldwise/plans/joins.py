@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.operators import grids
 from foldwise.operators import joins as jo
 from foldwise.plans import inputs as i
 from foldwise.plans.registry import fragment, query
@@ -85,14 +86,10 @@ FROM l FULL JOIN r USING (l_partkey, l_returnflag, occurrence)""")
 def bag_join(spark, sf):
     lines = i.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_linestatus")
     left, right = (lines.where(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("F", "O"))
-    pairs, missing, unused = jo.bag_join(left, right, ["l_partkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
-    keys = ["l_partkey", "l_returnflag", "occurrence"]
-    null = F.lit(-1).cast("long")
-    return jo.stack([
-        pairs.select(F.lit("pair").alias("kind"), *keys, F.col("l_orderkey").alias("left_order"), F.col("right_l_orderkey").alias("right_order")),
-        missing.select(F.lit("missing").alias("kind"), *keys, F.col("l_orderkey").alias("left_order"), null.alias("right_order")),
-        unused.select(F.lit("unused").alias("kind"), *keys, null.alias("left_order"), F.col("l_orderkey").alias("right_order")),
-    ])
+    rows = jo.bag_pairs(left, right, ["l_partkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+    kind = F.when(F.col("right").isNull(), "missing").when(F.col("left").isNull(), "unused").otherwise("pair")
+    order = lambda side: F.coalesce(F.col(f"{side}.l_orderkey"), F.lit(-1).cast("long")).alias(f"{side}_order")
+    return rows.select(kind.alias("kind"), "l_partkey", "l_returnflag", "occurrence", order("left"), order("right"))
 
 
 @query("D7", """SELECT grp, timepoint, condition, set_id, coalesce(n_name, 'Other') AS family, coalesce(n_experiments, 0)::BIGINT AS n_experiments
@@ -180,7 +177,7 @@ fragment("refiltered", "SELECT s.*, max_p, min_lff FROM sweep_enriched s JOIN gr
 
 @query("D15", "SELECT pct, max_p, min_lff, grp, timepoint, condition, set_id, direction FROM refiltered", "refiltered")
 def refiltered_grid(spark, sf):
-    return jo.refilter_grid(i.sweep(spark, sf), GRID, "p").select("pct", "max_p", "min_lff", *i.COMPARISON, "set_id", "direction")
+    return grids.hits(i.sweep(spark, sf), GRID, "p").select("pct", "max_p", "min_lff", *i.COMPARISON, "set_id", "direction")
 
 
 @query("G1", """SELECT grp, timepoint, condition, set_id, change FROM (

@@ -134,6 +134,26 @@ def threshold_sweep(spark, sf):
     return su.threshold_sweep(i.sweep(spark, sf), GRID, "p")
 
 
+# Every combination of forty bounds on p and on the factor.
+FINE = 40
+fragment("fine_grid", f"""SELECT pct::DOUBLE AS pct, (a / {FINE}.0)::DOUBLE AS max_p, (b / 16.0)::DOUBLE AS min_lff
+FROM (VALUES ({'), ('.join(str(p) for p in i.SWEEP_PCTS)})) v(pct), range(1, {FINE + 1}) r(a), range(0, {FINE}) q(b)""")
+fragment("fine_hits", "SELECT s.set_id, grp, timepoint, condition, g.* FROM sweep_enriched s JOIN fine_grid g ON s.pct = g.pct AND s.p <= max_p AND abs(s.lff) >= min_lff", "sweep_enriched fine_grid")
+
+
+def fine_grid(spark):
+    pct = F.explode(F.array(*[F.lit(float(p)) for p in i.SWEEP_PCTS]))
+    rows = spark.range(1, FINE + 1).select(pct.alias("pct"), (F.col("id") / float(FINE)).alias("max_p"))
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(FINE - 1)))).withColumn("min_lff", F.col("_b") / 16.0).drop("_b")
+
+
+@query("E10", """SELECT pct, max_p, min_lff, count(set_id) AS total_hits, count(DISTINCT set_id) AS n_sets, count(DISTINCT grp || timepoint || condition) AS n_comparisons
+FROM fine_grid LEFT JOIN fine_hits USING (pct, max_p, min_lff) GROUP BY pct, max_p, min_lff""", "fine_grid fine_hits")
+def fine_threshold_sweep(spark, sf):
+    """The sweep over a grid of thousands of cells, which is a table."""
+    return su.threshold_sweep(i.sweep(spark, sf), fine_grid(spark), "p")
+
+
 @query("E11 G2 G3", """SELECT pct, max_p, min_lff, coalesce(n_shared, 0) AS n_shared, coalesce(n_reversed, 0) AS n_reversed, round(pct_down, 6) AS pct_down, round(pct_up, 6) AS pct_up
 FROM grid LEFT JOIN (
   SELECT pct, max_p, min_lff, count(*) FILTER (c = 3) AS n_shared, count(*) FILTER (dn AND up) AS n_reversed,
@@ -180,6 +200,15 @@ def ranked_sets_by_group(spark, sf):
     return i.rounded(su.rank_sets(i.results(spark, sf), i.TREATMENTS, per_group=True), "mean_abs_lff", "best_p", *[f"lff_{t}" for t in i.TREATMENTS])
 
 
+_LEVELS = rank_sql("level, grp, ", "groups", "levelled").replace("GROUP BY level, grp, set_id", "GROUP BY level, grp, set_id, groups").replace("count(DISTINCT grp)", "count(DISTINCT own)").replace("list(grp)", "list(own)")
+
+
+@query("F1", _LEVELS, "levelled")
+def ranked_sets_by_level(spark, sf):
+    """The global ranking and that of each group in one table."""
+    return i.rounded(su.rank_levels(i.results(spark, sf), i.TREATMENTS), "mean_abs_lff", "best_p", *[f"lff_{t}" for t in i.TREATMENTS])
+
+
 @query("F2", f"SELECT {KEYS}, set_id, round(lff, 6) AS lff FROM results QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY round(abs(lff), 6) DESC, set_id) <= 20", "results")
 def strongest_sets(spark, sf):
     return i.rounded(su.top_by_abs(i.results(spark, sf), i.COMPARISON, 20), "lff").select(*i.COMPARISON, "set_id", "lff")
@@ -205,6 +234,8 @@ def with_evidence(spark, sf):
     return i.results(spark, sf).withColumn("e", su.evidence(F.col("p")))
 
 
+fragment("levelled", """SELECT 'all' AS level, NULL AS grp, grp AS own, (SELECT count(DISTINCT grp) FROM results) AS groups, * EXCLUDE (grp) FROM results
+UNION ALL SELECT 'group', grp, grp, 1, * EXCLUDE (grp) FROM results""", "results")
 fragment("gini", f"""SELECT {KEYS}, (2 * sum(r * e) - (count(*) + 1) * sum(e)) / nullif(count(*) * sum(e), 0) AS gini
 FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY e, set_id) AS r FROM evidence) GROUP BY {KEYS}""", "evidence")
 for _k in (10, 20):
