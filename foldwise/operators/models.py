@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.columns import positive_loglik, tweedie_residual
+from foldwise.functions.special import let
 from foldwise.operators import kernel as kn
 from foldwise.operators.diagnostics import sample_pca, with_scalar
 from foldwise.operators.gates import detected_features
@@ -181,6 +182,36 @@ def pooled_dropout_slopes(cells: DataFrame, stratum: str = "stratum", steps: int
     return cells.sparkSession.createDataFrame(rows, f"{stratum} {kind}, gamma0 double, gamma1 double")
 
 
+def feature_dropout_slopes(cells: DataFrame, by: Sequence[str] = ("feature_id",), steps: int = 25) -> DataFrame:
+    """Logistic regression of dropout on log mean for each feature: ``by, n, gamma0, gamma1, converged, separated``.
+
+    ``cells`` has (by, y, mu), one row a sample.  A feature's samples are one packed array, and Newton's
+    steps are a fold over it inside one expression: no row leaves its task and no step is a job.
+    ``separated`` tells that dropout is parted by the mean, or is all or none: the likelihood then has
+    no maximum, the steps run off, and the coefficients are those after the last step.
+    """
+    by = list(by)
+    x = F.ln(F.greatest("mu", F.lit(kn.MU_FLOOR)))
+    rows = cells.where(F.col("mu").isNotNull()).select(*by, x.alias("x"), F.when(F.coalesce("y", F.lit(0.0)) <= 0, 1.0).otherwise(0.0).alias("z"))
+    low, high = (lambda z: F.min(F.when(F.col("z") == z, F.col("x")))), (lambda z: F.max(F.when(F.col("z") == z, F.col("x"))))
+    # Two equal values at the edge of both sides leave no maximum either.
+    parted = F.coalesce((high(1.0) <= low(0.0)) | (high(0.0) <= low(1.0)), F.lit(True))
+    packed = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("x", "z"))).alias("_cells"), parted.alias("separated"))
+    p = "1 / (1 + exp(-greatest(least(s.g0 + s.g1 * e.x, 20D), -20D)))"
+    terms = let("t", "named_struct('a', m.a + t.p * (1 - t.p), 'b', m.b + t.p * (1 - t.p) * t.x, 'c', m.c + t.p * (1 - t.p) * t.x * t.x, 'u', m.u + t.z - t.p, 'v', m.v + (t.z - t.p) * t.x)",
+                p=p, x="e.x", z="e.z")
+    sums = f"aggregate(_cells, named_struct('a', 1e-8D, 'b', 0D, 'c', 1e-8D, 'u', 0D, 'v', 0D), (m, e) -> {terms})"
+    solved = let("q", "named_struct('d0', CASE WHEN q.det > 0 THEN (q.c * q.u - q.b * q.v) / q.det END, 'd1', CASE WHEN q.det > 0 THEN (q.a * q.v - q.b * q.u) / q.det END)",
+                 det="k.a * k.c - k.b * k.b", a="k.a", b="k.b", c="k.c", u="k.u", v="k.v")
+    step = f"element_at(transform(array({sums}), k -> {solved}), 1)"
+    moved = ("named_struct('g0', s.g0 + coalesce(d.d0, 0D), 'g1', s.g1 + coalesce(d.d1, 0D), 'ended', d.d0 IS NULL OR sqrt(d.d0 * d.d0 + d.d1 * d.d1) < 1e-8D,"
+             " 'converged', d.d0 IS NOT NULL AND sqrt(d.d0 * d.d0 + d.d1 * d.d1) < 1e-8D)")
+    fold = f"""aggregate(sequence(1, {steps}), named_struct('g0', 0D, 'g1', 0D, 'ended', false, 'converged', false),
+        (s, i) -> CASE WHEN s.ended THEN s ELSE element_at(transform(array({step}), d -> {moved}), 1) END)"""
+    found = packed.withColumn("_fit", F.expr(fold))
+    return found.select(*by, "n", F.col("_fit.g0").alias("gamma0"), F.col("_fit.g1").alias("gamma1"), F.col("_fit.converged").alias("converged"), "separated")
+
+
 def lambda_max(cells: DataFrame, design: DataFrame, omega: DataFrame, power: float = 1.5, n: int | None = None, seed: int = 42) -> DataFrame:
     """Smallest penalty that sets every group effect to zero, over all or ``n`` sampled features.
 

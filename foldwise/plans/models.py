@@ -268,6 +268,34 @@ def dropout_slope_equations(spark, sf):
     return sums.select("stratum", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("level", "slope")])
 
 
+def feature_slopes(spark, sf):
+    return staged(spark, ("feature_slopes", sf), lambda: mo.feature_dropout_slopes(observed(spark, sf)))
+
+
+# Dropout is parted by the mean, or is all or none: there is no fit then.
+fragment("parted", """SELECT feature_id, count(*) AS n, coalesce(max(x) FILTER (gone) <= min(x) FILTER (NOT gone) OR max(x) FILTER (NOT gone) <= min(x) FILTER (gone), true) AS separated
+FROM (SELECT feature_id, ln(greatest(mu, 1e-10)) AS x, y <= 0 AS gone FROM observed) GROUP BY feature_id""", "observed")
+
+
+@query("I6", "SELECT feature_id, n, separated, NOT separated AS converged FROM parted", "parted")
+def feature_dropout_fits(spark, sf):
+    """Which features have a dropout regression of their own; a fit that has a maximum reaches it."""
+    rows = feature_slopes(spark, sf)
+    return rows.select("feature_id", "n", "separated", (F.col("converged") & ~F.col("separated")).alias("converged"))
+
+
+@query("I6", "SELECT feature_id, n, 0.0::DOUBLE AS level, 0.0::DOUBLE AS slope FROM parted WHERE NOT separated", "parted")
+def feature_dropout_equations(spark, sf):
+    """What is left of the two likelihood equations of each feature that has a fit, summed over its samples: nothing."""
+    fits = feature_slopes(spark, sf).where("NOT separated")
+    rows = observed(spark, sf).join(fits, "feature_id")
+    x = F.ln(F.greatest("mu", F.lit(1e-10)))
+    p = 1 / (1 + F.exp(-(F.col("gamma0") + F.col("gamma1") * x)))
+    gap = F.when(F.coalesce("y", F.lit(0.0)) <= 0, 1.0).otherwise(0.0) - p
+    sums = rows.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("level"), F.sum(gap * x).alias("slope"))
+    return sums.select("feature_id", "n", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("level", "slope")])
+
+
 @query("I7")
 def fitted_features(spark, sf):
     return fitted(spark, sf)

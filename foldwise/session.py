@@ -61,26 +61,37 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foldwise_written = True
+    out._foldwise_path = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._foldwise_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a written table: itself if ``materialise`` made it."""
     return df if getattr(df, "_foldwise_written", False) else materialise(df)
 
 
-# Bytes of files whose rows may be copied to every task.
+# Bytes of rows that may be copied to every task.
 BROADCAST_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its files prove small; else left to a shuffled join.
+    """``df`` marked for broadcast if it proves small; else left to a shuffled join.
 
     For tables of the experiment's size (samples by groups).  It is written once,
-    so that measuring and joining it do not compute it twice.
+    so that measuring and joining it do not compute it twice.  Files may be packed far
+    tighter than rows are in memory, so rows times their width count too; the rows are known
+    from the files' footers.
     """
     kept = written(df)
     size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= BROADCAST_BYTES:
+        size = max(size, kept.count() * kept._jdf.schema().defaultSize())
     return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 
 

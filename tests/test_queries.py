@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tests.compare import canonical, type_gaps
+from tests.compare import canonical, frame_of, type_gaps
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 # Queries whose plans rank, accumulate or take percentiles of whole groups.
@@ -17,7 +17,7 @@ WIDE = [
 
 def check(name, spark, sf_dir, db):
     df = QUERIES[name](spark, sf_dir)
-    assert canonical(df.toPandas()) == canonical(db.execute(ORACLE[name]).fetchdf())
+    assert canonical(frame_of(df)) == canonical(db.execute(ORACLE[name]).fetchdf())
     assert not type_gaps(df, db, ORACLE[name])
 
 
