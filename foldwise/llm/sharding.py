@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import materialise, table
 from foldwise.llm.registry import query
+from foldwise.session import bounded
 
 BUCKET_BYTES = 16 << 20
 SHARDS = 40
@@ -42,21 +43,39 @@ def _shuffle_bucket(seed: int):
     return run
 
 
+def _numbered(df: DataFrame, size: int, bucket_bytes: int) -> DataFrame:
+    """``row`` and ``__n``: 0, but a number from 0 on for rows equal in everything that would fill a bucket.
+
+    Equal rows cannot be told apart, so instead of numbering many of them where they lie, one of
+    them is taken as often as they are.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    packed = df.select(own.alias("row")).withColumns({"__h": F.xxhash64("row"), "__h2": F.hash("row")})
+    counts = packed.groupBy("__h", "__h2").agg(F.count(F.lit(1)).alias("__times")).where(F.col("__times") * F.lit(size) > bucket_bytes // 4)
+    hot = materialise(counts.select("__h", "__h2"))
+    if not hot.limit(1).count():
+        return packed.select("row", F.lit(0).cast("long").alias("__n"))
+    hot = bounded(hot)  # a few hashes: each has many rows
+    keys = ["__h", "__h2"]
+    rest = packed.join(hot, keys, "left_anti").select("row", F.lit(0).cast("long").alias("__n"))
+    equal = packed.join(hot, keys, "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("__times"))
+    return rest.unionByName(equal.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)).alias("__n")))
+
+
 def shuffled(df: DataFrame, text: str = "text", seed: int = 11, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Both passes, written to the shared folder: ``row`` (the input row), ``__bucket`` and its place ``__local`` there.
 
-    The hash covers all columns, so rows that share an id or a text scatter; rows that
-    are equal in everything scatter by the task that reads them, and nothing tells them
-    apart afterwards.
+    The hash covers all columns, so rows that share an id or a text scatter; rows that are equal in
+    everything scatter by a number of their own once they are many.  The order depends on the
+    rows and the seed only, not on the files they lie in or the tasks that read them.
     """
-    own = [F.col(f"`{c}`") for c in df.columns]
     size = df.agg(F.sum(F.octet_length(f"`{text}`")), F.count(F.lit(1))).first()
     buckets = max(SHARDS, -(-((size[0] or 0) + 64 * size[1]) // bucket_bytes))
-    packed = df.select(F.struct(*own).alias("row"))
-    hashed = packed.select(
-        "row", F.pmod(F.xxhash64(F.lit(seed), F.spark_partition_id(), "row"), F.lit(buckets)).cast("int").alias("__bucket"),
+    rows = _numbered(df, 64 + (size[0] or 0) // max(size[1], 1), bucket_bytes)
+    hashed = rows.select(
+        "row", F.pmod(F.xxhash64(F.lit(seed), "__n", "row"), F.lit(buckets)).cast("int").alias("__bucket"),
         F.xxhash64(F.lit(seed + 1), "row").alias("__h"), F.hash(F.lit(seed + 2), "row").alias("__h2"))
-    out = packed.limit(0).withColumns({"__bucket": F.lit(0), "__local": F.lit(0).cast("long")}).schema
+    out = rows.select("row").limit(0).withColumns({"__bucket": F.lit(0), "__local": F.lit(0).cast("long")}).schema
     return materialise(hashed.groupBy("__bucket").applyInArrow(_shuffle_bucket(seed), out))
 
 

@@ -54,3 +54,17 @@ def test_odd_rows(odd, empty, tmp_path, spark):
 def test_few_rows(spark, n):
     rows = sharding.sharded(spark.range(n).selectExpr("id AS doc_id", "'x' AS text")).collect()
     assert len(rows) == n and len({(r.shard, r.slot) for r in rows}) == n and max(r.slot for r in rows) == (n - 1) // 40
+
+
+def test_order_does_not_depend_on_the_layout(odd, spark):
+    """The same rows in 1, 7 and 211 partitions, with many equal ones among them."""
+    same = spark.range(4000).selectExpr("77L AS doc_id", "'the same in everything' AS text")
+    rows = odd.select("doc_id", "text").unionByName(same).unionByName(spark.range(500).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    got = [sorted(((r.shard, r.slot), r.row.doc_id, r.row.text) for r in sharding.sharded(rows.na.fill({"doc_id": -1, "text": ""}).repartition(n), 5, bucket_bytes=1000).collect()) for n in (1, 7, 211)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4500 + len(odd_documents())
+
+
+def test_many_equal_rows_fill_many_buckets(spark):
+    rows = sharding.shuffled(spark.range(4000).selectExpr("1L AS doc_id", "'equal' AS text"), bucket_bytes=1000).collect()
+    sizes = Counter(r["__bucket"] for r in rows)
+    assert len(rows) == 4000 and len(sizes) > 100 and max(sizes.values()) < 60
