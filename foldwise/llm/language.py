@@ -7,8 +7,9 @@ separates its sides, and chooses the nearest codeword; a text whose two nearest
 codewords are about equally near is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample of the labelled rows: about
-``train_texts`` distinct texts, of each language as many, chosen by hash, longer ones
-than ``TRAIN_BYTES`` left out.  Prediction reads whole texts.
+``train_texts`` distinct texts, of each language as many and at least one, chosen by hash.  Texts
+of up to ``TRAIN_BYTES`` are learnt from; a language that has only longer ones is learnt
+from as much of some of them.  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -142,14 +143,21 @@ def fit(texts: Sequence[bytes], labels: Sequence[str], rounds: int = 50, decay:
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", train_texts: int = TRAIN_TEXTS) -> Model | None:
     """Fit on about ``train_texts`` distinct texts, of each language as many, those of the least hashes; None without any."""
-    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_BYTES)).select(F.col(text).alias("text"), F.col(label).alias("label"))
-    at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    sizes = known.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()  # one row for each language
+    known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    known = known.withColumns({"short": F.octet_length("text") <= TRAIN_BYTES, "at": F.pmod(F.xxhash64("text"), F.lit(1 << 30))})
+    sizes = known.groupBy("label").agg(
+        F.bool_or("short").alias("short"), *[F.approx_count_distinct(F.when(F.col("short") == kind, F.xxhash64("text")), 0.02).alias(f"n_{kind}") for kind in (True, False)],
+        *[F.min(F.when(F.col("short") == kind, F.col("at"))).alias(f"first_{kind}") for kind in (True, False)]).collect()  # one row for each language
     if not sizes:
         return None
-    cuts = {r["label"]: int((1 << 30) * min(1.0, train_texts / len(sizes) / r["n"])) for r in sizes}
-    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("label"))
-    sample = known.where(at < wanted).distinct().toArrow()
+    cuts = []
+    for r in sizes:
+        kind = r["short"]
+        cut = int((1 << 30) * min(1.0, train_texts / len(sizes) / max(r[f"n_{kind}"], 1)))
+        cuts.append((r["label"], kind, max(cut, r[f"first_{kind}"] + 1)))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for name, kind, cut in cuts for x in (name, F.struct(F.lit(kind).alias("short"), F.lit(cut).alias("cut")))]), F.col("label"))
+    sample = known.withColumn("wanted", wanted).where((F.col("short") == F.col("wanted.short")) & (F.col("at") < F.col("wanted.cut")))
+    sample = sample.select(F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4)).alias("text"), "label").distinct().toArrow()
     texts, labels = sample.column(0).cast(pa.binary()).to_pylist(), sample.column(1).to_pylist()
     order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
     return fit([texts[i] for i in order], [labels[i] for i in order])

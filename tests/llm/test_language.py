@@ -52,3 +52,15 @@ def test_model_uses_bits(spark):
         model.weights[:, bit] *= -1
         model.bias[bit] *= -1
     assert model.predict([b"bada lolo " * 4])[2].dtype == bool
+
+
+def test_languages_with_long_texts_only(spark):
+    """A byte bound leaves out long texts only where there are shorter ones, and no language is without a text."""
+    rows = [("the and of to in that was " * 9 + str(k), "en") for k in range(40)] + [("los que para una con por del " * 3000 + str(k), "es") for k in range(3)]
+    rows += [("the and " * 9000, "en"), ("der die und nicht ein das", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert all(len(t) > language.TRAIN_BYTES for t, name in rows if name == "es")
+    model = language.train(df)
+    assert model.languages == ["de", "en", "es"]
+    assert model.predict([b"los que para una con por del", b"der die und nicht ein das"])[0] == ["es", "de"]
+    assert language.train(df, train_texts=1).languages == ["de", "en", "es"]
