@@ -129,7 +129,10 @@ def n_copies(rate: float = RATE) -> Column:
 
 
 def weighted(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE) -> DataFrame:
-    """``id, source, lang, topic, n_tokens, weight, kept`` for every row.
+    """``id, source, lang, topic, n_tokens, weight, kept, copies`` for every row.
+
+    ``copies`` tells how often the calibrated mix has the row, ``rate * weight`` times on average, so that
+    the tokens of all copies follow the targets; ``kept`` tells whether the mix has it at all.
 
     Defined cases: a null text has no tokens and the topic of an empty one; a null
     source or language is a margin value of its own; equal rows share their draw, so
@@ -137,7 +140,7 @@ def weighted(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     gives an empty result.
     """
     measured = materialise(_measured(documents, id_column, text, topic))
-    return _of_cell(measured, _weights(measured, power)).withColumn("kept", chosen(rate)).drop("u")
+    return _of_cell(measured, _weights(measured, power)).withColumn("kept", chosen(rate)).withColumn("copies", n_copies(rate)).drop("u")
 
 
 def sampled(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE, copies: bool = False) -> DataFrame:
@@ -174,13 +177,14 @@ s AS (SELECT *, {targets}, (SELECT sum(tokens) FROM c) AS whole, {wholes} FROM c
 t0 AS (SELECT source, lang, topic, tokens, tokens AS fitted, {scaled} FROM s),
 {", ".join(steps)},
 w AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN round(fitted / tokens, 6) ELSE 1.0 END AS weight FROM {last})
-SELECT doc_id, n.source, n.lang, n.topic, n_tokens, weight, u < least(1.0, {RATE} * weight) AS kept
+SELECT doc_id, n.source, n.lang, n.topic, n_tokens, weight, u < least(1.0, {RATE} * weight) AS kept,
+  (floor({RATE} * weight) + (u < {RATE} * weight - floor({RATE} * weight))::INTEGER)::INTEGER AS copies
 FROM n JOIN w ON n.source IS NOT DISTINCT FROM w.source AND n.lang IS NOT DISTINCT FROM w.lang AND n.topic = w.topic
 """
 
 
 @query(_sql())
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight of every document after raking to source, language and topic targets, and whether the mix takes it."""
+    """Weight of every document after raking to source, language and topic targets, whether the mix takes it, and how often."""
     found = weighted(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return found.withColumnRenamed("id", "doc_id").select("doc_id", *MARGINS, "n_tokens", "weight", "kept")
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", *MARGINS, "n_tokens", "weight", "kept", "copies")

@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from foldwise.llm import mixing
+from foldwise.llm.registry import QUERIES
 from tests.llm.conftest import CLASHING
 
 
@@ -73,3 +74,17 @@ def test_targets_that_cannot_be_met(spark):
     cells = cells.selectExpr("*", "tokens AS target_source", "500D AS target_lang", "1000D AS target_topic")
     with pytest.warns(UserWarning, match="cannot meet"):
         assert mixing.raked(cells).count() == 2
+
+
+def test_query_meets_its_targets(spark):
+    """The tokens of all copies that the query gives, by source and language, beside their targets at the default parameters."""
+    rows = QUERIES["op8_mixing"](spark, "/root/testdata/sf0.1").collect()
+    total, taken = sum(r.n_tokens for r in rows), sum(r.n_tokens * r.copies for r in rows)
+    assert all(r.kept == (r.copies > 0) for r in rows) and max(r.copies for r in rows) > 1
+    for m in ("lang", "topic"):
+        values = {r[m] for r in rows}
+        share = {v: sum(r.n_tokens for r in rows if r[m] == v) / total for v in values}
+        whole = sum(x**mixing.POWER for x in share.values())
+        for v in values:
+            got = sum(r.n_tokens * r.copies for r in rows if r[m] == v) / taken
+            assert got == pytest.approx(share[v] ** mixing.POWER / whole, abs=0.01), (m, v)
