@@ -7,7 +7,8 @@ follow the expected grade and the tail probability that selection asks for.
 Features are the words of a text and a few coarse shares of its characters, each hashed to
 a column; presence counts, not frequency.  The model is fitted on a bounded sample of the
 labelled rows: of each grade about ``train_rows`` divided by the number of grades, chosen
-by hash of the id, texts longer than ``TRAIN_BYTES`` left out.  Prediction reads whole texts.
+by hash of the id.  Texts of up to ``TRAIN_BYTES`` are learnt from; a grade that has only longer
+ones is learnt from as much of them.  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -138,8 +139,12 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     each = train_rows // len(sizes)
     cuts = F.element_at(F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, int((1 << 30) * min(1.0, each / n)))]), F.col("grade"))
     ids = materialise(known.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < cuts).withColumnRenamed(id_column, "__id"))
-    texts = documents.where(F.octet_length(text) <= TRAIN_BYTES).select(F.col(id_column).alias("__of"), F.col(text).alias("text"))
-    sample = texts.join(ids, F.col("__of") == F.col("__id")).groupBy("text").agg(F.min("grade").cast("int").alias("grade")).toArrow()
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(id_column).alias("__of"), F.col(text).alias("text"))
+    found = materialise(texts.join(ids, F.col("__of") == F.col("__id")).withColumn("short", F.octet_length("text") <= TRAIN_BYTES))
+    lacking = [r[0] for r in found.groupBy("grade").agg(F.bool_or("short").alias("any")).where("NOT any").collect()]  # at most one row for each grade
+    found = found.where(F.col("short") | F.col("grade").isin(lacking)) if lacking else found.where("short")
+    found = found.select(F.when(F.col("short"), F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES // 4)).alias("text"), "grade")
+    sample = found.groupBy("text").agg(F.min("grade").cast("int").alias("grade")).toArrow()
     pairs = sorted(zip(sample.column(0).cast(pa.binary()).to_pylist(), sample.column(1).to_pylist(), strict=True))
     if len({g for _, g in pairs}) < 2:
         return None
