@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is measured on a sample: how long it takes and what share of rows it
-rejects.  The cascade then asks the rules by rejection per cost, highest first.
+rejects of those that the rules before it leave.  The cascade then asks the rules by rejection
+per cost, highest first.
 A row that one rule has rejected reaches the later ones as a null text, so they
 do no work for it.  The verdict does not depend on the order; only the name of
 the first rule that rejected does.  Rules share measures: one that an earlier rule has
@@ -32,6 +33,8 @@ MAX_BANG_PCT = 10
 MAX_DUP_LINE_PCT = 50
 WORD_CHARS = (3, 12)
 SAMPLE_ROWS = 2000
+TIMED_RUNS = 2
+LEAST_SECONDS = 1e-3
 
 _POSITION_BITS = 28
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
@@ -127,37 +130,79 @@ def _with_measures(df: DataFrame, rule: Rule, text: str) -> DataFrame:
     return df
 
 
+def _rejections(sample: DataFrame, rules: Sequence[Rule], present: Sequence[str]) -> dict[tuple[bool, ...], int]:
+    """How many rows of the sample each set of rules rejects: at most one row for each set."""
+    measured = _with_measures(sample, Rule("all", tuple(dict.fromkeys([*present, *(m for r in rules for m in r.needs)])), "false"), "text")
+    flags = [F.coalesce(F.expr(r.reject), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+    found = measured.select(*flags).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect() if rules else []
+    return {tuple(row[:-1]): row[-1] for row in found}
+
+
+def _costs(sample: DataFrame, rules: Sequence[Rule], present: Sequence[str]) -> dict[Callable, float]:
+    """Seconds on the sample of each piece of work that rules ask for, beyond reading it and what it builds on."""
+    timed: dict[tuple[str, ...], float] = {}
+
+    def seconds(names: tuple[str, ...]) -> float:
+        if names not in timed:
+            frame = _with_measures(sample, Rule("some", names, "false"), "text")
+            job = frame.agg(F.sum(F.length("text")), *[F.sum(n) for n in names])
+            runs = []
+            for _ in range(TIMED_RUNS):
+                started = time.perf_counter()
+                job.collect()
+                runs.append(time.perf_counter() - started)
+            timed[names] = min(runs)
+        return timed[names]
+
+    out: dict[Callable, float] = {}
+    for rule in rules:
+        before: tuple[str, ...] = ()
+        for name in rule.needs:
+            work = MEASURES[name]
+            if work not in out and all(MEASURES[p] is not work for p in present):
+                out[work] = max(seconds((*before, name)) - seconds(before), LEAST_SECONDS)
+            before = (*before, name)
+    return out
+
+
 def order_by_worth(
     df: DataFrame, rules: Sequence[Rule], text: str = "text", present: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS
 ) -> list[Rule]:
-    """The rules by rejected share per second on a sample of about ``sample_rows`` rows.
+    """The rules by rejection per cost on a sample of about ``sample_rows`` rows, each on what those before it leave.
 
-    Measures named in ``present`` are known before the cascade starts, so they cost a rule nothing.
+    A rule's cost is that of the work for its measures that no rule before it has paid for; measures
+    named in ``present`` are known before the cascade starts.  The work is timed several times and
+    what a job costs without it is taken off.
     """
     share = min(1.0, sample_rows / max(df.count(), 1))
-    sample = df.select(F.col(text).alias("text")).sample(False, share, 17)
-    known = Rule("known", tuple(present), "false")
-    sample = materialise(_with_measures(sample, known, "text"))
-    size, worth = sample.count(), {}
-    for rule in rules:
-        started = time.perf_counter()
-        rejected = _with_measures(sample, rule, "text").agg(F.count(F.when(F.expr(rule.reject), 1))).first()[0]
-        worth[rule.name] = rejected / max(size, 1) / (time.perf_counter() - started)
-    return sorted(rules, key=lambda r: -worth[r.name])
-
-
-def cascade(df: DataFrame, rules: Sequence[Rule], text: str = "text", rejected: Column | None = None) -> DataFrame:
-    """Add ``rejected_by``: the first rule in the given order that rejects the row, or null.
-
-    ``rejected`` names a reason that is already known; such rows skip every rule.
+    sample = materialise(df.select(F.col(text).alias("text")).sample(False, share, 17))
+    left, cost = _rejections(sample, rules, present), _costs(sample, rules, present)
+    order, rest, paid = [], list(range(len(rules))), set()
+    while rest:
+        price = {k: sum(cost[w] for w in {MEASURES[n] for n in rules[k].needs} if w in cost and w not in paid) + LEAST_SECONDS for k in rest}
+        best = max(rest, key=lambda k: (sum(n for flags, n in left.items() if flags[k]) / price[k], -price[k], -k))
+        order.append(rules[best])
+        rest.remove(best)
+        paid |= {MEASURES[n] for n in rules[best].needs}
+        left = {flags: n for flags, n in left.items() if not flags[best]}
+    return order
+
+
+def cascade(df: DataFrame, rules: Sequence[Rule], text: str = "text", rejected: Column | None = None, present: Sequence[str] = ()) -> DataFrame:
+    """Add the measures asked for and ``rejected_by``: the first rule in the given order that rejects the row, or null.
+
+    ``rejected`` names a reason that is already known; such rows skip every rule.  ``present`` names columns
+    that are measures; any other column keeps its value, even if it has the name of one.
     A measure is worked out when the first rule asks for it, and only for rows still alive.
     """
-    df = df.withColumn("__by", (rejected if rejected is not None else F.lit(None)).cast("string"))
+    own = {c: f"__own_{c}" for c in df.columns if c in MEASURES and c not in present}
+    df = df.withColumn("__by", (rejected if rejected is not None else F.lit(None)).cast("string")).withColumnsRenamed(own)
+    text = own.get(text, text)
     for rule in rules:
         if any(name not in df.columns for name in rule.needs):
             df = _with_measures(df.withColumn("__t", F.when(F.col("__by").isNull(), text_of(text))), rule, "__t").drop("__t")
         df = df.withColumn("__by", F.when(F.col("__by").isNull() & F.expr(rule.reject), F.lit(rule.name)).otherwise(F.col("__by")))
-    return df.withColumnRenamed("__by", "rejected_by")
+    return df.drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).withColumnRenamed("__by", "rejected_by")
 
 
 def base_measures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -189,7 +234,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     rules = order_by_worth(documents, MORE_RULES, present=known)
-    judged = cascade(base_measures(documents), rules, rejected=F.when(F.col("base_failed"), F.lit("base")))
+    judged = cascade(base_measures(documents), rules, rejected=F.when(F.col("base_failed"), F.lit("base")), present=[*known, "n_repeat_words"])
     return judged.select("doc_id", *known[:3], "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 

@@ -29,6 +29,25 @@ def test_order_by_rejection_per_cost(spark):
     assert a == b == 30
 
 
+def test_order_counts_what_is_left(spark, monkeypatch):
+    """A rule whose rows another one rejects already comes late, and shared work is paid for once."""
+    rules = [quality_rules.Rule(n, needs, "false") for n, needs in (("a", ("n_words",)), ("b", ("n_words", "n_symbols")), ("c", ("n_words", "n_bangs")), ("d", ("n_words", "word_chars")))]
+    cost = {quality_rules.MEASURES[m]: s for m, s in (("n_words", 1.0), ("n_symbols", 0.5), ("n_bangs", 0.4))}
+    left = {(False, True, True, False): 50, (False, True, False, False): 10, (True, False, False, True): 9, (False, False, False, False): 100}
+    monkeypatch.setattr(quality_rules, "_costs", lambda *a: cost)
+    monkeypatch.setattr(quality_rules, "_rejections", lambda *a: left)
+    df = spark.createDataFrame([("x",)], "text string")
+    assert [r.name for r in quality_rules.order_by_worth(df, rules)] == ["b", "a", "d", "c"]
+
+
+def test_columns_named_like_measures(spark):
+    """A caller's columns keep their values and do not stand for measures."""
+    df = spark.createDataFrame([(1, prose(1, 80), 9999, 7), (2, prose(2, 80) + " ###" * 40, 0, 8)], "doc_id int, text string, n_symbols int, n_words int")
+    rows = {r.doc_id: r for r in quality_rules.cascade(df, quality_rules.MORE_RULES).collect()}
+    assert rows[1].rejected_by is None and rows[2].rejected_by == "symbols"
+    assert (rows[1].n_symbols, rows[1].n_words, rows[2].n_symbols) == (9999, 7, 0)
+
+
 def test_rules_odd_rows(odd, empty):
     kept = quality_rules.keep_good(odd)
     assert kept.columns == odd.columns
@@ -53,6 +72,47 @@ def labelled(n):
     return out
 
 
+def test_grades_with_long_texts_only(spark):
+    """A byte bound leaves out long texts only where there are shorter ones of their grade."""
+    rows = [(k, prose(k, 40), 2) for k in range(30)] + [(100 + k, "bad worse worst " * 9000 + str(k), 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = quality_model.train(df.select("doc_id", "text"), df.select("doc_id", "grade"))
+    assert model is not None and model.tails([b"bad worse worst " * 30])[0][1] < model.tails([prose(50, 40).encode()])[0][1]
+
+
+def test_likelihood_slopes(spark):
+    """The fitted weights and thresholds are where the penalised likelihood has no slope, by finite differences."""
+    texts = [t.encode() for _, t, _ in labelled(60)]
+    grades = [g for _, _, g in labelled(60)]
+    decay = 1e-2
+    model = quality_model.fit(texts, grades, rounds=6000, step=0.01, decay=decay)
+    sets = list(quality_model.features(texts))
+    values = [quality_model._values(s) for s in sets]
+    # Features that the fit leaves out have no weight.
+    used = np.flatnonzero(model.weights)
+    y = np.array(grades)
+    share = 1 / (3 * np.bincount(y)[y])
+
+    def loss(w, cuts):
+        score = np.array([w[s] @ v for s, v in zip(sets, values, strict=True)])
+        edges = np.concatenate(([-np.inf], cuts, [np.inf]))
+        up, low = 1 / (1 + np.exp(-(edges[y + 1] - score))), 1 / (1 + np.exp(-(edges[y] - score)))
+        return -(share * np.log(up - low)).sum() + decay / 2 * (w**2).sum()
+
+    w = model.weights.astype(float)
+    here = loss(w, model.cuts)
+    for k in used[:: max(1, len(used) // 12)]:
+        for step in (0.05, -0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, model.cuts) >= here - 1e-6
+    for k in range(2):
+        for step in (0.05, -0.05):
+            cuts = model.cuts.copy()
+            cuts[k] += step
+            assert loss(w, cuts) >= here - 1e-6
+
+
 def test_grades_follow_the_labels(spark):
     data = labelled(420)
     df = spark.createDataFrame(data, "doc_id long, text string, grade int")
