@@ -40,8 +40,9 @@ from foldwise.llm.registry import query
 from foldwise.operators.ordering import ranked
 from foldwise.session import bounded
 
-FLUSH_SHINGLES = 1_000_000  # shingles a task holds before it sends its blocks
+FLUSH_SHINGLES = 1_000_000  # shingles a task holds before it sends its blocks, at least
 PART_SHINGLES = 2_000_000  # shingles one counting task takes
+BLOCK_SHINGLES = 32  # shingles that a task holds for each hash range before it sends its blocks, at least
 BLOCK_SETS = 2_000  # sets one tree holds
 SPARE_BITS = 12  # a counted shingle has this many bits more than all of them together need
 
@@ -80,6 +81,8 @@ class _Blocks:
 
     def __init__(self, parts: int, width: int):
         self.parts, self.width = parts, width
+        # Blocks hold many shingles however many hash ranges there are, so their number is in proportion to the shingles.
+        self.full = max(FLUSH_SHINGLES, BLOCK_SHINGLES * parts)
         self._empty()
 
     def _empty(self) -> None:
@@ -117,11 +120,14 @@ class _Blocks:
         once, of, part = once[by], of[by], part[by]
         cuts = np.searchsorted(part, np.arange(self.parts + 1))
         home = int(nodes[0] % self.parts)  # the block that takes the credits along
+        held = np.bincount(shared_part, minlength=self.parts)
         rows = []
         for p in range(self.parts):
             a, b = cuts[p], cuts[p + 1]
             who, lens = np.unique(of[a:b], return_counts=True)
             sure = np.flatnonzero(credit) if p == home else np.zeros(0, dtype=np.int64)
+            if a == b and not len(sure) and not held[p]:
+                continue
             rows.append((
                 p, nodes[who].tobytes(), lens.astype(np.int32).tobytes(), self._short(once[a:b]), self._short(shared[shared_part == p]),
                 nodes[sure].tobytes(), credit[sure].astype(np.int32).tobytes()))
@@ -159,7 +165,7 @@ def _text_blocks(parts: int, width: int):
                 for s in shingles.shingle_sets(texts[a:b]):
                     if len(s):
                         blocks.add(_node(_signature(s)), s[: len(s) - _need(len(s)) + _lead(len(s))])
-                if blocks.held >= FLUSH_SHINGLES:
+                if blocks.held >= blocks.full:
                     yield from blocks.flush()
         yield from blocks.flush()
 
@@ -176,7 +182,7 @@ def _set_blocks(parts: int, width: int):
             ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
             for node, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 blocks.add(node, flat[a:b])
-                if blocks.held >= FLUSH_SHINGLES:
+                if blocks.held >= blocks.full:
                     yield from blocks.flush()
         yield from blocks.flush()
 
