@@ -134,17 +134,17 @@ def threshold_sweep(spark, sf):
     return su.threshold_sweep(i.sweep(spark, sf), GRID, "p")
 
 
-# Every combination of forty bounds on p and on the factor.
-FINE = 40
-fragment("fine_grid", f"""SELECT pct::DOUBLE AS pct, (a / {FINE}.0)::DOUBLE AS max_p, (b / 16.0)::DOUBLE AS min_lff
+# Every combination of forty bounds on p and on the factor, all a little beside the round values that rows may have.
+FINE, ASIDE = 40, 0.0003
+fragment("fine_grid", f"""SELECT pct::DOUBLE AS pct, (a / {FINE}.0)::DOUBLE + {ASIDE}::DOUBLE AS max_p, (b / 16.0)::DOUBLE + {ASIDE}::DOUBLE AS min_lff
 FROM (VALUES ({'), ('.join(str(p) for p in i.SWEEP_PCTS)})) v(pct), range(1, {FINE + 1}) r(a), range(0, {FINE}) q(b)""")
 fragment("fine_hits", "SELECT s.set_id, grp, timepoint, condition, g.* FROM sweep_enriched s JOIN fine_grid g ON s.pct = g.pct AND s.p <= max_p AND abs(s.lff) >= min_lff", "sweep_enriched fine_grid")
 
 
 def fine_grid(spark):
     pct = F.explode(F.array(*[F.lit(float(p)) for p in i.SWEEP_PCTS]))
-    rows = spark.range(1, FINE + 1).select(pct.alias("pct"), (F.col("id") / float(FINE)).alias("max_p"))
-    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(FINE - 1)))).withColumn("min_lff", F.col("_b") / 16.0).drop("_b")
+    rows = spark.range(1, FINE + 1).select(pct.alias("pct"), (F.col("id") / float(FINE) + ASIDE).alias("max_p"))
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(FINE - 1)))).withColumn("min_lff", F.col("_b") / 16.0 + ASIDE).drop("_b")
 
 
 @query("E10", """SELECT pct, max_p, min_lff, count(set_id) AS total_hits, count(DISTINCT set_id) AS n_sets, count(DISTINCT grp || timepoint || condition) AS n_comparisons
