@@ -83,11 +83,31 @@ def null_outcomes(tables: DataFrame) -> DataFrame:
     return rows.where("_asks = 1").select(*cells, "up", "down", "share")
 
 
-def _draws_sql(key: str, n: int) -> str:
-    """The first ``n`` uniform draws of a key, each eight hexadecimal digits: four of one md5."""
-    four = ", ".join(f"substring(h, {8 * j + 1}, 8)" for j in range(4))
-    blocks = f"flatten(transform(sequence(0, {(n + 3) // 4 - 1}), b -> element_at(transform(array(md5(concat({key}, b))), h -> array({four})), 1)))"
-    return f"slice({blocks}, 1, {n})" if n % 4 else blocks
+def _draws(rows: DataFrame, n: int) -> DataFrame:
+    """``_key, _level, _block`` and the uniform draws ``_u0 .. _u3`` of it, each eight hexadecimal digits of one md5."""
+    blocks = rows.select("_key", "_level", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))).alias("_block"))
+    blocks = blocks.withColumn("_h", F.md5(F.concat("_key", F.col("_block").cast("string"))))
+    return blocks.select("_key", "_level", "_block", *[F.substring("_h", 8 * j + 1, 8).alias(f"_u{j}") for j in range(4)])
+
+
+def _beats(rows: DataFrame, n: int) -> list[Column]:
+    """Numbers, from 1 on, of a block's draws below the level; 0 for the others."""
+    at = [F.col("_block") * 4 + (j + 1) for j in range(4)]
+    return [F.when((F.col(f"_u{j}") < F.col("_level")) & (at[j] <= n), at[j]).otherwise(0) for j in range(4)]
+
+
+def _beaten(rows: DataFrame, n: int) -> DataFrame:
+    """``_key, _n``: how many of the first ``n`` draws are below the level; added up where they are made."""
+    draws = _draws(rows, n)
+    hits = [F.when(b > 0, 1).otherwise(0) for b in _beats(draws, n)]
+    return draws.groupBy("_key").agg(F.sum(hits[0] + hits[1] + hits[2] + hits[3]).alias("_n"))
+
+
+def _beaten_at(rows: DataFrame, n: int) -> DataFrame:
+    """``_key, _at``: the numbers of the draws below the level, in order; at most ``n`` of them."""
+    draws = _draws(rows, n)
+    some = draws.select("_key", F.explode(F.array_remove(F.array(*_beats(draws, n)), 0)).alias("_i"))
+    return some.groupBy("_key").agg(F.sort_array(F.collect_list("_i")).alias("_at"))
 
 
 def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42, stop: int | None = None) -> DataFrame:
@@ -115,18 +135,23 @@ def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed
     found = found.withColumn("_level", F.when(certain | (F.col("share") >= 1), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(level)), 8, "0")))
     parts = [F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "set_id")], F.lit("")]
     found = found.withColumn("_key", F.concat_ws(":", *parts))
+    found = materialise(found)
+    # Where every permutation beats the observation or none can, nothing is drawn.
+    asked = found.where("_level <> 'g' AND _level <> '00000000'").select("_key", "_level")
     if stop is None:
-        beaten = f"size(filter({_draws_sql('_key', n_perm)}, u -> u < _level))"
-        found = found.withColumn("perm_p", F.expr(f"({beaten} + 1) / {n_perm + 1.0}D"))
+        found = found.join(_beaten(asked, n_perm), "_key", "left")
+        beaten = F.when(F.col("_level") == "g", F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
+        found = found.withColumn("perm_p", (beaten + 1) / F.lit(n_perm + 1.0))
     else:
-        at = lambda n: f"filter(transform({_draws_sql('_key', n)}, (u, i) -> if(u < _level, i + 1, 0)), i -> i > 0)"
         few = min(n_perm, 10 * stop)  # enough for most sets; only the others see the rest of their draws
-        found = found.withColumn("_beaten", F.expr(at(few)))
-        if few < n_perm:
-            found = found.withColumn("_beaten", F.expr(f"CASE WHEN size(_beaten) >= {stop} THEN _beaten ELSE {at(n_perm)} END"))
-        ended = F.size("_beaten") >= stop
-        found = found.withColumn("n_drawn", F.when(ended, F.get("_beaten", F.lit(stop - 1))).otherwise(n_perm))
-        found = found.withColumn("perm_p", F.when(ended, F.lit(float(stop)) / F.col("n_drawn")).otherwise((F.size("_beaten") + 1) / F.lit(n_perm + 1.0)))
+        first = materialise(_beaten_at(asked, few))
+        ended = first.where(F.size("_at") >= stop)
+        rest = asked.join(ended.select("_key"), "_key", "left_anti")
+        found = found.join(ended.unionByName(_beaten_at(rest, n_perm)), "_key", "left")
+        at = F.when(F.col("_level") == "g", F.sequence(F.lit(1), F.lit(n_perm))).otherwise(F.coalesce("_at", F.array().cast("array<int>")))
+        ended = F.size(at) >= stop
+        found = found.withColumn("n_drawn", F.when(ended, F.get(at, F.lit(stop - 1))).otherwise(n_perm))
+        found = found.withColumn("perm_p", F.when(ended, F.lit(float(stop)) / F.col("n_drawn")).otherwise((F.size(at) + 1) / F.lit(n_perm + 1.0)))
     return found.select(*results.columns, *([] if stop is None else ["n_drawn"]), "perm_p")
 
 
