@@ -34,9 +34,12 @@ def grid_of(spark: SparkSession, grid: DataFrame | Sequence[tuple[float, float,
     return grid.select(*[F.col(c).cast("double") for c in CELL]).distinct()
 
 
-def _axes(grid: DataFrame) -> DataFrame:
-    """For each pct its thresholds in ascending order."""
-    return bounded(grid.groupBy("pct").agg(F.sort_array(F.collect_set("max_p")).alias("_ps"), F.sort_array(F.collect_set("min_lff")).alias("_ls")))
+def _axes(cells: DataFrame) -> DataFrame:
+    """For each pct of a grid its thresholds in ascending order; worked out once for each grid."""
+    if not hasattr(cells, "_foldwise_axes"):
+        rows = cells.groupBy("pct").agg(F.sort_array(F.collect_set("max_p")).alias("_ps"), F.sort_array(F.collect_set("min_lff")).alias("_ls"))
+        cells._foldwise_axes = bounded(rows)
+    return cells._foldwise_axes
 
 
 def placed(results: DataFrame, grid: DataFrame, p_col: str) -> DataFrame:
