@@ -103,3 +103,41 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 300), (300, 100), (7, 7), (400, 400)] + [(500, 501 + k) for k in range(50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 300: 100, **dict.fromkeys(range(500, 551), 500)}
+
+
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_components_in_rounds(spark, monkeypatch, share):
+    """Long chains, stars and cycles, with more edges than one task's share and with fewer."""
+    import random
+
+    from foldwise.llm import components as co
+
+    monkeypatch.setattr(co, "TASK_EDGES", share)
+    r = random.Random(9)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 20)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)]
+    edges += [(r.randrange(300, 360), r.randrange(300, 360)) for _ in range(40)] + [(-5, 7), (500, 500)]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    assert got == {i: find(i) for i in list(up)}
+
+
+def test_a_large_family(spark):
+    """Five thousand near copies, each with a word of its own, are one component, in blocks and as one group."""
+    words = prose(77, 80).split()
+    rows = [(k, " ".join([*words[: k % 70], f"own{k}", *words[k % 70 + 1 :]])) for k in range(5000)] + [(9000 + k, prose(500 + k, 60)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: r.component_id for r in ngram_join.near_duplicates(df, block_sets=1500).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(76)} for k, t in rows[:300]}
+    linked = {k for k in range(300) if any(k != j and 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j]) for j in range(300))}
+    assert len(linked) > 200 and {got[k] for k in linked} == {0}
+    assert all(got[9000 + k] == 9000 + k for k in range(20))
