@@ -1,17 +1,19 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
 A text is keyed by a 64-bit hash of its normal form (every run of white space is one
-space).  Bucket files hold the index entries of one range of keys, named by the
+space).  A bucket holds the index entries of one range of keys, named by the
 leading bits of the key.  The directory begins with as many bits as the data's size
 asks for and doubles while some bucket is overfull; only overfull buckets split, so
 each has its own depth.  A bucket that one single key fills cannot split further: its
 entries form a chain.
 
-Before anything moves, every task folds the equal texts it holds into one entry, so
-a text costs one entry for each task at most, however many copies there are.  An owner
-task then reads its key ranges in key order, row by row: entries of one key are
-compared byte by byte with the chain of distinct texts of that key, so two texts
-whose hashes collide stay apart.  It holds one chain at a time.
+Before anything moves, every task folds the equal texts it holds into one entry, each time
+it has read ``FOLD_BYTES`` of distinct texts: a text costs one entry for each fold, however
+many copies that has.  An owner task then reads its buckets in key order, row by row: entries
+of one key are compared byte by byte with the chain of distinct texts of that key, so two
+texts whose hashes collide stay apart.  It holds one chain at a time.  The index is
+written to the shared folder as one table, a row for each distinct text; documents find their
+group in it by the digest of their normal text.
 """
 
 from __future__ import annotations
