@@ -20,6 +20,7 @@ from foldwise.operators import ordering as od
 from foldwise.operators import sampling as sa
 from foldwise.operators import stats as st
 from foldwise.operators import summaries as su
+from foldwise.session import bounded
 from foldwise.sources import manifest as ma
 
 
@@ -336,3 +337,12 @@ def test_heads_read_only_both_ends(spark, tmp_path):
 
 def test_stores_that_cannot_be_opened():
     assert ma.known_store("file:///tmp") and not ma.known_store("nosuch://x/y")
+
+
+# ---- broadcasts -----------------------------------------------------------------------------
+
+def test_broadcasts_are_measured_by_rows(spark):
+    """A table of equal rows is tiny as a file and large in memory."""
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(bounded(spark.range(100).select(F.lit("x").alias("k"))))
+    assert not hinted(bounded(spark.range(2_000_000).select(F.lit("x").alias("k"))))
