@@ -136,6 +136,10 @@ def deduplicated(documents: DataFrame, id_column: str = "doc_id", text: str = "t
     """Documents with repeated lines taken out, in their own columns; one left without any word goes.
 
     ``length``, if there is such a column, becomes the new length of a changed text.
+
+    Defined cases: a text from which nothing is dropped stays as it was, also a null, empty or blank one; rows with the
+    same id and text lose the same lines; a null id comes after all others, so it loses its line to any other
+    document; extra columns come back as they were; an empty table gives an empty result.
     """
     found = without_repeats(documents, id_column, text, by_share=True)
     changed = F.col("n_dropped") > 0

@@ -144,7 +144,12 @@ def weighted(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 
 def sampled(documents: DataFrame, id_column: str = "doc_id", text: str = "text", topic: Column | None = None, power: float = POWER, rate: float = RATE, copies: bool = False) -> DataFrame:
-    """The rows that the mix takes, with their own columns; with ``copies``, each as often as its weight asks."""
+    """The rows that the mix takes, with their own columns; with ``copies``, each as often as its weight asks.
+
+    Defined cases: as for ``weighted``; a null text has no tokens, so a cell of such rows only has weight 1 and
+    they all stay; copies of a row are equal rows; columns of any name come back as they were; an empty
+    table gives an empty result.
+    """
     weights = _weights(_measured(documents, id_column, text, topic), power)
     t = text_of(text)
     packed = documents.select(

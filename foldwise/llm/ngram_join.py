@@ -437,7 +437,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
 
 
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row of each component, that of the least id, with all its columns; rows without words all stay."""
+    """One row of each component, that of the least id, with all its columns.
+
+    Defined cases: a null or empty text, or one without words, links with nothing, so all such rows stay, repeated
+    ones too; of rows with the same id and text one stays; a null id comes after all others; extra columns
+    come back as they were; an empty table gives an empty result.
+    """
     own = documents.columns
     found = classes(documents, id_column, text, block_sets)
     heads = found.where("doc = head OR n = 0").groupBy("doc").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
