@@ -44,6 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``, each written and read again: the last one's rows.
+
+    Defined cases: those of each stage.  A null or short text is rejected by the first one; repeated rows are one after
+    the third, and the fourth may take a row several times; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
