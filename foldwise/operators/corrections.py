@@ -138,6 +138,8 @@ def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed
     found = materialise(found)
     # Where every permutation beats the observation or none can, nothing is drawn.
     asked = found.where("_level <> 'g' AND _level <> '00000000'").select("_key", "_level")
+    # Few bytes, much work: spread over all tasks by key, by which the draws are added up too.
+    asked = asked.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
     if stop is None:
         found = found.join(_beaten(asked, n_perm), "_key", "left")
         beaten = F.when(F.col("_level") == "g", F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
