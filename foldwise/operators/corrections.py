@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.special import hypergeometric_upper, ln_factorial_sql
+from foldwise.functions.special import hypergeometric_upper, let, ln_factorial_sql
 from foldwise.operators.enrichment import SAME, bh_adjust
 from foldwise.operators.joins import jaccard_matrix
+from foldwise.operators.keys import join_same
+from foldwise.operators.ordering import ranked
 from foldwise.operators.sampling import shuffle_key
-from foldwise.session import materialise
+from foldwise.session import bounded, materialise
 
 
 def scattered_sql(x: str, side: str, key: Callable[[int], str], div: str) -> str:
@@ -47,6 +51,157 @@ def permuted_sides(classes: DataFrame, by: Sequence[str], n_perm: int, seed: int
     return rows.select(*by, "perm", "number", (F.col("_at") < F.col("k")).alias("down"))
 
 
+def _rounds(keys: np.ndarray, side: int) -> list[np.ndarray]:
+    """What each round of the keyed bijection adds, for every right half; last round first."""
+    right = np.arange(side)
+    return [(right * a + b) % 65521 % side for a, b in keys.reshape(4, 2)[::-1].astype(np.int64)]
+
+
+def _places(left: np.ndarray, right: np.ndarray, rounds: list[np.ndarray], side: int) -> np.ndarray:
+    """Where the bijection finds the numbers ``left * side + right``: its inverse."""
+    for add in rounds:
+        back = np.take(add, left, mode="clip")
+        np.subtract(right, back, out=back)
+        back += side & (back >> 63)
+        left, right = back, left
+    return left * side + right
+
+
+class _Shuffles:
+    """All permutations of one comparison: keys, and the last place on the first and on either side."""
+
+    def __init__(self, name: str, n: int, k: int, n_perm: int):
+        self.name, self.n, self.k, self.side = name, n, k, math.isqrt(n - 1) + 1
+        self.keys = [np.frombuffer(hashlib.md5(f"{perm}:{name}".encode()).digest(), ">u2") for perm in range(1, n_perm + 1)]
+        self.last = [self._ends(_rounds(key, self.side)) for key in self.keys]
+
+    def _ends(self, rounds: list[np.ndarray]) -> list[int]:
+        """Places of the k-th and 2k-th number below n: those of the numbers from n on are skipped."""
+        left, right = np.divmod(np.arange(self.n, self.side**2), self.side)
+        skipped = np.sort(_places(left, right, rounds, self.side))
+        skipped -= np.arange(len(skipped))
+        return [m - 1 + int(np.searchsorted(skipped, m - 1, side="right")) for m in (self.k, 2 * self.k)]
+
+    def hits(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Features on either side of each run of ``numbers`` in each permutation: up * 2^32 + down."""
+        left, right = np.divmod(numbers.astype(np.int64), self.side)
+        out = np.empty((len(starts), len(self.keys)), np.int64)
+        for j, (key, (down, both)) in enumerate(zip(self.keys, self.last)):
+            at = _places(left, right, _rounds(key, self.side), self.side)
+            first = np.add.reduceat(at <= down, starts, dtype=np.int64)
+            out[:, j] = ((np.add.reduceat(at <= both, starts, dtype=np.int64) - first) << 32) + first
+        return out
+
+
+def _outcome_lists(hits: np.ndarray) -> pa.Array:
+    """For each row the distinct (_up, _down) but (0, 0), and how often each came."""
+    hits = np.sort(hits, axis=1)
+    new = np.ones(hits.shape, bool)
+    new[:, 1:] = hits[:, 1:] != hits[:, :-1]
+    row, at = np.nonzero(new)
+    times = np.diff(np.append(row * hits.shape[1] + at, hits.size))
+    value = hits[row, at]
+    keep = value != 0
+    offsets = np.zeros(len(hits) + 1, np.int32)
+    np.cumsum(np.bincount(row[keep], minlength=len(hits)), out=offsets[1:])
+    cells = [pa.array(v[keep].astype(np.int64)) for v in (value >> 32, value & 0xFFFFFFFF, times)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(cells, ["_up", "_down", "_times"]))
+
+
+# What a task looks at together: members, and counts of sets by permutations.
+HIT_ROWS, HIT_CELLS = 20_000, 4_000_000
+
+
+def _larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def shuffled_hits(classes: DataFrame, members: DataFrame, by: Sequence[str], n_perm: int, seed: int) -> DataFrame:
+    """``by, set_id, _outcomes``: the (_up, _down) hits of each set over all permutations, and how many gave each.
+
+    The permutations are those of ``permuted_sides``, which sends places to features.  Here a member asks for its
+    place, by the inverse bijection: it is on a side if it stands before the place where that side is
+    full.  So a set's members alone tell its hits, in every permutation; no draw is ever shuffled, and the rows that are
+    do not grow with the permutations.  A task streams its rows in order of comparison and set, and folds
+    each set; a set of any size is added up batch by batch.
+    """
+    by = list(by)
+    spark = classes.sparkSession
+    numbered = ranked(classes.select(*by, "feature_id"), by, [F.col("feature_id")], "number").withColumn("number", F.col("number") - 1)
+    sizes = classes.where("k > 0").groupBy(*by).agg(F.max("n").alias("n"), F.max("k").alias("k"))
+    sizes = sizes.withColumn("_name", F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]))
+    rows = join_same(numbered.join(members.select("feature_id", "set_id"), "feature_id"), bounded(sizes), by)
+    keys = [*by, "set_id"]
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*keys, "number", "n", "k", "_name").repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    most = max(HIT_CELLS // n_perm, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shuffles, held, counts = None, None, None  # the last set so far: its keys and its hits
+
+        def folded(owner: pa.RecordBatch, hits: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*owner.columns, _outcome_lists(hits)], names=[*keys, "_outcomes"])
+
+        for batch in _larger(batches, HIT_ROWS):
+            own = batch.select(keys)
+            codes = np.stack([c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in own.columns])
+            changed = np.ones(codes.shape, bool)
+            changed[:, 1:] = codes[:, 1:] != codes[:, :-1]
+            sets = np.nonzero(changed.any(axis=0))[0]
+            tests = np.nonzero(changed[:-1].any(axis=0))[0]
+            numbers = batch.column("number").to_numpy()
+            cuts = np.union1d(tests, sets[::most])
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                test = (batch.column("_name")[a].as_py(), batch.column("n")[a].as_py(), batch.column("k")[a].as_py())
+                if shuffles is None or (shuffles.name, shuffles.n, shuffles.k) != test:
+                    shuffles = _Shuffles(*test, n_perm)
+                starts = sets[(sets >= a) & (sets < b)]
+                hits = shuffles.hits(numbers[a:b], starts - a)
+                owners = own.take(pa.array(starts))
+                if held is not None and held.to_pylist() == owners.slice(0, 1).to_pylist():
+                    hits[0] += counts[0]
+                elif held is not None:
+                    yield folded(held, counts)
+                yield folded(owners.slice(0, len(hits) - 1), hits[:-1])
+                held, counts = owners.slice(len(hits) - 1), hits[-1:].copy()
+        if held is not None:
+            yield folded(held, counts)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.mapInArrow(run, f"{schema}, _outcomes array<struct<_up: bigint, _down: bigint, _times: bigint>>")
+
+
+def shuffled_pvalues(classes: DataFrame, members: DataFrame, results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42) -> DataFrame:
+    """Empirical p per (comparison, set): (1 + permutations with p <= observed) / (n_perm + 1).
+
+    A permutation shuffles the fold changes over the features of a comparison, once for all its
+    sets.  Each pair of counts of a set is one row however many permutations gave it, and an exact test is worked
+    out once for each distinct table.  A set with no hit on either side has p = 1.
+    """
+    by = list(by)
+    observed = results.select(*by, "set_id", F.col("p").alias("_p"), (F.col("a_up") + F.col("a_down") + F.col("c")).alias("_hits"), "n_up", "n_bg")
+    rows = materialise(join_same(observed, shuffled_hits(classes, members, by, n_perm, seed), [*by, "set_id"]))
+    cells = ["n_up", "n_bg", "_hits", "_up", "_down"]
+    rows = rows.select(*[c for c in rows.columns if c != "_outcomes"], F.inline("_outcomes"))
+    tables = rows.select(*cells).distinct().withColumn("_c", F.col("_hits") - F.col("_up") - F.col("_down"))
+    up = hypergeometric_upper("_up", "n_up - _up", "_c", "n_bg - _c")
+    down = hypergeometric_upper("_down", "n_up - _down", "_c", "n_bg - _c")
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = bounded(tables.repartition(tasks).select(*cells, F.least(up, down).alias("_null")))
+    beaten = rows.join(tables, cells).groupBy(*by, "set_id").agg(F.sum(F.when(F.col("_null") <= F.col("_p") * (1 + SAME), F.col("_times"))).alias("_n"))
+    joined = join_same(results, beaten, [*by, "set_id"], "left")
+    count = F.when(F.col("p") * (1 + SAME) >= 1, F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
+    return joined.withColumn("perm_p", (count + 1) / F.lit(n_perm + 1.0)).drop("_n")
+
+
 def null_outcomes(tables: DataFrame) -> DataFrame:
     """How likely a random draw of the two sides is at least as extreme as each outcome it may have.
 
@@ -83,31 +238,14 @@ def null_outcomes(tables: DataFrame) -> DataFrame:
     return rows.where("_asks = 1").select(*cells, "up", "down", "share")
 
 
-def _draws(rows: DataFrame, n: int) -> DataFrame:
-    """``_key, _level, _block`` and the uniform draws ``_u0 .. _u3`` of it, each eight hexadecimal digits of one md5."""
-    blocks = rows.select("_key", "_level", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))).alias("_block"))
-    blocks = blocks.withColumn("_h", F.md5(F.concat("_key", F.col("_block").cast("string"))))
-    return blocks.select("_key", "_level", "_block", *[F.substring("_h", 8 * j + 1, 8).alias(f"_u{j}") for j in range(4)])
-
-
-def _beats(rows: DataFrame, n: int) -> list[Column]:
-    """Numbers, from 1 on, of a block's draws below the level; 0 for the others."""
-    at = [F.col("_block") * 4 + (j + 1) for j in range(4)]
-    return [F.when((F.col(f"_u{j}") < F.col("_level")) & (at[j] <= n), at[j]).otherwise(0) for j in range(4)]
-
+def _beats(n_from: int, n: int) -> Column:
+    """Numbers, from 1 on, of a row's draws below its ``_level``: those after ``n_from`` and up to ``n``.
 
-def _beaten(rows: DataFrame, n: int) -> DataFrame:
-    """``_key, _n``: how many of the first ``n`` draws are below the level; added up where they are made."""
-    draws = _draws(rows, n)
-    hits = [F.when(b > 0, 1).otherwise(0) for b in _beats(draws, n)]
-    return draws.groupBy("_key").agg(F.sum(hits[0] + hits[1] + hits[2] + hits[3]).alias("_n"))
-
-
-def _beaten_at(rows: DataFrame, n: int) -> DataFrame:
-    """``_key, _at``: the numbers of the draws below the level, in order; at most ``n`` of them."""
-    draws = _draws(rows, n)
-    some = draws.select("_key", F.explode(F.array_remove(F.array(*_beats(draws, n)), 0)).alias("_i"))
-    return some.groupBy("_key").agg(F.sort_array(F.collect_list("_i")).alias("_at"))
+    Each md5 of the key and a block's number is four draws of eight hexadecimal digits.
+    """
+    marks = ", ".join(f"CASE WHEN substr(h, {8 * j + 1}, 8) < _level THEN b * 4 + {j + 1} END" for j in range(4))
+    blocks = f"transform(sequence({n_from // 4}, {(n + 3) // 4 - 1}), b -> {let('d', f'transform(array(d.h), h -> array({marks}))', h='md5(concat(_key, cast(b AS string)))')})"
+    return F.expr(f"filter(flatten(flatten({blocks})), x -> x > {n_from} AND x <= {n})")
 
 
 def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed: int = 42, stop: int | None = None) -> DataFrame:
@@ -135,25 +273,25 @@ def permutation_pvalues(results: DataFrame, by: Sequence[str], n_perm: int, seed
     found = found.withColumn("_level", F.when(certain | (F.col("share") >= 1), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(level)), 8, "0")))
     parts = [F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "set_id")], F.lit("")]
     found = found.withColumn("_key", F.concat_ws(":", *parts))
-    found = materialise(found)
+    # Few bytes, much work: spread over all tasks.  A row draws for itself, so nothing but the rows is ever moved.
+    found = found.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
     # Where every permutation beats the observation or none can, nothing is drawn.
-    asked = found.where("_level <> 'g' AND _level <> '00000000'").select("_key", "_level")
-    # Few bytes, much work: spread over all tasks by key, by which the draws are added up too.
-    asked = asked.repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
+    asked = (F.col("_level") != "g") & (F.col("_level") != "00000000")
     if stop is None:
-        found = found.join(_beaten(asked, n_perm), "_key", "left")
-        beaten = F.when(F.col("_level") == "g", F.lit(n_perm)).otherwise(F.coalesce("_n", F.lit(0)))
+        beaten = F.when(F.col("_level") == "g", F.lit(n_perm)).otherwise(F.when(asked, F.size(_beats(0, n_perm))).otherwise(0))
         found = found.withColumn("perm_p", (beaten + 1) / F.lit(n_perm + 1.0))
     else:
-        few = min(n_perm, 10 * stop)  # enough for most sets; only the others see the rest of their draws
-        first = materialise(_beaten_at(asked, few))
-        ended = first.where(F.size("_at") >= stop)
-        rest = asked.join(ended.select("_key"), "_key", "left_anti")
-        found = found.join(ended.unionByName(_beaten_at(rest, n_perm)), "_key", "left")
-        at = F.when(F.col("_level") == "g", F.sequence(F.lit(1), F.lit(n_perm))).otherwise(F.coalesce("_at", F.array().cast("array<int>")))
-        ended = F.size(at) >= stop
-        found = found.withColumn("n_drawn", F.when(ended, F.get(at, F.lit(stop - 1))).otherwise(n_perm))
-        found = found.withColumn("perm_p", F.when(ended, F.lit(float(stop)) / F.col("n_drawn")).otherwise((F.size(at) + 1) / F.lit(n_perm + 1.0)))
+        few = min(n_perm, 10 * stop) // 4 * 4  # enough for most sets; only the others see the rest of their draws
+        none = F.array().cast("array<int>")
+        certain = F.sequence(F.lit(1), F.lit(n_perm))
+        found = found.withColumn("_at", F.when(F.col("_level") == "g", certain).otherwise(F.when(asked, _beats(0, few) if few else none).otherwise(none)))
+        more = asked & (F.size("_at") < stop)
+        rest = F.concat("_at", _beats(few, n_perm)) if n_perm > few else F.col("_at")
+        found = found.withColumn("_at", F.when(more, rest).otherwise(F.col("_at")))
+        ended = F.size("_at") >= stop
+        found = found.withColumn("n_drawn", F.when(ended, F.get("_at", F.lit(stop - 1))).otherwise(n_perm))
+        found = found.withColumn("perm_p", F.when(ended, F.lit(float(stop)) / F.col("n_drawn")).otherwise((F.size("_at") + 1) / F.lit(n_perm + 1.0)))
+    found = materialise(found.drop("_key", "_level", *([] if stop is None else ["_at"])))
     return found.select(*results.columns, *([] if stop is None else ["n_drawn"]), "perm_p")
 
 

@@ -71,15 +71,36 @@ def paginated_parts(spark, sf):
     return sa.paginate(i.table(spark, sf, "part").select("p_partkey", "p_name"), 7, [F.col("p_name"), F.col("p_partkey")])
 
 
+_HITS = "(a_up + a_down + e.c)"
+
+
 def _null_tail(a: str) -> str:
     return i._tail_sql(a, "n_up")
 
 
+_AT = co.scattered_sql("x", "side", lambda j: f"k{j}", "//")
+_KEYS8 = ", ".join(f"('0x' || substr(h, {4 * j + 1}, 4))::BIGINT AS k{j}" for j in range(8))
+fragment("draws", f"""SELECT {KEYS}, perm, k, unnest(range(len(ys))) AS spot, unnest(ys) AS number FROM (
+  SELECT *, list_filter(list_transform(range(0, 2 * k + side * side - n), lambda x: {_AT}), lambda y: y < n)[1:2 * k] AS ys FROM (
+    SELECT *, {_KEYS8} FROM (SELECT *, ceil(sqrt(n))::BIGINT AS side, md5(perm || ':42:' || grp || ':' || timepoint || ':' || condition) AS h
+      FROM (SELECT {KEYS}, any_value(n) AS n, any_value(k) AS k FROM classes GROUP BY {KEYS}) CROSS JOIN range(1, {N_PERM + 1}) p(perm) WHERE k > 0)))""", "classes")
+fragment("numbered", f"SELECT {KEYS}, feature_id, row_number() OVER (PARTITION BY {KEYS} ORDER BY feature_id) - 1 AS number FROM classes", "classes")
+fragment("drawn_hits", f"""SELECT {KEYS}, set_id, up, down, count(*) AS times FROM (
+  SELECT {KEYS}, set_id, perm, count(*) FILTER (spot >= k) AS up, count(*) FILTER (spot < k) AS down
+  FROM draws JOIN numbered USING ({KEYS}, number) JOIN members USING (feature_id) GROUP BY {KEYS}, set_id, perm) GROUP BY ALL""", "draws numbered members")
+fragment("drawn_tables", f"""SELECT {KEYS}, set_id, h.up, h.down, times, e.n_up, e.n_bg, e.p, {_HITS} - h.up - h.down AS c
+FROM drawn_hits h JOIN enriched e USING ({KEYS}, set_id)""", "drawn_hits enriched")
+fragment("null_p", f"""SELECT {KEYS}, set_id, p, times, q FROM drawn_tables JOIN (
+  SELECT up, down, n_up, n_bg, c, least({_null_tail('up')}, {_null_tail('down')}) AS q FROM (SELECT DISTINCT up, down, n_up, n_bg, c FROM drawn_tables)) USING (up, down, n_up, n_bg, c)""", "drawn_tables")
+fragment("perm_p", f"""SELECT e.{KEYS.replace(', ', ', e.')}, e.set_id, e.p, e.adj_p, (CASE WHEN e.p * (1 + 1e-9) >= 1 THEN {N_PERM} ELSE coalesce(b.n, 0) END + 1) / {N_PERM + 1}.0 AS perm_p
+FROM enriched e LEFT JOIN (SELECT {KEYS}, set_id, sum(times) FILTER (q <= p * (1 + 1e-9)) AS n FROM null_p GROUP BY {KEYS}, set_id) b USING ({KEYS}, set_id)""", "null_p enriched")
+
+
 def _choose(n: str, k: str) -> str:
     return f"lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0)"
 
 
-# Every outcome of a draw of both sides, its chance and its p.
+# The sequential test draws each set from its own law: every outcome of a draw of both sides, its chance and its p.
 fragment("outcomes", f"""SELECT *, exp({_choose('n_up', 'up')} + {_choose('n_up', 'down')} + {_choose('n_bg', 'c')} - ({_choose('(2 * n_up + n_bg)', 'hits')})) AS chance,
   least({_null_tail('up')}, {_null_tail('down')}) AS q
 FROM (SELECT *, hits - up - down AS c FROM (SELECT *, unnest(range(0, least(hits, n_up) + 1)) AS down FROM (SELECT *, unnest(range(0, least(hits, n_up) + 1)) AS up
@@ -89,13 +110,13 @@ FROM enriched e LEFT JOIN outcomes o ON o.n_up = e.n_up AND o.n_bg = e.n_bg AND
 fragment("levels", f"""SELECT {KEYS}, set_id, CASE WHEN p * (1 + 1e-9) >= 1 OR share >= 1 THEN 'g' ELSE printf('%08x', floor(share * 4294967296)::BIGINT) END AS level,
   concat_ws(':', '42', grp, timepoint, condition, set_id, '') AS key FROM shares""", "shares")
 _DRAWS = "flatten(list_transform(range(0, {n}), lambda b: list_transform(range(0, 4), lambda j: substr(md5(key || b), 8 * j + 1, 8))))"
-fragment("perm_p", f"""SELECT {KEYS}, set_id, (len(list_filter({_DRAWS.format(n=N_PERM // 4)}, lambda u: u < level)) + 1) / {N_PERM + 1}.0 AS perm_p FROM levels""", "levels")
 fragment("beaten", f"""SELECT {KEYS}, set_id, list_filter(list_transform({_DRAWS.format(n=N_PERM // 4)}, lambda u, i: CASE WHEN u < level THEN i ELSE 0 END), lambda i: i > 0) AS beats FROM levels""", "levels")
 
 
 def permuted(spark, sf):
     """The enrichment table with its permutation p."""
-    return staged(spark, ("permuted", sf), lambda: co.permutation_pvalues(i.results(spark, sf), i.COMPARISON, N_PERM))
+    return staged(spark, ("permuted", sf), lambda: co.shuffled_pvalues(
+        i.classes(spark, sf), i.members(spark, sf), i.results(spark, sf), i.COMPARISON, N_PERM))
 
 
 def corrected_by_permutation(spark, sf):
@@ -117,7 +138,7 @@ def permutation_pvalues(spark, sf):
 @query("H4", f"""SELECT {KEYS}, set_id, CASE WHEN len(beats) >= {STOP} THEN beats[{STOP}] ELSE {N_PERM} END::INTEGER AS n_drawn,
   round(CASE WHEN len(beats) >= {STOP} THEN {STOP}.0 / beats[{STOP}] ELSE (len(beats) + 1) / {N_PERM + 1}.0 END, 6)::DOUBLE AS perm_p FROM beaten""", "beaten")
 def sequential_permutation_pvalues(spark, sf):
-    """The same test where each set stops drawing once it has been beaten often enough."""
+    """The test by the law of each set, which stops drawing once the set has been beaten often enough."""
     rows = co.permutation_pvalues(i.results(spark, sf), i.COMPARISON, N_PERM, stop=STOP)
     return i.rounded(rows, "perm_p").select(*i.COMPARISON, "set_id", "n_drawn", "perm_p")
 
