@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.enrichment import P_SIG, significant_strict
 from foldwise.operators.ordering import ranked
-from foldwise.session import written
+from foldwise.session import materialise, written
 
 
 def align_features(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -30,9 +30,17 @@ def sample_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def upstream_sets(features: DataFrame, edges: DataFrame, allowed: DataFrame, on: Sequence[str], feature: str = "feature_id") -> DataFrame:
-    """Distinct (feature, set) pairs through the edge keys, restricted to known sets."""
-    known = edges.join(allowed.select("set_id").distinct(), "set_id", "left_semi").select(*on, "set_id").distinct()
-    return features.join(known, list(on)).select(feature, "set_id").distinct()
+    """Distinct (feature, set) pairs through the edge keys, restricted to known sets.
+
+    The pairs may be many times the rows, so both sides are made distinct before they meet; only
+    features with several keys can reach a set twice, and only their pairs are compared.
+    """
+    on = list(on)
+    known = materialise(edges.join(allowed.select("set_id").distinct(), "set_id", "left_semi").select(*on, "set_id").distinct())
+    keys = features.groupBy(feature).agg(F.collect_set(F.struct(*on)).alias("_keys"))
+    one = keys.where(F.size("_keys") == 1).select(feature, F.inline("_keys")).join(known, on).select(feature, "set_id")
+    more = keys.where(F.size("_keys") > 1).select(feature, F.inline("_keys")).join(known, on).select(feature, "set_id").distinct()
+    return one.unionByName(more)
 
 
 def match_rate(features: DataFrame, pairs: DataFrame, feature: str = "feature_id") -> DataFrame:
