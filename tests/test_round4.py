@@ -1,11 +1,16 @@
 """Permutations of all sets of a comparison together, and sequential draws inside a row."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import corrections as co
+from foldwise.operators import diagnostics as di
 from foldwise.operators import enrichment as en
+from foldwise.operators import joins as jo
+from foldwise.operators import models as mo
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +86,32 @@ def test_sequential_draws_move_no_rows_per_draw(spark):
     drawing = [p for p in plans if "md5" in p]
     assert len(drawing) == 1 and "Generate explode" not in drawing[0] and "Aggregate" not in drawing[0]
     assert all(3 <= r.n_drawn <= 101 for r in got)
+
+
+def test_effects_are_not_broadcast(spark):
+    """One parameter row is twelve effects: its size tells nothing of theirs."""
+    params = spark.range(50).select(F.col("id").alias("feature_id"), F.array(*[F.array(*[F.lit(float(k + j)) for j in range(3)]) for k in range(4)]).alias("beta"))
+    beta = mo.effects_long(params, list("abcd"), ["T1", "T2", "T12"])
+    lfc = beta.withColumnRenamed("beta", "lfc")
+    rows = di.effect_concordance(lfc.select("*"), beta)
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.grp, r.condition, r.n) for r in rows.collect()} == {(g, t, 50) for g in "abcd" for t in ("T1", "T2", "T12")}
+
+
+def test_pairs_of_features_with_one_key_are_not_compared(spark):
+    features = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "a", 1), (2, "b", 2), (3, None, 1), (None, "b", 2), (4, "c", 3)], "feature_id int, k string, s int")
+    edges = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", 1, 11), ("b", 2, 10), ("b", 2, 12), ("c", 3, 99), ("b", 2, None)], "k string, s int, set_id int")
+    allowed = spark.createDataFrame([(10,), (11,), (12,), (12,), (None,)], "set_id int")
+    found = jo.upstream_sets(features, edges, allowed, ["k", "s"])
+    assert sorted(tuple(r) for r in found.collect() if r.feature_id) == [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12)]
+    assert sorted(r.set_id for r in found.collect() if r.feature_id is None) == [10, 12]
+    one = found._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert not re.search(r"Aggregate \[feature_id#\d+, set_id#\d+\]", one)
+
+
+def test_expected_values_meet_once_by_feature(spark):
+    profiles = spark.range(40).select((F.col("id") % 8).alias("feature_id"), F.concat(F.lit("g"), (F.col("id") / 8).cast("int")).alias("grp"), F.col("id").cast("double").alias("value"))
+    fractions = spark.range(5).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("grp"), F.explode(F.array(F.lit("s"), F.lit("t"))).alias("sample_id"), F.lit(0.2).alias("fraction"))
+    mu = di.mixed_mean(profiles, fractions)
+    assert str(mu._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    assert {(r.feature_id, round(r.mu, 9)) for r in mu.collect()} == {(f, float(f + 16)) for f in range(8)}
