@@ -69,15 +69,23 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
     return rows.withColumn("class", side).drop("_rank")
 
 
-def classify_at(lfc: DataFrame, by: Sequence[str], pcts: Sequence[float], feature: str = "feature_id") -> DataFrame:
-    """Classes at several shares from one ranking; ``pct`` becomes a further comparison key."""
+def classify_at(lfc: DataFrame, by: Sequence[str], pcts: Sequence[float], feature: str = "feature_id", nested: bool = False) -> DataFrame:
+    """Classes at several shares from one ranking; ``pct`` becomes a further comparison key.
+
+    ``nested`` keeps one row a feature, with the classes in the order of ``pcts`` as ``classes``.
+    """
     lfc, fits = sized(lfc, by)
     rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
     rows = join_same(rows, bounded(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))), by)
+
+    def side(pct: Column) -> Column:
+        k = F.floor(F.col("n") * pct / 100)
+        return F.when(F.col("_rank") <= k, "down").when(F.col("_rank") > F.col("n") - k, "up").otherwise("bg")
+
+    if nested:
+        return rows.withColumn("classes", F.array(*[side(F.lit(float(p))) for p in pcts])).drop("_rank")
     rows = rows.withColumn("pct", F.explode(F.array(*[F.lit(float(p)) for p in pcts])))
-    k = F.floor(F.col("n") * F.col("pct") / 100)
-    side = F.when(F.col("_rank") <= k, "down").when(F.col("_rank") > F.col("n") - k, "up").otherwise("bg")
-    return rows.withColumn("class", side).drop("_rank")
+    return rows.withColumn("class", side(F.col("pct"))).drop("_rank")
 
 
 def classify_by_threshold(lfc: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
@@ -100,24 +108,28 @@ def members_from_scores(
     return scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= rank_k).select(feature, set_id)
 
 
-def contingency(classes: DataFrame, members: DataFrame, by: Sequence[str]) -> DataFrame:
+def contingency(classes: DataFrame, members: DataFrame, by: Sequence[str], pcts: Sequence[float] = ()) -> DataFrame:
     """Hits of every set on each side: one row per (comparison, set).
 
-    Works for percent classes (``k`` on both sides) and threshold classes.
+    Works for percent classes (``k`` on both sides) and threshold classes.  With ``pcts``, for nested
+    classes at these shares: a member is joined and shuffled once and becomes a row a share when counted.
     """
-    sizes = classes.groupBy(*by).agg(
-        F.count_if(F.col("class") == "up").alias("n_up"),
-        F.count_if(F.col("class") == "down").alias("n_down"),
-        F.count_if(F.col("class") == "bg").alias("n_bg"),
-    )
-    hits = classes.join(members, "feature_id").groupBy(*by, "set_id").agg(
-        F.count_if(F.col("class") == "up").alias("a_up"),
-        F.count_if(F.col("class") == "down").alias("a_down"),
-        F.count_if(F.col("class") == "bg").alias("c"),
-    )
+    sizes = _side_counts(classes, by, pcts, {"up": "n_up", "down": "n_down", "bg": "n_bg"})
+    hits = _side_counts(classes.join(members, "feature_id"), [*by, "set_id"], pcts, {"up": "a_up", "down": "a_down", "bg": "c"})
     return join_same(hits, bounded(sizes), by)
 
 
+def _side_counts(rows: DataFrame, keys: Sequence[str], pcts: Sequence[float], names: dict[str, str]) -> DataFrame:
+    """Rows of each side per key, under ``names``."""
+    if not pcts:
+        return rows.groupBy(*keys).agg(*[F.count_if(F.col("class") == side).alias(name) for side, name in names.items()])
+    plain = [key for key in keys if key != "pct"]
+    counts = rows.groupBy(*plain).agg(*[
+        F.count_if(F.col("classes")[k] == side).alias(f"_{name}_{k}") for k in range(len(pcts)) for side, name in names.items()])
+    shares = [F.struct(F.lit(float(p)).alias("pct"), *[F.col(f"_{n}_{k}").alias(n) for n in names.values()]) for k, p in enumerate(pcts)]
+    return counts.select(*plain, F.inline(F.array(*shares))).select(*keys, *names.values())
+
+
 def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
     """log2 of the hit share on a side over the share in the background (+0.5 when a cell is 0)."""
     add = F.when((a == 0) | (b == 0) | (c == 0) | (d == 0), F.lit(0.5)).otherwise(F.lit(0.0))
@@ -129,21 +141,25 @@ def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
 def score_sets(counts: DataFrame) -> DataFrame:
     """Frequency factor, one-sided exact p and the better side of each contingency row.
 
-    Few bytes but much arithmetic: the rows are spread over a fixed number of
+    The counts are small numbers, so most sets share their 2x2 tables with others: each distinct table
+    is tested once.  Few bytes but much arithmetic: the tables are spread over a fixed number of
     tasks, which adaptive execution would otherwise merge into one.
     """
-    counts = counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = written(counts)
+    table = ["_a", "_n", "_c", "_n_bg"]
+    sides = [counts.select(*[F.col(c).alias(t) for c, t in zip((f"a_{s}", f"n_{s}", "c", "n_bg"), table, strict=True)]) for s in ("up", "down")]
+    tables = sides[0].unionByName(sides[1]).distinct().repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tested = bounded(tables.withColumn("_p", hypergeometric_upper("_a", "_n - _a", "_c", "_n_bg - _c")))
+    for s in ("up", "down"):
+        named = dict(zip(table, (f"a_{s}", f"n_{s}", "c", "n_bg"), strict=True))
+        counts = join_same(counts, tested.withColumnsRenamed(named | {"_p": f"p_{s}"}), list(named.values()))
     a_up, a_down, c = F.col("a_up"), F.col("a_down"), F.col("c")
     d = F.col("n_bg") - c
     up = (a_up, F.col("n_up") - a_up, c, d)
     down = (a_down, F.col("n_down") - a_down, c, d)
-    scored = counts.withColumns({
-        "p_up": hypergeometric_upper("a_up", "n_up - a_up", "c", "n_bg - c"),
-        "p_down": hypergeometric_upper("a_down", "n_down - a_down", "c", "n_bg - c"),
-    })
     best_up = F.col("p_up") <= F.col("p_down") * (1 + SAME)  # equal up to rounding: up
     return (
-        scored.withColumn("direction", F.when(best_up, "+").otherwise("-"))
+        counts.withColumn("direction", F.when(best_up, "+").otherwise("-"))
         .withColumn("lff", F.when(best_up, frequency_factor(*up)).otherwise(-frequency_factor(*down)))
         .withColumn("p", F.least("p_up", "p_down"))
     )
@@ -169,9 +185,9 @@ def bh_adjust(
     return rows.withColumn(name, F.greatest(F.least("_adj", F.lit(1.0)), F.lit(0.0))).drop("_rank", "_m", "_adj")
 
 
-def enrich(classes: DataFrame, members: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Set enrichment per comparison with BH-adjusted p."""
-    return bh_adjust(materialise(score_sets(contingency(classes, members, by))), by, "p")
+def enrich(classes: DataFrame, members: DataFrame, by: Sequence[str], pcts: Sequence[float] = ()) -> DataFrame:
+    """Set enrichment per comparison with BH-adjusted p; ``pcts`` are the shares of nested classes."""
+    return bh_adjust(materialise(score_sets(contingency(classes, members, by, pcts))), by, "p")
 
 
 def enriched_members(classes: DataFrame, members: DataFrame, results: DataFrame, by: Sequence[str]) -> DataFrame:
