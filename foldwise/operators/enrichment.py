@@ -28,11 +28,14 @@ MIN_P95 = 0.1        # smallest 95th percentile of |fold change| worth testing
 
 
 def fold_changes(
-    cells: DataFrame, keys: Sequence[str], condition: str, control: str, treatments: Sequence[str], value: str = "value"
+    cells: DataFrame, keys: Sequence[str], condition: str, control: str, treatments: Sequence[str], value: str = "value", summed: bool = False
 ) -> DataFrame:
-    """log2 fold change of every treatment against ``control`` (one shuffle, no self-join)."""
-    per = [F.max(F.when(F.col(condition) == c, clean(F.col(value)))).alias(f"_{i}")
-           for i, c in enumerate([control, *treatments])]
+    """log2 fold change of every treatment against ``control`` (one shuffle, no self-join).
+
+    With ``summed``, ``cells`` has the parts of a cell, which are added up in the same aggregation.
+    """
+    picked = [F.when(F.col(condition) == c, F.col(value)) for c in [control, *treatments]]
+    per = [(clean(F.sum(v)) if summed else F.max(clean(v))).alias(f"_{i}") for i, v in enumerate(picked)]
     wide = cells.groupBy(*keys).agg(*per).where(F.col("_0").isNotNull())
     pairs = F.array(*[
         F.struct(F.lit(c).alias("condition"), F.col(f"_{i + 1}").alias("fg")) for i, c in enumerate(treatments)
@@ -59,11 +62,7 @@ def classify_sites(lfc: DataFrame, by: Sequence[str], pct: float = PERCENT, feat
     """
     lfc, fits = sized(lfc, by)
     rows = ranked(lfc, by, [F.col("lfc"), F.col(feature)], "_rank", fits)
-    if fits:
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    else:
-        sizes = lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        rows = join_same(rows, bounded(sizes), by)
+    rows = join_same(rows, bounded(lfc.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))), by)
     rows = rows.withColumn("k", F.floor(F.col("n") * F.lit(pct) / 100).cast("long"))
     side = F.when(F.col("_rank") <= F.col("k"), "down").when(F.col("_rank") > F.col("n") - F.col("k"), "up").otherwise("bg")
     return rows.withColumn("class", side).drop("_rank")
@@ -113,21 +112,26 @@ def contingency(classes: DataFrame, members: DataFrame, by: Sequence[str], pcts:
 
     Works for percent classes (``k`` on both sides) and threshold classes.  With ``pcts``, for nested
     classes at these shares: a member is joined and shuffled once and becomes a row a share when counted.
+    Rows carry a number instead of their comparison while they are joined and shuffled.
     """
-    sizes = _side_counts(classes, by, pcts, {"up": "n_up", "down": "n_down", "bg": "n_bg"})
-    hits = _side_counts(classes.join(members, "feature_id"), [*by, "set_id"], pcts, {"up": "a_up", "down": "a_down", "bg": "c"})
-    return join_same(hits, bounded(sizes), by)
-
-
-def _side_counts(rows: DataFrame, keys: Sequence[str], pcts: Sequence[float], names: dict[str, str]) -> DataFrame:
-    """Rows of each side per key, under ``names``."""
-    if not pcts:
-        return rows.groupBy(*keys).agg(*[F.count_if(F.col("class") == side).alias(name) for side, name in names.items()])
-    plain = [key for key in keys if key != "pct"]
-    counts = rows.groupBy(*plain).agg(*[
-        F.count_if(F.col("classes")[k] == side).alias(f"_{name}_{k}") for k in range(len(pcts)) for side, name in names.items()])
-    shares = [F.struct(F.lit(float(p)).alias("pct"), *[F.col(f"_{n}_{k}").alias(n) for n in names.values()]) for k, p in enumerate(pcts)]
-    return counts.select(*plain, F.inline(F.array(*shares))).select(*keys, *names.values())
+    plain = [key for key in by if key != "pct"] if pcts else list(by)
+    shares = range(len(pcts) or 1)
+    side = [F.col("classes")[k] if pcts else F.col("class") for k in shares]
+    classes = written(classes)
+    sizes = classes.groupBy(*plain).agg(*_side_counts(side, {"up": "n_up", "down": "n_down", "bg": "n_bg"}))
+    sizes = bounded(sizes.withColumn("_number", F.monotonically_increasing_id()))
+    numbered = [F.when(s == "up", 0).when(s == "down", 1).when(s == "bg", 2).cast("byte").alias(f"_side_{k}") for k, s in enumerate(side)]
+    rows = join_same(classes.select("feature_id", *plain, *numbered), sizes.select(*plain, "_number"), plain).drop(*plain)
+    counted = _side_counts([F.col(f"_side_{k}") for k in shares], {0: "a_up", 1: "a_down", 2: "c"})
+    counts = rows.join(members, "feature_id").groupBy("_number", "set_id").agg(*counted).join(sizes, "_number")
+    names = ["a_up", "a_down", "c", "n_up", "n_down", "n_bg"]
+    table = [F.struct(*([F.lit(float(pcts[k])).alias("pct")] if pcts else []), *[F.col(f"_{n}_{k}").alias(n) for n in names]) for k in shares]
+    return counts.select(*plain, "set_id", F.inline(F.array(*table))).select(*by, "set_id", *names)
+
+
+def _side_counts(sides: Sequence[Column], names: dict) -> list[Column]:
+    """Rows of each side, under ``names``, for each share."""
+    return [F.count_if(side == value).alias(f"_{name}_{k}") for k, side in enumerate(sides) for value, name in names.items()]
 
 
 def frequency_factor(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -177,8 +181,6 @@ def bh_adjust(
     rows = ranked(df, by, [F.col(p), F.col(tie)], "_rank", fits)
     if m_eff is not None:
         rows = rows.withColumn("_m", F.lit(float(m_eff)))
-    elif fits:
-        rows = rows.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     else:
         rows = join_same(rows, bounded(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))), by)
     rows = running(rows, by, "_rank", F.col(p) * F.col("_m") / F.col("_rank"), "_adj", "min", reverse=True, fits=fits)
