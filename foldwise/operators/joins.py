@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.enrichment import P_SIG, significant_strict
 from foldwise.operators.ordering import ranked
-from foldwise.session import materialise, written
+from foldwise.session import bounded, materialise, written
 
 
 def align_features(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -127,25 +127,31 @@ SALT_SETS = 200
 def set_overlaps(members: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """Shared-member counts of set pairs (set_a < set_b) that share at least one member.
 
-    Pairs without a common member are not produced: their overlap is 0.  A
-    feature belonging to many sets is salted, so its pairs split over tasks;
-    pair counts are combined map-side before they shuffle.
+    Pairs without a common member are not produced: their overlap is 0.  Members are dealt by feature
+    once.  A feature belonging to many sets is salted, so its pairs split over tasks; pair counts are
+    combined map-side before they shuffle.
     """
     keys = ["feature_id"]
-    rows = members.select("feature_id", "set_id").distinct()
+    rows = members.select("feature_id", "set_id").where("feature_id IS NOT NULL")
     if families is not None:
-        rows, keys = rows.join(families, "set_id"), ["feature_id", "family"]
-    degree = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_degree")).where("_degree > 1")
-    rows = rows.join(degree, keys)
-    salts = F.ceil(F.col("_degree") / SALT_SETS)
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64("set_id"), salts)).withColumnRenamed("set_id", "set_a").drop("_degree")
-    right = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumnRenamed("set_id", "set_b").drop("_degree")
-    pairs = left.join(right, [*keys, "_salt"]).where(F.col("set_a") < F.col("set_b"))
+        rows, keys = written(rows.distinct().join(families, "set_id")), ["feature_id", "family"]
+    hot = bounded(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_degree")).where(F.col("_degree") > SALT_SETS))
+    any_hot = not hot.isEmpty()
+    cold = rows.join(hot, keys, "left_anti") if any_hot else rows
+    cold = cold.repartition(*keys) if families is not None else cold.repartition(*keys).distinct()
+    pairs = cold.withColumnRenamed("set_id", "set_a").join(cold.withColumnRenamed("set_id", "set_b"), keys)
+    if any_hot:
+        rows = (rows if families is not None else rows.distinct()).join(hot, keys)
+        salts = F.ceil(F.col("_degree") / SALT_SETS)
+        left = rows.withColumn("_salt", F.pmod(F.xxhash64("set_id"), salts)).withColumnRenamed("set_id", "set_a").drop("_degree")
+        right = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumnRenamed("set_id", "set_b").drop("_degree")
+        pairs = pairs.unionByName(left.join(right, [*keys, "_salt"]).drop("_salt"))
+    pairs = pairs.where(F.col("set_a") < F.col("set_b"))
     return pairs.groupBy(*(["family"] if families is not None else []), "set_a", "set_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _jaccard(overlaps: DataFrame, members: DataFrame) -> DataFrame:
-    sizes = members.select("feature_id", "set_id").distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = bounded(members.select("feature_id", "set_id").distinct().groupBy("set_id").agg(F.count(F.lit(1)).alias("_n")))
     rows = overlaps.join(sizes.toDF("set_a", "n_a"), "set_a").join(sizes.toDF("set_b", "n_b"), "set_b")
     rows = rows.withColumn("joined", F.col("n_a") + F.col("n_b") - F.col("shared"))
     return rows.withColumn("jaccard", F.col("shared") / F.col("joined"))
