@@ -24,6 +24,6 @@ def arguments(monkeypatch, name):
     return seen
 
 
-@pytest.mark.parametrize("name, n", [("permutation_null", 500)])
+@pytest.mark.parametrize("name, n", [("permutation_null", 500), ("perturbation_audit", 200)])
 def test_queries_refit_as_often_as_the_reference(monkeypatch, name, n):
     assert arguments(monkeypatch, name)["n"] == n
