@@ -134,7 +134,7 @@ def instrument_files(spark, sf):
 def file_manifest(spark, sf):
     rows = ma.file_manifest(instrument_files(spark, sf))
     path = scratch(spark)
-    ta.write_json(rows, path)
+    ta.write_json(rows, path, "gzip")  # a row names its file, run and text: most of it recurs
     back = ta.read_json(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields))
     return back.groupBy(
         "modality", "tissue", "pooled_runs", "run_count", F.array_join("runs", ",").alias("run"), "genotype_labels", "sex_labels",

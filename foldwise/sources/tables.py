@@ -93,8 +93,8 @@ def load_params(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/meta")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
